@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 #: White space as the pattern's library understands it (fixed values).
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNKS, PIECES = 300_000, 700_000
+CHUNKS, PIECES = 700_000, 900_000
 
 
 class PieceCache(dict):
