@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .minhash import op2_minhash
 from .packing import op4_packing
+from .quality import op1_quality
 from .rules import OP8_SQL, op8_rules
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op8_rules": op8_rules,
