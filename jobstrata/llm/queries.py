@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .minhash import op2_minhash
 from .packing import op4_packing
+from .pii import op10_pii
 from .quality import op1_quality
 from .rules import OP8_SQL, op8_rules
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op8_rules": op8_rules,
+    "op10_pii": op10_pii,
 }
 
 SQL = {"op8_rules": OP8_SQL}
