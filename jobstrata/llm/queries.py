@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .fingerprints import op6_fingerprints
+from .licenses import op7_licenses
 from .minhash import op2_minhash
 from .packing import op4_packing
 from .pii import op10_pii
 from .quality import op1_quality
 from .rules import OP8_SQL, op8_rules
+from .tokenfiles import op5_tokens
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
+    "op5_tokens": op5_tokens,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_licenses": op7_licenses,
     "op8_rules": op8_rules,
     "op10_pii": op10_pii,
 }
