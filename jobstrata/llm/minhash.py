@@ -136,10 +136,11 @@ def verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         key, mine = None, None
         for batch in batches:
             out_a, out_b = [], []
-            for p, s, r, d, items in zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "rank", "doc_id", "items")), strict=True):
-                now = np.frombuffer(items, np.uint64)
+            heads = zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "rank", "doc_id")), strict=True)
+            for (p, s, r, d), items in zip(heads, batch.column("items"), strict=True):
+                now = np.frombuffer(items.as_buffer(), np.uint64)
                 if r == 0:
-                    key, mine = (p, s), now
+                    key, mine = (p, s), now.copy()
                 elif key == (p, s) and linked(mine, now, percent):
                     out_a.append(p)
                     out_b.append(d)
@@ -205,7 +206,7 @@ def rest_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: i
 
 
 #: Members of a group up to which its pairs are listed, and shingles of a block.
-SMALL, BLOCK_ITEMS = 48, 150_000
+SMALL, BLOCK_ITEMS = 48, 60_000
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -276,13 +277,20 @@ def _block(percent: int):
         order = np.argsort(code, kind="stable")
         owner, code = owner[order], code[order]
         common = np.zeros((len(n), len(n)), np.float32)
-        width = max(1, 8_000_000 // max(1, len(n)))
+        width = max(1, 2_000_000 // max(1, len(n)))
         for c in range(0, int(code[-1]) + 1 if len(code) else 0, width):
             lo, hi = np.searchsorted(code, [c, c + width])
             x = np.zeros((len(n), width), np.float32)
             x[owner[lo:hi], code[lo:hi] - c] = 1
             common += x @ x.T
-        a, b = np.nonzero(np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1))
+        found = []
+        size = n.astype(np.float64)
+        for i in range(0, len(n), 256):
+            part = common[i : i + 256].astype(np.float64)
+            ok = (100 + percent) * part >= percent * (size[i : i + 256, None] + size[None, :])
+            found.append(np.argwhere(ok) + (i, 0))
+        a, b = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
+        a, b = a[a < b], b[a < b]
         x, y = ids[a], ids[b]
         return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
@@ -301,7 +309,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     shared = spread.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(spread.join(shared, "band").select("pivot", "rep").distinct(), "minhash")
     candidates = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(_sets(docs.join(candidates, "doc_id", "left_semi")).groupBy("doc_id").agg(F.first("items").alias("items")), "minhash")
+    sets = staged(_sets(docs.join(candidates.hint("merge"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.first("items").alias("items")), "minhash")
     ties = members.where("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     links = staged(verified(ties, sets, percent), "minhash")
     more = staged(rest_links(members, sets, components(links), percent), "minhash")
