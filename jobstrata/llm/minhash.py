@@ -320,5 +320,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: one document of each group."""
+    gone = near_groups(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+
+
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

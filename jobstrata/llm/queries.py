@@ -10,6 +10,7 @@ from .packing import op4_packing
 from .pii import op10_pii
 from .quality import op1_quality
 from .rules import OP8_SQL, op8_rules
+from .suffixes import op9_suffixes
 from .tokenfiles import op5_tokens
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_licenses": op7_licenses,
     "op8_rules": op8_rules,
+    "op9_suffixes": op9_suffixes,
     "op10_pii": op10_pii,
 }
 

@@ -112,6 +112,12 @@ def judged(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str =
     return d.select("*", base_failed().alias("base_failed"), (~base_failed() & passes(rules)).alias("kept"))
 
 
+def accepted(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
+    """The rows that pass, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return judged(rows, rules, "row", "text").where("kept").select("doc_id.*")
+
+
 def op8_rules(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
