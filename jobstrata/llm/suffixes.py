@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CODE, Slab, arrow_schema, doc_rows, flat, mix, n_parts, slabs, span_hash, staged, table
+from .common import _CODE, Slab, arrow_schema, doc_rows, flat, mix, n_parts, slabs, span_hash, staged, table, trim
 
 MATCH, KMER, GRAM = 100, 32, 20
 SPAN = MATCH - KMER + 1  # k-mers in a window
 UNIT_BYTES = 6 << 20  # text after which the map side gives out what it has
-SHARD = 1 << 18  # positions of a shard
+SHARD = 1 << 17  # positions of a shard
+MERGE = 1 << 19  # positions after which a task merges what it holds, at an anchor's border
 HOT = 2000  # different stretches of an anchor beyond which it is split
 PIECE = 4 << 20  # longest part of a text that is scanned at once
 _POS = np.uint64((1 << 24) - 1)
@@ -195,6 +196,7 @@ def repeated(packed: DataFrame) -> DataFrame:
         if not doc:
             return
         kinds, doc, lo, more, anchor = (np.concatenate(v) for v in (kinds, doc, lo, more, anchor))
+        trim()
         yield from _by_doc(schema, doc, kinds, lo, more, anchor)
 
     return rows.mapInArrow(run, MARK)
@@ -321,19 +323,21 @@ class Shard:
         # where a suffix goes on: GRAM further, or its string's empty suffix
         number = np.repeat(np.arange(strings), size)
         after = pos + GRAM
-        self.after = np.where(after < ends, after + self.empty, number * GRAM + (pos - offs[:-1][number]) % GRAM)
-        self.order = self._sorted()
+        after = np.where(after < ends, after + self.empty, number * GRAM + (pos - offs[:-1][number]) % GRAM)
+        self.order = self._sorted(after)
         # the transform: the suffix that each suffix, in order, goes back to
         back = np.full(n + self.empty, -1, np.int64)
-        back[self.after] = np.arange(n)
-        self.back = back[self.order]
+        back[after] = np.arange(n)
+        self.back = back[self.order].astype(np.int32)
+        self.order = self.order.astype(np.int32)
+        self.left = self.left.astype(np.int32)
 
-    def _sorted(self) -> np.ndarray:
+    def _sorted(self, after: np.ndarray) -> np.ndarray:
         """Order of all suffixes, empty ones first, by prefix doubling."""
         total = self.n + self.empty
         _, code = np.unique(self.symbols, return_inverse=True)
         rank = np.concatenate([np.arange(self.empty), code + self.empty]).astype(np.int64)
-        after = np.concatenate([np.arange(self.empty), self.after])
+        after = np.concatenate([np.arange(self.empty), after])
         while True:
             key = rank * total + np.where(np.arange(total) < self.empty, 0, rank[after])
             order = np.argsort(key, kind="stable")
@@ -421,8 +425,18 @@ def repeats_within(packed: DataFrame) -> DataFrame:
         take = np.repeat(offs[:-1][order] - np.concatenate([[0], np.cumsum(size[order])])[:-1], size[order]) + np.arange(len(data))
         data, size, doc, lo = data[take], size[order], doc[order], lo[order].astype(np.int64)
         offs = np.concatenate([[0], np.cumsum(size)])
-        string, offset = covered(data, offs, doc, lo)
-        d, s = doc[string], (lo[string] + offset).astype(np.int32)
+        anchor = anchor[order]
+        cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        docs, starts = [], []
+        i = 0
+        while i < len(cut):
+            j = max(i + 1, int(np.searchsorted(offs[cut], offs[cut[i]] + MERGE)))
+            x, y = cut[i], cut[j] if j < len(cut) else len(anchor)
+            string, offset = covered(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x], doc[x:y], lo[x:y])
+            docs.append(doc[x:y][string])
+            starts.append((lo[x:y][string] + offset).astype(np.int32))
+            i = j
+        d, s = np.concatenate(docs), np.concatenate(starts)
         # runs of covered windows
         order = np.lexsort((s, d))
         d, s = d[order], s[order]
@@ -440,6 +454,7 @@ def repeats_within(packed: DataFrame) -> DataFrame:
                 if number != bucket:
                     if rows:
                         yield from flush(rows)
+                        trim()
                     rows, bucket = [], number
                 x = [np.frombuffer(b.column(c)[k].as_buffer(), t).copy() for c, t in (("anchor", np.uint64), ("doc", np.int64), ("lo", np.int32), ("more", np.uint8))]
                 rows.append((*x, b.column("bytes")[k].as_py()))
