@@ -62,8 +62,20 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch: texts are long, and both sides hold a batch as a whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, unless the session asks for its own size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just (doc_id, text), under these names, whatever else the table holds."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -126,6 +138,7 @@ def map_slabs(df: DataFrame, f: Callable[[Slab], dict | None], schema: str, limi
                 out = f(s)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) if not isinstance(out[x.name], pa.Array) else out[x.name] for x in arrow], schema=arrow)
+        trim()  # an idle worker keeps its process
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Slab, arrow_schema, doc_rows, map_slabs, mix, n_parts, staged, table
+from .common import Slab, arrow_schema, doc_rows, map_slabs, mix, n_parts, staged, table, trim
 from .components import components
 from .shingles import set_keys, shingle_sets
 
@@ -63,7 +63,7 @@ def super_minhash(elements: np.ndarray, borders: np.ndarray, registers: int = RE
         if j == 0:
             if not live.any():
                 break
-            perm = np.tile(np.arange(m, dtype=np.int16), (int(live.sum()), 1))
+            perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.int16), (int(live.sum()), 1))
             row, first_k = np.arange(len(perm)), first_k[live]
             perm[row, 0], perm[row, first_k] = first_k, 0
         elif not live.all():
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1)))
         return {"doc_id": slab.ids, "n_shingles": np.diff(borders), "k1": k1, "k2": k2, "bands": lists}
 
-    return map_slabs(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return map_slabs(docs, run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>", 1 << 19)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -145,6 +145,7 @@ def verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out_a.append(p)
                     out_b.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        trim()
 
     return rows.mapInArrow(run, "a long, b long")
 
