@@ -24,7 +24,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_rows, map_slabs, table
+from .common import HELD, doc_rows, map_slabs, table
 from .pieces import UNICODE_SPACE, ChunkCache, PieceCache
 
 PAIRS = 500_000
@@ -163,6 +163,7 @@ class TextEncoder:
 
 
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
+HELD["bpe"] = _ENCODERS.clear
 
 
 def text_encoder(rank_path: str, pattern: str) -> TextEncoder:
@@ -188,7 +189,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
             b.append(hashlib.sha256(enc.core.decode(ids)).hexdigest())
         return {"doc_id": slab.ids, "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
-    return map_slabs(doc_rows(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slabs(doc_rows(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", holds="bpe")
 
 
 _NAMES: list[str] = []
@@ -208,7 +209,7 @@ def encoded(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id
         enc = text_encoder(rank_path, pattern)
         return {"doc_id": slab.ids, "ids": binary_column([enc.packed(str(slab.raw(i), "utf-8")) for i in range(len(slab))])}
 
-    return map_slabs(doc_rows(docs, id_col, text_col), run, "doc_id long, ids binary")
+    return map_slabs(doc_rows(docs, id_col, text_col), run, "doc_id long, ids binary", holds="bpe")
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

@@ -58,6 +58,18 @@ def trim() -> None:
         pass
 
 
+#: What this worker process keeps between tasks: name -> how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def release(but: str = "") -> None:
+    """Let go of what other operators have left in this worker process."""
+    for name, drop in HELD.items():
+        if name != but:
+            drop()
+    trim()
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -128,11 +140,12 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
-def map_slabs(df: DataFrame, f: Callable[[Slab], dict | None], schema: str, limit: int = SLAB_BYTES) -> DataFrame:
+def map_slabs(df: DataFrame, f: Callable[[Slab], dict | None], schema: str, limit: int = SLAB_BYTES, holds: str = "") -> DataFrame:
     """``f`` turns a slab into a dict of columns (in the schema's order)."""
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
+        release(holds)
         for b in batches:
             for s in slabs(b, limit):
                 out = f(s)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, doc_rows, slabs, staged, table
+from .common import HELD, arrow_schema, doc_rows, release, slabs, staged, table
 from .pieces import UNICODE_SPACE, ChunkCache, PieceCache
 
 WINDOW = 2048
@@ -70,6 +70,7 @@ class WordEncoder:
 
 
 _WORD_ENCODERS: dict[str, WordEncoder] = {}
+HELD["words"] = _WORD_ENCODERS.clear
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -173,6 +174,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def first(batches):
+        release("words")
         part = TaskContext.get().partitionId()
         packer, encoder = Packer(part << 32, window, open_windows), word_encoder(vocabulary)
         for b in batches:

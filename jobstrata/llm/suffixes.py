@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _CODE, Slab, arrow_schema, doc_rows, flat, mix, n_parts, slabs, span_hash, staged, table, trim
+from .common import _CODE, Slab, arrow_schema, doc_rows, flat, mix, n_parts, release, slabs, span_hash, staged, table, trim
 
 MATCH, KMER, GRAM = 100, 32, 20
 SPAN = MATCH - KMER + 1  # k-mers in a window
@@ -118,6 +118,7 @@ def entries(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
+        release()
         parts, size, unit = [], 0, TaskContext.get().partitionId() * 7919
         for b in batches:
             for s in slabs(b):

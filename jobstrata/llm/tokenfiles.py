@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_encoder
-from .common import doc_rows, shared_dir, slabs, table
+from .common import doc_rows, release, shared_dir, slabs, table
 
 BLOCK = 1 << 17
 END = 50256
@@ -39,6 +39,7 @@ def write_files(docs: DataFrame, path: str, rank_path: str, pattern: str, end_id
     """
 
     def run(batches):
+        release("bpe")
         part, number = TaskContext.get().partitionId(), 0
         mark = np.array([end_id], "<u2").tobytes()
         hold, names, size = [], [], 0
