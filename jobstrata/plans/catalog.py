@@ -42,7 +42,7 @@ def relation_sql(dialect: str) -> dict[str, str]:
     return {
         # postings as parsers give them: one row for each place on a page
         "postings": f"""
-            SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, CAST(l_suppkey AS BIGINT) AS site_id,
+            SELECT CAST((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey % 100000 AS BIGINT) AS id, CAST(l_suppkey AS BIGINT) AS site_id,
                    CAST(l_linenumber AS INT) AS page_no, CAST(l_orderkey AS BIGINT) AS pos,
                    {p(TITLES, "l_partkey * 7 + l_linenumber")} AS title,
                    CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE {p(PLACES, "l_partkey + l_suppkey")} END AS location,
@@ -61,15 +61,15 @@ def relation_sql(dialect: str) -> dict[str, str]:
             FROM supplier""",
         # stored jobs: ids in order of arrival
         "jobs": f"""
-            SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, CAST(l_suppkey AS BIGINT) AS site_id,
-                   {p(TITLES, "l_partkey * 7 + l_linenumber + 1")} AS title,
-                   CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE {p(PLACES, "l_partkey + l_suppkey")} END AS location,
-                   l_linestatus = 'O' AS is_active, CAST(l_orderkey AS BIGINT) AS last_seen_at
-            FROM lineitem WHERE l_linenumber <= 3""",
+            SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey % 100 + 1 AS BIGINT) AS site_id,
+                   {p(TITLES, "o_custkey * 7 + o_orderkey")} AS title,
+                   CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE {p(PLACES, "o_custkey + o_orderkey")} END AS location,
+                   o_orderstatus = 'O' AS is_active, CAST(o_custkey AS BIGINT) AS last_seen_at
+            FROM orders""",
         "history": f"""
-            SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS job_id,
-                   {p(["added", "removed", "reactivated"], "l_partkey")} AS event, {day("l_shipdate")} AS changed_on
-            FROM lineitem WHERE l_linenumber <= 3 AND l_partkey % 2 = 0""",
+            SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey AS BIGINT) AS job_id,
+                   {p(["added", "removed", "reactivated"], "o_custkey")} AS event, {day("o_orderdate")} AS changed_on
+            FROM orders WHERE o_custkey % 2 = 0""",
         "career_urls": f"""
             SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 100 + 1 AS BIGINT) AS site_id,
                    concat('https://site', CAST(c_custkey % 100 AS VARCHAR(20)), '.example.com', {p(["/careers", "/job", "/stellen.html", "/en/people-jobs", "/jobs/", "/a-very-long-slug-for-one-single-position-only"], "c_custkey")}) AS url,

@@ -194,3 +194,97 @@ def first_n_titles(added: DataFrame, n: int) -> DataFrame:
     ranked = added.select("site_id", "k_title", F.expr("row_number() over (partition by site_id order by k_title, k_location)").alias("r"))
     top = ranked.groupBy("site_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.struct("r", "k_title")))), lambda x: x["k_title"]), "; ").alias("first_five"))
     return top.select("site_id", "n", "first_five", F.greatest(F.col("n") - n, F.lit(0)).alias("more"))
+
+
+# --- pages --------------------------------------------------------------------------
+
+from ..operators import extract, markup  # noqa: E402
+from ..sources import files  # noqa: E402
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+
+
+def _register(name: str, f, sql: str | None = None) -> None:
+    QUERIES[name] = f
+    if sql is not None:
+        SQL[name] = sql
+
+
+#: Job pages built around each stored page, so that any number of rows has postings.
+_LD = """'<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"Engineer ' || page_id || '","url":"/j/' || page_id || '","industry":"IT","jobLocation":{"address":{"addressLocality":"Berlin"}},"hiringOrganization":{"name":"Acme"}},{"@type":"Person","title":"no"},{"@type":"JobPosting","title":"Open Application"}]}</script>' || html"""
+_register(
+    "x1_json_ld",
+    lambda spark, d: extract.extracted(_pages(spark, d).select("page_id", "url", F.expr(_LD).alias("html"), F.lit(None).cast("string").alias("platform"))).select("page_id", "pos", "method", "title", "location", "department", "company"),
+    "SELECT page_id, 0::BIGINT AS pos, 'schema_org' AS method, 'Engineer ' || page_id AS title, 'Berlin' AS location, 'IT' AS department, 'Acme' AS company FROM pages",
+)
+_LEVER = """'<div class=posting><h5>Developer ' || page_id || '</h5><a href="/acme/' || page_id || '">x</a><span class=location>Wien</span></div><div class="posting"><h5>Initiativbewerbung</h5></div>'"""
+_register(
+    "x6_x25_lever",
+    lambda spark, d: extract.extracted(_pages(spark, d).select("page_id", F.lit("https://jobs.lever.co/acme").alias("url"), F.expr(_LEVER).alias("html"), F.lit("lever").alias("platform"))).select("page_id", "pos", "method", "title", "location", "url"),
+    "SELECT page_id, 0::BIGINT AS pos, 'job_board:lever' AS method, 'Developer ' || page_id AS title, 'Wien' AS location, 'https://jobs.lever.co/acme/' || page_id AS url FROM pages",
+)
+_PERSONIO = """'<a href="/job/' || page_id || '">Analyst (all)Permanent employee, Full-time·Köln·Remote</a><a href="/job/' || page_id || '">again</a>'"""
+_register(
+    "x4_v15_personio",
+    lambda spark, d: extract.extracted(_pages(spark, d).select("page_id", F.lit("https://a.jobs.personio.de/").alias("url"), F.expr(_PERSONIO).alias("html"), F.lit("personio").alias("platform"))).select("page_id", "title", "location", "url"),
+    "SELECT page_id, 'Analyst' AS title, 'Köln' AS location, 'https://a.jobs.personio.de/job/' || page_id AS url FROM pages",
+)
+_OFFERS = """'{"offers":[{"title":"A' || page_id || '","city":"Graz","country":"AT","slug":"a"},{"title":""},{"title":"B","location":"Remote","careers_url":"https://x/' || page_id || '"}]}'"""
+_register(
+    "x10_sc11_api_offers",
+    lambda spark, d: extract.api_offers(_pages(spark, d).select(F.concat(F.lit("https://s"), "page_id", F.lit(".recruitee.com/x")).alias("site_url"), F.expr(_OFFERS).alias("body"))),
+    """SELECT 'https://s' || page_id || '.recruitee.com/x' AS site_url, 0 AS pos, 'A' || page_id AS title, 'Graz, AT' AS location, 'https://s' || page_id || '.recruitee.com/o/a' AS url, NULL::VARCHAR AS department FROM pages
+       UNION ALL SELECT 'https://s' || page_id || '.recruitee.com/x', 2, 'B', 'Remote', 'https://x/' || page_id, NULL FROM pages""",
+)
+_ITEMS = """'{"items":[{"id":"' || page_id || '","name":"Dev","alternate_url":"https://hh/' || page_id || '","employer":{"name":"E"},"area":{"name":"Kazan"},"salary":{"from":' || page_id || ',"currency":"RUR"}},{"id":"x","name":"QA","alternate_url":"u"}]}'"""
+_register(
+    "x20_sc7_vacancies",
+    lambda spark, d: extract.vacancies(_pages(spark, d).select(F.expr(_ITEMS).alias("body"))).select("id", "title", "company", "location", "url", "salary_from", "salary_to", "salary_currency"),
+    """SELECT page_id::VARCHAR AS id, 'Dev' AS title, 'E' AS company, 'Kazan' AS location, 'https://hh/' || page_id AS url, page_id::INT AS salary_from, NULL::INT AS salary_to, 'RUR' AS salary_currency FROM pages
+       UNION ALL SELECT 'x', 'QA', 'Unknown', '', 'u', NULL, NULL, NULL FROM pages""",
+)
+_register("x17_links", lambda spark, d: extract.links(_pages(spark, d)).where("kind = 'a'").select("page_id", "pos", "url", "text"))
+_register(
+    "x17_hrefs",
+    lambda spark, d: extract.links(_pages(spark, d)).where("kind = 'a'").groupBy("page_id").agg(F.count("*").alias("n_links")),
+    "SELECT page_id, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"#][^\"]*)\"', 1)) AS h FROM pages) WHERE NOT starts_with(h, 'javascript:') GROUP BY 1",
+)
+_DOCS = """'<a href="/f/Stellenausschreibung_Techniker-Wien_20240101.pdf">x</a><a href="/f/agb.pdf">y</a><a href="/z.pdf?job">z</a>'"""
+_register(
+    "x3_document_postings",
+    lambda spark, d: extract.document_postings(extract.links(_pages(spark, d).select("page_id", F.lit("https://a.b/c").alias("url"), F.expr(_DOCS).alias("html")))),
+    "SELECT page_id, 0::BIGINT AS pos, 'Techniker-Wien' AS title, 'https://a.b/f/Stellenausschreibung_Techniker-Wien_20240101.pdf' AS url FROM pages",
+)
+_BOARD = """'<iframe src="https://x.jobs.personio.de/job/1?language=de"></iframe><a href="https://x.jobs.personio.de/privacy-policy">p</a><a href="/karriere">Jobs bei uns</a>'"""
+_board_links = lambda spark, d: extract.links(_pages(spark, d).select("page_id", F.lit("https://a.b/c").alias("url"), F.expr(_BOARD).alias("html")))
+_register("x18_external_board", lambda spark, d: extract.external_boards(_board_links(spark, d)), "SELECT page_id, 'personio' AS platform, 'https://x.jobs.personio.de/?language=de' AS board_url FROM pages")
+_register("x19_careers_link", lambda spark, d: extract.careers_links(_board_links(spark, d)), "SELECT page_id, 'https://a.b/karriere' AS careers_url FROM pages")
+_register("x23_clean_html", lambda spark, d: _pages(spark, d).select("page_id", markup.clean_html(F.col("html")).alias("clean")))
+_register("x24_markdown", lambda spark, d: _pages(spark, d).select("page_id", markup.html_to_markdown(F.col("html")).alias("markdown")))
+_register("x22_job_section", lambda spark, d: _pages(spark, d).select("page_id", markup.find_job_section(F.col("html")).alias("section")))
+_XML = """'<?xml version="1.0"?><urlset><url><loc>https://s/' || page_id || '/jobs</loc></url><url><loc> https://s/b?x=1&amp;y=2 </loc></url></urlset>'"""
+_register(
+    "sc13_sc14_sitemap",
+    lambda spark, d: files.sitemap_urls(_pages(spark, d).select(F.col("page_id").cast("string").alias("url"), F.expr(_XML).alias("xml"))),
+    "SELECT page_id::VARCHAR AS url, false AS is_index, 0 AS pos, 'https://s/' || page_id || '/jobs' AS loc FROM pages UNION ALL SELECT page_id::VARCHAR, false, 1, 'https://s/b?x=1&y=2' FROM pages",
+)
+_ROBOTS = "'User-agent: *\nSitemap: https://s/' || page_id || '.xml\ndisallow: /x\nSITEMAP:https://t/y'"
+_register(
+    "sc12_robots",
+    lambda spark, d: files.robots_sitemaps(_pages(spark, d).select(F.col("page_id").cast("string").alias("url"), F.expr(_ROBOTS.replace("\n", "\\n")).alias("body"))),
+    "SELECT page_id::VARCHAR AS url, 1 AS pos, 'https://s/' || page_id || '.xml' AS sitemap FROM pages UNION ALL SELECT page_id::VARCHAR, 3, 'https://t/y' FROM pages",
+)
+_register(
+    "stream_crawl_health",
+    lambda spark, d: _health(spark, d),
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS domain, CASE WHEN value >= 50 THEN 'server_error' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY ALL",
+)
+
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.crawl import health
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("domain"), F.when(F.col("value") >= 50, 500).otherwise(200).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return health(rows, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "domain", "outcome", "n")
