@@ -29,45 +29,44 @@ def query(name: str, sql: str | None, *relations: str):
 
 
 def scalar(name: str, source: str, columns: dict[str, tuple], keys: tuple[str, ...] = ("id",)) -> None:
-    """A projection: column -> (Spark expression, SQL)."""
+    """A projection: column -> (Spark expression, made when asked for, and SQL)."""
     cols = ", ".join(f"{s} AS {c}" for c, (_, s) in columns.items())
-    query(name, f"SELECT {', '.join(keys)}, {cols} FROM {source}", source)(lambda df: df.select(*keys, *[e.alias(c) for c, (e, _) in columns.items()]))
+    query(name, f"SELECT {', '.join(keys)}, {cols} FROM {source}", source)(lambda df: df.select(*keys, *[e().alias(c) for c, (e, _) in columns.items()]))
 
 
-_t, _l, _u = F.col("title"), F.col("location"), F.col("url")
 
-scalar("v1_v2_normalized", "postings", {"title_key": (text.normalize_title(_t), text.normalize_title_sql("title")), "location_key": (text.normalize_location(_l), text.normalize_location_sql("location"))})
-scalar("v3_v4_v5_sync_key", "postings", {"title_key": (text.sync_title(_t), text.sync_title_sql("title")), "location_key": (text.sync_location(_l), text.sync_location_sql("location"))})
-scalar("v6_v7_candidate_title", "postings", {"fixed": (text.unrepeated(_t), text.unrepeated_sql("title")), "candidate": (text.candidate_title(_t), text.candidate_title_sql("title"))})
-_file = F.concat(F.lit("4pipes_Stellenausschreibung_"), F.regexp_replace(F.trim("title"), " ", "_"), F.lit("_it-systemadmin_v2_20251027.pdf"))
-scalar("v8_filename_title", "postings", {"from_file": (text.filename_title(_file), text.filename_title_sql("('4pipes_Stellenausschreibung_' || replace(trim(title), ' ', '_') || '_it-systemadmin_v2_20251027.pdf')"))})
+scalar("v1_v2_normalized", "postings", {"title_key": (lambda: text.normalize_title(F.col("title")), text.normalize_title_sql("title")), "location_key": (lambda: text.normalize_location(F.col("location")), text.normalize_location_sql("location"))})
+scalar("v3_v4_v5_sync_key", "postings", {"title_key": (lambda: text.sync_title(F.col("title")), text.sync_title_sql("title")), "location_key": (lambda: text.sync_location(F.col("location")), text.sync_location_sql("location"))})
+scalar("v6_v7_candidate_title", "postings", {"fixed": (lambda: text.unrepeated(F.col("title")), text.unrepeated_sql("title")), "candidate": (lambda: text.candidate_title(F.col("title")), text.candidate_title_sql("title"))})
+_file = lambda: F.concat(F.lit("4pipes_Stellenausschreibung_"), F.regexp_replace(F.trim("title"), " ", "_"), F.lit("_it-systemadmin_v2_20251027.pdf"))
+scalar("v8_filename_title", "postings", {"from_file": (lambda: text.filename_title(_file()), text.filename_title_sql("('4pipes_Stellenausschreibung_' || replace(trim(title), ' ', '_') || '_it-systemadmin_v2_20251027.pdf')"))})
 scalar("v9_v10_slugs", "postings", {
-    "title_slug": (text.slug(_t), text.slug_sql("title")),
-    "de_slug": (text.location_slug(F.coalesce(_l, F.lit("München")), text.CITIES_DE), text.location_slug_sql("coalesce(location, 'München')", text.CITIES_DE)),
-    "at_slug": (text.location_slug(F.coalesce(_l, F.lit("Österreich")), text.CITIES_AT), text.location_slug_sql("coalesce(location, 'Österreich')", text.CITIES_AT)),
+    "title_slug": (lambda: text.slug(F.col("title")), text.slug_sql("title")),
+    "de_slug": (lambda: text.location_slug(F.coalesce(F.col("location"), F.lit("München")), text.CITIES_DE), text.location_slug_sql("coalesce(location, 'München')", text.CITIES_DE)),
+    "at_slug": (lambda: text.location_slug(F.coalesce(F.col("location"), F.lit("Österreich")), text.CITIES_AT), text.location_slug_sql("coalesce(location, 'Österreich')", text.CITIES_AT)),
 })
-scalar("v20_f20_translation", "postings", {"title_en": (text.translated(_t), text.translated_sql("title")), "english": (text.looks_english(_t), text.looks_english_sql("title"))})
-_host = urls.host(F.coalesce(_u, F.lit("")))
-scalar("v21_company_name", "postings", {"company_name": (text.company_name(_host), text.company_name_sql(urls.host_sql("coalesce(url, '')")))})
-_lo, _hi, _cur = F.expr("cast(id % 4 * 1500 as int)"), F.expr("cast(id % 3 * 2500000 as int)"), F.expr("case when id % 5 = 0 then null when id % 5 = 1 then '' else 'EUR' end")
-scalar("v22_salary_display", "postings", {"salary": (text.salary_display(_lo, _hi, _cur), text.salary_display_sql("(id % 4 * 1500)", "(id % 3 * 2500000)", "(CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '' ELSE 'EUR' END)"))})
+scalar("v20_f20_translation", "postings", {"title_en": (lambda: text.translated(F.col("title")), text.translated_sql("title")), "english": (lambda: text.looks_english(F.col("title")), text.looks_english_sql("title"))})
+_host = lambda: urls.host(F.coalesce(F.col("url"), F.lit("")))
+scalar("v21_company_name", "postings", {"company_name": (lambda: text.company_name(_host()), text.company_name_sql(urls.host_sql("coalesce(url, '')")))})
+_pay = lambda: (F.expr("cast(id % 4 * 1500 as int)"), F.expr("cast(id % 3 * 2500000 as int)"), F.expr("case when id % 5 = 0 then null when id % 5 = 1 then '' else 'EUR' end"))
+scalar("v22_salary_display", "postings", {"salary": (lambda: text.salary_display(*_pay()), text.salary_display_sql("(id % 4 * 1500)", "(id % 3 * 2500000)", "(CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '' ELSE 'EUR' END)"))})
 _sig = {"has_gender_notation": "contains(title, '(m/w/d)')", "has_location": "location IS NOT NULL", "proper_length": "length(title) > 15", "too_short": "length(title) < 10", "has_non_job_words": "contains(lower(title), 'impressum')"}
-scalar("v23_confidence", "postings", {"confidence": (text.confidence(F.col("method"), {k: F.expr(v) for k, v in _sig.items()}), text.confidence_sql("method", _sig))})
-scalar("v24_tokens", "cache", {"tokens": (F.expr("cast(length(content) div 4 as long)"), "(length(content) // 4)::BIGINT")})
-scalar("v25_cache_key", "cache", {"key": (text.cache_key(F.col("namespace"), F.col("content"), F.col("model")), text.cache_key_sql("namespace", "content", "model"))})
-scalar("v29_retry_after", "fetches", {"wait": (state.retry_after_seconds(F.col("retry_after")), "CASE WHEN regexp_matches(retry_after, '^\\d+$') THEN nullif(retry_after::DOUBLE, 0) END")})
-scalar("v31_expired", "cache", {"live": (state.is_live(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000)), "created_at + ttl_seconds > 4000"), "purged": (state.is_purged(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000)), "created_at + ttl_seconds < 4000")})
-scalar("v32_job_id_from_url", "postings", {"job_id": (F.regexp_extract(F.concat(F.coalesce(_u, F.lit("")), F.lit("--77?x")), r"--(\d+)(?:\?|$)", 1), "regexp_extract(coalesce(url, '') || '--77?x', '--(\\d+)(?:\\?|$)', 1)")})
-scalar("f3_f4_open_application", "postings", {"open_application": (text.is_open_application(_t), text.is_open_application_sql("title"))})
-scalar("f6_title_classifier", "postings", {"verdict": (text.title_verdict(_t), text.title_verdict_sql("title"))})
-scalar("f13_l4_platform", "postings", {"platform": (urls.platform(_u), urls.platform_sql("url")), "board_url": (urls.board_url(_u, urls.platform(_u)), urls.board_url_sql("url", urls.platform_sql("url")))})
-scalar("f9_f16_url_predicates", "postings", {"board_page": (urls.is_board_page(_u), urls.is_board_page_sql("url")), "careers": (urls.is_careers_url(_u), urls.is_careers_url_sql("url"))})
-scalar("f23_fetch_outcome", "fetches", {"outcome": (reports.outcome(F.col("status")), "CASE WHEN status IN (429, 503) THEN 'limited' WHEN status = 403 OR status BETWEEN 520 AND 526 THEN 'challenge' WHEN status BETWEEN 200 AND 399 THEN 'ok' WHEN status BETWEEN 400 AND 499 THEN 'client_error' ELSE 'server_error' END")})
-scalar("l1_full_url", "postings", {"full": (urls.full_url(F.expr("case when id % 5 = 0 then '/job/1' when id % 5 = 1 then 'job/2' when id % 5 = 2 then '//cdn.x/y' when id % 5 = 3 then '?a=1' else '' end"), F.coalesce(_u, F.lit("https://a.b/c"))), urls.full_url_sql("(CASE WHEN id % 5 = 0 THEN '/job/1' WHEN id % 5 = 1 THEN 'job/2' WHEN id % 5 = 2 THEN '//cdn.x/y' WHEN id % 5 = 3 THEN '?a=1' ELSE '' END)", "coalesce(url, 'https://a.b/c')"))})
-scalar("l3_l9_l11_url_parts", "postings", {"clean": (urls.without_query(_u), urls.without_query_sql("url")), "host": (urls.bare_host(_u), urls.bare_host_sql("url")), "term": (urls.search_term(_u), urls.search_term_sql("url"))})
-query("l5_url_variants", f"SELECT id, unnest({urls.variants_sql('url')}) AS variant FROM career_urls", "career_urls")(lambda df: df.select("id", F.explode(urls.variants(_u)).alias("variant")))
+scalar("v23_confidence", "postings", {"confidence": (lambda: text.confidence(F.col("method"), {k: F.expr(v) for k, v in _sig.items()}), text.confidence_sql("method", _sig))})
+scalar("v24_tokens", "cache", {"tokens": (lambda: F.expr("cast(length(content) div 4 as long)"), "(length(content) // 4)::BIGINT")})
+scalar("v25_cache_key", "cache", {"key": (lambda: text.cache_key(F.col("namespace"), F.col("content"), F.col("model")), text.cache_key_sql("namespace", "content", "model"))})
+scalar("v29_retry_after", "fetches", {"wait": (lambda: state.retry_after_seconds(F.col("retry_after")), "CASE WHEN regexp_matches(retry_after, '^\\d+$') THEN nullif(retry_after::DOUBLE, 0) END")})
+scalar("v31_expired", "cache", {"live": (lambda: state.is_live(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000)), "created_at + ttl_seconds > 4000"), "purged": (lambda: state.is_purged(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000)), "created_at + ttl_seconds < 4000")})
+scalar("v32_job_id_from_url", "postings", {"job_id": (lambda: F.regexp_extract(F.concat(F.coalesce(F.col("url"), F.lit("")), F.lit("--77?x")), r"--(\d+)(?:\?|$)", 1), "regexp_extract(coalesce(url, '') || '--77?x', '--(\\d+)(?:\\?|$)', 1)")})
+scalar("f3_f4_open_application", "postings", {"open_application": (lambda: text.is_open_application(F.col("title")), text.is_open_application_sql("title"))})
+scalar("f6_title_classifier", "postings", {"verdict": (lambda: text.title_verdict(F.col("title")), text.title_verdict_sql("title"))})
+scalar("f13_l4_platform", "postings", {"platform": (lambda: urls.platform(F.col("url")), urls.platform_sql("url")), "board_url": (lambda: urls.board_url(F.col("url"), urls.platform(F.col("url"))), urls.board_url_sql("url", urls.platform_sql("url")))})
+scalar("f9_f16_url_predicates", "postings", {"board_page": (lambda: urls.is_board_page(F.col("url")), urls.is_board_page_sql("url")), "careers": (lambda: urls.is_careers_url(F.col("url")), urls.is_careers_url_sql("url"))})
+scalar("f23_fetch_outcome", "fetches", {"outcome": (lambda: reports.outcome(F.col("status")), "CASE WHEN status IN (429, 503) THEN 'limited' WHEN status = 403 OR status BETWEEN 520 AND 526 THEN 'challenge' WHEN status BETWEEN 200 AND 399 THEN 'ok' WHEN status BETWEEN 400 AND 499 THEN 'client_error' ELSE 'server_error' END")})
+scalar("l1_full_url", "postings", {"full": (lambda: urls.full_url(F.expr("case when id % 5 = 0 then '/job/1' when id % 5 = 1 then 'job/2' when id % 5 = 2 then '//cdn.x/y' when id % 5 = 3 then '?a=1' else '' end"), F.coalesce(F.col("url"), F.lit("https://a.b/c"))), urls.full_url_sql("(CASE WHEN id % 5 = 0 THEN '/job/1' WHEN id % 5 = 1 THEN 'job/2' WHEN id % 5 = 2 THEN '//cdn.x/y' WHEN id % 5 = 3 THEN '?a=1' ELSE '' END)", "coalesce(url, 'https://a.b/c')"))})
+scalar("l3_l9_l11_url_parts", "postings", {"clean": (lambda: urls.without_query(F.col("url")), urls.without_query_sql("url")), "host": (lambda: urls.bare_host(F.col("url")), urls.bare_host_sql("url")), "term": (lambda: urls.search_term(F.col("url")), urls.search_term_sql("url"))})
+query("l5_url_variants", f"SELECT id, unnest({urls.variants_sql('url')}) AS variant FROM career_urls", "career_urls")(lambda df: df.select("id", F.explode(urls.variants(F.col("url"))).alias("variant")))
 query("l6_alternative_urls", f"SELECT id, rtrim({urls.origin_sql('url')}, '/') || unnest([{urls.listed(urls.ALTERNATIVES)}]) AS alternative FROM career_urls", "career_urls")(
-    lambda df: df.select("id", F.explode(F.array(*[F.concat(F.rtrim(urls.origin(_u), F.lit("/")), F.lit(a)) for a in urls.ALTERNATIVES])).alias("alternative"))
+    lambda df: df.select("id", F.explode(F.array(*[F.concat(F.rtrim(urls.origin(F.col("url")), F.lit("/")), F.lit(a)) for a in urls.ALTERNATIVES])).alias("alternative"))
 )
 query("l7_career_subdomains", f"SELECT id, 'https://' || unnest([{urls.listed(urls.SUBDOMAINS)}]) || '.' || domain AS candidate FROM sites", "sites")(
     lambda df: df.select("id", F.explode(F.array(*[F.concat(F.lit(f"https://{s}."), "domain") for s in urls.SUBDOMAINS])).alias("candidate"))
@@ -75,7 +74,7 @@ query("l7_career_subdomains", f"SELECT id, 'https://' || unnest([{urls.listed(ur
 
 # --- filters, de-duplication, reconciliation --------------------------------------
 
-_BASE = F.lit("https://acme.example/jobs/")
+_BASE = "https://acme.example/jobs/"
 query("f1_search_filter", f"SELECT id, title FROM (SELECT *, m, bool_or(m) OVER (PARTITION BY site_id, page_no) AS any_match FROM (SELECT *, coalesce({urls.search_term_sql('url')} IS NULL OR contains(lower(title), {urls.search_term_sql('url')}), false) AS m FROM postings)) WHERE m OR NOT any_match", "postings")(
     lambda df: postings.by_search_query(df, "url", "title", ["site_id", "page_no"]).select("id", "title")
 )
@@ -91,10 +90,10 @@ _key_sql = (
     f"THEN 't' || {text.normalize_title_sql('title')} || chr(1) || {text.normalize_location_sql('''coalesce(location, '')''')} ELSE 'u' || url END"
 )
 query("u1_deduplicated", f"SELECT id, title, url FROM (SELECT *, row_number() OVER (PARTITION BY site_id, {_key_sql} ORDER BY page_no, pos, id) AS n FROM postings) WHERE n = 1", "postings")(
-    lambda df: postings.deduplicated(df, _BASE, ["site_id"], ["page_no", "pos", "id"]).select("id", "title", "url")
+    lambda df: postings.deduplicated(df, F.lit(_BASE), ["site_id"], ["page_no", "pos", "id"]).select("id", "title", "url")
 )
 query("u1c_candidate_dedup", f"SELECT id, title FROM (SELECT *, row_number() OVER (PARTITION BY site_id, {text.candidate_title_sql('title')} ORDER BY id) AS n FROM postings) WHERE n = 1", "postings")(
-    lambda df: postings.first_of_each(df, ["site_id", text.candidate_title(_t)], [F.col("id").alias("o")]).select("id", "title")
+    lambda df: postings.first_of_each(df, ["site_id", text.candidate_title(F.col("title"))], [F.col("id").alias("o")]).select("id", "title")
 )
 _SYNC = f"""
 o AS (SELECT site_id, {text.sync_title_sql('title')} AS kt, {text.sync_location_sql('location')} AS kl, max(id) AS job_id, arg_max(is_active, id) AS active FROM jobs GROUP BY ALL),
@@ -120,7 +119,7 @@ query("guard_mass_removal", "SELECT j.site_id, active, found, active > 5 AND fou
     .withColumn("suspicious", postings.suspicious(F.col("active"), F.col("found")))
 )
 query("e8_crawl_cut", f", k AS (SELECT *, {_key_sql} AS k FROM postings WHERE page_no <= 3), f AS (SELECT *, min(page_no) OVER (PARTITION BY site_id, k) AS first FROM k), s AS (SELECT site_id, min(page_no) AS cut FROM (SELECT site_id, page_no FROM f GROUP BY ALL HAVING NOT bool_or(first = page_no)) GROUP BY 1) SELECT id, f.site_id, page_no FROM f LEFT JOIN s ON s.site_id = f.site_id WHERE cut IS NULL OR page_no <= cut", "postings")(
-    lambda df: postings.all_duplicate_cut(df, _BASE).select("id", "site_id", "page_no")
+    lambda df: postings.all_duplicate_cut(df, F.lit(_BASE)).select("id", "site_id", "page_no")
 )
 
 # --- upserts -----------------------------------------------------------------------
@@ -164,7 +163,7 @@ query("t3_sc3_urls_by_success", "SELECT site_id, id, url, row_number() OVER (PAR
     lambda df: df.where("is_active").select("site_id", "id", "url", F.expr("cast(row_number() over (partition by site_id order by last_success_at desc nulls last, id) as long)").alias("n"))
 )
 _rank = urls.careers_rank_sql("url")
-query("t4_best_careers_url", f"SELECT site_id, arg_min(url, ({', '.join(_rank)}, id)) AS best_url FROM career_urls GROUP BY 1", "career_urls")(lambda df: reports.best_careers_url(df, urls.careers_rank(_u)))
+query("t4_best_careers_url", f"SELECT site_id, arg_min(url, ({', '.join(_rank)}, id)) AS best_url FROM career_urls GROUP BY 1", "career_urls")(lambda df: reports.best_careers_url(df, urls.careers_rank(F.col("url"))))
 query("a4_a5_cache_stats", "SELECT namespace, count(*) AS entries, sum(hit_count)::BIGINT AS hits, sum(tokens_saved * hit_count)::BIGINT AS tokens_saved, round(coalesce(sum(hit_count) / nullif(sum(hit_count) + count(*), 0), 0), 6) AS hit_rate, round(sum(tokens_saved * hit_count) * 0.00001::DOUBLE, 6) AS saved_usd FROM cache GROUP BY 1", "cache")(reports.cache_stats)
 _price = lambda k: "CASE model " + " ".join(f"WHEN {quote(m)} THEN {p[k]}::DOUBLE" for m, p in reports.PRICES.items()) + f" ELSE {reports.DEFAULT_PRICE[k]}::DOUBLE END"
 query("a7_a8_usage", f"SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(CASE WHEN reported_usd > 0 THEN reported_usd ELSE prompt_tokens / 1e6 * {_price(0)} + completion_tokens / 1e6 * {_price(1)} END), 4) AS usd FROM calls GROUP BY 1", "calls")(reports.usage)
