@@ -128,7 +128,8 @@ def entries(docs: DataFrame, buckets: int) -> DataFrame:
                         doc = np.array([i if i is not None else -(2**63) for i in piece.ids], np.int64)[text]
                         ok = doc != -(2**63)
                         body = span_hash(piece.data, lo, hi + MATCH)
-                        parts.append((anchor[ok], body[ok], doc[ok], (lo - piece.offs[text] + shift)[ok].astype(np.int32), (hi - lo)[ok].astype(np.uint8)))
+                        if ok.any():
+                            parts.append((anchor[ok], body[ok], doc[ok], (lo - piece.offs[text] + shift)[ok].astype(np.int32), (hi - lo)[ok].astype(np.uint8)))
                     size += len(piece.data)
                 if size >= UNIT_BYTES and parts:
                     yield give(parts, unit)
