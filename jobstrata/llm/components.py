@@ -1,9 +1,11 @@
 """Connected components of a table of links, by union-find over partitions.
 
-Each round deals every link to both its ends' tasks; a task runs union-find on
-its share, which leaves one link (root, node) for each node it has seen.
-Rounds go on until every node hangs at a root.  No task or driver holds more
-than its share.
+Every task runs union-find on the links it has at hand, which leaves one link
+(root, node) for each node it has seen.  A round then joins what different
+tasks know: the parents of a node meet at the least of them, and a parent
+gives way to its own.  Rounds go on until every node hangs at a root.  Both
+steps are a minimum by key and joins against it, so a root with a third of all
+nodes is no single task's load.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_parts, staged
+from .common import staged
 
 
 def _forest(batches):
@@ -48,16 +50,22 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has columns a and b; direction and repeats don't matter.
     """
-    spark = links.sparkSession
-    n = n_parts(spark)
-    joined = staged(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").mapInArrow(_forest, "a long, b long"), "components")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    links = staged(links.mapInArrow(_forest, "a long, b long").distinct(), "components")
     while True:
+        parent = links.groupBy("b").agg(F.min("a").alias("p"), F.count("*").alias("n"))
         # done when each node has one parent and no parent has a parent
-        many = joined.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
-        if many.isEmpty() and joined.join(joined.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        if parent.where("n > 1").isEmpty() and links.join(parent.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        # every link meets the other links of both its ends
-        dealt = joined.select("a", "b", F.explode(F.array("a", "b")).alias("node")).repartition(n, "node").select("a", "b")
-        joined = staged(dealt.mapInArrow(_forest, "a long, b long").distinct(), "components")
-    roots = joined.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return roots.unionByName(joined.select(F.col("b").alias("id"), F.col("a").alias("component")))
+        parent = parent.drop("n")
+        # a node's parents all meet at the least of them ...
+        met = links.join(parent, "b").select("p", F.explode(F.array_distinct(F.array("a", "b"))).alias("x")).where("p <> x").distinct()
+        # ... which gives way to its own parent; a root with very many nodes is
+        # the large side of a join that can be split, not a group
+        up = parent.select(F.col("b").alias("p"), F.col("p").alias("pp"))
+        links = met.join(up, "p", "left").select(F.coalesce("pp", "p").alias("a"), F.col("x").alias("b"))
+        # the link from the parent to its own parent stays in place of p
+        links = links.unionByName(parent.select(F.col("p").alias("a"), "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = staged(links.mapInArrow(_forest, "a long, b long").distinct(), "components")
+    roots = links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return roots.unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("component")))
