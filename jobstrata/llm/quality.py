@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import doc_rows, map_slabs, table
 
-STEP, EMBED, FILTERS = 6, 6, 32
+STEP, EMBED, FILTERS = 8, 6, 48
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32_768
-EPOCHS, BATCH_DOCS, RATE, DECAY = 14, 64, 0.01, 1e-4
+EPOCHS, BATCH_DOCS, RATE, DECAY = 20, 64, 0.01, 1e-4
 CUT = 0.3
 
 
