@@ -403,3 +403,87 @@ def filename_title_sql(c: str) -> str:
     short = lambda s: f"(lower({s}) IN ({listed(ACRONYMS)}) OR (upper({s}) = {s} AND length({s}) <= 4))"
     cased = f"CASE WHEN {short('s')} THEN upper(s) ELSE upper(left(s, 1)) || lower(substr(s, 2)) END"
     return f"array_to_string(list_transform({kept}, lambda p: CASE WHEN {short('p')} THEN upper(p) ELSE array_to_string(list_transform(string_split(p, '-'), lambda s: {cased}), '-') END), ' ')"
+
+
+# --- parts of board texts ------------------------------------------------------------
+
+
+def without_badge(c: Column) -> Column:
+    """A title without a trailing "New" or "Neu" badge of its own."""
+    return F.trim(F.regexp_replace(c, r"\s*\b(?:New|Neu)\s*$", ""))
+
+
+def without_badge_sql(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s*\\b(?:New|Neu)\\s*$', ''))"
+
+
+SPLIT = r"^(.+?)\s*[|–—-]\s*([A-Z][^|–—-]+)$"
+
+
+def split_title(c: Column) -> Column:
+    """(title, location) of "title - Location"; else Unknown."""
+    return F.when(c.rlike(SPLIT), F.struct(F.trim(F.regexp_extract(c, SPLIT, 1)).alias("title"), F.trim(F.regexp_extract(c, SPLIT, 2)).alias("location"))).otherwise(
+        F.struct(c.alias("title"), F.lit("Unknown").alias("location"))
+    )
+
+
+def split_title_sql(c: str) -> tuple[str, str]:
+    m = f"regexp_matches({c}, '{SPLIT}')"
+    return f"CASE WHEN {m} THEN trim(regexp_extract({c}, '{SPLIT}', 1)) ELSE {c} END", f"CASE WHEN {m} THEN trim(regexp_extract({c}, '{SPLIT}', 2)) ELSE 'Unknown' END"
+
+
+def first_part(c: Column, sep: str = " - ") -> Column:
+    """The first part of "unit - level - contract"."""
+    return F.trim(F.split_part(c, F.lit(sep), F.lit(1)))
+
+
+def first_part_sql(c: str, sep: str = " - ") -> str:
+    return f"trim(split_part({c}, '{sep}', 1))"
+
+
+#: Fixed values.
+TRANSIENT = ["provider returned error", "rate limit", "overloaded", "capacity", "temporarily unavailable", "service unavailable", "internal server error", "502", "503", "504"]
+
+
+def is_transient(c: Column) -> Column:
+    """an error that may pass."""
+    return contains_any(F.lower(c), TRANSIENT)
+
+
+def is_transient_sql(c: str) -> str:
+    return contains_any_sql(f"lower({c})", TRANSIENT)
+
+
+def bad_translation(c: Column) -> Column:
+    """marks of a spoilt answer."""
+    return F.contains(c, F.lit("\xa0?")) | F.contains(c, F.lit("\\xa0")) | (c == "...") | F.contains(F.lower(c), F.lit("error"))
+
+
+def bad_translation_sql(c: str) -> str:
+    return f"(contains({c}, chr(160) || '?') OR contains({c}, '\\xa0') OR {c} = '...' OR contains(lower({c}), 'error'))"
+
+
+def quoted_url(c: Column, base: Column) -> Column:
+    """The first http(s) URL of a text, else a quoted path on the base."""
+    url = F.regexp_replace(F.regexp_extract(c, r"(https?://[^\s\"'<>)\]]+)", 1), "[.,;:]+$", "")
+    path = F.regexp_extract(c, r"[\"'](/[^\"'\s]*)[\"']", 1)
+    return F.when(url != "", url).when(path != "", F.concat(F.rtrim(base, F.lit("/")), path))
+
+
+def quoted_url_sql(c: str, base: str) -> str:
+    url = f"regexp_replace(regexp_extract({c}, '(https?://[^\\s\"''<>)\\]]+)', 1), '[.,;:]+$', '')"
+    path = f"regexp_extract({c}, '[\"''](/[^\"''\\s]*)[\"'']', 1)"
+    return f"CASE WHEN {url} <> '' THEN {url} WHEN {path} <> '' THEN rtrim({base}, '/') || {path} END"
+
+
+def answer_json(c: Column) -> Column:
+    """V27, strict part: the JSON of an answer, out of a fenced block if there is one."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = F.trim(F.when(fenced != "", fenced).otherwise(c))
+    cut = F.regexp_extract(body, r"(?s)([\[{].*[\]}])", 1)
+    return F.when(F.try_parse_json(body).isNotNull(), body).when((cut != "") & F.try_parse_json(cut).isNotNull(), cut).otherwise(F.lit("[]"))
+
+
+def http_date(c: Column) -> Column:
+    """V29 for the date form."""
+    return F.try_to_timestamp(F.substring(c, 6, 100), F.lit("dd MMM yyyy HH:mm:ss zzz"))

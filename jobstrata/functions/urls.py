@@ -280,3 +280,113 @@ def company_variants_sql(url: str) -> str:
 
 def listed(values) -> str:
     return ", ".join(map(quote, values))
+
+
+# --- patterns of links (fixed values) and their predicates -------------------------
+
+BOARDS_SHORT = [
+    r"\.jobs\.personio\.", r"boards\.greenhouse\.io", r"jobs\.lever\.co", r"\.workable\.com", r"\.breezy\.hr", r"\.recruitee\.com",
+    r"\.smartrecruiters\.com", r"\.bamboohr\.com/jobs", r"\.ashbyhq\.com", r"job\.deloitte\.com", r"hrworks\.de",
+]
+SOFTGARDEN_MENU = [r"\?page=", r"\?filter", r"\?sort", "#", "/search", "/login", "/register"]
+JOIN_MENU = [r"\?page=", r"\?filter", "/search", "/companies$", "/login", "/register", "/pricing", "/about"]
+LISTING_PATHS = [
+    "/jobs/?$", "/jobs/", "/careers/?$", "/careers/", "/stellenangebote/?$", "/stellenangebote/", "/vacancies/?$", "/vacancies/",
+    "/offene-stellen/?$", "/offene-stellen/", "/karriere/stellen", "/career/positions",
+]
+SINGLE_POSTING = ["stellenprofil", "bewerbung", "bewerben", "job-detail", "/job/[^/]+$", "#apply", "#bewerbung"]
+SITEMAP_WORDS = ["career", "job", "karriere", "stellen", "vacanc", "hiring", "join", "work"]
+LISTING_HREFS = [r"karriere\.", "/jobs/?$", "/careers/?$", "/stellenangebote/?$"]
+LISTING_TEXTS = [
+    r"current\s*opening", r"open\s*positions?", r"job\s*(listings?|openings?)", r"all\s*(jobs?|positions?|openings?|vacancies)",
+    r"(view|see)\s*all(?!\s*(highlight|article|news|blog|event|storie|project|client|partner|case))", r"browse\s*(jobs?|positions?|openings?)",
+    r"career\s*(portal|opportunities)", r"job\s*portal", r"alle\s*stellen", r"offene\s*stellen", "stellenangebote", "stellenbörse",
+    r"zur\s*stellenbörse", r"zum?\s*karriereportal", r"zu\s*den\s*jobs?", "karriereseite", "jobportal", r"все\s*вакансии",
+    r"открытые\s*позиции", r"карьерный\s*портал",
+]
+LISTING_WORDS = ["jobs", "careers", "career", "vacancies", "openings", "stellen", "karriere", "stellenangebote", "offene-stellen", "вакансии", "карьера"]
+
+
+def is_external_board(c: Column) -> Column:
+    """recruiting platforms, by the crawler's own shorter list."""
+    return matches(c, BOARDS_SHORT)
+
+
+def is_external_board_sql(c: str) -> str:
+    return matches_sql(c, BOARDS_SHORT)
+
+
+def is_menu_link(c: Column) -> Column:
+    """Links of a board's own navigation."""
+    return matches(c, [*SOFTGARDEN_MENU, *JOIN_MENU])
+
+
+def is_menu_link_sql(c: str) -> str:
+    return matches_sql(c, [*SOFTGARDEN_MENU, *JOIN_MENU])
+
+
+def on_listing(c: Column) -> Column:
+    """already on a list of postings: a known platform, a query or a listing path."""
+    return platform(c).isNotNull() | F.contains(c, F.lit("?")) | matches(c, LISTING_PATHS)
+
+
+def on_listing_sql(c: str) -> str:
+    return f"({platform_sql(c)} IS NOT NULL OR contains({c}, '?') OR {matches_sql(c, LISTING_PATHS)})"
+
+
+def is_single_posting(c: Column) -> Column:
+    """links to one posting, not to a list."""
+    return matches(c, SINGLE_POSTING)
+
+
+def is_single_posting_sql(c: str) -> str:
+    return matches_sql(c, SINGLE_POSTING)
+
+
+def is_redirect(c: Column, final: Column) -> Column:
+    """another host, www. and case aside."""
+    return bare_host(c) != bare_host(final)
+
+
+def is_redirect_sql(c: str, final: str) -> str:
+    return f"{bare_host_sql(c)} <> {bare_host_sql(final)}"
+
+
+def search_url(base: str, keywords: Column, place: Column | None, page: Column) -> Column:
+    """A job site's search URL; the page shows from the second on."""
+    out = F.concat(F.lit(base), keywords)
+    out = out if place is None else F.concat(out, F.lit("/in-"), place)
+    return F.concat(out, F.when(page > 0, F.concat(F.lit("?page="), (page + 1).cast("string"))).otherwise(""))
+
+
+def search_url_sql(base: str, keywords: str, place: str | None, page: str) -> str:
+    mid = f" || '/in-' || {place}" if place else ""
+    return f"'{base}' || {keywords}{mid} || CASE WHEN {page} > 0 THEN '?page=' || ({page} + 1) ELSE '' END"
+
+
+def chosen_careers_url(sitemap: Column, nav: Column) -> Column:
+    """T5: sitemap against navigation: a list beats a posting, a shorter path a
+    longer, a short last part one of over 20 characters; else the sitemap."""
+    parts = lambda c: F.filter(F.split(path(c), "/"), lambda s: s != "")
+    last = lambda c: F.coalesce(F.try_element_at(parts(c), F.lit(-1)), F.lit(""))
+    listing = lambda c: F.lower(last(c)).isin(LISTING_WORDS)
+    return (
+        F.when(F.coalesce(sitemap, F.lit("NOT_FOUND")).isin("", "NOT_FOUND"), nav)
+        .when(F.coalesce(nav, F.lit("")) == "", sitemap)
+        .when(listing(nav) & ~listing(sitemap), nav)
+        .when(listing(sitemap) & ~listing(nav), sitemap)
+        .when(F.size(parts(nav)) < F.size(parts(sitemap)), nav)
+        .when((F.length(last(sitemap)) > 20) & (F.length(last(nav)) <= 20), nav)
+        .otherwise(sitemap)
+    )
+
+
+def chosen_careers_url_sql(sitemap: str, nav: str) -> str:
+    parts = lambda c: f"list_filter(string_split({path_sql(c)}, '/'), lambda s: s <> '')"
+    last = lambda c: f"coalesce({parts(c)}[-1], '')"
+    listing = lambda c: f"lower({last(c)}) IN ({listed(LISTING_WORDS)})"
+    return (
+        f"CASE WHEN coalesce({sitemap}, 'NOT_FOUND') IN ('', 'NOT_FOUND') THEN {nav} WHEN coalesce({nav}, '') = '' THEN {sitemap} "
+        f"WHEN {listing(nav)} AND NOT {listing(sitemap)} THEN {nav} WHEN {listing(sitemap)} AND NOT {listing(nav)} THEN {sitemap} "
+        f"WHEN len({parts(nav)}) < len({parts(sitemap)}) THEN {nav} WHEN length({last(sitemap)}) > 20 AND length({last(nav)}) <= 20 THEN {nav} ELSE {sitemap} END"
+    )

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -92,8 +93,15 @@ class Layout:
     split: tuple[str, ...] = ()  # "title, location" patterns of a plain text
     around: tuple[str, ...] = ()  # tags of the element around a link card
     shortest: int = 1
+    marks: tuple[str, ...] = ()  # places known by name, in a span, p or div
+    company: str = ""
+    default: str | None = None  # location if none is found
+    number: str = ""  # what of the link makes a posting unique
+    most: int = 0  # postings of a page, where the site's own list is cut
+    banned: tuple[str, ...] = ()  # titles that are none
 
 
+_BADGES = [(r"\s*\bNew\s*$", ""), (r"\s*\[New\]\s*", " ")]
 _SPLITS = (r"^(.+?)\s*[|–—-]\s*([A-Z][^|–—-]+)$", r"^(.+?),\s+([A-Z][a-zäöüß]+(?:\s*,\s*[A-Za-zäöüß]+)?)$")
 
 LAYOUTS: dict[str, tuple[Layout, ...]] = {
@@ -102,7 +110,7 @@ LAYOUTS: dict[str, tuple[Layout, ...]] = {
         Layout(('.opening, .job-post, [data-mapped="true"]',), "a, .opening-title, .job-title", ".location, .job-location", link="a", rules=((r"\s*\bNew$", ""),), unique=False),
     ),
     "odoo": (
-        Layout((".o_job_card, [class*=o_job], div.card", 'a[href*="/jobs/detail/"]'), "h3, h4, h5", "[class*=location], address, .o_location", href=r"/jobs/"),
+        Layout((".card.card-default, [class*=o_job], a[href*=\"/jobs/detail/\"]",), "h3, h4, h5, [class*=title]", href=r"/jobs/", marks=("Köln", "Berlin", "München", "Hamburg", "Frankfurt", "Remote", "Deutschland")),
     ),
     "softgarden": (
         Layout(
@@ -120,14 +128,22 @@ LAYOUTS: dict[str, tuple[Layout, ...]] = {
         Layout(
             ("[class*=job-card], [class*=JobCard], [class*=position-card], [class*=vacancy], article[class*=job], li[class*=job]", ".join-jobs-widget a[href]", 'a[href*="join.com"]'),
             "h2, h3, h4, [class*=title], [class*=Title]", "[class*=location], [class*=Location], [class*=city], [class*=City]",
-            href=r"/jobs?/|join\.com", skip=r"\?page=|\?filter|#|/login|/register|/privacy|/imprint|/about",
+            href=r"/jobs?/|join\.com", skip=r"\?page=|\?filter|/search|/companies$|/login|/register|/pricing|/about",
             rules=((r"^\s*(?:New|Neu)\b\s*(?=[A-Z].*\()", ""), (r"\s*\b(?:New|Neu)\s*$", "")),
         ),
     ),
     "recruitee": (Layout(('a[href*="/o/"]',), skip=r"/c/new"),),
     "workable": (Layout(('li[class*=job], li a[href*="/j/"]', 'a[href*="/j/"]'), "h2, h3, [class*=title]", "[class*=location]", "[class*=department]", href=r"/j/", skip=r"/gdpr|/privacy|/cookie"),),
-    "stepstone": (Layout(('[data-at="job-item"]', 'article[class*=job], [data-testid="job-item"]', "article"), "h2, h3, [data-at=job-item-title]", "[data-at=job-item-location], [class*=location]"),),
-    "karriere": (Layout(("a[href]",), href=r"/jobs/\d+", shortest=10),),
+    "stepstone": (
+        Layout(("article[data-at=job-item]", "article[class*=res-]"), "[data-at=job-item-title], h2, h3", "[data-at=job-item-location], [class*=location]", company="[data-at=job-item-company-name], [class*=company], [class*=employer]", default="Germany", unique=False),
+        Layout(('a[href*="/stellenangebote--"]',), default="Germany", shortest=6, most=25, unique=False),
+    ),
+    "karriere": (
+        Layout(
+            ("a[href]",), "", "[class*=location], [class*=ort], [class*=city]", href=r"/jobs/\d+(?:\?|$)", number=r"/jobs/(\d+)", company='a[href*="/firma/"], [class*=company], [class*=firma], [class*=employer]',
+            default="Austria", around=("div", "li", "article"), shortest=10, most=25, banned=tuple(text.CITIES_AT),
+        ),
+    ),
 }
 CITIES = ("Berlin", "München", "Hamburg", "Frankfurt", "Köln", "Düsseldorf", "Stuttgart", "Dresden", "Leipzig", "Hannover", "Nürnberg", "Mannheim", "Walldorf", "Magdeburg", "Görlitz", "Halle", "Remote", "Deutschlandweit")
 
@@ -135,7 +151,7 @@ CITIES = ("Berlin", "München", "Hamburg", "Frankfurt", "Köln", "Düsseldorf",
 def read(page: Node, base: str, layouts: tuple[Layout, ...]) -> list[dict]:
     for layout in layouts:
         for selector in layout.cards:
-            got = list(_cards(page, base, layout, selector))
+            got = list(islice(_cards(page, base, layout, selector), layout.most or None))
             if got:
                 return got
     return []
@@ -149,21 +165,25 @@ def _cards(page: Node, base: str, o: Layout, selector: str) -> Iterator[dict]:
         if o.href and not re.search(o.href, href, re.IGNORECASE) or o.skip and re.search(o.skip, href, re.IGNORECASE):
             continue
         url = urljoin(base, href) if href else base
-        if o.unique and url in seen:
+        key = re.search(o.number, href)[1] if o.number else url
+        if o.unique and key in seen:
             continue
-        seen.add(url)
+        seen.add(key)
         head = card.one(o.title) if o.title else None
         if o.title and head is None and not o.unique:
             continue
         title = head.text() if head is not None else (link or card).text(" ")
         box = (card.up(*o.around) or card) if o.around else card
         places = [x for x in box.select(o.location) if x is not link] if o.location else []
+        if o.marks and not places:
+            places = [x for x in card.select("span, p, div") if any(m in x.text() for m in o.marks)]
         units = [x for x in box.select(o.department) if x is not link] if o.department else []
-        location = places[0].text() if places else None
+        firm = box.one(o.company) if o.company else None
+        location = places[0].text()[: 100 if o.marks else None] if places else o.default
         if location is None and o.split:
             title, location = split_title(title, o.split)
-        if len(title) >= o.shortest and (title := _clean(title, list(o.rules))):
-            yield _posting(title, location, url, units[0].text() if units else None)
+        if len(title) >= o.shortest and title.lower() not in o.banned and (title := _clean(title, list(o.rules))):
+            yield _posting(title, location, url, units[0].text() if units else None, firm.text() if firm is not None else None)
 
 
 def split_title(title: str, patterns: tuple[str, ...]) -> tuple[str, str | None]:
@@ -186,7 +206,7 @@ def greenhouse(page: Node, base: str) -> list[dict]:
                 seen.add(url)
                 parts = x.elements()
                 title, location = (parts[0].text(), parts[1].text()) if len(parts) > 1 else split_title(x.text(), _SPLITS)
-                if title := _clean(title, [(r"\s*\bNew$", "")]):
+                if title := _clean(title, _BADGES):
                     out.append(_posting(title, location, url, heading))
     return out or read(page, base, LAYOUTS["greenhouse"])
 
@@ -385,7 +405,7 @@ def links(pages: DataFrame) -> DataFrame:
 def document_postings(link_rows: DataFrame) -> DataFrame:
     """Postings from document links whose file name speaks of a job."""
     name = F.element_at(F.split("href", "/"), -1)
-    words = "stellenausschreibung|stellenangebot|stellenanzeige|jobausschreibung|job|karriere|career|vacancy|position|posting|bewerbung|ausbildung|praktik"
+    words = "stellenausschreibung|stellenangebot|stellenanzeige|jobausschreibung|jobangebot|jobanzeige|karriere|career|vacancy|position|job_posting|job-posting|jobposting"  # fixed values
     hits = link_rows.where((F.col("kind") == "a") & F.col("href").rlike(r"(?i)\.(pdf|docx?)$") & name.rlike(f"(?i){words}"))
     titled = hits.withColumn("title", text.filename_title(name)).where("title <> ''")
     return first_of_each(titled, ["page_id", F.lower("title")], [F.col("pos").alias("o")]).select("page_id", "pos", "title", "url")

@@ -20,7 +20,7 @@ SIDE = ", ".join(
     [f"[class*={w}]" for w in "social share follow team testimonial review partner client customer newsletter subscribe contact-form breadcrumb sidebar widget banner popup modal overlay gallery slider carousel swiper copyright legal imprint impressum".split()]
     + [f"[id*={w}]" for w in "social team testimonial newsletter contact-form".split()]
 )
-MARKERS = ("(m/w/d)", "(f/d/m)", "(m/f/d)", "engineer", "developer", "manager", "stellenangebot", "vacancy", "position", "karriere", "career", "vollzeit", "teilzeit", "full-time", "part-time", "jobs")
+MARKERS = ("job", "career", "position", "stelle", "vacancy", "opening", "(m/w/d)", "(m/f/d)", "developer", "engineer", "manager")
 BOILERPLATE = ("©", "copyright", "all rights reserved", "privacy policy", "terms of", "cookie", "datenschutz", "impressum", "follow us", "connect with")
 _BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "main", "body", "html", "header", "footer", "nav", "aside", "tr", "br"}
 
@@ -96,13 +96,23 @@ def markdown(html: str | None) -> str:
     return "\n".join(lines).strip()
 
 
-SECTIONS = ("[class*=job]", "[id*=job]", "[class*=career]", "[id*=career]", "[class*=position]", "[class*=vacanc]", "[class*=opening]", "[class*=stellen]", "main", "article")
+#: Fixed values; a job site's own container comes first.
+OWN_SECTIONS = (".o_website_hr_recruitment_jobs_list", ".oe_website_jobs", "[class*=o_website_hr]", "[class*=oe_website_jobs]")
+SECTIONS = (
+    "[class*=job-list]", "[class*=jobs-list]", "[class*=vacancies]", "[class*=career-list]", "[class*=openings]", "[id*=jobs]", "[id*=vacancies]", "[id*=careers]",
+    ".join-jobs-widget", "[class*=join-jobs]", ".personio-jobs", "[class*=personio]", "main", "article", ".content",
+)
 
 
 def job_section(html: str | None) -> str | None:
     """The largest marked part of a page between 300 and 200,000 characters."""
     root = parse(html)
     best = ""
+    # A page that names its generator shows its first fitting container
+    if any("odoo" in x.attrs.get("content", "").lower() for x in root.select("meta[name=generator]")):
+        own = next((p for p in (_html(x) for s in OWN_SECTIONS for x in root.select(s)) if 1000 < len(p) < 200_000), None)
+        if own:
+            return own
     for s in SECTIONS:
         parts = [p for p in (_html(x) for x in root.select(s) if any(m in x.text(" ").lower() for m in MARKERS)) if 300 < len(p) < 200_000]
         joined = "\n".join(parts)

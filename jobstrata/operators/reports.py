@@ -70,3 +70,13 @@ def outcome(status: Column) -> Column:
         F.when(status.isin(429, 503), "limited").when(status == 403, "challenge").when(status.between(520, 526), "challenge")
         .when(status.between(200, 399), "ok").when(status.between(400, 499), "client_error").otherwise("server_error")
     )
+
+
+def elapsed(seconds: Column) -> Column:
+    """SK4: seconds, minutes and seconds, or hours, minutes and seconds."""
+    hours, minutes = F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int")
+    return (
+        F.when(seconds < 60, F.format_string("%.2f сек", seconds))
+        .when(seconds < 3600, F.format_string("%d мин %.1f сек", minutes, seconds % 60))
+        .otherwise(F.format_string("%d ч %d мин %.0f сек", hours, minutes, seconds % 60))
+    )

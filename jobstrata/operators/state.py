@@ -71,3 +71,15 @@ def is_live(created: Column, ttl: Column, now: Column) -> Column:
 def is_purged(created: Column, ttl: Column, now: Column) -> Column:
     """... and a purge strictly after it."""
     return created + ttl < now
+
+
+def most_open(spans: DataFrame, key: str) -> DataFrame:
+    """The most spans (started, ended) of a key that were open at once.
+
+    An end counts before a start at the same time; ends and starts are summed
+    by time before the ordered scan.
+    """
+    edges = spans.select(key, F.col("started").alias("t"), F.lit(1).alias("d")).unionByName(spans.select(key, F.col("ended").alias("t"), F.lit(-1).alias("d")))
+    summed = edges.groupBy(key, "t", "d").agg(F.sum("d").alias("n"))
+    w = Window.partitionBy(key).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
+    return summed.select(key, F.sum("n").over(w).alias("open")).groupBy(key).agg(F.max("open").alias("most_open"))

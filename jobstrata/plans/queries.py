@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..functions.rewrite import quote
+from ..functions.rewrite import lookup, quote
 from ..operators import postings, reports, state
 from .catalog import relation, with_relations
 
@@ -179,8 +179,8 @@ query("sk6_t8_change_summary", f", {_SYNC}, a AS (SELECT site_id, count(*) AS n,
 )
 query("sk3_terminal_rows", "SELECT id, title, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE title END, '—') AS title_en FROM postings", "postings")(lambda df: df.select("id", "title", F.coalesce(F.when(F.col("id") % 3 != 0, F.col("title")), F.lit("—")).alias("title_en")))
 _secs = "(id * 7 % 9000)"
-query("sk4_elapsed", f"SELECT id, CASE WHEN {_secs} < 60 THEN {_secs} || 's' WHEN {_secs} < 3600 THEN {_secs} // 60 || 'm ' || {_secs} % 60 || 's' ELSE {_secs} // 3600 || 'h ' || {_secs} % 3600 // 60 || 'm ' || {_secs} % 60 || 's' END AS elapsed FROM fetches", "fetches")(
-    lambda df: df.withColumn("s", F.expr("id * 7 % 9000")).select("id", F.expr("case when s < 60 then concat(s, 's') when s < 3600 then concat(s div 60, 'm ', s % 60, 's') else concat(s div 3600, 'h ', s % 3600 div 60, 'm ', s % 60, 's') end").alias("elapsed"))
+query("sk4_elapsed", f"SELECT id, CASE WHEN {_secs} < 60 THEN printf('%.2f сек', {_secs}::DOUBLE) WHEN {_secs} < 3600 THEN printf('%d мин %.1f сек', ({_secs} // 60)::INT, ({_secs} % 60)::DOUBLE) ELSE printf('%d ч %d мин %.0f сек', ({_secs} // 3600)::INT, ({_secs} % 3600 // 60)::INT, ({_secs} % 60)::DOUBLE) END AS elapsed FROM fetches", "fetches")(
+    lambda df: df.select("id", reports.elapsed(F.expr("cast(id * 7 % 9000 as double)")).alias("elapsed"))
 )
 query("e1_w7_breaker", """SELECT domain, arg_max(streak, id)::BIGINT AS fail_count, max(streak) < 3 AS is_active, count(*) FILTER (status >= 400) AS n_failed FROM (
   SELECT *, CASE WHEN status >= 400 THEN count(*) FILTER (status >= 400) OVER (PARTITION BY domain, run ORDER BY id) ELSE 0 END AS streak FROM (
@@ -195,6 +195,61 @@ def first_n_titles(added: DataFrame, n: int) -> DataFrame:
     return top.select("site_id", "n", "first_five", F.greatest(F.col("n") - n, F.lit(0)).alias("more"))
 
 
+scalar("f7_f8_f10_f11_f15_links", "postings", {
+    "menu": (lambda: urls.is_menu_link(F.col("url")), urls.is_menu_link_sql("url")),
+    "listing": (lambda: urls.on_listing(F.col("url")), urls.on_listing_sql("url")),
+    "single": (lambda: urls.is_single_posting(F.col("url")), urls.is_single_posting_sql("url")),
+    "external": (lambda: urls.is_external_board(F.col("url")), urls.is_external_board_sql("url")),
+})
+scalar("f21_f22_redirects", "career_urls", {"redirected": (lambda: urls.is_redirect(F.col("url"), F.concat(F.lit("https://WWW."), F.expr("case when id % 2 = 0 then 'site1.example.com/x' else 'other.org' end"))), urls.is_redirect_sql("url", "('https://WWW.' || CASE WHEN id % 2 = 0 THEN 'site1.example.com/x' ELSE 'other.org' END)"))})
+_error = "(CASE WHEN status = 429 THEN 'Rate limit hit' WHEN status = 500 THEN 'HTTP 500' WHEN status = 404 THEN 'not found' ELSE '...' END)"
+scalar("f19_f24_answers", "fetches", {"transient": (lambda: text.is_transient(F.expr(_error)), text.is_transient_sql(_error)), "spoilt": (lambda: text.bad_translation(F.expr(_error)), text.bad_translation_sql(_error))})
+scalar("v12_v13_v14_v18_parts", "postings", {
+    "plain": (lambda: text.without_badge(F.concat(F.col("title"), F.lit(" New"))), text.without_badge_sql("(title || ' New')")),
+    "head": (lambda: text.split_title(F.concat(F.trim("title"), F.lit(" | Berlin")))["title"], text.split_title_sql("(trim(title) || ' | Berlin')")[0]),
+    "place": (lambda: text.split_title(F.concat(F.trim("title"), F.lit(" | Berlin")))["location"], text.split_title_sql("(trim(title) || ' | Berlin')")[1]),
+    "unit": (lambda: text.first_part(F.concat(F.col("department"), F.lit(" - Vollzeit"))), text.first_part_sql("(department || ' - Vollzeit')")),
+})
+_said = "(CASE WHEN id % 3 = 0 THEN 'see https://a.b/c?x=1, ok' WHEN id % 3 = 1 THEN 'path \"/jobs/x\" here' ELSE 'none' END)"
+scalar("v26_quoted_url", "postings", {"found": (lambda: text.quoted_url(F.expr(_said), F.lit("https://base/")), text.quoted_url_sql(_said, "'https://base/'"))})
+_answer = "(CASE WHEN id % 3 = 0 THEN 'Sure: {\"jobs\": []} done' WHEN id % 3 = 1 THEN '[1, 2]' ELSE 'nothing {bad' END)"
+scalar("v27_answer_json", "postings", {"json": (lambda: text.answer_json(F.expr(_answer)), "CASE WHEN id % 3 = 0 THEN '{\"jobs\": []}' WHEN id % 3 = 1 THEN '[1, 2]' ELSE '[]' END")})
+scalar("l10_search_urls", "postings", {
+    "de": (lambda: urls.search_url("https://www.stepstone.de/jobs/", text.slug(F.col("title")), text.location_slug(F.coalesce("location", F.lit("Berlin")), text.CITIES_DE), F.col("page_no") - 1), urls.search_url_sql("https://www.stepstone.de/jobs/", text.slug_sql("title"), text.location_slug_sql("coalesce(location, 'Berlin')", text.CITIES_DE), "(page_no - 1)")),
+    "at": (lambda: urls.search_url("https://www.karriere.at/jobs/", text.slug(F.col("title")), None, F.col("page_no") - 1), urls.search_url_sql("https://www.karriere.at/jobs/", text.slug_sql("title"), None, "(page_no - 1)")),
+})
+query("f17_sitemap_keywords", f"SELECT id, site_id FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY id) AS n, bool_or(m) OVER (PARTITION BY site_id) AS any_match FROM (SELECT *, {' OR '.join(f"contains(lower(url), '{w}')" for w in urls.SITEMAP_WORDS)} AS m FROM career_urls) QUALIFY m OR NOT any_match)", "career_urls")(
+    lambda df: postings.keep_matching_or_all(df, F.exists(F.array(*map(F.lit, urls.SITEMAP_WORDS)), lambda w: F.contains(F.lower("url"), w)), ["site_id"]).select("id", "site_id")
+)
+query("f18_search_parameters", "SELECT id, coalesce(CASE lower(place) WHEN 'moscow' THEN '1' WHEN 'spb' THEN '2' WHEN 'russia' THEN '113' END, '?') AS area, CASE id % 2 WHEN 0 THEN 'between1And3' ELSE 'moreThan6' END AS experience FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'Moscow' WHEN 1 THEN 'spb' WHEN 2 THEN 'Russia' ELSE 'Paris' END AS place FROM calls)", "calls")(
+    lambda df: df.select("id", F.expr("case id % 4 when 0 then 'Moscow' when 1 then 'spb' when 2 then 'Russia' else 'Paris' end").alias("place"), F.expr("case id % 2 when 0 then '1-3' else '6+' end").alias("years"))
+    .select("id", lookup(F.lower("place"), text.AREAS, F.lit("?")).alias("area"), lookup(F.col("years"), text.EXPERIENCE, F.col("years")).alias("experience"))
+)
+query("e6_concurrency", "SELECT domain, max(open)::BIGINT AS most_open FROM (SELECT domain, sum(d) OVER (PARTITION BY domain ORDER BY t, d) AS open FROM (SELECT domain, id AS t, 1 AS d FROM fetches UNION ALL SELECT domain, id + 100 + status, -1 FROM fetches)) GROUP BY 1", "fetches")(
+    lambda df: state.most_open(df.select("domain", F.col("id").alias("started"), (F.col("id") + 100 + F.col("status")).alias("ended")), "domain")
+)
+query("e7_cache_hits", "SELECT namespace, count(*) FILTER (live) AS hits, count(*) FILTER (NOT live) AS misses, round(count(*) FILTER (live) / count(*), 6) AS hit_rate FROM (SELECT namespace, created_at + ttl_seconds > 4000 AS live FROM cache) GROUP BY 1", "cache")(
+    lambda df: df.withColumn("live", state.is_live(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000))).groupBy("namespace").agg(F.count_if("live").alias("hits"), F.count_if(~F.col("live")).alias("misses"), F.round(F.count_if("live") / F.count("*"), 6).alias("hit_rate"))
+)
+query("u3_get_or_create_site", ", n AS (SELECT DISTINCT 's' || id % 50 || '.example.com' AS domain FROM postings UNION SELECT domain FROM sites WHERE id % 2 = 0) SELECT n.domain, s.id IS NULL AS created FROM n LEFT JOIN sites s ON s.domain = n.domain", "sites", "postings")(
+    lambda s, p: p.select(F.concat(F.lit("s"), F.col("id") % 50, F.lit(".example.com")).alias("domain")).union(s.where("id % 2 = 0").select("domain")).distinct().join(s.select("domain", "id"), "domain", "left").select("domain", F.col("id").isNull().alias("created"))
+)
+query("x29_j6_records", "SELECT id, 'web-' || split_part(url, '/', 3) || '-' || (row_number() OVER (PARTITION BY site_id ORDER BY id) - 1) AS external_id, CASE WHEN id % 4 <> 0 THEN title END AS title_en FROM postings WHERE url LIKE 'http%' AND site_id <= 20", "postings")(
+    lambda df: df.where("url like 'http%' and site_id <= 20").select("id", F.expr("concat('web-', split_part(url, '/', 3), '-', row_number() over (partition by site_id order by id) - 1)").alias("external_id"), F.when(F.col("id") % 4 != 0, F.col("title")).alias("title_en"))
+)
+query("w4_running_heading", "SELECT id, last_value(CASE WHEN department <> '' THEN department END IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY id) AS heading FROM postings", "postings")(
+    lambda df: df.withColumn("h", F.nullif("department", F.lit(""))).select("id", postings.running_heading(df, "site_id", "id", "h").alias("heading"))
+)
+query("p1_company_info", "SELECT s.id, coalesce(nullif(description, ''), 'extracted ' || s.name) AS description FROM sites s", "sites")(
+    lambda df: df.join(df.where("coalesce(description, '') = ''").select("id", F.concat(F.lit("extracted "), "name").alias("fresh")), "id", "left").select("id", F.coalesce(F.nullif("description", F.lit("")), "fresh").alias("description"))
+)
+query("p3_board_page", "SELECT c.id, coalesce(b.url, c.url) AS page FROM career_urls c LEFT JOIN (SELECT site_id, min(url) AS url FROM career_urls WHERE platform <> '' GROUP BY 1) b ON b.site_id = c.site_id", "career_urls")(
+    lambda df: df.join(df.where("platform <> ''").groupBy("site_id").agg(F.min("url").alias("board")), "site_id", "left").select("id", F.coalesce("board", "url").alias("page"))
+)
+_nav = "('https://x/' || CASE WHEN id % 3 = 0 THEN 'en/jobs' WHEN id % 3 = 1 THEN 'about' ELSE 'a/b/c' END)"
+scalar("t5_sitemap_or_nav", "career_urls", {"chosen": (lambda: urls.chosen_careers_url(F.col("url"), F.expr(_nav)), urls.chosen_careers_url_sql("url", _nav))})
+
+
 # --- pages --------------------------------------------------------------------------
 
 from ..operators import extract, markup  # noqa: E402

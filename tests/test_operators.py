@@ -90,7 +90,9 @@ PAGES = {
     "workable": ("https://apply.workable.com/a", '<script type="application/ld+json">{"@type":"JobPosting","title":"Dev","jobLocation":{"address":{"addressLocality":"Athens","addressCountry":{"name":"Greece"}}}}</script>', [("Dev", "Athens, Greece", None)]),
     "recruitee": ("https://a.recruitee.com", '<script>x = {"offers": [{"title":"Dev","city":"Bonn","careers_url":"https://y"}], "z":1}</script>', [("Dev", "Bonn", None)]),
     "deloitte": ("https://job.deloitte.com/search?search=data", '<div>Berlin <a href="/job-data_1">Data Analyst</a><a href="/job-x_2">Clerk here</a></div>', [("Data Analyst", "Berlin", None)]),
-    "karriere": ("https://www.karriere.at", '<a href="/jobs/123">Software Developer</a><a href="/x">Software Tester</a>', [("Software Developer", "Unknown", None)]),
+    "stepstone": ("https://www.stepstone.de", '<article data-at="job-item"><h2>Dev</h2><a href="/x--1">l</a><span data-at="job-item-company-name">Acme</span></article>', [("Dev", "Germany", None)]),
+    "odoo": ("https://o", '<div class="card card-default"><a href="/jobs/detail/1"><h3>Dev</h3></a><span>Hauptsitz Köln</span></div>', [("Dev", "Hauptsitz Köln", None)]),
+    "karriere": ("https://www.karriere.at", '<a href="/jobs/123">Software Developer</a><a href="/x">Software Tester</a>', [("Software Developer", "Austria", None)]),
 }
 
 
