@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrite import first_match, first_match_sql, matches, matches_sql, quote
+from .rewrite import first_match, first_match_sql, matches, matches_sql, quote  # noqa: F401
 
 # --- fixed values --------------------------------------------------------------
 

@@ -99,6 +99,7 @@ class Layout:
     number: str = ""  # what of the link makes a posting unique
     most: int = 0  # postings of a page, where the site's own list is cut
     banned: tuple[str, ...] = ()  # titles that are none
+    parts: bool = False  # one text holds title, place and department
 
 
 _BADGES = [(r"\s*\bNew\s*$", ""), (r"\s*\[New\]\s*", " ")]
@@ -133,7 +134,7 @@ LAYOUTS: dict[str, tuple[Layout, ...]] = {
         ),
     ),
     "recruitee": (Layout(('a[href*="/o/"]',), skip=r"/c/new"),),
-    "workable": (Layout(('li[class*=job], li a[href*="/j/"]', 'a[href*="/j/"]'), "h2, h3, [class*=title]", "[class*=location]", "[class*=department]", href=r"/j/", skip=r"/gdpr|/privacy|/cookie"),),
+    "workable": (Layout(('li[class*=job], li a[href*="/j/"]', 'a[href*="/j/"]'), link='a[href*="/j/"]', href=r"/j/", skip=r"/gdpr|/privacy|/cookie", parts=True, around=("li",)),),
     "stepstone": (
         Layout(("article[data-at=job-item]", "article[class*=res-]"), "[data-at=job-item-title], h2, h3", "[data-at=job-item-location], [class*=location]", company="[data-at=job-item-company-name], [class*=company], [class*=employer]", default="Germany", unique=False),
         Layout(('a[href*="/stellenangebote--"]',), default="Germany", shortest=6, most=25, unique=False),
@@ -179,11 +180,14 @@ def _cards(page: Node, base: str, o: Layout, selector: str) -> Iterator[dict]:
             places = [x for x in card.select("span, p, div") if any(m in x.text() for m in o.marks)]
         units = [x for x in box.select(o.department) if x is not link] if o.department else []
         firm = box.one(o.company) if o.company else None
+        unit = units[0].text() if units else None
         location = places[0].text()[: 100 if o.marks else None] if places else o.default
         if location is None and o.split:
             title, location = split_title(title, o.split)
+        if o.parts:
+            title, location, unit = card_parts((card if card.tag == "li" else box).text(" "))
         if len(title) >= o.shortest and title.lower() not in o.banned and (title := _clean(title, list(o.rules))):
-            yield _posting(title, location, url, units[0].text() if units else None, firm.text() if firm is not None else None)
+            yield _posting(title, location, url, unit, firm.text() if firm is not None else None)
 
 
 def split_title(title: str, patterns: tuple[str, ...]) -> tuple[str, str | None]:
@@ -451,3 +455,67 @@ def vacancies(payloads: DataFrame) -> DataFrame:
         F.col("alternate_url").alias("url"), F.col("salary.from").alias("salary_from"), F.col("salary.to").alias("salary_to"), F.col("salary.currency").alias("salary_currency"),
         F.col("experience.name").alias("experience"), F.col("employment.name").alias("employment_type"), F.try_to_timestamp("published_at").alias("published_at"),
     )
+
+
+def joined_urls(base, href):
+    """L2: full RFC 3986 resolution, for the forms that ``urls.full_url`` doesn't cover."""
+
+    @F.pandas_udf("string")
+    def run(b: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([urljoin(x or "", y or "") for x, y in zip(b, h, strict=True)])
+
+    return run(base, href)
+
+
+def listing_links(link_rows: DataFrame) -> DataFrame:
+    """the link of a page that leads to its list of postings.
+
+    Links by their address come before links by their text; within each, the
+    first in the page.  Links to single postings don't count.
+    """
+    low = F.lower("text")
+    ok = ~(urls.is_single_posting(F.col("href")) | urls.is_single_posting(low))
+    by_href, by_text = urls.matches(F.col("href"), urls.LISTING_HREFS), urls.matches(low, urls.LISTING_TEXTS)
+    hits = link_rows.where((F.col("kind") == "a") & ok & (by_href | by_text)).withColumn("pass", F.when(by_href, 0).otherwise(1))
+    return hits.groupBy("page_id").agg(F.min_by("url", F.struct("pass", "pos")).alias("listing_url"))
+
+
+#: How much each way of extraction is trusted (fixed values).
+TRUST = {"job_board": 1.0, "schema_org": 1.0, "pdf_link": 0.90, "llm": 0.85}
+
+
+def cascade(by_parser: DataFrame, by_answer: DataFrame, by_document: DataFrame) -> DataFrame:
+    """Platform or structured data alone, else answers and documents.
+
+    All inputs have page_id, pos, method, title, location and url; answers are
+    those of a model, computed elsewhere.  Pages with a parser's postings are
+    taken out of the rest by an anti-join; of equal titles the first method's
+    stays (U1c).
+    """
+    names = ["page_id", "pos", "method", "title", "location", "url"]
+    found = by_parser.select("page_id").distinct()
+    rest = by_answer.select(*names).unionByName(by_document.select(*names)).join(found, "page_id", "left_anti")
+    everything = by_parser.select(*names).unionByName(rest)
+    kind = F.split_part("method", F.lit(":"), F.lit(1))
+    rank = F.when(kind == "job_board", 0).when(kind == "schema_org", 1).when(kind == "llm", 2).otherwise(3)
+    trust = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in TRUST.items()], F.lit(0.5))
+    once = first_of_each(everything, ["page_id", text.candidate_title(F.col("title"))], [rank.alias("r"), F.col("pos").alias("p")])
+    return once.withColumn("confidence", trust)
+
+
+WORKPLACES, HOURS = ("Hybrid", "Remote", "On-site", "Onsite"), ("Full", "Part")
+
+
+def card_parts(words: str) -> tuple[str, str | None, str | None]:
+    """(title, location, department) of a card's text.
+
+    A workplace word ends the title; what follows up to "All," or the hours is
+    the place; what stands between "All," and the hours is the department.
+    """
+    cut = min((m.start() for w in WORKPLACES if (m := re.search(rf"\b{w}\b", words))), default=-1)
+    title, tail = (words[:cut].strip(), words[cut:]) if cut > 0 else (words.strip(), "")
+    for w in WORKPLACES:
+        tail = re.sub(rf"^\s*{w}\b", "", tail)
+    end = min((m.start() for h in HOURS if (m := re.search(rf"\b{h}\b", tail))), default=len(tail))
+    place, _, unit = tail[:end].partition("All,")
+    return title, place.strip(" ,·") or None, unit.strip(" ,·") or None

@@ -83,3 +83,16 @@ def most_open(spans: DataFrame, key: str) -> DataFrame:
     summed = edges.groupBy(key, "t", "d").agg(F.sum("d").alias("n"))
     w = Window.partitionBy(key).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
     return summed.select(key, F.sum("n").over(w).alias("open")).groupBy(key).agg(F.max("open").alias("most_open"))
+
+
+def spaced(fetches: DataFrame) -> DataFrame:
+    """E5: when each fetch (domain, id, asked, delay) may start: not before it is
+    asked for, nor before the last start of its domain plus its spacing."""
+    ordered = fetches.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("id", "asked", "delay"))).alias("e"))
+    first = F.expr("named_struct('last', cast(-1e18 as double), 'out', cast(array() as array<struct<id: bigint, start: double>>))")
+
+    def step(a: Column, e: Column) -> Column:
+        start = F.greatest(e["asked"].cast("double"), a["last"] + e["delay"])
+        return F.struct(start.alias("last"), F.concat(a["out"], F.array(F.struct(e["id"].alias("id"), start.alias("start")))).alias("out"))
+
+    return ordered.select("domain", F.inline(F.aggregate("e", first, step)["out"])).select("domain", "id", "start")

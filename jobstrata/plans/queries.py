@@ -342,3 +342,34 @@ def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("domain"), F.when(F.col("value") >= 50, 500).otherwise(200).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
     return health(rows, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "domain", "outcome", "n")
+
+
+_MENU = """'<a href="/x/job/1">Alle Stellen</a><a href="/all">See all positions</a><a href="/' || page_id || '/careers">Karriere</a>'"""
+_register(
+    "f11_f12_listing_link",
+    lambda spark, d: extract.listing_links(extract.links(_pages(spark, d).select("page_id", F.lit("https://a.b/c").alias("url"), F.expr(_MENU).alias("html")))),
+    "SELECT page_id, 'https://a.b/' || page_id || '/careers' AS listing_url FROM pages",
+)
+_register(
+    "l2_joined_urls",
+    lambda spark, d: _pages(spark, d).select("page_id", extract.joined_urls(F.lit("https://a.b/c/d?x=1"), F.concat(F.lit("../e/"), F.col("page_id").cast("string"))).alias("url")),
+    "SELECT page_id, 'https://a.b/e/' || page_id AS url FROM pages",
+)
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pages(spark, sf_dir).select("page_id", F.lit(0).cast("long").alias("pos"), F.lit("Berlin").alias("location"), F.lit("u").alias("url"))
+    of = lambda where, method, title: rows.where(where).withColumns({"method": F.lit(method), "title": F.lit(title)})
+    return extract.cascade(of("page_id % 3 = 0", "job_board:lever", "Dev"), of("page_id % 2 = 0", "llm", "Dev (m/w/d)"), of("page_id % 4 <> 1", "pdf_link", "dev").unionByName(of("page_id % 5 = 0", "pdf_link", "QA"))).select("page_id", "method", "title", "confidence")
+
+
+_register(
+    "x26_x27_cascade",
+    _cascade,
+    """SELECT page_id, 'job_board:lever' AS method, 'Dev' AS title, 1.0::DOUBLE AS confidence FROM pages WHERE page_id % 3 = 0
+       UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'llm' ELSE 'pdf_link' END, CASE WHEN page_id % 2 = 0 THEN 'Dev (m/w/d)' ELSE 'dev' END, CASE WHEN page_id % 2 = 0 THEN 0.85 ELSE 0.9 END FROM pages WHERE page_id % 3 <> 0 AND (page_id % 2 = 0 OR page_id % 4 <> 1)
+       UNION ALL SELECT page_id, 'pdf_link', 'QA', 0.9 FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 = 0""",
+)
+query("e5_spacing", """SELECT domain, id, start FROM (SELECT domain, id, max(asked - n * 3) OVER (PARTITION BY domain ORDER BY id) + n * 3 AS start FROM (SELECT domain, id, (id % 100 * 10)::DOUBLE AS asked, row_number() OVER (PARTITION BY domain ORDER BY id) AS n FROM fetches))""", "fetches")(
+    lambda df: state.spaced(df.select("domain", "id", (F.col("id") % 100 * 10).alias("asked"), F.lit(3.0).alias("delay")))
+)

@@ -141,3 +141,14 @@ def test_stream_of_fetches(spark, tmp_path):
     got = {r.domain: round(r.delay, 6) for r in spark.table("domains").collect()}
     want = {r.domain: r.delay for r in state.delays(spark.createDataFrame(rows, schema)).collect()}
     assert got == want
+
+
+def test_workable_cards():
+    page = parse('<ul><li class="job"><a href="/a/j/1">QA Engineer</a> Remote Cluj, Romania All, QA Full time</li><li><a href="/a/j/1">again</a></li></ul>')
+    got = extract.PARSERS["workable"](page, "https://apply.workable.com/a")
+    assert [(p["title"], p["location"], p["department"]) for p in got] == [("QA Engineer", "Cluj, Romania", "QA")]
+
+
+def test_card_parts():
+    assert extract.card_parts("Data Engineer Hybrid Athens, Greece All, Engineering Full time") == ("Data Engineer", "Athens, Greece", "Engineering")
+    assert extract.card_parts("Clerk") == ("Clerk", None, None)
