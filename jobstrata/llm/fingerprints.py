@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import ALNUM, Slab, arrow_schema, doc_rows, lowered, mix, n_parts, runs, slabs, span_hash, table
 
 LOW, HIGH = 0.0005, 0.1
-DENSITIES, SUBSETS = (8, 32, 128, 512), 16
-ENOUGH = 6
+DENSITIES, SUBSETS = (8, 32, 128, 512), 40
+PARTS = len(DENSITIES) * SUBSETS
+ENOUGH = 15
 
 
 def terms(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
     """Sorted hashes of the terms within the band, counted over all texts."""
 
     def run(batches):
-        seen, counts, waiting, n = [], [], 0, 0
+        seen, counts, waiting = [], [], 0
 
         def merged():
             h, at = np.unique(np.concatenate(seen), return_inverse=True)
@@ -62,7 +63,6 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
 
         for b in batches:
             for s in slabs(b):
-                n += len(s)
                 h, c = np.unique(terms(s)[0], return_counts=True)
                 seen.append(h)
                 counts.append(c)
@@ -84,18 +84,19 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
     return np.sort(got["term"].to_numpy(np.int64).view(np.uint64))
 
 
+_SALTS = mix(np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def members(lex: np.ndarray) -> np.ndarray:
-    """For each lexicon term, one bit for each sub-lexicon that holds it."""
-    out = np.zeros(len(lex), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(len(DENSITIES) * SUBSETS):
-            inside = mix(lex + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(DENSITIES[k // SUBSETS]) == 0
-            out |= inside.astype(np.uint64) << np.uint64(k)
-    return out
+    """(terms, PARTS / 8) bytes: one bit for each sub-lexicon that holds a term."""
+    inside = np.zeros((len(lex), PARTS), bool)
+    for k in range(PARTS):
+        inside[:, k] = mix(lex + _SALTS[k]) % np.uint64(DENSITIES[k // SUBSETS]) == 0
+    return np.packbits(inside, axis=1)
 
 
 class Fingerprints:
-    """whole: 64-bit hash over the lexicon; parts: (texts, 64) sub-lexicon hashes, 0 if empty."""
+    """whole: 64-bit hash over the lexicon; parts: (texts, PARTS) sub-lexicon hashes, 0 if empty."""
 
     def __init__(self, texts: list[bytes], lex: np.ndarray, bits: np.ndarray):
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -107,32 +108,26 @@ class Fingerprints:
         h, doc, at = h[keep], doc[keep], at[keep]
         n = len(texts)
         self.size = np.bincount(doc, minlength=n)
-        self.whole = self._chained(h, doc, n, 0)
+        self.whole = np.zeros(n, np.uint64)
+        np.add.at(self.whole, doc, mix(h))
+        self.whole = mix(self.whole)
         exact = np.array([int.from_bytes(hashlib.sha256(t).digest()[:8], "big") for t in texts], np.uint64)
         self.whole[self.size == 0] = exact[self.size == 0]
-        self.parts = np.zeros((n, len(DENSITIES) * SUBSETS), np.uint64)
-        mine = bits[at] if len(lex) else np.zeros(0, np.uint64)
-        for k in range(self.parts.shape[1]):
-            pick = np.flatnonzero(mine >> np.uint64(k) & np.uint64(1))
-            self.parts[:, k] = self._chained(h[pick], doc[pick], n, k + 1) & np.uint64(0xFFFFFF)
-
-    @staticmethod
-    def _chained(h: np.ndarray, doc: np.ndarray, n: int, salt: int) -> np.ndarray:
-        """Hash of each text's ordered distinct terms; 0 for none."""
-        out = np.zeros(n, np.uint64)
-        if len(h):
-            with np.errstate(over="ignore"):
-                x = mix(h ^ np.uint64(salt * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
-                cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                out[doc[cut]] = mix(np.add.reduceat(x, cut)) | np.uint64(1)
-        return out
+        # each text's terms stand in order and once, so a sum of mixed terms is
+        # a hash of the ordered list
+        term, part = np.nonzero(np.unpackbits(bits[at], axis=1, count=PARTS)) if len(h) else (at, at)
+        place = doc[term] * PARTS + part
+        total = np.zeros(n * PARTS, np.uint64)
+        with np.errstate(over="ignore"):
+            np.add.at(total, place, mix(h[term] ^ _SALTS[part]))
+        some = np.zeros(n * PARTS, bool)
+        some[place] = True
+        self.parts = np.where(some, mix(total) & np.uint64(0xFFFF) | np.uint64(1), np.uint64(0)).astype(np.uint16).reshape(n, PARTS)
 
     def strings(self) -> list[str]:
-        a = self.whole.astype(">u8").tobytes()
-        b = self.parts.astype(">u4").tobytes()
-        w = 4 * self.parts.shape[1]
-        # each sub-lexicon's hash has 24 bits
-        return [a[8 * i : 8 * i + 8].hex() + np.frombuffer(b[w * i : w * i + w], np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex() for i in range(len(self.whole))]
+        a, b = self.whole.astype(">u8").tobytes(), self.parts.astype(">u2").tobytes()
+        w = 2 * PARTS
+        return [a[8 * i : 8 * i + 8].hex() + b[w * i : w * i + w].hex() for i in range(len(self.whole))]
 
 
 def likeness(a: Fingerprints, b: Fingerprints, i: slice, j: slice) -> np.ndarray:
