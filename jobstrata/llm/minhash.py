@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Slab, arrow_schema, doc_rows, map_slabs, mix, n_parts, staged, table, trim
+from .common import Slab, doc_rows, map_slabs, mix, n_parts, staged, table, trim
 from .components import components
 from .shingles import set_keys, shingle_sets
 
