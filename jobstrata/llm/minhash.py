@@ -188,6 +188,8 @@ def rest_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: i
     found_few = verified(ties, sets, percent)
 
     many = joined.where(F.col("g") > SMALL)
+    if many.isEmpty():
+        return found_few
     blob = components(many.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
     order = Window.partitionBy("component").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
