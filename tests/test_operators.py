@@ -152,3 +152,18 @@ def test_workable_cards():
 def test_card_parts():
     assert extract.card_parts("Data Engineer Hybrid Athens, Greece All, Engineering Full time") == ("Data Engineer", "Athens, Greece", "Engineering")
     assert extract.card_parts("Clerk") == ("Clerk", None, None)
+
+
+def test_microdata():
+    page = parse('<div itemtype="https://schema.org/JobPosting"><b itemprop="title">Dev</b><a itemprop="url" href="/j"></a><i itemprop="jobLocation"><u itemprop="addressLocality">Graz</u></i></div>')
+    assert [(p["title"], p["location"], p["url"]) for p in extract.microdata(page, "https://a.b/c")] == [("Dev", "Graz", "https://a.b/j")]
+
+
+def test_reconcile_in_batches(spark):
+    import pandas as pd
+
+    kept, events = {"jobs": spark.createDataFrame(pd.DataFrame({"id": [1], "site_id": [1], "title": ["Dev"], "location": ["Wien"], "is_active": [True], "last_seen_at": [0]}))}, []
+    run = crawl.reconcile_each_batch(lambda: kept["jobs"], lambda df: kept.update(jobs=spark.createDataFrame(df.toPandas())), lambda df: events.extend((r.site_id, r.event) for r in df.collect()))
+    run(scan(spark, [(1, "QA", "Wien", 0)]), 1)
+    run(scan(spark, [(1, "QA", "Wien", 0), (1, "Dev", "Wien", 1)]), 2)
+    assert sorted(events) == [(1, "added"), (1, "reactivated"), (1, "removed")]
