@@ -319,7 +319,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     group = components(links.unionByName(more)).select(F.col("id").alias("rep"), "component")
     named = reps.select("k1", "k2", "rep").join(group, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -364,6 +364,8 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert minhash.near_groups(df).count() == 5 and rules.judged(df).count() == 5 and pii.found(df).count() == 5
     assert fingerprints.compared(df).count() == 5 and suffixes.removals(df).count() == 5 and licenses.scanned(df).count() == 5
+    near = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_groups(df).collect()]
+    assert sorted(near, key=str) == [(1, 1, True), (1, 1, True), (2, 2, True), (None, None, True), (None, None, True)]
     got = [r.n_removed for r in suffixes.removals(df).collect() if r.doc_id == 1]
     assert got[0] == got[1]
 
