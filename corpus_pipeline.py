@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from jobstrata.llm import minhash, packing, pii, rules, suffixes
 from jobstrata.llm.common import staged, table
 
+#: Near copies share at least this percentage of their five-word runs.
+SIMILAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, SIMILAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -395,3 +395,17 @@ def test_pipeline(spark, tmp_path):
         assert got[i].n_chars == len(got[i].text)
     packed = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in packed} == set(got)
+
+
+def test_pipeline_near_copies_of_eighty_percent(spark):
+    import corpus_pipeline
+
+    # n five-word runs, of which the last k differ: likeness (n - k) / (n + k)
+    rows = []
+    for at, (n, k) in enumerate([(100, 10), (90, 10), (100, 12), (100, 2)]):
+        words = [f"p{at}w{j}" for j in range(n + 4)]
+        rows += [(2 * at, " ".join(words)), (2 * at + 1, " ".join(words[:-k] + [f"p{at}x{j}" for j in range(k)]))]
+    _, comp = brute_groups(rows, 80)
+    assert [comp[i] for i in range(8)] == [0, 0, 2, 2, 4, 5, 6, 6]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == {i for i, c in comp.items() if i == c}
