@@ -87,6 +87,16 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.order[at], -1), first
 
+    def key_places(self, words: np.ndarray, first: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key phrase of a slab: its template and its place, by place.
+
+        A phrase is looked up by its word with the highest IDF.
+        """
+        at = [_anchored(words, first, key, int(np.argmax(idf[key]))) for key in self.keys]
+        template, place = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate([np.zeros(0, np.int64), *at])
+        order = np.argsort(place, kind="stable")
+        return template[order], place[order]
+
     def scan(self, words: np.ndarray, idf: np.ndarray) -> tuple[set[str], float]:
         """Labels that the templates give one text, and the best cover."""
         here = np.flatnonzero(words >= 0)
@@ -119,6 +129,16 @@ def _places(words: np.ndarray, phrase: list[int]) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def _anchored(words: np.ndarray, first: np.ndarray, phrase: list[int], lead: int) -> np.ndarray:
+    """Where a phrase begins within a text of the slab, by the places of its word ``lead``."""
+    at = np.flatnonzero(words == phrase[lead]) - lead
+    at = at[(at >= 0) & (at + len(phrase) <= len(words))]
+    at = at[np.searchsorted(first, at, side="right") == np.searchsorted(first, at + len(phrase) - 1, side="right")]
+    for k, w in enumerate(phrase):
+        at = at[words[at + k] == w]
+    return at
+
+
 def frequencies(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
     """In how many texts each word of the index stands, and how many texts."""
     size = len(index.words)
@@ -149,18 +169,17 @@ def scanned(docs: DataFrame, templates: dict = TEMPLATES, id_col: str = "doc_id"
     index = Index(templates)
     df, n = frequencies(docs, index)
     idf = np.log((n + 1) / (df + 0.5)).clip(1e-3)
-    # a text whose best licence words are all common ones can't hold a template
-    rare = np.zeros(len(idf) + 1, bool)
-    rare[:-1] = idf >= (np.median(idf[df > 0]) if df.any() else 0)
 
     def run(slab: Slab) -> dict:
         words, first = index.numbers(slab)
-        interesting = np.add.reduceat(np.concatenate([rare[words], [False]]).astype(np.int64), first[:-1]) if len(slab) else []
+        # without a key phrase a text has no template
+        _, place = index.key_places(words, first, idf)
+        holds = np.diff(np.searchsorted(place, first)) > 0
         out: dict = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
         for i in range(len(slab)):
             w = words[first[i] : first[i + 1]]
             places, labels = [], set()
-            if len(w) and interesting[i]:
+            if holds[i]:
                 more, score = index.scan(w, idf)
             else:
                 more, score = set(), 0.0

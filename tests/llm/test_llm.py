@@ -409,3 +409,10 @@ def test_pipeline_near_copies_of_eighty_percent(spark):
     assert [comp[i] for i in range(8)] == [0, 0, 2, 2, 4, 5, 6, 6]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in got.collect()} == {i for i, c in comp.items() if i == c}
+
+
+def test_frequent_licenses(spark):
+    notice = "Licensed under the MIT License."
+    rows = [(i, f"aa bb {notice} cc" if i % 3 else "apache gnu lesser affero mozilla redistribution unencumbered cc0") for i in range(60)]
+    got = by_id(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {i for i, r in got.items() if r.labels == "mit" and r.score == 1} == {i for i, _ in rows if i % 3}
