@@ -1,12 +1,13 @@
 """License scans by a positional index of rare license words.
 
-An index holds, for each word of the license templates, the templates and
-positions where it stands.  The document frequencies of these words are
-counted over the whole corpus.  Of each text, the ``TOP`` licence words with
-the highest inverse document frequency are looked up; each of their places
-votes for (template, place - position), so that words standing as they stand
-in a template agree on one offset.  Offsets with enough weight are verified:
-a mandatory key phrase of the template must stand there word for word.
+An index numbers the words of the license templates and holds each template
+and key phrase by word numbers.  The document frequencies of these words are
+counted over the whole corpus.  Of each template's mandatory key phrase, the
+word with the highest inverse document frequency is looked up at all its
+places, and the phrase verified there word for word.  Each offset of the
+template that holds the phrase then gets the weight of all words standing as
+they stand in the template, and counts if that is enough.  What else a text
+holds changes nothing.
 
 The base phrases are searched by word numbers of the same index, at every
 place.
@@ -18,8 +19,6 @@ alike; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +51,9 @@ TEMPLATES = {
     "unlicense": [("this is free and unencumbered software released into the public domain", "free and unencumbered software")],
 }
 
-TOP, SHARE = 16, 0.3
+SHARE = 0.3
+#: Key phrases of a text that are weighed at a time.
+CHUNK = 1000
 
 
 class Index:
@@ -68,10 +69,6 @@ class Index:
                 self.keys.append([number.setdefault(w, len(number)) for w in key.split()])
         self.base = [([number.setdefault(w, len(number)) for w in p.split()], label) for p, label in BASE.items()]
         self.words = list(number)
-        self.postings = defaultdict(list)
-        for t, ws in enumerate(self.words_of):
-            for q, w in enumerate(ws):
-                self.postings[w].append((t, q))
         data = np.frombuffer("".join(self.words).encode(), np.uint8)
         size = np.array([len(w.encode()) for w in self.words])
         ends = np.cumsum(size)
@@ -97,25 +94,23 @@ class Index:
         order = np.argsort(place, kind="stable")
         return template[order], place[order]
 
-    def scan(self, words: np.ndarray, idf: np.ndarray) -> tuple[set[str], float]:
-        """Labels that the templates give one text, and the best cover."""
-        here = np.flatnonzero(words >= 0)
-        present = np.unique(words[here])
-        top = present[np.argsort(-idf[present], kind="stable")[:TOP]]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for p in here[np.isin(words[here], top)].tolist():
-            w = int(words[p])
-            for t, q in self.postings[w]:
-                votes[t, p - q] += idf[w]
+    def scan(self, words: np.ndarray, template: np.ndarray, place: np.ndarray, idf: np.ndarray) -> tuple[set[str], float]:
+        """Labels that the key phrases of one text give it, and the best cover."""
         labels, best = set(), 0.0
-        for (t, offset), weight in votes.items():
-            whole = sum(idf[w] for w in self.words_of[t])
-            if weight < SHARE * whole:
-                continue
-            lo, hi = max(0, offset), offset + len(self.words_of[t])
-            if len(_places(words[lo:hi], self.keys[t])):
-                labels.add(self.labels[t])
-                best = max(best, min(1.0, weight / whole))
+        padded = np.concatenate([words, [-1]])
+        for t in np.unique(template).tolist():
+            mine = np.array(self.words_of[t])
+            whole = idf[mine].sum()
+            inside = np.arange(len(self.keys[t]) - len(mine), 1)
+            keys = place[template == t]
+            for i in range(0, len(keys), CHUNK):
+                offset = np.unique(keys[i : i + CHUNK, None] + inside)
+                at = offset[:, None] + np.arange(len(mine))
+                at[(at < 0) | (at >= len(words))] = len(words)
+                weight = ((padded[at] == mine) * idf[mine]).sum(1).max()
+                if weight >= SHARE * whole:
+                    labels.add(self.labels[t])
+                    best = max(best, min(1.0, weight / whole))
         return labels, best
 
 
@@ -173,14 +168,14 @@ def scanned(docs: DataFrame, templates: dict = TEMPLATES, id_col: str = "doc_id"
     def run(slab: Slab) -> dict:
         words, first = index.numbers(slab)
         # without a key phrase a text has no template
-        _, place = index.key_places(words, first, idf)
-        holds = np.diff(np.searchsorted(place, first)) > 0
+        template, place = index.key_places(words, first, idf)
+        of = np.searchsorted(place, first)
         out: dict = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
         for i in range(len(slab)):
             w = words[first[i] : first[i + 1]]
             places, labels = [], set()
-            if holds[i]:
-                more, score = index.scan(w, idf)
+            if of[i] < of[i + 1]:
+                more, score = index.scan(w, template[of[i] : of[i + 1]], place[of[i] : of[i + 1]] - first[i], idf)
             else:
                 more, score = set(), 0.0
             if len(w) and w.max() >= 0:

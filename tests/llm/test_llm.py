@@ -416,3 +416,37 @@ def test_frequent_licenses(spark):
     rows = [(i, f"aa bb {notice} cc" if i % 3 else "apache gnu lesser affero mozilla redistribution unencumbered cc0") for i in range(60)]
     got = by_id(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
     assert {i for i, r in got.items() if r.labels == "mit" and r.score == 1} == {i for i, _ in rows if i % 3}
+
+
+def test_licenses_beside_others(spark):
+    every = [(label, t) for label, pairs in licenses.TEMPLATES.items() for t, _ in pairs]
+    rows = [(0, " and so. ".join(t for _, t in every))] + [(1 + k, t) for k, (_, t) in enumerate(every)]
+    rows += [(100 + k, "Licensed under the MIT License") for k in range(60)]
+    got = by_id(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert set(got[0].labels.split(",")) >= set(licenses.TEMPLATES)
+    assert all(label in got[1 + k].labels.split(",") and got[1 + k].score == 1 for k, (label, _) in enumerate(every))
+
+
+def test_license_places_against_every_offset():
+    r = random.Random(5)
+    index = licenses.Index()
+    idf = np.random.default_rng(5).uniform(0.001, 5, len(index.words))
+    texts = []
+    for _ in range(150):
+        parts = [r.choice(index.words_of)[r.randint(0, 3) :][: r.randint(1, 30)] if r.random() < 0.5 else [r.randrange(-1, len(index.words))] for _ in range(r.randint(0, 12))]
+        texts.append([w for p in parts for w in p])
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    template, place = index.key_places(np.array([w for t in texts for w in t]), first, idf)
+    of = np.searchsorted(place, first)
+    for i, w in enumerate(texts):
+        labels, best = set(), 0.0
+        for t, (mine, key) in enumerate(zip(index.words_of, index.keys, strict=True)):
+            whole = sum(idf[x] for x in mine)
+            for o in range(-len(mine), len(w)):
+                weight = sum(idf[x] for q, x in enumerate(mine) if 0 <= o + q < len(w) and w[o + q] == x)
+                here = w[max(0, o) : max(0, o + len(mine))]
+                if weight >= licenses.SHARE * whole and any(here[k : k + len(key)] == key for k in range(len(here))):
+                    labels.add(index.labels[t])
+                    best = max(best, weight / whole)
+        got, score = index.scan(np.array(w, np.int64), template[of[i] : of[i + 1]], place[of[i] : of[i + 1]] - first[i], idf)
+        assert got == labels and abs(score - best) < 1e-9
