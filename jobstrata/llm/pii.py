@@ -7,10 +7,11 @@ and only they are handed to the regular expression.  The result is what the
 pattern gives over the whole text.
 
 The CRF labels words; it is trained on a small labelled table when first
-needed (forward-backward, gradient ascent) and decoded by Viterbi over batches
-of segments.  A segment is a stretch of words with a mark (a digit, a quote or a
-person's title) and two words on either side; words outside segments are
-unmarked words in unmarked company and stay untagged.
+needed (forward-backward, gradient ascent) and decoded by Viterbi over all
+words of a text.  Every word is scored; a word whose score for O beats every
+other tag's by more than any two neighbours' tags can make up for is O on the
+best path, so the words between such words are decoded as segments of their
+own, with the moves from and to O at their borders.
 
 Defined results: null counts as empty and has no spans; spans are in code
 points with an exclusive end; equal rows get equal answers; other columns are
@@ -143,6 +144,17 @@ Mente. Ciones 99 mente. Ciones
 "Keller" and "Smith" are words
 "deadbeef" is not "cafe" here
 "1234567890" was printed twice
+asked Dr. Karl/name Otto/name Braun/name again
+with Mrs. Ana/name Maria/name Gomez/name Ruiz/name there
+lives at 14/address Upper/address Mill/address Street/address now
+from 30/address Old/address North/address Park/address Avenue/address here
+Ther. Ther. Ther. Ther. Ther. Ther. Ther. Ther. Ther. Ther. Ther. Ther.
+Orre Orre Orre Orre Orre Orre Orre Orre Orre Orre Orre Orre Orre Orre
+Ietzte. Stteen Erachtz. Ietzte. Stteen Erachtz. Ietzte. Stteen
+Und Und Und Und Und Und Und Und Und Und Und Und Und Und Und Und
+Of. To. Of. To. Of. To. Of. To. Of. To. Of. To. Of. To. Of. To.
+Ationenderther Ationenderther Ationenderther Ationenderther Ationenderther
+The Main Street and Hill Road were closed
 """
 
 _TITLES = (b"Dr.", b"Mr.", b"Mrs.", b"Ms.", b"Prof.", b"Mme.", b"Sr.", b"Sra.")
@@ -201,6 +213,10 @@ def _known_hashes() -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.array([_KNOWN[words[k]] for k in order])
 
 
+#: Far above what rounding can change in a score.
+SLACK = 1e-6
+
+
 class Crf:
     """Scores of (shape here, before, after -> tag) and (tag -> tag)."""
 
@@ -212,7 +228,7 @@ class Crf:
         self.move = np.zeros((t, t))
 
     def scores(self, shape: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """(words, tags); ``edge`` marks the first word of each segment."""
+        """(words, tags); ``edge`` marks the first word of each text."""
         none = self.SHAPES
         before = np.concatenate([[none], shape[:-1]])
         before[edge] = none
@@ -249,21 +265,48 @@ class Crf:
         return self
 
     def decode(self, shape: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Best tags; segments begin at ``first`` (one more entry past the end).
+        """Best tags; texts begin at ``first`` (one more entry past the end)."""
+        if not len(shape):
+            return np.zeros(0, np.int64)
+        edge = np.zeros(len(shape), bool)
+        edge[first[:-1]] = True
+        return self._paths(self.scores(shape, edge), first)
+
+    def decode_all(self, shape: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The same as ``decode``, but words that must be O cut texts into short segments."""
+        tags = np.zeros(len(shape), np.int64)
+        if not len(shape):
+            return tags
+        edge = np.zeros(len(shape) + 1, bool)
+        edge[first] = True
+        s = self.scores(shape, edge[:-1])
+        # the most that tags of the neighbours (none, at a border) can give a tag over O
+        most = np.maximum(0, (self.move - self.move[:, :1]).max(0)) + np.maximum(0, (self.move - self.move[:1]).max(1))
+        free = (s[:, :1] - s[:, 1:] <= most[1:] + SLACK).any(1)
+        pick = np.flatnonzero(free)
+        if not len(pick):
+            return tags
+        new, last = edge[pick], edge[pick + 1]
+        after_o, before_o = ~new, ~last
+        after_o[~new] = ~free[pick[~new] - 1]
+        before_o[~last] = ~free[pick[~last] + 1]
+        part = s[pick]
+        part[after_o] += self.move[0]
+        part[before_o] += self.move[:, 0]
+        tags[pick] = self._paths(part, np.concatenate([np.flatnonzero(new | after_o), [len(pick)]]))
+        return tags
+
+    def _paths(self, s: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Best paths through scores; segments begin at ``first``.
 
         All segments advance together, longest first, so that step i touches
         only those with more than i words.
         """
         size = np.diff(first)
-        tags = np.zeros(len(shape), np.int64)
-        if not len(shape):
-            return tags
-        edge = np.zeros(len(shape), bool)
-        edge[first[:-1]] = True
-        s = self.scores(shape, edge)
+        tags = np.zeros(len(s), np.int64)
         order = np.argsort(-size, kind="stable")
         begin, size = first[:-1][order], size[order]
-        came = np.zeros((len(shape), len(TAGS)), np.int8)
+        came = np.zeros((len(s), len(TAGS)), np.int8)
         best = s[begin].copy()
         for i in range(1, int(size[0])):
             live = int(np.searchsorted(-size, -i, side="left"))
@@ -308,31 +351,15 @@ def added_spans(slab: Slab, crf: Crf) -> list[list[tuple[str, int, int]]]:
     if not len(starts):
         return out
     doc = np.searchsorted(slab.offs, starts, side="right") - 1
-    mark = np.zeros(len(slab.data) + 1, np.int64)
-    np.cumsum(_IS_DIGIT[slab.data] | (slab.data == 34), out=mark[1:])
-    marked = mark[ends] > mark[starts]
-    titles = np.flatnonzero(_UPPER[slab.data[starts]] & (slab.data[ends - 1] == 46) & (ends - starts <= 5))
-    kind = shapes(slab.data, starts[titles], ends[titles])
-    marked[titles[kind == _KNOWN[_TITLES[0]]]] = True
-    near = marked.copy()
-    for k in (1, 2):
-        near[k:] |= marked[:-k]
-        near[:-k] |= marked[k:]
-    pick = np.flatnonzero(near)
-    if not len(pick):
-        return out
-    new = np.ones(len(pick), bool)
-    new[1:] = (np.diff(pick) > 1) | (np.diff(doc[pick]) > 0)
-    first = np.concatenate([np.flatnonzero(new), [len(pick)]])
-    tags = crf.decode(shapes(slab.data, starts[pick], ends[pick]), first)
+    first = np.concatenate([np.flatnonzero(np.diff(doc, prepend=-1)), [len(doc)]])
+    tags = crf.decode_all(shapes(slab.data, starts, ends), first)
     hit = np.flatnonzero(tags)
-    segment = np.searchsorted(first, hit, side="right")
     k = 0
     while k < len(hit):
         j = k
-        while j + 1 < len(hit) and hit[j + 1] == hit[j] + 1 and tags[hit[j + 1]] == tags[hit[k]] and segment[j + 1] == segment[k]:
+        while j + 1 < len(hit) and hit[j + 1] == hit[j] + 1 and tags[hit[j + 1]] == tags[hit[k]] and doc[hit[j + 1]] == doc[hit[k]]:
             j += 1
-        a, b = pick[hit[k]], pick[hit[j]]
+        a, b = hit[k], hit[j]
         off = slab.offs[doc[a]]
         out[doc[a]].append((TAGS[tags[hit[k]]], int(starts[a] - off), int(ends[b] - off)))
         k = j + 1

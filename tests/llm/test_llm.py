@@ -450,3 +450,33 @@ def test_license_places_against_every_offset():
                     best = max(best, weight / whole)
         got, score = index.scan(np.array(w, np.int64), template[of[i] : of[i + 1]], place[of[i] : of[i + 1]] - first[i], idf)
         assert got == labels and abs(score - best) < 1e-9
+
+
+def test_crf_decodes_whole_texts():
+    crf = pii.trained_crf()
+    r = random.Random(7)
+    want = {
+        "we saw Dr. Martin Luther King there": ["Martin Luther King"],
+        "signed by Mrs. Maria Anna Lopez Garcia in spring": ["Maria Anna Lopez Garcia"],
+        "he lives at 12 Upper Baker Street in town": ["12 Upper Baker Street"],
+        "he lives at 12 Old Upper Baker Street in town": ["12 Old Upper Baker Street"],
+        " ".join(["Sich"] * 300): [],
+    }
+    pool = "the of and Was Der Dr. Mr. King Street Road 12 4711 x7 \"q7Zt19sK\" = token \"on\" Upper Baker a1b2c3 LOUD!! DE89370400440532013000".split()
+    some = [t for _, t in texts() if t] + list(want) + [" ".join(r.choice(pool) for _ in range(r.randint(1, 60))) for _ in range(400)] + ["", " ", "12", "Dr."]
+    raw = [t.encode() for t in some]
+    slab = pii.Slab(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]), [None] * len(raw))
+    for i, (b, got) in enumerate(zip(raw, pii.added_spans(slab, crf), strict=True)):
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        starts, ends = np.array(at, np.int64).reshape(-1, 2).T
+        tags = crf.decode(pii.shapes(np.frombuffer(b, np.uint8), starts, ends), np.array([0, len(at)])) if at else []
+        spans, last = [], 0
+        for tag, (s, e) in zip(tags, at, strict=True):
+            if tag and tag == last:
+                spans[-1] = (*spans[-1][:2], e)
+            elif tag:
+                spans.append((pii.TAGS[tag], s, e))
+            last = tag
+        assert got == spans, some[i]
+        if some[i] in want:
+            assert [b[s:e].decode() for _, s, e in got] == want[some[i]]
