@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,14 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="jobstrata-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a session that runs in one process may do without: it gets a folder
+    of its own.  Elsewhere a machine's own folder would lose tables.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = _OWN.get(spark.sparkContext.applicationId)
+    if base is None:
+        base = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="jobstrata-")
     return base
 
 
+#: Folders made for sessions in one process: application -> folder.
+_OWN: dict[str, str] = {}
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage.
 
@@ -74,15 +87,19 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of an Arrow batch: texts are long, and both sides hold a batch as a whole.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: both sides hold a batch as a whole.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session asks for its own size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small, unless the session asks for sizes of its own (other
+    than Spark's defaults).  Plans read these settings when they run, so they stay set.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size) == "67108864b":
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def doc_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ def _forest(batches):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        if len(parent) > 2_000_000:  # bounded state: give out what is known and begin anew
+        if len(parent) > 500_000:  # bounded state: give out what is known and begin anew
             yield _links(parent, find)
             parent.clear()
     yield _links(parent, find)

@@ -71,37 +71,70 @@ def brute_groups(rows, percent=85):
         w = words_of((t or "").translate(lower))
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     comp = {i: i for i, _ in rows}
-    for _ in rows:
-        for i in sets:
-            for j in sets:
-                both = len(sets[i] & sets[j])
-                if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+    near = [(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    while any(comp[i] != comp[j] for i, j in near):
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
     return sets, comp
 
 
 def test_minhash(spark, docs, empty):
     sets, comp = brute_groups(texts())
-    got = by_id(minhash.near_groups(docs))
+    got = by_id(minhash.near_groups(docs, 85))
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
     assert comp[7] == comp[8] == 6
     assert minhash.near_groups(empty).count() == 0
-    one = minhash.one_of_each(docs)
+    one = minhash.one_of_each(docs, 85)
     assert one.columns == docs.columns and one.count() == sum(i == c for i, c in comp.items())
 
 
-def test_minhash_large_group(spark):
-    r = random.Random(9)
-    base = [f"w{k}" for k in range(150)]
+def near_copies(n, words, changes, seed=9):
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
     rows = []
-    for i in range(160):
+    for i in range(n):
         w = list(base)
-        for _ in range(r.randint(1, 6)):
-            w[r.randrange(150)] = f"e{r.randrange(10**6)}"
+        for _ in range(r.randint(*changes)):
+            w[r.randrange(words)] = f"e{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    _, comp = brute_groups(rows)
-    got = by_id(minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    return rows
+
+
+@pytest.mark.parametrize("n, words, changes, small, block", [(160, 150, (1, 6), 48, 60_000), (500, 60, (0, 3), 48, 60_000), (160, 150, (1, 6), 3, 3000)])
+def test_minhash_large_group(spark, monkeypatch, n, words, changes, small, block):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK_ITEMS", block)
+    rows = near_copies(n, words, changes)
+    sets, comp = brute_groups(rows)
+    assert len(set(comp.values())) > 3
+    got = by_id(minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 85))
     assert {i: g.component_id for i, g in got.items()} == comp
+    assert {i: g.n_shingles for i, g in got.items()} == {i: len(x) for i, x in sets.items()}
+
+
+def test_minhash_links_of_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "pq")
+    rows = [(5, a), (5, b), (7, a + " one"), (8, b + " two"), (9, b + " two"), (3, "alone")]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_groups(got, 85).collect()) == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 5, False)]
+
+
+def test_forest_is_as_small_as_can_be():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(r.integers(1, 30))
+        near = r.random((n, n)) < 0.1
+        near |= near.T
+        part = r.integers(0, 12, n)
+        links = minhash.forest(near, part)
+        whole = {int(p): int(p) for p in part}
+        for a, b in [(int(part[i]), int(part[j])) for i, j in np.argwhere(near)]:
+            whole = {k: min(whole[a], whole[b]) if v in (whole[a], whole[b]) else v for k, v in whole.items()}
+        mine = {int(p): int(p) for p in part}
+        for a, b in links:
+            assert mine[a] != mine[b]  # none that is not needed
+            mine = {k: min(mine[a], mine[b]) if v in (mine[a], mine[b]) else v for k, v in mine.items()}
+        assert mine == whole
 
 
 def test_super_minhash_estimates():
@@ -381,7 +414,7 @@ def test_pipeline(spark, tmp_path):
     at = spark.read.parquet(f"{d}/documents.parquet")
     judged = {r.doc_id: r.kept for r in rules.judged(at).collect()}
     left = [(i, t) for i, t in texts() if judged[i]]
-    _, comp = brute_groups(left)
+    _, comp = brute_groups(left, 80)
     left = [(i, t) for i, t in left if comp[i] == i]
     gone = brute_removed(left)
     for name, stage in corpus_pipeline.STAGES[:-1]:
