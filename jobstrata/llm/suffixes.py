@@ -18,10 +18,14 @@ so their common prefix is known; after MATCH / GRAM rounds, suffixes without a
 border between them share MATCH bytes.  In each such interval the earliest
 place stays and the others are covered.
 
+*Marks.*  What is to be covered, or needed for the merge, is kept by range of
+documents (doc_id modulo a prime): a row holds many marks, and a range's marks
+stand before its documents in one sorted run.
+
 Defined results: null counts as empty; texts shorter than MATCH lose nothing;
 rows with a null doc_id are neither searched nor changed; rows that repeat a
 doc_id are the same document and must have its text; overlapping repeats
-count, as do repeats within one text.
+count, as do repeats within one text; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +44,9 @@ SPAN = MATCH - KMER + 1  # k-mers in a window
 UNIT_BYTES = 6 << 20  # text after which the map side gives out what it has
 SHARD = 1 << 17  # positions of a shard
 MERGE = 1 << 19  # positions after which a task merges what it holds, at an anchor's border
-HOT = 2000  # different stretches of an anchor beyond which it is split
+HOT = 2000  # different stretches of an anchor beyond which it is split ...
+HOTTER = (1, 8, 16)  # ... and of how many times that by the next of the widths
+WIDTHS = {2: 35, 3: 12, 4: 1}
 PIECE = 4 << 20  # longest part of a text that is scanned at once
 _POS = np.uint64((1 << 24) - 1)
 
@@ -154,70 +160,154 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-MARK = "doc_id long, kind int, lo binary, more binary, anchor binary"
+#: Marks of a range of documents: kind 1, stretches to cover; other kinds,
+#: stretches whose bytes are needed (of anchors to split by the width WIDTHS[kind]).
+MARK = "span int, kind int, doc binary, lo binary, more binary, anchor binary"
+_DTYPES = (("doc", np.int64), ("lo", np.int32), ("more", np.uint8), ("anchor", np.uint64))
+MARKS = 1 << 20  # marks that a task holds before it gives them out
+
+
+def n_spans(parts: int) -> int:
+    """Ranges of documents: a prime, so that ids in any steps are dealt evenly."""
+    n = 8 * parts + 1
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 2
+    return n
+
+
+class Marks:
+    """Marks of one task, given out by range of documents and kind.
+
+    Rows of a task hold many marks each; there are never more rows than marks.
+    """
+
+    def __init__(self, spans: int, schema: pa.Schema):
+        self.spans, self.schema, self.parts, self.size = spans, schema, [], 0
+
+    def add(self, kind, doc, lo, more, anchor=None) -> None:
+        if len(doc):
+            kind = np.full(len(doc), kind, np.uint8) if np.isscalar(kind) else kind.astype(np.uint8)
+            self.parts.append((kind, doc, lo.astype(np.int32), more.astype(np.uint8), np.zeros(len(doc), np.uint64) if anchor is None else anchor))
+            self.size += len(doc)
+
+    def give(self, least: int = 1):
+        if self.size < least or not self.parts:
+            return
+        kind, doc, lo, more, anchor = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        span = np.mod(doc, self.spans)
+        order = np.lexsort((lo, doc, kind, span))
+        kind, doc, lo, more, anchor, span = (x[order] for x in (kind, doc, lo, more, anchor, span))
+        cut = np.flatnonzero(np.concatenate([[True], (span[1:] != span[:-1]) | (kind[1:] != kind[:-1])]))
+        ends = np.concatenate([cut[1:], [len(doc)]])
+        for i in range(0, len(cut), 2000):
+            pairs = list(zip(cut[i : i + 2000].tolist(), ends[i : i + 2000].tolist(), strict=True))
+            first = cut[i : i + 2000]
+            columns = [span[first], kind[first]] + [[v[x:y].tobytes() for x, y in pairs] for v in (doc, lo, more)] + [[anchor[x:y].tobytes() if kind[x] != 1 else b"" for x, y in pairs]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
 
 
 def repeated(packed: DataFrame) -> DataFrame:
-    """By document: stretches to cover (kind 1), stretches whose bytes are
-    needed (kind 0), and such of anchors with very many stretches (kind 2)."""
+    """Marks of stretches that an earlier place repeats as a whole, and of such
+    whose bytes are needed because their anchor has several different ones."""
     spark = packed.sparkSession
     schema = arrow_schema(spark, MARK)
-    rows = packed.repartition(n_parts(spark), "bucket")
+    spans = n_spans(n_parts(spark))
+    rows = packed.repartition(n_parts(spark), "bucket").sortWithinPartitions("bucket")
+
+    def flush(got: list[tuple], marks: Marks) -> None:
+        anchor, body, doc, lo, more, _ = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((lo, doc, body, anchor))
+        anchor, body, doc, lo, more = (x[order] for x in (anchor, body, doc, lo, more))
+        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        new_body = new_anchor | np.concatenate([[True], body[1:] != body[:-1]])
+        group = np.cumsum(new_anchor) - 1
+        bodies_of = np.bincount(group[new_body])[group]
+        head = np.flatnonzero(new_body)
+        owner = np.repeat(head, np.diff(np.concatenate([head, [len(new_body)]])))
+        twin = ~new_body & ~((doc == doc[owner]) & (lo == lo[owner]))
+        marks.add(1, doc[twin], lo[twin], more[twin])
+        need = new_body & (bodies_of > 1)
+        kind = np.select([bodies_of[need] > HOT * x for x in HOTTER[::-1]], [2 + k for k in range(len(HOTTER))][::-1], 0)
+        marks.add(kind, doc[need], lo[need], more[need], anchor[need])
 
     def run(batches):
-        got: dict[str, list] = {k: [] for k in ("anchor", "body", "doc", "lo", "more", "many")}
-        done: list[tuple] = []
+        marks, got, bucket = Marks(spans, schema), [], None
         for b in batches:
-            kinds = b.column("kind").to_pylist()
-            for k, kind in enumerate(kinds):
-                x = {c: np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("anchor", np.uint64), ("body", np.uint64), ("doc", np.int64), ("lo", np.int32), ("more", np.uint8), ("many", np.uint8))}
+            for k, (number, kind) in enumerate(zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), strict=True)):
+                x = [np.frombuffer(b.column(c)[k].as_buffer(), t).copy() for c, t in (("anchor", np.uint64), ("body", np.uint64), ("doc", np.int64), ("lo", np.int32), ("more", np.uint8), ("many", np.uint8))]
+                if number != bucket and got:
+                    flush(got, marks)
+                    got = []
+                bucket = number
                 if kind:
-                    done.append((x["doc"].copy(), x["lo"].copy(), x["more"].copy()))
+                    marks.add(1, *x[2:5])
                 else:
-                    for c, v in x.items():
-                        got[c].append(v.copy())
-        kinds, doc, lo, more, anchor = [], [], [], [], []
-        for d, a, m in done:
-            _extend((kinds, doc, lo, more, anchor), (np.ones(len(d), np.int8), d, a, m, np.zeros(len(d), np.uint64)))
-        if got["anchor"]:
-            x = {c: np.concatenate(v) for c, v in got.items()}
-            got.clear()
-            order = np.lexsort((x["lo"], x["doc"], x["body"], x["anchor"]))
-            x = {c: v[order] for c, v in x.items()}
-            new_anchor = np.concatenate([[True], x["anchor"][1:] != x["anchor"][:-1]])
-            new_body = new_anchor | np.concatenate([[True], x["body"][1:] != x["body"][:-1]])
-            group = np.cumsum(new_anchor) - 1
-            bodies = np.bincount(group[new_body])
-            head = np.flatnonzero(new_body)
-            owner = np.repeat(head, np.diff(np.concatenate([head, [len(new_body)]])))
-            twin = ~new_body & ~((x["doc"] == x["doc"][owner]) & (x["lo"] == x["lo"][owner]))
-            need = new_body & (bodies[group] > 1)
-            for pick, kind in ((twin, None), (need, bodies[group] > HOT)):
-                number = np.ones(int(pick.sum()), np.int8) if kind is None else 2 * kind[pick].astype(np.int8)
-                _extend((kinds, doc, lo, more, anchor), (number, *(x[c][pick] for c in ("doc", "lo", "more", "anchor"))))
-        if not doc:
-            return
-        kinds, doc, lo, more, anchor = (np.concatenate(v) for v in (kinds, doc, lo, more, anchor))
+                    got.append(x)
+                yield from marks.give(MARKS)
+        if got:
+            flush(got, marks)
+        yield from marks.give()
         trim()
-        yield from _by_doc(schema, doc, kinds, lo, more, anchor)
 
     return rows.mapInArrow(run, MARK)
 
 
-def _extend(lists, arrays) -> None:
-    for x, a in zip(lists, arrays, strict=True):
-        x.append(a)
+class Held:
+    """The marks of one range of documents, found by doc_id."""
 
+    def __init__(self):
+        self.parts, self.kind = {c: [] for c, _ in _DTYPES}, []
 
-def _by_doc(schema, doc, kinds, lo, more, anchor):
-    order = np.lexsort((lo, kinds, doc))
-    doc, kinds, lo, more, anchor = doc[order], kinds[order], lo[order], more[order], anchor[order]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (kinds[1:] != kinds[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.concatenate([cut[1:], [len(doc)]])
-    for i in range(0, len(cut), 20_000):
-        a, b = cut[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist()
-        columns = [doc[a], kinds[a].astype(np.int32)] + [[v[x:y].tobytes() if keep is None or kinds[x] != keep else b"" for x, y in zip(a, b, strict=True)] for v, keep in ((lo, None), (more, None), (anchor, 1))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    def add(self, row: dict) -> None:
+        for c, t in _DTYPES:
+            got = np.frombuffer(row[c], t)
+            self.parts[c].append(got if len(got) or c != "anchor" else np.zeros(len(self.parts["doc"][-1]), t))
+        self.kind.append(np.full(len(self.parts["doc"][-1]), row["kind"], np.uint8))
+
+    def ready(self) -> Held:
+        if self.kind is not None:
+            x = {c: np.concatenate(v) if v else np.zeros(0, t) for (c, t), v in zip(_DTYPES, self.parts.values(), strict=True)}
+            x["kind"] = np.concatenate(self.kind) if self.kind else np.zeros(0, np.uint8)
+            order = np.argsort(x["doc"], kind="stable")
+            self.doc, self.lo, self.more, self.anchor, self.kinds = (x[c][order] for c in ("doc", "lo", "more", "anchor", "kind"))
+            self.parts, self.kind = {}, None
+        return self
+
+    def of(self, doc: int | None) -> slice:
+        if doc is None:
+            return slice(0, 0)
+        return slice(int(np.searchsorted(self.doc, doc)), int(np.searchsorted(self.doc, doc, side="right")))
+
+
+def _meeting(docs: DataFrame, key: str, marks: DataFrame) -> DataFrame:
+    """Documents (as ``row``) behind the marks of their range, range by range."""
+    spark = docs.sparkSession
+    parts = n_parts(spark)
+    number = docs[key].cast("long")
+    # a row without an id has no marks: any range does
+    other = F.xxhash64(*[docs[f"`{c}`"] for c, t in docs.dtypes if "map<" not in t])
+    span = F.pmod(F.coalesce(number, other), F.lit(n_spans(parts))).cast("int")
+    mark = F.struct("kind", "doc", "lo", "more", "anchor")
+    left = marks.select("span", F.lit(0).alias("turn"), mark.alias("mark"), F.lit(None).cast(docs.schema).alias("row"))
+    right = docs.select(span.alias("span"), F.lit(1).alias("turn"), F.lit(None).cast(left.schema["mark"].dataType).alias("mark"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    return left.unionByName(right).repartition(parts, "span").sortWithinPartitions("span", "turn")
+
+
+def _met(batches):
+    """(documents as struct array, marks of their range) of a task's rows."""
+    span, held = None, Held()
+    for b in batches:
+        spans, turns = b.column("span").to_numpy(), b.column("turn").to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], (spans[1:] != spans[:-1]) | (turns[1:] != turns[:-1])])) if len(spans) else np.zeros(0, np.int64)
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(spans)], strict=True):
+            if spans[x] != span:
+                span, held = spans[x], Held()
+            if turns[x] == 0:
+                for row in b.column("mark").slice(x, y - x).to_pylist():
+                    held.add(row)
+            else:
+                yield b.column("row").slice(x, y - x), held.ready()
 
 
 BODY = "bucket int, anchor binary, doc binary, lo binary, more binary, bytes binary"
@@ -226,72 +316,95 @@ BODY = "bucket int, anchor binary, doc binary, lo binary, more binary, bytes bin
 def bodies(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """The bytes of the stretches that are needed, packed by bucket.
 
-    The windows of a split anchor go by a second key: those with at least as
-    many bytes left of the anchor as right by the bytes left of it, the others
-    by those right of it, which all equal windows share too.
+    Stretches of hot anchors are split first; parts that are equal as a whole
+    stay once in what a task gives out, the later ones (rows without an anchor)
+    are covered.
     """
     schema = arrow_schema(docs.sparkSession, BODY)
-    wanted = marks.where("kind <> 1").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "lo", "more", "anchor")).alias("want"))
-    rows = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "want")
+    rows = _meeting(docs, "doc_id", marks.where("kind <> 1"))
 
-    def give(parts: list[tuple]) -> pa.RecordBatch:
-        anchor, doc, lo, more = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        texts = [t for p in parts for t in p[4]]
-        order = np.argsort(anchor, kind="stable")
+    def give(parts: list[tuple], unit: int) -> pa.RecordBatch:
+        anchor, doc, lo, more, split = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        texts = [t for p in parts for t in p[5]]
+        out, keep = [], np.ones(len(doc), bool)
+        first: dict[tuple, int] = {}
+        for k in np.flatnonzero(split)[np.lexsort((lo[split], doc[split]))].tolist():
+            same = first.setdefault((int(anchor[k]), texts[k]), k)
+            keep[k] = same == k
+            if same != k and (doc[same], lo[same]) == (doc[k], lo[k]):
+                split[k] = False  # the same row once more: neither kept nor covered
+        twin = ~keep & split
+        if twin.any():
+            out.append((unit % buckets, b"", doc[twin].tobytes(), lo[twin].tobytes(), more[twin].tobytes(), b""))
+        at = np.flatnonzero(keep)
+        order = at[np.argsort(anchor[at], kind="stable")]
         bucket = bucket_of(anchor[order], buckets)
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(bucket)]
-        out = []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             pick = order[a:b]
             out.append((int(bucket[a]), anchor[pick].tobytes(), doc[pick].tobytes(), lo[pick].tobytes(), more[pick].tobytes(), b"".join([texts[k] for k in pick.tolist()])))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        parts, size = [], 0
-        for b in batches:
-            for i, text, want in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("want"), strict=True):
+        from pyspark import TaskContext
+
+        parts, size, unit = [], 0, TaskContext.get().partitionId() * 7919
+        for row, held in _met(batches):
+            for i, text in zip(row.field("doc_id").to_pylist(), row.field("text"), strict=True):
+                want = held.of(i)
+                if want.start == want.stop:
+                    continue
                 raw = text.as_py()
                 raw = raw.encode() if raw else b""
-                for w in want:
-                    lo = np.frombuffer(w["lo"].as_buffer(), np.int32)
-                    more = np.frombuffer(w["more"].as_buffer(), np.uint8)
-                    anchor = np.frombuffer(w["anchor"].as_buffer(), np.uint64)
-                    if w["kind"].as_py() == 2:
-                        lo, more, anchor = _split(raw, lo, more)
+                kinds = held.kinds[want]
+                for kind in np.unique(kinds).tolist():
+                    of = kinds == kind
+                    lo, more, anchor = held.lo[want][of], held.more[want][of], held.anchor[want][of]
+                    if kind:
+                        lo, more, anchor = split_stretches(raw, lo, more, WIDTHS[kind])
                     texts = [raw[s : s + m + MATCH] for s, m in zip(lo.tolist(), more.tolist(), strict=True)]
-                    parts.append((anchor, np.full(len(lo), i, np.int64), lo, more, texts))
+                    parts.append((anchor, np.full(len(lo), i, np.int64), lo, more, np.full(len(lo), kind > 0), texts))
                     size += sum(map(len, texts))
                 if size >= UNIT_BYTES:
-                    yield give(parts)
-                    parts, size = [], 0
+                    yield give(parts, unit)
+                    parts, size, unit = [], 0, unit + 1
         if parts and size:
-            yield give(parts)
+            yield give(parts, unit)
+        trim()
 
     return rows.mapInArrow(run, BODY)
 
 
-def _split(raw: bytes, lo: np.ndarray, more: np.ndarray):
-    data = np.frombuffer(raw, np.uint8)
-    out_lo, out_more, out_key = [], [], []
-    side = (MATCH - KMER) // 2
-    for s, m in zip(lo.tolist(), more.tolist(), strict=True):
-        part = data[s : s + m + MATCH]
-        h = kmer_hashes(part)
-        key = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
-        at = int(key[m : SPAN].min() & _POS)  # in every window of the stretch
-        # windows up to this one have `side` bytes between their start and the anchor
-        last_left = min(m, at - side)
-        if last_left >= 0:
-            out_lo.append(s)
-            out_more.append(last_left)
-            out_key.append((part[at - side : at + KMER], 1))
-        first_right = max(0, last_left + 1)
-        if first_right <= m:
-            out_lo.append(s + first_right)
-            out_more.append(m - first_right)
-            out_key.append((part[at : at + KMER + side], 2))
-    keys = np.array([int.from_bytes(hashlib.blake2b(k.tobytes() + bytes([t]), digest_size=8).digest(), "little") for k, t in out_key], np.uint64)
-    return np.array(out_lo, np.int32), np.array(out_more, np.uint8), keys
+def split_stretches(raw: bytes, lo: np.ndarray, more: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of stretches whose anchor stands ``width`` places apart at most,
+    keyed by the MATCH - width + 1 bytes that all windows of a part share.
+
+    Equal windows have their anchor at the same place, so they come into parts
+    of the same key; a width of one leaves each window on its own.
+    """
+    size = more.astype(np.int64) + MATCH
+    first = np.concatenate([[0], np.cumsum(size)])
+    data = np.frombuffer(b"".join([raw[s : s + n] for s, n in zip(lo.tolist(), size.tolist(), strict=True)]), np.uint8)
+    if first[-1] > int(_POS) // 2:  # places have 24 bits
+        half = len(lo) // 2
+        return tuple(np.concatenate(x) for x in zip(*(split_stretches(raw, lo[p], more[p], width) for p in (slice(0, half), slice(half, None))), strict=True))
+    h = kmer_hashes(data)
+    key = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
+    # the anchor is the least k-mer of those that all windows of the stretch hold
+    ends = np.minimum(first[:-1] + SPAN, len(key) - 1)
+    ranges = np.stack([first[:-1] + more, ends], 1).ravel()
+    low = np.minimum.reduceat(key, ranges)[::2]
+    low = np.minimum(low, key[np.minimum(first[:-1] + SPAN - 1, len(key) - 1)])
+    at = (low & _POS).astype(np.int64)
+    top, bottom = at - first[:-1], at - first[:-1] - more  # places of the anchor in the first and last window
+    n = top // width - bottom // width + 1
+    of = np.repeat(np.arange(len(lo)), n)
+    part = bottom[of] // width + np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
+    high, least = np.minimum(part * width + width - 1, top[of]), np.maximum(part * width, bottom[of])
+    start = top[of] - high
+    shared = at[of] - part * width, at[of] - np.minimum(part * width + width - 1, SPAN - 1) + MATCH
+    keys = span_hash(data, *shared) ^ mix(part.astype(np.uint64) + np.uint64(1))
+    return (lo[of] + start).astype(np.int32), (high - least).astype(np.uint8), keys
 
 
 # --- transforms --------------------------------------------------------------
@@ -412,12 +525,13 @@ def covered(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, lo: np.ndarray,
 
 
 def repeats_within(packed: DataFrame) -> DataFrame:
-    """Covered windows of the stretches that were compared, by document."""
+    """Marks (kind 1) of the covered windows of the stretches that were compared."""
     spark = packed.sparkSession
     schema = arrow_schema(spark, MARK)
+    spans = n_spans(n_parts(spark))
     rows = packed.repartition(n_parts(spark), "bucket").sortWithinPartitions("bucket")
 
-    def flush(rows: list[tuple]):
+    def flush(rows: list[tuple], marks: Marks) -> None:
         anchor, doc, lo, more = (np.concatenate([r[k] for r in rows]) for k in range(4))
         size = more.astype(np.int64) + MATCH
         offs = np.concatenate([[0], np.cumsum(size)])
@@ -446,66 +560,66 @@ def repeats_within(packed: DataFrame) -> DataFrame:
         head = np.flatnonzero(new)
         tail = np.concatenate([head[1:], [len(new)]]) - 1
         if len(head):
-            yield from _by_doc(schema, d[head], np.ones(len(head), np.int8), s[head], (s[tail] - s[head]).astype(np.uint8), np.zeros(len(head), np.uint64))
+            marks.add(1, d[head], s[head], s[tail] - s[head])
 
     def run(batches):
-        rows, bucket = [], None
+        marks, rows, bucket = Marks(spans, schema), [], None
         for b in batches:
-            numbers = b.column("bucket").to_pylist()
-            for k, number in enumerate(numbers):
+            for k, number in enumerate(b.column("bucket").to_pylist()):
                 if number != bucket:
                     if rows:
-                        yield from flush(rows)
+                        flush(rows, marks)
+                        yield from marks.give(MARKS)
                         trim()
                     rows, bucket = [], number
                 x = [np.frombuffer(b.column(c)[k].as_buffer(), t).copy() for c, t in (("anchor", np.uint64), ("doc", np.int64), ("lo", np.int32), ("more", np.uint8))]
-                rows.append((*x, b.column("bytes")[k].as_py()))
+                if len(x[0]):
+                    rows.append((*x, b.column("bytes")[k].as_py()))
+                else:
+                    marks.add(1, *x[1:])
         if rows:
-            yield from flush(rows)
+            flush(rows, marks)
+        yield from marks.give()
+        trim()
 
     return rows.mapInArrow(run, MARK)
 
 
 def cover_marks(docs: DataFrame) -> DataFrame:
-    """All stretches of windows to cover, by document (several rows each)."""
+    """All stretches of windows to cover, by range of documents."""
     spark = docs.sparkSession
     buckets = 4 * n_parts(spark)
     marks = staged(repeated(entries(docs, buckets)), "suffixes")
     inner = staged(repeats_within(bodies(docs, marks, 4 * buckets)), "suffixes")
-    return marks.where("kind = 1").unionByName(inner).select("doc_id", "lo", "more")
+    return marks.where("kind = 1").unionByName(inner)
 
 
-def removed_mask(n: int, lo: list[bytes], more: list[bytes]) -> np.ndarray:
+def removed_mask(n: int, lo: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Which of n bytes are covered."""
-    start = np.frombuffer(b"".join(lo), np.int32).astype(np.int64)
-    end = np.minimum(start + np.frombuffer(b"".join(more), np.uint8) + MATCH, n)
+    start = lo.astype(np.int64)
+    end = np.minimum(start + more + MATCH, n)
     start = np.minimum(start, n)
     step = np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(end, minlength=n + 1)[: n + 1]
     return np.cumsum(step)[:n] > 0
 
 
-def _with_marks(docs: DataFrame, key: str, marks: DataFrame) -> DataFrame:
-    per_doc = marks.groupBy("doc_id").agg(F.collect_list("lo").alias("__lo"), F.collect_list("more").alias("__more")).withColumnRenamed("doc_id", "__id")
-    return docs.join(per_doc.hint("merge"), docs[key].cast("long") == F.col("__id"), "left").drop("__id")
-
-
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is removed from each text, and a digest of what is kept."""
     docs = doc_rows(docs, id_col, text_col)
-    rows = _with_marks(docs, "doc_id", cover_marks(docs))
+    rows = _meeting(docs, "doc_id", cover_marks(docs))
     schema = arrow_schema(docs.sparkSession, REMOVED)
 
     def run(batches):
-        for b in batches:
-            data, offs = flat(b.column("text"))
+        for row, held in _met(batches):
+            data, offs = flat(row.field("text"))
             out = []
-            for k, (i, lo, more) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("__lo"), b.column("__more"), strict=True)):
-                raw = data[offs[k] : offs[k + 1]]
-                if lo.is_valid and len(raw):
-                    gone = removed_mask(len(raw), lo.as_py(), more.as_py())
+            for k, i in enumerate(row.field("doc_id").to_pylist()):
+                raw, mine = data[offs[k] : offs[k + 1]], held.of(i)
+                if mine.start < mine.stop and len(raw):
+                    gone = removed_mask(len(raw), held.lo[mine], held.more[mine])
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     out.append((i, len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
                 else:
@@ -522,19 +636,22 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A character that loses one of its bytes goes as a whole; a null text stays
     null; ``n_chars_col``, if given, is counted anew.
     """
-    rows = _with_marks(docs, id_col, cover_marks(doc_rows(docs, id_col, text_col)))
+    rows = _meeting(docs, id_col, cover_marks(doc_rows(docs, id_col, text_col)))
     text_type = arrow_schema(docs.sparkSession, "x string").field(0).type
     names = docs.columns
 
     def run(batches):
-        for b in batches:
-            texts = b.column(text_col).to_pylist()
-            for k, (lo, more) in enumerate(zip(b.column("__lo"), b.column("__more"), strict=True)):
-                if lo.is_valid and texts[k]:
+        for row, held in _met(batches):
+            columns = dict(zip(names, row.flatten(), strict=True))
+            texts = columns[text_col].to_pylist()
+            for k, i in enumerate(columns[id_col].to_pylist()):
+                mine = held.of(i)
+                if mine.start < mine.stop and texts[k]:
                     raw = np.frombuffer(texts[k].encode(), np.uint8)
-                    gone = removed_mask(len(raw), lo.as_py(), more.as_py())
+                    gone = removed_mask(len(raw), held.lo[mine], held.more[mine])
                     texts[k] = raw[~gone].tobytes().decode("utf-8", "ignore")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, text_type) if c == text_col else b.column(c) for c in names], names=names)
+            columns[text_col] = pa.array(texts, text_type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
     out = rows.mapInArrow(run, docs.schema)
     if n_chars_col:

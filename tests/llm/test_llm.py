@@ -295,6 +295,56 @@ def test_merged_transforms(shard):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("width", [35, 12, 1])
+def test_split_stretches(width):
+    r = random.Random(3)
+    line = "".join(r.choice("abcd") for _ in range(90))
+    raw = "".join("".join(r.choice("ab") for _ in range(r.randint(5, 60))) + line for _ in range(30)).encode()
+    data = np.frombuffer(raw, np.uint8)
+    anchor, _, lo, hi = suffixes.stretches(data, np.array([0, len(data)]))
+    part_lo, part_more, key = suffixes.split_stretches(raw, lo.astype(np.int32), (hi - lo).astype(np.uint8), width)
+    assert sorted(s for a, m in zip(part_lo, part_more, strict=True) for s in range(a, a + m + 1)) == list(range(len(raw) - 99))
+    assert part_more.max() < width
+    keys = {}
+    for a, m, k in zip(part_lo, part_more, key, strict=True):
+        for s in range(a, a + m + 1):
+            assert keys.setdefault(raw[s : s + 100], k) == k
+    if width == 1:
+        assert len(set(keys.values())) == len(keys)
+
+
+@pytest.mark.parametrize("hot, hotter", [(2, (1, 2, 4)), (2, (1, 100, 1000)), (2, (0.1, 1, 1000)), (2, (0.01, 0.02, 0.1))])
+def test_suffixes_of_hot_anchors(spark, monkeypatch, hot, hotter):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOTTER", hotter)
+    r = random.Random(6)
+    line = "".join(r.choice("abcdefgh ") for _ in range(130))
+    some = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.randint(20, 90)))
+    rows = [(i, some() + line[: r.randint(70, 130)] + some() + line[r.randint(0, 40) :]) for i in range(60)]
+    rows += [(60, rows[3][1]), (61, rows[3][1][20:]), (62, "é" + rows[4][1])]
+    got = by_id(suffixes.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    for i, gone in brute_removed(rows).items():
+        assert got[i].n_removed == int(gone.sum())
+        assert got[i].kept_sha256 == hashlib.sha256(np.frombuffer(dict(rows)[i].encode(), np.uint8)[~gone].tobytes()).hexdigest()
+
+
+def test_marks_never_outnumber_themselves():
+    schema = suffixes.pa.schema([(c, t) for c, t in zip(("span", "kind", "doc", "lo", "more", "anchor"), (suffixes.pa.int32(), suffixes.pa.int32(), *[suffixes.pa.binary()] * 4), strict=True)])
+    marks = suffixes.Marks(7, schema)
+    doc = np.arange(-20, 480, dtype=np.int64)
+    marks.add(1, doc, np.arange(500), np.zeros(500))
+    marks.add(np.where(doc % 2, 2, 0), doc, np.arange(500), np.ones(500), doc.view(np.uint64))
+    rows = [r for b in marks.give() for r in b.to_pylist()]
+    assert len(rows) == 21 and not list(marks.give())
+    held = suffixes.Held()
+    for r in rows:
+        if r["span"] == -20 % 7:
+            held.add(r)
+    of = held.ready().of(-20)
+    assert sorted(zip(held.kinds[of].tolist(), held.lo[of].tolist(), strict=True)) == [(0, 0), (1, 0)]
+    assert held.of(None) == slice(0, 0) and held.of(-19) == slice(*[held.of(-19).start] * 2)
+
+
 def test_very_long_text_in_pieces(monkeypatch):
     data = np.frombuffer(("abc " * 40 + "".join(map(str, range(3000)))).encode(), np.uint8)
     slab = suffixes.Slab(data, np.array([0, len(data)]), [1])
