@@ -87,7 +87,7 @@ def stretches(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     end[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
     lo, hi = np.flatnonzero(start), np.flatnonzero(end)
     text = np.searchsorted(offs, lo, side="right") - 1
-    return h[at[lo]], text, lo, hi
+    return mix(h[at[lo]]), text, lo, hi  # least hashes stand close together; buckets are cut from even ones
 
 
 ENTRY = "bucket int, kind int, anchor binary, body binary, doc binary, lo binary, more binary, many binary"
