@@ -27,6 +27,17 @@ def rewrite(c: Column, rules: Iterable[Rule]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, F.lit(JAVA_FLAGS + r[0]), F.lit(re.sub(r"\\(\d)", r"$\1", r[1]))), rules, c)
 
 
+def without_tails(c: Column, words: Sequence[str], lead: str) -> Column:
+    """Strip words from the end of a lower-case text, each tried once, in order.
+
+    One pass instead of one for each word: what the words strip in turn is the
+    run of optional words, the last one first, that reaches the end.  No word
+    may be the end of another one, as such a run would then be read in two ways.
+    """
+    tail = "".join(rf"(?:{lead}(?:{w})\s*)?" for w in reversed(words))
+    return F.regexp_replace(c, F.lit(f"(?U){tail}$"), F.lit(""))
+
+
 def rewrite_sql(c: str, rules: Iterable[Rule]) -> str:
     return reduce(lambda x, r: f"regexp_replace({x}, {quote('(?i)' + r[0])}, {quote(r[1])}, 'g')", rules, c)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrite import contains_any, contains_any_sql, lookup, lookup_sql, matches, matches_sql, quote, rewrite, rewrite_sql
+from .rewrite import contains_any, contains_any_sql, lookup, lookup_sql, matches, matches_sql, quote, rewrite, rewrite_sql, without_tails
 
 # --- fixed values --------------------------------------------------------------
 
@@ -129,8 +129,8 @@ def normalize_title_sql(c: str) -> str:
     return _tidy_sql(rewrite_sql(_base_sql(c), GENDER))
 
 
-_PLACES = _tails(COUNTRIES) + _tails(EMPLOYMENT)
-_MORE_PLACES = _tails(MORE_COUNTRIES) + _tails(MORE_EMPLOYMENT)
+_PLACES = [*COUNTRIES, *EMPLOYMENT]
+_MORE_PLACES = [*MORE_COUNTRIES, *MORE_EMPLOYMENT]
 
 
 def _no_comma(c: Column) -> Column:
@@ -139,34 +139,31 @@ def _no_comma(c: Column) -> Column:
 
 def normalize_location(c: Column) -> Column:
     """V2: location for de-duplication; each suffix is tried once, in order."""
-    return _no_comma(_tidy(rewrite(_base(c), _PLACES)))
+    return _no_comma(_tidy(without_tails(_base(c), _PLACES, r",?\s*")))
 
 
 def normalize_location_sql(c: str) -> str:
-    return f"trim(rtrim({_tidy_sql(rewrite_sql(_base_sql(c), _PLACES))}, ','))"
-
-
-_ADVERTS = _tails(ADVERT, r"\s*")
+    return f"trim(rtrim({_tidy_sql(rewrite_sql(_base_sql(c), _tails(_PLACES)))}, ','))"
 
 
 def sync_title(c: Column) -> Column:
     """V3: title as the snapshot key; advert suffixes go before gender notation."""
-    return _tidy(rewrite(_base(c), _ADVERTS + GENDER))
+    return _tidy(rewrite(without_tails(_base(c), ADVERT, r"\s*"), GENDER))
 
 
 def sync_title_sql(c: str) -> str:
-    return _tidy_sql(rewrite_sql(_base_sql(c), _ADVERTS + GENDER))
+    return _tidy_sql(rewrite_sql(_base_sql(c), _tails(ADVERT, r"\s*") + GENDER))
 
 
 def sync_location(c: Column) -> Column:
     """V4: location as the snapshot key; unknown and null are empty."""
     base = _base(c)
-    return F.when(c.isNull() | base.isin(NO_LOCATION), "").otherwise(_no_comma(_tidy(rewrite(base, _MORE_PLACES))))
+    return F.when(c.isNull() | base.isin(NO_LOCATION), "").otherwise(_no_comma(_tidy(without_tails(base, _MORE_PLACES, r",?\s*"))))
 
 
 def sync_location_sql(c: str) -> str:
     none = ", ".join(map(quote, NO_LOCATION))
-    return f"CASE WHEN {c} IS NULL OR {_base_sql(c)} IN ({none}) THEN '' ELSE trim(rtrim({_tidy_sql(rewrite_sql(_base_sql(c), _MORE_PLACES))}, ',')) END"
+    return f"CASE WHEN {c} IS NULL OR {_base_sql(c)} IN ({none}) THEN '' ELSE trim(rtrim({_tidy_sql(rewrite_sql(_base_sql(c), _tails(_MORE_PLACES)))}, ',')) END"
 
 
 _CANDIDATE = [
@@ -329,6 +326,36 @@ def salary_display_sql(low: str, high: str, currency: str) -> str:
     )
 
 
+def title_signals(c: Column) -> Column:
+    """What speaks for a text as a title and what against it."""
+    low = _base(c)
+    words = F.filter(F.array(*map(F.lit, TITLE_WORDS)), lambda w: F.concat(F.lit(" "), F.regexp_replace(low, r"(?U)[^\w]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), w, F.lit(" "))))
+    bad = F.filter(F.array(*map(F.lit, NON_TITLE_WORDS)), lambda w: F.contains(low, w))
+    n = F.length(F.trim(c))
+    return F.struct(
+        low.rlike(r"\([mwfdx/]+\)").alias("has_gender_notation"), (F.size(words) > 0).alias("title_has_keywords"), F.array_join(F.slice(words, 1, 3), ",").alias("matched_keywords"),
+        ((n > 15) & (n < 100)).alias("proper_length"), (n < 5).alias("too_short"), (n > 150).alias("too_long"), (F.size(bad) > 0).alias("has_non_job_words"),
+        low.isin(NAVIGATION).alias("looks_like_nav"), matches(c, COMPANY_NAMES).alias("looks_like_company_name"),
+    )
+
+
+def title_signals_sql(c: str) -> dict[str, str]:
+    low = _base_sql(c)
+    listed = lambda v: "[" + ", ".join(map(quote, v)) + "]"
+    words = f"list_filter({listed(TITLE_WORDS)}, lambda w: contains(' ' || regexp_replace({low}, '[^\\pL\\pN_]+', ' ', 'g') || ' ', ' ' || w || ' '))"
+    bad = f"list_filter({listed(NON_TITLE_WORDS)}, lambda w: contains({low}, w))"
+    return {
+        "has_gender_notation": f"regexp_matches({low}, '\\([mwfdx/]+\\)')", "title_has_keywords": f"len({words}) > 0", "matched_keywords": f"array_to_string(({words})[1:3], ',')",
+        "proper_length": f"length(trim({c})) > 15 AND length(trim({c})) < 100", "too_short": f"length(trim({c})) < 5", "too_long": f"length(trim({c})) > 150",
+        "has_non_job_words": f"len({bad}) > 0", "looks_like_nav": f"{low} IN ({', '.join(map(quote, NAVIGATION))})", "looks_like_company_name": matches_sql(c, COMPANY_NAMES),
+    }
+
+
+def good_translations(titles: Column, translated_: Column) -> Column:
+    """as many answers as titles, none of them spoilt."""
+    return (F.size(titles) == F.size(translated_)) & F.forall(translated_, lambda x: ~bad_translation(x))
+
+
 def confidence(source: Column, signals: dict[str, Column]) -> Column:
     """Base of the source plus weights of its signals, within [0, 1]."""
     base = F.lit(0.5)
@@ -476,12 +503,97 @@ def quoted_url_sql(c: str, base: str) -> str:
     return f"CASE WHEN {url} <> '' THEN {url} WHEN {path} <> '' THEN rtrim({base}, '/') || {path} END"
 
 
+def _balanced(c: Column) -> Column:
+    """From the first object (one with jobs, if there is one) to the brace that
+    closes it; braces within texts count too."""
+    begins = [F.nullif(F.locate(b, c), F.lit(0)) for b in ('{"jobs"', '{ "jobs"', "{")]
+    first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(a: Column, ch: Column) -> Column:
+        n = a["n"] + 1
+        depth = a["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+        return F.struct(n.alias("n"), depth.alias("depth"), F.when((a["end"] == 0) & (ch == "}") & (depth == 0), n).otherwise(a["end"]).alias("end"))
+
+    rest = F.array(F.substring(c, F.coalesce(*begins), F.length(c)))
+
+    def cut(x: Column) -> Column:
+        end = F.aggregate(F.regexp_extract_all(x, F.lit("(?s)(.)"), 1), first, step)["end"]
+        return F.substring(x, F.lit(1), end)
+
+    return F.transform(rest, cut)[0]
+
+
+def _is_json(x: Column) -> Column:
+    """One JSON value and nothing behind it, which the parser alone lets pass: it
+    must also stand as the only member of a list and of an object."""
+    alone = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}")))
+    return (F.trim(F.coalesce(x, F.lit(""))) != "") & member.isNotNull() & alone.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
+
+
 def answer_json(c: Column) -> Column:
-    """V27, strict part: the JSON of an answer, out of a fenced block if there is one."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.trim(F.when(fenced != "", fenced).otherwise(c))
-    cut = F.regexp_extract(body, r"(?s)([\[{].*[\]}])", 1)
-    return F.when(F.try_parse_json(body).isNotNull(), body).when((cut != "") & F.try_parse_json(cut).isNotNull(), cut).otherwise(F.lit("[]"))
+    """The JSON of an answer: a fenced block, the whole text, the first
+    object with its braces balanced, the widest list, else an empty list."""
+    good = lambda x: F.when(_is_json(x), x)
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.coalesce(good(F.trim(fenced)), good(F.trim(c)), good(F.when(F.contains(c, F.lit("{")), _balanced(c))), good(F.regexp_extract(c, r"(?s)(\[.*\])", 1)), F.lit("[]"))
+
+
+def answer_json_sql(c: str) -> str:
+    good = lambda x: f"CASE WHEN coalesce({x}, '') <> '' AND json_valid({x}) THEN {x} END"
+    begin = " ".join(f"WHEN contains({c}, '{b}') THEN substr({c}, strpos({c}, '{b}'))" for b in ('{"jobs"', '{ "jobs"', "{"))
+    rest = f"(CASE {begin} END)"
+    count = lambda ch: f"length(replace(substr({rest}, 1, i), '{ch}', ''))"
+    object_ = f"substr({rest}, 1, coalesce(list_filter(range(1, length({rest}) + 1), lambda i: {count('{')} = {count('}')})[1], 0))"
+    return (
+        f"coalesce({good(f"trim(regexp_extract({c}, '(?s)```(?:json)?[[:space:]]*(.*?)[[:space:]]*```', 1))")}, {good(f'trim({c})')}, "
+        f"CASE WHEN contains({c}, '{{') THEN {good(object_)} END, {good(f"regexp_extract({c}, '(?s)(\\[.*\\])', 1)")}, '[]')"
+    )
+
+
+def parsed_time(c: Column) -> Column:
+    """A stored time, or null where it can't be read."""
+    return F.try_to_timestamp(c)
+
+
+def parsed_time_sql(c: str) -> str:
+    return f"try_cast({c} AS TIMESTAMP)"
+
+
+def report_day(c: Column) -> Column:
+    """The day of a stored time; what can't be read gives its first ten characters."""
+    return F.when(F.coalesce(c, F.lit("")) == "", "Unknown").otherwise(F.coalesce(F.date_format(parsed_time(c), "yyyy-MM-dd"), F.substring(c, 1, 10)))
+
+
+def report_day_sql(c: str) -> str:
+    return f"CASE WHEN coalesce({c}, '') = '' THEN 'Unknown' ELSE coalesce(strftime({parsed_time_sql(c)}, '%Y-%m-%d'), substr({c}, 1, 10)) END"
+
+
+def report_clock(c: Column) -> Column:
+    """Its hour and minute, else nothing."""
+    return F.coalesce(F.date_format(parsed_time(F.coalesce(c, F.lit(""))), "HH:mm"), F.lit(""))
+
+
+def report_clock_sql(c: str) -> str:
+    return f"coalesce(strftime({parsed_time_sql(c)}, '%H:%M'), '')"
+
+
+def answer_content(response: Column) -> Column:
+    """What a model said, in a chat answer; nothing is the empty text."""
+    return F.coalesce(F.get_json_object(response, "$.choices[0].message.content"), F.lit(""))
+
+
+def answer_content_sql(c: str) -> str:
+    return f"coalesce(json_extract_string({c}, '$.choices[0].message.content'), '')"
+
+
+def is_empty_result(answer: Column) -> Column:
+    """An answer without jobs, which is asked for again."""
+    return F.coalesce(F.get_json_object(answer, "$.jobs").isin("[]", "", "0", "false", "{}"), F.lit(True))
+
+
+def is_empty_result_sql(c: str) -> str:
+    return f"coalesce(json_extract_string({c}, '$.jobs') IN ('[]', '', '0', 'false', '{{}}'), true)"
 
 
 def http_date(c: Column) -> Column:

@@ -111,6 +111,11 @@ def search_term_sql(c: str) -> str:
     return f"coalesce({', '.join(each)})"
 
 
+def posting_number(url: Column, else_: Column) -> Column:
+    """The number at the end of a posting's address, else the given one."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"--(\d+)(?:\?|$)", 1), F.lit("")), else_)
+
+
 def full_url(href: Column, base: Column) -> Column:
     """L1: href against base; ``//host`` keeps the base's scheme."""
     folder = F.regexp_replace(without_query(base), r"([^:/])/[^/]*$", "$1/")
@@ -316,13 +321,22 @@ def is_external_board_sql(c: str) -> str:
     return matches_sql(c, BOARDS_SHORT)
 
 
-def is_menu_link(c: Column) -> Column:
-    """Links of a board's own navigation."""
-    return matches(c, [*SOFTGARDEN_MENU, *JOIN_MENU])
+def is_softgarden_menu(c: Column) -> Column:
+    """links of that board's own navigation."""
+    return matches(c, SOFTGARDEN_MENU)
+
+
+def is_softgarden_menu_sql(c: str) -> str:
+    return matches_sql(c, SOFTGARDEN_MENU)
+
+
+def is_join_menu(c: Column) -> Column:
+    """F8: the same for the other board."""
+    return matches(c, JOIN_MENU)
 
 
-def is_menu_link_sql(c: str) -> str:
-    return matches_sql(c, [*SOFTGARDEN_MENU, *JOIN_MENU])
+def is_join_menu_sql(c: str) -> str:
+    return matches_sql(c, JOIN_MENU)
 
 
 def on_listing(c: Column) -> Column:

@@ -15,7 +15,7 @@ from itertools import islice
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -383,11 +383,23 @@ def extracted(pages: DataFrame) -> DataFrame:
     return out.where(~text.is_open_application(F.col("title")))
 
 
-LINKS = "page_id long, pos long, kind string, url string, href string, text string"
+LINKS = "page_id long, pos long, element long, kind string, url string, href string, text string, plain string"
+_SCRIPT_URL = re.compile(r"https?://[^\s\"'<>]+")
+
+
+def _sources(x: Node) -> Iterator[tuple[str, str]]:
+    """Kind and address of what an element refers to."""
+    for kind, attr in (("a", "href"), ("iframe", "src"), ("data", "data-src")):
+        href = x.attrs.get(attr, "").strip()
+        if href and (kind == "data" or x.tag == kind) and not href.startswith(("#", "javascript:")):
+            yield kind, href
+    if x.tag == "script":
+        yield from (("script", m) for c in x.children if isinstance(c, str) for m in _SCRIPT_URL.findall(c))
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """X17, X18's sources: a[href], iframe[src] and [data-src], absolute, with their text."""
+    """X17, X18's sources: a[href], iframe[src], [data-src] and the addresses in
+    scripts, absolute, with their text; ``element`` counts the elements."""
 
     def run(batches):
         for pdf in batches:
@@ -395,17 +407,39 @@ def links(pages: DataFrame) -> DataFrame:
             for page_id, base, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 pos = 0
                 for x in parse(html).walk():
-                    for kind, attr in (("a", "href"), ("iframe", "src"), ("data", "data-src")):
-                        href = x.attrs.get(attr, "")
-                        if not href or kind != "data" and x.tag != kind or href.startswith(("#", "javascript:")):
-                            continue
-                        rows.append((page_id, pos, kind, urljoin(base or "", href), href, x.text(" ")[:50]))
+                    element = pos
+                    for kind, href in _sources(x):
+                        said = (x.text(" ")[:50], x.text()[:50]) if kind != "script" else ("", "")
+                        rows.append((page_id, pos, element, kind, urljoin(base or "", href), href, *said))
                         pos += 1
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "kind", "url", "href", "text"])
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "element", "kind", "url", "href", "text", "plain"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, LINKS)
 
 
+#: Links of a page that are shown to a model (fixed value).
+SHOWN_LINKS = 200
+
+
+def distinct_links(link_rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Each address of a page once, in page order, as ``url [text]``."""
+    once = first_of_each(link_rows.where("kind = 'a'").select("page_id", "pos", "url", "plain"), ["page_id", "url"], [F.col("pos").alias("o")])
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
+    label = F.when(F.col("plain") != "", F.concat("url", F.lit(" ["), "plain", F.lit("]"))).otherwise(F.col("url"))
+    out = once.select("page_id", place.cast("long").alias("pos"), "url", label.alias("label"))
+    return out if limit is None else out.where(F.col("pos") < limit)
+
+
+def answer_urls(answers: DataFrame) -> DataFrame:
+    """The addresses in a model's answer (page_id, url, answer), absolute,
+    each once, in order; what isn't a list or not a text gives none."""
+    items = answers.select("page_id", F.col("url").alias("base"), F.posexplode(F.expr("try_cast(try_parse_json(answer) as array<variant>)")).alias("o", "v"))
+    texts = items.where("schema_of_variant(v) = 'STRING'").select("page_id", "base", "o", F.trim(F.expr("try_variant_get(v, '$', 'string')")).alias("t")).where("t <> ''")
+    joined = texts.select("page_id", "o", joined_urls(F.col("base"), F.col("t")).alias("url"))
+    once = first_of_each(joined, ["page_id", "url"], [F.col("o").alias("o1")])
+    return once.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("o")) - 1).alias("pos"), "url")
+
+
 def document_postings(link_rows: DataFrame) -> DataFrame:
     """Postings from document links whose file name speaks of a job."""
     name = F.element_at(F.split("href", "/"), -1)
@@ -416,11 +450,17 @@ def document_postings(link_rows: DataFrame) -> DataFrame:
 
 
 def external_boards(link_rows: DataFrame) -> DataFrame:
-    """The first link of a page to a recruiting platform, as its jobs page."""
-    rows = link_rows.withColumn("platform", urls.platform(F.col("url"))).where("platform is not null")
-    kind = F.when(F.col("kind") == "a", 0).when(F.col("kind") == "iframe", 1).otherwise(2)
-    best = rows.groupBy("page_id").agg(F.min_by(F.struct("url", "platform"), F.struct((~urls.is_board_page(F.col("url"))).alias("legal"), kind.alias("kind"), "pos")).alias("b"))
-    return best.select("page_id", F.col("b.platform").alias("platform"), urls.board_url(F.col("b.url"), F.col("b.platform")).alias("board_url"))
+    """The first reference of a page to a recruiting platform, as its jobs page.
+
+    Links come before frames, other sources and scripts; legal pages count only
+    where there is nothing else; within an element the platforms' own order.
+    """
+    rows = link_rows.withColumn("platform", urls.platform(F.col("href"))).where("platform is not null")
+    kind = F.array_position(F.array(*map(F.lit, ("a", "iframe", "data", "script"))), F.col("kind"))
+    rule = F.array_position(F.array(*[F.lit(n) for _, n in urls.PLATFORMS]), F.col("platform"))
+    order = F.struct((~urls.is_board_page(F.col("href"))).alias("legal"), kind.alias("kind"), "element", rule.alias("rule"), "pos")
+    best = rows.groupBy("page_id").agg(F.min_by(F.struct("href", "platform"), order).alias("b"))
+    return best.select("page_id", F.col("b.platform").alias("platform"), urls.board_url(F.col("b.href"), F.col("b.platform")).alias("board_url"))
 
 
 def careers_links(link_rows: DataFrame) -> DataFrame:
@@ -457,6 +497,12 @@ def vacancies(payloads: DataFrame) -> DataFrame:
     )
 
 
+def vacancy_details(payloads: DataFrame) -> DataFrame:
+    """SC8: description and skills of a vacancy's own answer (body)."""
+    got = F.from_json("body", "struct<id:string,description:string,key_skills:array<struct<name:string>>>")
+    return payloads.select(got.alias("v")).select("v.id", "v.description", F.col("v.key_skills.name").alias("skills"))
+
+
 def joined_urls(base, href):
     """L2: full RFC 3986 resolution, for the forms that ``urls.full_url`` doesn't cover."""
 

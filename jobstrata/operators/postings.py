@@ -21,14 +21,36 @@ def keep_matching_or_all(df: DataFrame, match: Column, by: list[str]) -> DataFra
 
 def by_search_query(df: DataFrame, url: str, title: str, by: list[str]) -> DataFrame:
     """postings whose title holds the page's search term."""
-    term = urls.search_term(F.col(url))
-    return keep_matching_or_all(df, F.when(term.isNull(), True).otherwise(F.contains(F.lower(F.col(title)), term)), by)
+    # an address without any of the parameters needs none of their patterns
+    asks = F.col(url).rlike(r"[?&](search|q|query|keywords?)=")
+    termed = df.withColumn("__term", F.when(asks, urls.search_term(F.col(url))))
+    return keep_matching_or_all(termed, F.when(F.col("__term").isNull(), True).otherwise(F.contains(F.lower(F.col(title)), F.col("__term"))), by).drop("__term")
 
 
 def by_source_company(df: DataFrame, source_url: Column, by: list[str]) -> DataFrame:
-    """postings that name the company the page was reached from."""
+    """postings that name the company the page was reached from.
+
+    The spellings of a company are made once for each address, not for each
+    posting; the addresses (one for each site) are joined back.
+    """
     hay = F.lower(F.concat_ws(" ", "title", "location", "company"))
-    return keep_matching_or_all(df, F.exists(urls.company_variants(source_url), lambda v: F.contains(hay, v)), by)
+    from_ = df.withColumn("__source", source_url)
+    spelt = from_.select("__source").distinct().select("__source", urls.company_variants(F.col("__source")).alias("__spelt"))
+    named = from_.join(spelt, from_["__source"].eqNullSafe(spelt["__source"]), "left").drop("__source")
+    return keep_matching_or_all(named, F.exists("__spelt", lambda v: F.contains(hay, v)), by).drop("__spelt")
+
+
+def company_if_external(df: DataFrame, careers_url: Column, source_url: Column, by: list[str], searched: bool) -> DataFrame:
+    """postings of another domain are filtered, those of the site's own are not.
+
+    On the way of discovery the search term comes first (F1), on the cached one
+    (``searched`` false) only the company counts (F2).
+    """
+    same = urls.bare_host(careers_url) == urls.bare_host(source_url)
+    own, other = df.where(F.coalesce(same, F.lit(False))), df.where(~F.coalesce(same, F.lit(False)))
+    if searched:
+        other = by_search_query(other, "url", "title", by)
+    return own.unionByName(by_source_company(other, source_url, by))
 
 
 def validated(df: DataFrame) -> DataFrame:
@@ -38,6 +60,30 @@ def validated(df: DataFrame) -> DataFrame:
     )
 
 
+def first_in_order(df: DataFrame, by: list[str], order: list[Column], limit: Column | int) -> DataFrame:
+    """The first rows of each group.
+
+    Each group is dealt into parts that keep their own first rows; only those
+    meet, so a group of any size is no single task's sort.
+    """
+    rows = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    place = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = rows.withColumn("__r", place([*by, "__part"])).where(F.col("__r") <= limit).drop("__part")
+    return few.withColumn("__r", place(by)).where(F.col("__r") <= limit).withColumnRenamed("__r", "place")
+
+
+#: Addresses of a sitemap that are asked about: with a keyword, and if there is none.
+WITH_WORD, WITHOUT_WORD = 50, 100
+
+
+def sitemap_candidates(df: DataFrame, match: Column, by: list[str], order: list[Column]) -> DataFrame:
+    """The first 50 addresses with a keyword, else the first 100 of all."""
+    flagged = df.withColumn("__hit", F.coalesce(match, F.lit(False)))
+    some = flagged.groupBy(*by).agg(F.bool_or("__hit").alias("__some"))
+    rows = flagged.join(some, by).where("__hit or not __some")
+    return first_in_order(rows, by, order, F.when(F.col("__some"), WITH_WORD).otherwise(WITHOUT_WORD)).drop("__hit", "__some", "place")
+
+
 def posting_key(url: Column, base: Column) -> Column:
     """The URL if it means anything, else normalized title and location."""
     same = F.rtrim(url, F.lit("/")) == F.rtrim(base, F.lit("/"))
@@ -59,53 +105,161 @@ def deduplicated(df: DataFrame, base: Column, by: list[str], order: list[str]) -
     return first_of_each(df, [*by, posting_key(F.col("url"), base)], [F.col(o).alias(f"__o{k}") for k, o in enumerate(order)])
 
 
+CONFIRMATIONS = 3
+
+
 def suspicious(previous_active: Column, found: Column) -> Column:
     """The guard: a known site lost more than half of its postings at once."""
     return (previous_active > 5) & (found < 0.5 * previous_active)
 
 
-CONFIRMATIONS = 3
+def guarded(stored: DataFrame, scanned: DataFrame, scan: DataFrame, waiting: DataFrame, cached: bool = False) -> DataFrame:
+    """Guard and E3: whether each scanned site may be reconciled.
+
+    stored: site_id, is_active; scanned: site_id of every site that was read,
+    with or without postings; scan: its postings; waiting: site_id and
+    suspicious_count.  A suspicious scan counts one up and is let through at
+    ``CONFIRMATIONS``; an allowed scan with postings resets the count, an
+    allowed empty one leaves it.  At a ``cached`` address an empty scan of a
+    site that never had many postings is a failure and changes nothing.
+    ``outcome`` is what the address is marked with.
+    """
+    active = stored.groupBy("site_id").agg(F.count_if("is_active").alias("active"))
+    found = scan.groupBy("site_id").agg(F.count("*").alias("found"))
+    sites = scanned.select("site_id").distinct().join(active, "site_id", "left").join(found, "site_id", "left").join(waiting.select("site_id", "suspicious_count"), "site_id", "left")
+    sites = sites.fillna(0, ["active", "found", "suspicious_count"]).withColumn("suspicious", suspicious(F.col("active"), F.col("found")))
+    count = F.col("suspicious_count") + F.col("suspicious").cast("int")
+    failed = F.lit(cached) & (F.col("found") == 0) & ~F.col("suspicious")
+    allowed = (~F.col("suspicious") | (count >= CONFIRMATIONS)) & ~failed
+    good = allowed & (F.col("found") > 0)
+    outcome = F.when(good, "success").when(F.col("suspicious"), "suspicious").when(failed, "failed").otherwise("empty")
+    return sites.select("site_id", "active", "found", "suspicious", allowed.alias("allowed"), F.when(good, 0).otherwise(count).alias("suspicious_count"), outcome.alias("outcome"))
 
 
 def reconciled(stored: DataFrame, scan: DataFrame) -> DataFrame:
     """One row for each key of stored jobs or scan, with its event.
 
-    stored: id, site_id, title, location, is_active; scan: site_id, title,
-    location and pos.  ``event`` is added, reactivated, removed, seen or null
-    (stored, unseen and already inactive).
+    stored: id, site_id, title, location, is_active and any columns of a job;
+    scan: site_id, title, location, pos and any columns of a job.  ``event`` is
+    added, reactivated, removed, seen or null (stored, unseen and already
+    inactive); ``job_id`` is the stored one, or that of the row to be added, a
+    hash of its key, which doesn't depend on the partitioning; ``old`` and
+    ``new`` are the stored and the scanned row.  Of stored rows with one key the
+    highest id counts, of scanned ones the first place.
     """
-    keyed = lambda df: df.withColumns({"k_title": text.sync_title(F.col("title")), "k_location": text.sync_location(F.col("location"))})
+    row = lambda df: F.struct(*[df[f"`{c}`"] for c in df.columns])
+    keyed = lambda df, name: df.select("site_id", text.sync_title(F.col("title")).alias("k_title"), text.sync_location(F.col("location")).alias("k_location"), row(df).alias(name))
     by = ["site_id", "k_title", "k_location"]
-    old = keyed(stored).groupBy(*by).agg(F.max(F.struct("id", "is_active")).alias("o"), F.lit(True).alias("known"))
-    new = keyed(scan).groupBy(*by).agg(F.min(F.struct("pos", "title", "location")).alias("n"), F.lit(True).alias("found"))
+    old = keyed(stored, "r").groupBy(*by).agg(F.max_by("r", "r.id").alias("old"), F.lit(True).alias("known"))
+    blank = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
+    place = F.struct("r.pos", "r.title", blank("location"), *([blank("url")] if "url" in scan.columns else []))
+    new = keyed(scan, "r").groupBy(*by).agg(F.min_by("r", place).alias("new"), F.lit(True).alias("found"))
     both = old.join(new, by, "full_outer")
-    known, found, active = F.coalesce("known", F.lit(False)), F.coalesce("found", F.lit(False)), F.col("o.is_active")
+    known, found, active = F.coalesce("known", F.lit(False)), F.coalesce("found", F.lit(False)), F.col("old.is_active")
     event = (
         F.when(~known, "added").when(found & active, "seen").when(found & ~active, "reactivated").when(~found & active, "removed")
     )
-    return both.select(*by, F.col("o.id").alias("job_id"), F.col("n.title").alias("title"), event.alias("event"))
+    job_id = F.coalesce("old.id", F.xxhash64(*by))
+    return both.select(*by, job_id.alias("job_id"), F.coalesce("new.title", "old.title").alias("title"), event.alias("event"), "old", "new")
 
 
 def next_state(stored: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """The jobs table after a scan: touched, switched and new rows."""
-    changed = changes.where("job_id is not null").select(F.col("job_id").alias("id"), "event")
-    old = stored.join(changed, "id", "left").withColumns(
-        {
-            "is_active": F.when(F.col("event") == "reactivated", True).when(F.col("event") == "removed", False).otherwise(F.col("is_active")),
-            "last_seen_at": F.when(F.col("event").isin("seen", "reactivated"), now).otherwise(F.col("last_seen_at")),
-        }
-    )
-    added = changes.where("event = 'added'").select(
-        # a stable key instead of a sequence: ids don't depend on the partitioning
-        F.xxhash64("site_id", "k_title", "k_location").alias("id"), "site_id", "title", F.col("k_location").alias("location"), F.lit(True).alias("is_active"), now.alias("last_seen_at"),
-    )
-    return old.select("id", "site_id", "title", "location", "is_active", "last_seen_at").unionByName(added)
+    """The jobs table after a scan, with all its columns: touched, switched and new rows.
 
-
-def history_events(changes: DataFrame) -> DataFrame:
+    A job seen again changes nothing but ``last_seen_at`` (and ``is_active``);
+    a new one keeps title and location as they were found.
+    """
+    changed = changes.where("event in ('seen', 'reactivated', 'removed')").select(F.col("job_id").alias("id"), "event")
+    sets = {
+        "is_active": F.when(F.col("event") == "reactivated", True).when(F.col("event") == "removed", False).otherwise(F.col("is_active")),
+        "last_seen_at": F.when(F.col("event").isin("seen", "reactivated"), now).otherwise(F.col("last_seen_at")),
+    }
+    old = stored.join(changed, "id", "left").select(*[sets.get(c, F.col(f"`{c}`")).alias(c) for c in stored.columns])
+    have = set(changes.schema["new"].dataType.names)
+    fresh = {"id": F.col("job_id"), "is_active": F.lit(True), "last_seen_at": now, "first_seen_at": now}
+    value = lambda c: fresh[c] if c in fresh else F.col(f"new.`{c}`") if c in have else F.lit(None)
+    added = changes.where("event = 'added'").select(*[value(f.name).cast(f.dataType).alias(f.name) for f in stored.schema])
+    return old.unionByName(added)
+
+
+def history_events(changes: DataFrame, now: Column | None = None) -> DataFrame:
     """SK8: the rows to append to the history."""
     details = F.when(F.col("event") == "removed", "Job no longer found on site").when(F.col("event") == "reactivated", "Job reappeared after being removed")
-    return changes.where("event in ('added', 'removed', 'reactivated')").select("site_id", "job_id", "event", details.alias("details"))
+    out = changes.where("event in ('added', 'removed', 'reactivated')").select("site_id", "job_id", "event", details.alias("details"))
+    return out if now is None else out.withColumn("changed_at", now)
+
+
+def removed_postings(changes: DataFrame) -> DataFrame:
+    """U2, step 7: removed jobs as postings, from what is stored of them."""
+    names = changes.schema["old"].dataType.names
+    of = lambda c: F.col(f"old.{c}") if c in names else F.lit(None).cast("string")
+    return changes.where("event = 'removed'").select(
+        F.concat(F.lit("cached-"), F.col("job_id")).alias("id"), of("title").alias("title"), F.coalesce(of("company"), F.lit("")).alias("company"),
+        F.coalesce(of("location"), F.lit("Unknown")).alias("location"), F.coalesce(of("url"), F.lit("")).alias("url"),
+        F.concat(F.lit("cached:"), F.col("site_id")).alias("source"), of("title_en").alias("title_en"),
+    )
+
+
+def change_counts(changes: DataFrame, scan: DataFrame) -> DataFrame:
+    """What a scan changed at each site; ``total_jobs`` counts before de-duplication."""
+    e = F.col("event")
+    counts = changes.groupBy("site_id").agg(
+        F.count_if(e == "added").alias("new_jobs"), F.count_if(e == "removed").alias("removed_jobs"), F.count_if(e == "reactivated").alias("reactivated_jobs"),
+        (F.count("old") == 0).alias("is_first_scan"),
+    )
+    total = scan.groupBy("site_id").agg(F.count("*").alias("total_jobs"))
+    out = counts.join(total, "site_id", "left").fillna(0, ["total_jobs"])
+    return out.withColumn("has_changes", F.col("new_jobs") + F.col("removed_jobs") + F.col("reactivated_jobs") > 0)
+
+
+#: How many titles of each event a summary shows (fixed values).
+SHOWN = {"added": 5, "removed": 5, "reactivated": 3}
+
+
+def change_summary(changes: DataFrame) -> DataFrame:
+    """SK6, T8: for each site and event, the first titles and how many more there are.
+
+    Only the first few of a group are ever held.
+    """
+    rows = changes.where(F.col("event").isin(*SHOWN))
+    limit = F.coalesce(*[F.when(F.col("event") == e, F.lit(n)) for e, n in SHOWN.items()])
+    counts = rows.groupBy("site_id", "event").agg(F.count("*").alias("n"))
+    few = first_in_order(rows, ["site_id", "event"], [F.col("k_title"), F.col("k_location")], limit)
+    shown = few.groupBy("site_id", "event").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: x["title"]), "; ").alias("first_titles"))
+    return counts.join(shown, ["site_id", "event"]).select("site_id", "event", "n", "first_titles", F.greatest(F.col("n") - limit, F.lit(0)).alias("more"))
+
+
+def records(rows: DataFrame, site_url: Column, careers_url: Column, order: list[str], by: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Postings of a page as job records.
+
+    The id counts the postings of a group (``by``) in ``order``; the company is
+    that of the site's address, whatever the page says; titles that have no
+    translation keep none; ``keep`` names further columns.  Groups are numbered from sums over blocks of the
+    order's first column, so a group of any size is no single task's sort.
+    """
+    names = rows.columns
+    has = lambda c, other: F.coalesce(F.col(c), other) if c in names else other
+    number = _numbered(rows.withColumns({"__host": urls.host(site_url), "__careers": careers_url}), by, order)
+    return number.select(
+        *by, F.concat(F.lit("web-"), F.col("__host"), F.lit("-"), F.col("__n").cast("string")).alias("external_id"),
+        has("title", F.lit("Unknown Position")).alias("title"), text.company_name(F.col("__host")).alias("company"), has("location", F.lit("Unknown")).alias("location"),
+        has("url", F.col("__careers")).alias("url"), F.concat(F.lit("website:"), F.col("__host")).alias("source"),
+        (F.col("title_en") if "title_en" in names else F.lit(None).cast("string")).alias("title_en"), *(keep or []),
+    )
+
+
+#: Blocks into which the first column of an order is cut.
+BLOCK = 1024
+
+
+def _numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Places (``__n``, from 0) of rows within their group, in two steps."""
+    block = F.floor(F.col(order[0]) / BLOCK)
+    rows = df.withColumn("__b", block)
+    sums = rows.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
+    place = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)) - 1
+    return rows.join(sums.select(*by, "__b", before.alias("__before")), [*by, "__b"]).withColumn("__n", F.col("__before") + place).drop("__b", "__before")
 
 
 def all_duplicate_cut(df: DataFrame, base: Column) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: US dollars for a million prompt and completion tokens (fixed values).
 PRICES = {
     "openai/gpt-4o-mini": (0.15, 0.60), "openai/gpt-4o": (2.50, 10.00), "openai/gpt-4o-2024-08-06": (2.50, 10.00),
@@ -37,6 +39,45 @@ def latest_history(history: DataFrame, jobs: DataFrame, sites: DataFrame, n: int
     return history.join(j, "job_id").join(s, "site_id").select("id", "event", "changed_on", "title", "domain").orderBy(*newest).limit(n)
 
 
+def active_jobs(jobs: DataFrame, site_id: int | None = None) -> DataFrame:
+    """SC4: the stored jobs that are active, of one site or of all."""
+    rows = jobs.where("is_active")
+    return rows if site_id is None else rows.where(F.col("site_id") == site_id)
+
+
+#: How the history report names its events (fixed values).
+ACTIONS = {"added": "добавлена", "removed": "закрыта", "reactivated": "вернулась"}
+
+
+def history_report(history: DataFrame, jobs: DataFrame, sites: DataFrame, n: int, domain: str | None = None) -> DataFrame:
+    """SK5, V30, W6: the newest events as lines of the report.
+
+    history: id, job_id, event, changed_at (text).  ``heading`` is the day
+    where it differs from that of the line above; the site is named only where
+    the report is not of one site.
+    """
+    s = sites if domain is None else sites.where(F.col("domain") == domain)
+    rows = history.join(jobs.select(F.col("id").alias("job_id"), "site_id", "title", "location"), "job_id").join(s.select(F.col("id").alias("site_id"), "domain"), "site_id")
+    newest = rows.orderBy(F.desc("changed_at"), F.desc("id")).limit(n)  # the limit bounds what the window below sees
+    day = text.report_day(F.col("changed_at"))
+    order = Window.orderBy(F.desc("changed_at"), F.desc("id"))
+    lines = newest.withColumns({"line": F.row_number().over(order), "day": day, "above": F.lag(day).over(order)})
+    where = F.when(F.coalesce("location", F.lit("")) != "", F.concat(F.lit(" ("), "location", F.lit(")"))).otherwise("")
+    site = F.lit("") if domain is not None else F.concat(F.lit(" ["), "domain", F.lit("]"))
+    action = F.coalesce(*[F.when(F.col("event") == e, F.lit(a)) for e, a in ACTIONS.items()], F.col("event"))
+    said = F.concat(F.col("title"), where, site, F.lit(" — "), action)
+    return lines.select("line", F.when(~F.col("day").eqNullSafe(F.col("above")), F.col("day")).alias("heading"), text.report_clock(F.col("changed_at")).alias("clock"), said.alias("said"))
+
+
+def search_parameters(place: Column, suggested: Column, years: Column, salary: Column) -> list[Column]:
+    """parameters of a job-site search; an unknown place is the site's first
+    suggestion, a wanted salary leaves out postings without one."""
+    return [
+        text.lookup(F.lower(place), text.AREAS, suggested).alias("area"), text.lookup(years, text.EXPERIENCE, F.lit(None).cast("string")).alias("experience"),
+        salary.alias("salary"), F.when(salary.isNotNull(), True).alias("only_with_salary"),
+    ]
+
+
 def cost_usd(model: Column, prompt: Column, completion: Column, reported: Column) -> Column:
     """Estimated from the price table where none is reported."""
     a, b = F.lit(DEFAULT_PRICE[0]), F.lit(DEFAULT_PRICE[1])
@@ -48,11 +89,24 @@ def cost_usd(model: Column, prompt: Column, completion: Column, reported: Column
 def usage(calls: DataFrame) -> DataFrame:
     """Totals of each model."""
     cost = cost_usd(F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"), F.col("reported_usd"))
+    seconds = [F.round(F.sum("seconds"), 4).alias("seconds")] if "seconds" in calls.columns else []
     return calls.groupBy("model").agg(
-        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum(cost), 4).alias("usd")
+        F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum(cost), 4).alias("usd"), *seconds
     )
 
 
+def tracked(responses: DataFrame) -> DataFrame:
+    """P10: calls (model, tokens, reported cost) from answers (model, body, seconds)
+    of either kind of provider; the local one has other field names and no cost."""
+    got = F.from_json("body", "struct<usage: struct<prompt_tokens: bigint, completion_tokens: bigint, cost: double>, prompt_eval_count: bigint, eval_count: bigint>")
+    v = responses.withColumn("__v", got)
+    zero = lambda *c: F.coalesce(*c, F.lit(0))
+    return v.select(
+        "model", "seconds", zero("__v.usage.prompt_tokens", "__v.prompt_eval_count").alias("prompt_tokens"),
+        zero("__v.usage.completion_tokens", "__v.eval_count").alias("completion_tokens"), F.coalesce("__v.usage.cost", F.lit(0.0)).alias("reported_usd"),
+    )
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     """A4, A5: entries, hits and tokens saved of each namespace."""
     out = cache.groupBy("namespace").agg(F.count("*").alias("entries"), F.sum("hit_count").alias("hits"), F.sum(F.col("tokens_saved") * F.col("hit_count")).alias("tokens_saved"))

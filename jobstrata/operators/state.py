@@ -1,11 +1,12 @@
 """Keyed state machines as ordered folds, and table upserts.
 
-A fold collects a key's events in order and runs ``aggregate`` over them; the
-same transition functions drive the streaming versions.
+A fold passes a key's events in order through its transition function and holds
+nothing but the state; the same functions drive the streaming versions.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,33 +19,109 @@ def retry_after_seconds(value: Column) -> Column:
     return F.nullif(n, F.lit(0.0))
 
 
+DELAYS = "domain string, delay double, n_events long"
+
+
+def next_delay(delay: float, status: int, wait: float | None) -> float:
+    """A domain's spacing after one more fetch."""
+    if status in (429, 503):
+        return min(wait or delay * 2, MAX_DELAY)
+    if 200 <= status < 400 and delay > BASE_DELAY:
+        return BASE_DELAY if delay * 0.9 <= 1.1 * BASE_DELAY else delay * 0.9
+    return delay
+
+
 def delays(fetches: DataFrame) -> DataFrame:
     """Each domain's spacing after its fetches, in order of ``id``.
 
     Only limited (429, 503) and successful (200-399) fetches change it, so the
-    others are dropped before the shuffle.
+    others are dropped before the shuffle.  A domain's fetches pass through one
+    sorted run and only its spacing is held, so a domain of any size fits.
     """
-    kind = F.when(F.col("status").isin(429, 503), 1).when(F.col("status").between(200, 399), 0)
-    rows = fetches.select("domain", "id", kind.alias("kind"), retry_after_seconds(F.col("retry_after")).alias("wait")).where("kind is not null")
-    ordered = rows.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "wait"))).alias("events"))
-
-    def step(now: Column, e: Column) -> Column:
-        limited = F.least(F.coalesce(e["wait"], now * 2), F.lit(MAX_DELAY))
-        eased = F.when(now * 0.9 <= 1.1 * BASE_DELAY, F.lit(BASE_DELAY)).otherwise(now * 0.9)
-        return F.when(e["kind"] == 1, limited).when(now > BASE_DELAY, eased).otherwise(now)
-
-    return ordered.select("domain", F.round(F.aggregate("events", F.lit(BASE_DELAY), step), 6).alias("delay"), F.size("events").cast("long").alias("n_events"))
+    counts = F.col("status").isin(429, 503) | F.col("status").between(200, 399)
+    rows = fetches.where(counts).select("domain", "id", "status", retry_after_seconds(F.col("retry_after")).alias("wait"))
+    rows = rows.repartition("domain").sortWithinPartitions("domain", "id")
+
+    def run(batches):
+        domain, delay, n, done = None, BASE_DELAY, 0, []
+        for pdf in batches:
+            for d, status, wait in zip(pdf["domain"], pdf["status"], pdf["wait"], strict=True):
+                if d != domain:
+                    if n:
+                        done.append((domain, round(delay, 6), n))
+                    domain, delay, n = d, BASE_DELAY, 0
+                delay, n = next_delay(delay, status, None if wait != wait else wait), n + 1
+            if len(done) >= 10_000:
+                yield pd.DataFrame(done, columns=["domain", "delay", "n_events"])
+                done = []
+        if n:
+            done.append((domain, round(delay, 6), n))
+        yield pd.DataFrame(done, columns=["domain", "delay", "n_events"])
+
+    return rows.mapInPandas(run, DELAYS)
+
+
+def rate_limit_stats(spacing: DataFrame) -> DataFrame:
+    """How many domains there are, and how many are slowed down."""
+    return spacing.agg(F.count("*").alias("domains"), F.count_if(F.col("delay") > BASE_DELAY).alias("slowed"), F.max("delay").alias("longest"))
 
 
 def breaker(fetches: DataFrame, key: str = "domain", order: str = "id") -> DataFrame:
-    """Failures in a row at the end, and whether three ever came in a row."""
-    w = Window.partitionBy(key).orderBy(order)
+    """Failures in a row at the end; a success resets them and
+    makes the address active again, whatever came before.
+
+    Failures after the last success are counted in a second aggregate, so no
+    key is sorted or held.
+    """
     failed = F.col("status") >= 400
-    rows = fetches.select(key, order, failed.alias("failed")).withColumn("run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w))
-    counted = rows.withColumn("streak", F.when(F.col("failed"), F.row_number().over(Window.partitionBy(key, "run").orderBy(F.col("failed"), order)) - F.when(F.col("run") > 0, 1).otherwise(0)).otherwise(0))
-    return counted.groupBy(key).agg(
-        F.max_by("streak", order).cast("long").alias("fail_count"), (F.max("streak") < MAX_FAILURES).alias("is_active"), F.count_if("failed").alias("n_failed")
-    )
+    rows = fetches.select(key, order, failed.alias("failed"))
+    last = rows.groupBy(key).agg(F.max(F.when(~F.col("failed"), F.col(order))).alias("__last"), F.count_if("failed").alias("n_failed"))
+    after = rows.where("failed").join(last.select(key, "__last"), key).where(F.col("__last").isNull() | (F.col(order) > F.col("__last"))).groupBy(key).agg(F.count("*").alias("fail_count"))
+    out = last.drop("__last").join(after, key, "left").fillna(0, ["fail_count"])
+    return out.select(key, "fail_count", (F.col("fail_count") < MAX_FAILURES).alias("is_active"), "n_failed")
+
+
+def marked(career_urls: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """E1-E3 on the table: ``outcomes`` (id, outcome) of one scan.
+
+    success: counters to 0, active, stamped; failed: one up, stamped, inactive
+    from three on; suspicious: that counter one up.  Others stay as they are.
+    """
+    o = F.col("__o")
+    rows = career_urls.join(outcomes.select("id", F.col("outcome").alias("__o")), "id", "left")
+    fails = F.when(o == "success", 0).when(o == "failed", F.col("fail_count") + 1).otherwise(F.col("fail_count"))
+    sets = {
+        "fail_count": fails.cast("int"),
+        "suspicious_count": F.when(o == "success", 0).when(o == "suspicious", F.col("suspicious_count") + 1).otherwise(F.col("suspicious_count")).cast("int"),
+        "is_active": F.when(o == "success", True).when((o == "failed") & (fails >= MAX_FAILURES), False).otherwise(F.col("is_active")),
+        "last_success_at": F.when(o == "success", now).otherwise(F.col("last_success_at")),
+        "last_fail_at": F.when(o == "failed", now).otherwise(F.col("last_fail_at")) if "last_fail_at" in career_urls.columns else None,
+    }
+    return rows.select(*[sets[c].alias(c) if sets.get(c) is not None else F.col(f"`{c}`") for c in career_urls.columns])
+
+
+def cache_set(cache: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
+    """Entries are replaced by key; namespace and model keep their old
+    values, hits begin anew."""
+    update = {"value": F.col("new.value"), "ttl_seconds": F.col("new.ttl_seconds"), "created_at": now, "tokens_saved": F.col("new.tokens_saved"), "hit_count": F.lit(0)}
+    insert = {"created_at": now, "hit_count": F.lit(0)}
+    return upserted(cache, fresh, ["key"], update, insert)
+
+
+def cache_read(cache: DataFrame, probes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(answers, the cache afterwards).  Each probe (key) gets the value
+    of a live entry or null; a live entry counts one hit for each probe."""
+    live = is_live(F.col("created_at"), F.col("ttl_seconds"), now)
+    answers = probes.join(cache.where(live).select("key", "value"), "key", "left").withColumn("hit", F.col("value").isNotNull())
+    asked = probes.groupBy("key").agg(F.count("*").alias("__n"))
+    hits = F.when(live, F.coalesce("__n", F.lit(0))).otherwise(0)
+    after = cache.join(asked, "key", "left").withColumn("hit_count", (F.col("hit_count") + hits).cast(cache.schema["hit_count"].dataType)).select(*cache.columns)
+    return answers, after
+
+
+def worth_caching(value: Column) -> Column:
+    """Empty results aren't kept."""
+    return F.coalesce(~F.trim(value).isin("", "null", "[]", "{}", '""', "0", "false"), F.lit(False))
 
 
 def upserted(old: DataFrame, new: DataFrame, by: list[str], update: dict[str, Column], insert: dict[str, Column]) -> DataFrame:
@@ -87,12 +164,12 @@ def most_open(spans: DataFrame, key: str) -> DataFrame:
 
 def spaced(fetches: DataFrame) -> DataFrame:
     """E5: when each fetch (domain, id, asked, delay) may start: not before it is
-    asked for, nor before the last start of its domain plus its spacing."""
-    ordered = fetches.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("id", "asked", "delay"))).alias("e"))
-    first = F.expr("named_struct('last', cast(-1e18 as double), 'out', cast(array() as array<struct<id: bigint, start: double>>))")
-
-    def step(a: Column, e: Column) -> Column:
-        start = F.greatest(e["asked"].cast("double"), a["last"] + e["delay"])
-        return F.struct(start.alias("last"), F.concat(a["out"], F.array(F.struct(e["id"].alias("id"), start.alias("start")))).alias("out"))
+    asked for, nor before the last start of its domain plus its spacing.
 
-    return ordered.select("domain", F.inline(F.aggregate("e", first, step)["out"])).select("domain", "id", "start")
+    start = max(asked, last + delay) unrolls to the running maximum of
+    asked - D over the running sum D of delays, plus D: two window functions
+    over one sort, no state.
+    """
+    w = Window.partitionBy("domain").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    total = fetches.withColumn("__d", F.sum("delay").over(w))
+    return total.select("domain", "id", (F.max(F.col("asked").cast("double") - F.col("__d")).over(w) + F.col("__d")).alias("start"))

@@ -62,14 +62,24 @@ def relation_sql(dialect: str) -> dict[str, str]:
         # stored jobs: ids in order of arrival
         "jobs": f"""
             SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_custkey % 100 + 1 AS BIGINT) AS site_id,
-                   {p(TITLES, "o_custkey * 7 + o_orderkey")} AS title,
+                   concat({p(TITLES, "o_custkey * 7 + o_orderkey")}, CASE WHEN o_orderkey % 10 = 0 THEN ' II' ELSE '' END) AS title,
                    CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE {p(PLACES, "o_custkey + o_orderkey")} END AS location,
-                   o_orderstatus = 'O' AS is_active, CAST(o_custkey AS BIGINT) AS last_seen_at
+                   CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('https://jobs.example/', CAST(o_orderkey AS VARCHAR(20))) END AS url,
+                   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Acme' END AS company,
+                   o_orderstatus = 'O' AS is_active, CAST(o_custkey % 50 AS BIGINT) AS first_seen_at, CAST(o_custkey AS BIGINT) AS last_seen_at
             FROM orders""",
+        # a later scan, of very uneven size from site to site
+        "rescan": f"""
+            SELECT CAST((l_orderkey * l_orderkey) % 100 + 1 AS BIGINT) AS site_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pos,
+                   {p(TITLES, "l_partkey * 7 + l_linenumber")} AS title, {p(PLACES, "l_partkey + l_suppkey")} AS location,
+                   concat({p(HOSTS, "l_partkey")}, CAST(l_partkey % 97 AS VARCHAR(20))) AS url
+            FROM lineitem""",
         "history": f"""
             SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_orderkey AS BIGINT) AS job_id,
-                   {p(["added", "removed", "reactivated"], "o_custkey")} AS event, {day("o_orderdate")} AS changed_on
-            FROM orders WHERE o_custkey % 2 = 0""",
+                   {p(["added", "removed", "reactivated"], "o_custkey")} AS event, {day("o_orderdate")} AS changed_on,
+                   CASE o_custkey % 9 WHEN 0 THEN concat(CAST({day("o_orderdate")} AS VARCHAR(10)), ' at noon') WHEN 1 THEN CAST({day("o_orderdate")} AS VARCHAR(10)) WHEN 2 THEN NULL
+                        ELSE concat(CAST({day("o_orderdate")} AS VARCHAR(10)), ' 1', CAST(o_custkey % 10 AS VARCHAR(1)), ':', CAST(10 + o_orderkey % 50 AS VARCHAR(2)), ':00') END AS changed_at
+            FROM orders""",
         "career_urls": f"""
             SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_custkey % 100 + 1 AS BIGINT) AS site_id,
                    concat('https://site', CAST(c_custkey % 100 AS VARCHAR(20)), '.example.com', {p(["/careers", "/job", "/stellen.html", "/en/people-jobs", "/jobs/", "/a-very-long-slug-for-one-single-position-only"], "c_custkey")}) AS url,
@@ -78,7 +88,7 @@ def relation_sql(dialect: str) -> dict[str, str]:
                    CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey * 13 % 997 AS BIGINT) END AS last_success_at
             FROM customer""",
         "cache": f"""
-            SELECT CAST(p_partkey AS BIGINT) AS id, {p(["jobs", "translation", "url", "company"], "p_partkey")} AS namespace, p_name AS content,
+            SELECT CAST(p_partkey AS BIGINT) AS id, concat('k', CAST(p_partkey AS VARCHAR(20))) AS key, p_type AS value, {p(["jobs", "translation", "url", "company"], "p_partkey")} AS namespace, p_name AS content,
                    CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS model,
                    CAST(p_size * 100 AS BIGINT) AS ttl_seconds, CAST(p_partkey * 31 % 5000 AS BIGINT) AS created_at,
                    CAST(p_partkey % 7 AS INT) AS hit_count, CAST(p_size * 10 AS INT) AS tokens_saved
@@ -93,7 +103,8 @@ def relation_sql(dialect: str) -> dict[str, str]:
             SELECT CAST(o_orderkey AS BIGINT) AS id,
                    {p(["openai/gpt-4o-mini", "openai/gpt-4o", "openai/gpt-4o-2024-08-06", "anthropic/claude-3.5-sonnet", "anthropic/claude-3-haiku", "google/gemini-flash-1.5", "local/other"], "o_orderkey")} AS model,
                    CAST(o_custkey AS BIGINT) AS prompt_tokens, CAST(o_custkey % 77 AS BIGINT) AS completion_tokens,
-                   CASE WHEN o_orderkey % 5 = 0 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS reported_usd
+                   CASE WHEN o_orderkey % 5 = 0 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS reported_usd,
+                   CAST(o_custkey % 60 AS DOUBLE) / 8 AS seconds
             FROM orders""",
         "page_urls": "SELECT page_id, url FROM pages",
     }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.rewrite import lookup, quote
-from ..operators import postings, reports, state
+from ..operators import enrich, postings, reports, state
 from .catalog import relation, with_relations
+from .write_path import apply_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,7 +57,8 @@ scalar("v24_tokens", "cache", {"tokens": (lambda: F.expr("cast(length(content) d
 scalar("v25_cache_key", "cache", {"key": (lambda: text.cache_key(F.col("namespace"), F.col("content"), F.col("model")), text.cache_key_sql("namespace", "content", "model"))})
 scalar("v29_retry_after", "fetches", {"wait": (lambda: state.retry_after_seconds(F.col("retry_after")), "CASE WHEN regexp_matches(retry_after, '^\\d+$') THEN nullif(retry_after::DOUBLE, 0) END")})
 scalar("v31_expired", "cache", {"live": (lambda: state.is_live(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000)), "created_at + ttl_seconds > 4000"), "purged": (lambda: state.is_purged(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000)), "created_at + ttl_seconds < 4000")})
-scalar("v32_job_id_from_url", "postings", {"job_id": (lambda: F.regexp_extract(F.concat(F.coalesce(F.col("url"), F.lit("")), F.lit("--77?x")), r"--(\d+)(?:\?|$)", 1), "regexp_extract(coalesce(url, '') || '--77?x', '--(\\d+)(?:\\?|$)', 1)")})
+_posted = "(CASE id % 4 WHEN 0 THEN concat('/stellenangebote--', id, '--', site_id, '?rltr=1') WHEN 1 THEN concat('/x--', id) WHEN 2 THEN concat('/x--', id, '/y') ELSE url END)"
+scalar("v32_job_id_from_url", "postings", {"job_id": (lambda: urls.posting_number(F.expr(_posted), F.col("page_no").cast("string")), f"coalesce(nullif(regexp_extract(coalesce({_posted}, ''), '--(\\d+)(?:\\?|$)', 1), ''), page_no::VARCHAR)")})
 scalar("f3_f4_open_application", "postings", {"open_application": (lambda: text.is_open_application(F.col("title")), text.is_open_application_sql("title"))})
 scalar("f6_title_classifier", "postings", {"verdict": (lambda: text.title_verdict(F.col("title")), text.title_verdict_sql("title"))})
 scalar("f13_l4_platform", "postings", {"platform": (lambda: urls.platform(F.col("url")), urls.platform_sql("url")), "board_url": (lambda: urls.board_url(F.col("url"), urls.platform(F.col("url"))), urls.board_url_sql("url", urls.platform_sql("url")))})
@@ -95,29 +97,78 @@ query("u1_deduplicated", f"SELECT id, title, url FROM (SELECT *, row_number() OV
 query("u1c_candidate_dedup", f"SELECT id, title FROM (SELECT *, row_number() OVER (PARTITION BY site_id, {text.candidate_title_sql('title')} ORDER BY id) AS n FROM postings) WHERE n = 1", "postings")(
     lambda df: postings.first_of_each(df, ["site_id", text.candidate_title(F.col("title"))], [F.col("id").alias("o")]).select("id", "title")
 )
-_SYNC = f"""
-o AS (SELECT site_id, {text.sync_title_sql('title')} AS kt, {text.sync_location_sql('location')} AS kl, max(id) AS job_id, arg_max(is_active, id) AS active FROM jobs GROUP BY ALL),
-n AS (SELECT site_id, {text.sync_title_sql('title')} AS kt, {text.sync_location_sql('location')} AS kl, arg_min(title, (pos, title)) AS title FROM (SELECT * FROM postings WHERE page_no <= 2) GROUP BY ALL),
-c AS (SELECT coalesce(o.site_id, n.site_id) AS site_id, coalesce(o.kt, n.kt) AS k_title, coalesce(o.kl, n.kl) AS k_location, job_id,
+_NOW = 10**9
+_blank = lambda c: f"coalesce({c}, '')"
+
+
+def _sync_sql(scan: str) -> str:
+    """DuckDB: c, one row for each key of jobs and of a scan."""
+    row = "{'title': title, 'location': location, 'url': url" + (", 'company': company" if scan == "postings" else "") + "}"
+    keys = f"{text.sync_title_sql('title')} AS kt, {text.sync_location_sql('location')} AS kl"
+    return f"""
+o AS (SELECT site_id, {keys}, max(id) AS job_id, arg_max(is_active, id) AS active, arg_max({{'title': title, 'location': location, 'url': url, 'company': company}}, id) AS was FROM jobs GROUP BY ALL),
+n AS (SELECT site_id, {keys}, arg_min({row}, (pos, title, {_blank('location')}, {_blank('url')})) AS r FROM {scan} GROUP BY ALL),
+c AS (SELECT coalesce(o.site_id, n.site_id) AS site_id, coalesce(o.kt, n.kt) AS k_title, coalesce(o.kl, n.kl) AS k_location, job_id, was, r, coalesce(r.title, was.title) AS title,
   CASE WHEN o.site_id IS NULL THEN 'added' WHEN n.site_id IS NOT NULL AND active THEN 'seen' WHEN n.site_id IS NOT NULL THEN 'reactivated' WHEN active THEN 'removed' END AS event
-  FROM o FULL JOIN n ON o.site_id = n.site_id AND o.kt = n.kt AND o.kl = n.kl)
-"""
-_sync = lambda jobs, posts: postings.reconciled(jobs, posts.where("page_no <= 2"))
-query("u2_j3_reconciled", f", {_SYNC} SELECT site_id, k_title, k_location, job_id, event FROM c", "jobs", "postings")(lambda j, p: _sync(j, p).select("site_id", "k_title", "k_location", "job_id", "event"))
-query("a9_change_counts", f", {_SYNC} SELECT site_id, count(*) FILTER (event = 'added') AS new_jobs, count(*) FILTER (event = 'removed') AS removed_jobs, count(*) FILTER (event = 'reactivated') AS reactivated_jobs, count(job_id) = 0 AS is_first_scan FROM c GROUP BY site_id", "jobs", "postings")(
-    lambda j, p: _sync(j, p).groupBy("site_id").agg(*[F.count_if(F.col("event") == e).alias(f"{n}_jobs") for e, n in (("added", "new"), ("removed", "removed"), ("reactivated", "reactivated"))], (F.count("job_id") == 0).alias("is_first_scan"))
-)
-query("sk8_history_events", f", {_SYNC} SELECT site_id, job_id, event, CASE event WHEN 'removed' THEN 'Job no longer found on site' WHEN 'reactivated' THEN 'Job reappeared after being removed' END AS details FROM c WHERE event IN ('added', 'removed', 'reactivated')", "jobs", "postings")(
-    lambda j, p: postings.history_events(_sync(j, p))
-)
-query("u2_next_state", f", {_SYNC} SELECT site_id, count(*) AS n_jobs, sum(active)::BIGINT AS n_active FROM (SELECT j.site_id, CASE WHEN c.event = 'reactivated' THEN 1 WHEN c.event = 'removed' THEN 0 ELSE j.is_active::INT END AS active FROM jobs j LEFT JOIN c ON c.job_id = j.id UNION ALL SELECT site_id, 1 FROM c WHERE event = 'added') GROUP BY site_id", "jobs", "postings")(
-    lambda j, p: postings.next_state(j, _sync(j, p), F.lit(10**9).cast("long")).groupBy("site_id").agg(F.count("*").alias("n_jobs"), F.sum(F.col("is_active").cast("int")).alias("n_active"))
-)
-query("guard_mass_removal", "SELECT j.site_id, active, found, active > 5 AND found < 0.5 * active AS suspicious FROM (SELECT site_id, count(*) FILTER (is_active) AS active FROM jobs GROUP BY 1) j JOIN (SELECT site_id, count(*) FILTER (page_no = 7) AS found FROM postings GROUP BY 1) p ON p.site_id = j.site_id", "jobs", "postings")(
-    lambda j, p: j.groupBy("site_id").agg(F.count_if("is_active").alias("active"))
-    .join(p.groupBy("site_id").agg(F.count_if(F.col("page_no") == 7).alias("found")), "site_id")
-    .withColumn("suspicious", postings.suspicious(F.col("active"), F.col("found")))
+  FROM o FULL JOIN n ON o.site_id = n.site_id AND o.kt = n.kt AND o.kl = n.kl)"""
+
+
+_SYNC = _sync_sql("postings")
+_DETAILS = "CASE event WHEN 'removed' THEN 'Job no longer found on site' WHEN 'reactivated' THEN 'Job reappeared after being removed' END"
+_sync = postings.reconciled
+_now = lambda: F.lit(_NOW).cast("long")
+_stored = lambda c="job_id": F.when(F.col("event") != "added", F.col(c))  # noqa: E731  ids of new jobs are hashes that DuckDB lacks
+query("u2_j3_reconciled", f", {_SYNC} SELECT site_id, k_title, k_location, job_id, event FROM c", "jobs", "postings")(
+    lambda j, p: _sync(j, p).select("site_id", "k_title", "k_location", F.when(F.col("old").isNotNull(), F.col("job_id")).alias("job_id"), "event")
+)
+query("a9_change_counts", f", {_SYNC}, t AS (SELECT site_id, count(*) AS total FROM postings GROUP BY 1) SELECT c.site_id, count(*) FILTER (event = 'added') AS new_jobs, count(*) FILTER (event = 'removed') AS removed_jobs, count(*) FILTER (event = 'reactivated') AS reactivated_jobs, count(job_id) = 0 AS is_first_scan, coalesce(max(total), 0) AS total_jobs, coalesce(bool_or(event IN ('added', 'removed', 'reactivated')), false) AS has_changes FROM c LEFT JOIN t ON t.site_id = c.site_id GROUP BY c.site_id", "jobs", "postings")(
+    lambda j, p: postings.change_counts(_sync(j, p), p)
+)
+# every event with the job that its id leads to in the next version: ids of added jobs must be those of the rows that were added
+query("sk8_history_events", f", {_SYNC} SELECT site_id, CASE WHEN event <> 'added' THEN job_id END AS job_id, event, {_DETAILS} AS details, {_NOW}::BIGINT AS changed_at, CASE WHEN event = 'added' THEN r.title ELSE was.title END AS title, CASE WHEN event = 'added' THEN r.location ELSE was.location END AS location, event <> 'removed' AS is_active FROM c WHERE event IN ('added', 'removed', 'reactivated')", "jobs", "postings")(
+    lambda j, p: _events_with_jobs(j, _sync(j, p))
+)
+
+
+def _events_with_jobs(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    after = postings.next_state(jobs, changes, _now()).select(F.col("id").alias("job_id"), "title", "location", "is_active")
+    events = postings.history_events(changes, _now()).join(after, "job_id")
+    return events.select("site_id", _stored().alias("job_id"), "event", "details", "changed_at", "title", "location", "is_active")
+
+
+_STATE_SQL = f"""SELECT j.id, j.site_id, j.title, j.location, j.url, j.company, CASE WHEN c.event = 'reactivated' THEN true WHEN c.event = 'removed' THEN false ELSE j.is_active END AS is_active,
+  j.first_seen_at, CASE WHEN c.event IN ('seen', 'reactivated') THEN {_NOW} ELSE j.last_seen_at END::BIGINT AS last_seen_at FROM jobs j LEFT JOIN c ON c.job_id = j.id"""
+query("u2_next_state", f", {_SYNC} {_STATE_SQL} UNION ALL SELECT NULL, site_id, r.title, r.location, r.url, r.company, true, {_NOW}, {_NOW} FROM c WHERE event = 'added'", "jobs", "postings")(
+    lambda j, p: postings.next_state(j, _sync(j, p), _now()).withColumn("id", F.when(F.col("first_seen_at") != _NOW, F.col("id")))
+)
+query("u2_removed_postings", f", {_SYNC} SELECT 'cached-' || job_id AS id, was.title AS title, coalesce(was.company, '') AS company, coalesce(was.location, 'Unknown') AS location, coalesce(was.url, '') AS url, 'cached:' || site_id AS source, NULL::VARCHAR AS title_en FROM c WHERE event = 'removed'", "jobs", "postings")(
+    lambda j, p: postings.removed_postings(_sync(j, p))
+)
+query("sk6_t8_change_summary", f", {_SYNC}, a AS (SELECT site_id, event, count(*) AS n, list(title ORDER BY k_title, k_location) AS titles FROM c WHERE event IN ('added', 'removed', 'reactivated') GROUP BY ALL) SELECT site_id, event, n, array_to_string(titles[1:CASE event WHEN 'reactivated' THEN 3 ELSE 5 END], '; ') AS first_titles, greatest(n - CASE event WHEN 'reactivated' THEN 3 ELSE 5 END, 0) AS more FROM a", "jobs", "postings")(
+    lambda j, p: postings.change_summary(_sync(j, p))
+)
+
+_GATE = """w AS (SELECT site_id, max(suspicious_count) AS waiting FROM career_urls GROUP BY 1), f AS (SELECT site_id, count(*) AS found FROM rescan GROUP BY 1), a AS (SELECT site_id, count(*) FILTER (is_active) AS active FROM jobs GROUP BY 1),
+q AS (SELECT s.id AS site_id, coalesce(active, 0) AS active, coalesce(found, 0) AS found, coalesce(active, 0) > 5 AND coalesce(found, 0) < 0.5 * coalesce(active, 0) AS suspicious, coalesce(waiting, 0) AS waiting
+  FROM sites s LEFT JOIN w ON w.site_id = s.id LEFT JOIN f ON f.site_id = s.id LEFT JOIN a ON a.site_id = s.id),
+g AS (SELECT site_id, active, found, suspicious, NOT suspicious OR waiting + 1 >= 3 AS allowed, CASE WHEN (NOT suspicious OR waiting + 1 >= 3) AND found > 0 THEN 0 ELSE waiting + suspicious::INT END AS suspicious_count,
+  CASE WHEN (NOT suspicious OR waiting + 1 >= 3) AND found > 0 THEN 'success' WHEN suspicious THEN 'suspicious' ELSE 'empty' END AS outcome FROM q)"""
+_waiting = lambda u: u.groupBy("site_id").agg(F.max("suspicious_count").alias("suspicious_count"))
+_scan_of = lambda j, u, s, p: apply_scan(j, _waiting(u), s.select(F.col("id").alias("site_id")), p, _now())
+query("guard_e3_confirmed", f", {_GATE} SELECT * FROM g", "jobs", "career_urls", "sites", "rescan")(lambda j, u, s, p: _scan_of(j, u, s, p).gate)
+_LET = f"""{_GATE}, l AS (SELECT site_id FROM g WHERE allowed), all_jobs AS (SELECT * FROM jobs),"""
+_GATED = _sync_sql("let_scan").replace("FROM jobs GROUP", "FROM all_jobs WHERE site_id IN (SELECT site_id FROM l) GROUP").replace("n AS (", "let_scan AS (SELECT * FROM rescan WHERE site_id IN (SELECT site_id FROM l)),\nn AS (")
+query("u2_guarded_next_state", f", {_LET} {_GATED} {_STATE_SQL} UNION ALL SELECT NULL, site_id, r.title, r.location, r.url, NULL, true, {_NOW}, {_NOW} FROM c WHERE event = 'added'", "jobs", "career_urls", "sites", "rescan")(
+    lambda j, u, s, p: _scan_of(j, u, s, p).jobs.withColumn("id", F.when(F.col("first_seen_at") != _NOW, F.col("id")))
+)
+query("e1_e2_e3_marked_urls", f""", o AS (SELECT id, CASE id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'suspicious' END AS o FROM career_urls)
+SELECT u.id, CASE o WHEN 'success' THEN 0 WHEN 'failed' THEN fail_count + 1 ELSE fail_count END::INT AS fail_count, CASE o WHEN 'success' THEN 0 WHEN 'suspicious' THEN suspicious_count + 1 ELSE suspicious_count END::INT AS suspicious_count,
+  CASE WHEN o = 'success' THEN true WHEN o = 'failed' AND fail_count + 1 >= 3 THEN false ELSE is_active END AS is_active, CASE WHEN o = 'success' THEN {_NOW} ELSE last_success_at END::BIGINT AS last_success_at FROM career_urls u JOIN o ON o.id = u.id""", "career_urls")(
+    lambda u: state.marked(u, u.select("id", F.expr("case id % 4 when 0 then 'success' when 1 then 'failed' when 2 then 'suspicious' end").alias("outcome")), _now()).select("id", "fail_count", "suspicious_count", "is_active", "last_success_at")
 )
+query("f22_company_if_external", f"SELECT id, title FROM (SELECT *, bool_or(m) OVER (PARTITION BY site_id, own) AS any_match FROM (SELECT *, site_id % 3 = 0 AS own, len(list_filter({urls.company_variants_sql('(' + _src + ')')}, lambda v: contains(lower(concat_ws(' ', title, location, company)), v))) > 0 AS m FROM postings)) WHERE own OR m OR NOT any_match", "postings")(
+    lambda df: postings.company_if_external(df, F.expr(f"case when site_id % 3 = 0 then {_src} else 'https://jobs.lever.co/x' end"), F.expr(_src), ["site_id"], False).select("id", "title")
+)
 query("e8_crawl_cut", f", k AS (SELECT *, {_key_sql} AS k FROM postings WHERE page_no <= 3), f AS (SELECT *, min(page_no) OVER (PARTITION BY site_id, k) AS first FROM k), s AS (SELECT site_id, min(page_no) AS cut FROM (SELECT site_id, page_no FROM f GROUP BY ALL HAVING NOT bool_or(first = page_no)) GROUP BY 1) SELECT id, f.site_id, page_no FROM f LEFT JOIN s ON s.site_id = f.site_id WHERE cut IS NULL OR page_no <= cut", "postings")(
     lambda df: postings.all_duplicate_cut(df, F.lit(_BASE)).select("id", "site_id", "page_no")
 )
@@ -142,10 +193,20 @@ SELECT coalesce(o.site_id, n.site_id) AS site_id, coalesce(o.url, n.url) AS url,
 query("u7_u8_cache_purge", "SELECT namespace, count(*) FILTER (created_at + ttl_seconds >= 4000) AS kept, count(*) FILTER (created_at + ttl_seconds < 4000) AS purged FROM cache WHERE namespace <> 'url' GROUP BY 1", "cache")(
     lambda df: df.where("namespace <> 'url'").withColumn("gone", state.is_purged(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000))).groupBy("namespace").agg(F.count_if(~F.col("gone")).alias("kept"), F.count_if("gone").alias("purged"))
 )
-query("u5_j9_cache_probe", "SELECT c.id, h.id IS NOT NULL AND c.created_at + c.ttl_seconds > 4000 AS hit, c.hit_count + (CASE WHEN h.id IS NOT NULL AND c.created_at + c.ttl_seconds > 4000 THEN 1 ELSE 0 END) AS hit_count FROM cache c LEFT JOIN (SELECT DISTINCT id FROM cache WHERE id % 3 = 1) h ON h.id = c.id", "cache")(
-    lambda df: df.alias("c").join(df.where("id % 3 = 1").select(F.col("id").alias("probe")).distinct(), F.col("id") == F.col("probe"), "left")
-    .withColumn("hit", F.col("probe").isNotNull() & state.is_live(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000))).select("id", "hit", (F.col("hit_count") + F.col("hit").cast("int")).alias("hit_count"))
+_fresh = lambda df: df.select(F.concat(F.lit("k"), F.col("id") * 2).alias("key"), F.lit("other").alias("namespace"), F.upper("value").alias("value"), F.lit("m").alias("model"), (F.col("ttl_seconds") + 1).alias("ttl_seconds"), (F.col("tokens_saved") + 2).alias("tokens_saved"))
+_entries = lambda df: df.select("key", "namespace", "value", "model", "ttl_seconds", "created_at", "hit_count", "tokens_saved")
+query("u5_cache_upsert", f""", n AS (SELECT 'k' || id * 2 AS key, 'other' AS namespace, upper(value) AS value, 'm' AS model, ttl_seconds + 1 AS ttl_seconds, tokens_saved + 2 AS tokens_saved FROM cache)
+SELECT coalesce(c.key, n.key) AS key, coalesce(c.namespace, n.namespace) AS namespace, coalesce(n.value, c.value) AS value, CASE WHEN c.key IS NULL THEN n.model ELSE c.model END AS model, coalesce(n.ttl_seconds, c.ttl_seconds) AS ttl_seconds,
+  CASE WHEN n.key IS NULL THEN c.created_at ELSE {_NOW} END::BIGINT AS created_at, CASE WHEN n.key IS NULL THEN c.hit_count ELSE 0 END AS hit_count, coalesce(n.tokens_saved, c.tokens_saved) AS tokens_saved FROM cache c FULL JOIN n ON n.key = c.key""", "cache")(
+    lambda df: state.cache_set(_entries(df), _fresh(df), _now())
 )
+_probes = lambda p: p.select(F.concat(F.lit("k"), F.pmod(F.col("id"), F.lit(3001))).alias("key"))
+query("j9_cache_answers", "SELECT p.key, count(*) AS asked, count(c.key) AS hits, any_value(c.value) AS value FROM (SELECT 'k' || id % 3001 AS key FROM calls) p LEFT JOIN (SELECT * FROM cache WHERE created_at + ttl_seconds > 4000) c ON c.key = p.key GROUP BY 1", "cache", "calls")(
+    lambda c, p: state.cache_read(c, _probes(p), F.lit(4000))[0].groupBy("key").agg(F.count("*").alias("asked"), F.count_if("hit").alias("hits"), F.any_value("value").alias("value"))
+)
+query("e7_cache_after_reads", "SELECT c.key, (hit_count + CASE WHEN created_at + ttl_seconds > 4000 THEN coalesce(n, 0) ELSE 0 END)::INT AS hit_count FROM cache c LEFT JOIN (SELECT 'k' || id % 3001 AS key, count(*) AS n FROM calls GROUP BY 1) p ON p.key = c.key", "cache", "calls")(
+    lambda c, p: state.cache_read(c, _probes(p), F.lit(4000))[1].select("key", "hit_count")
+)
 
 # --- reports ------------------------------------------------------------------------
 
@@ -166,7 +227,7 @@ _rank = urls.careers_rank_sql("url")
 query("t4_best_careers_url", f"SELECT site_id, arg_min(url, ({', '.join(_rank)}, id)) AS best_url FROM career_urls GROUP BY 1", "career_urls")(lambda df: reports.best_careers_url(df, urls.careers_rank(F.col("url"))))
 query("a4_a5_cache_stats", "SELECT namespace, count(*) AS entries, sum(hit_count)::BIGINT AS hits, sum(tokens_saved * hit_count)::BIGINT AS tokens_saved, round(coalesce(sum(hit_count) / nullif(sum(hit_count) + count(*), 0), 0), 6) AS hit_rate, round(sum(tokens_saved * hit_count) * 0.00001::DOUBLE, 6) AS saved_usd FROM cache GROUP BY 1", "cache")(reports.cache_stats)
 _price = lambda k: "CASE model " + " ".join(f"WHEN {quote(m)} THEN {p[k]}::DOUBLE" for m, p in reports.PRICES.items()) + f" ELSE {reports.DEFAULT_PRICE[k]}::DOUBLE END"
-query("a7_a8_usage", f"SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(CASE WHEN reported_usd > 0 THEN reported_usd ELSE prompt_tokens / 1e6 * {_price(0)} + completion_tokens / 1e6 * {_price(1)} END), 4) AS usd FROM calls GROUP BY 1", "calls")(reports.usage)
+query("a7_a8_usage", f"SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(CASE WHEN reported_usd > 0 THEN reported_usd ELSE prompt_tokens / 1e6 * {_price(0)} + completion_tokens / 1e6 * {_price(1)} END), 4) AS usd, round(sum(seconds), 4) AS seconds FROM calls GROUP BY 1", "calls")(reports.usage)
 query("a10_job_markers", f"SELECT id, (contains(lower(title), 'engineer')::INT + contains(lower(title), '(m/w/d)')::INT + contains(lower(title), 'vollzeit')::INT)::BIGINT AS markers FROM postings", "postings")(
     lambda df: df.select("id", F.size(F.filter(F.array(*map(F.lit, ("engineer", "(m/w/d)", "vollzeit"))), lambda m: F.contains(F.lower("title"), m))).cast("long").alias("markers"))
 )
@@ -174,29 +235,23 @@ query("a12_t6_longest_title", "SELECT site_id, arg_max(title, (length(title), -i
 query("w6_date_breaks", "SELECT id, changed_on, changed_on IS DISTINCT FROM lag(changed_on) OVER (PARTITION BY id % 100 ORDER BY changed_on DESC, id DESC) AS new_day FROM history", "history")(
     lambda df: df.select("id", "changed_on", F.expr("not (changed_on <=> lag(changed_on) over (partition by id % 100 order by changed_on desc, id desc))").alias("new_day"))
 )
-query("sk6_t8_change_summary", f", {_SYNC}, a AS (SELECT site_id, count(*) AS n, list(k_title ORDER BY k_title, k_location)[1:5] AS top FROM c WHERE event = 'added' GROUP BY 1) SELECT site_id, n, array_to_string(top, '; ') AS first_five, greatest(n - 5, 0) AS more FROM a", "jobs", "postings")(
-    lambda j, p: first_n_titles(_sync(j, p).where("event = 'added'"), 5)
-)
 query("sk3_terminal_rows", "SELECT id, title, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE title END, '—') AS title_en FROM postings", "postings")(lambda df: df.select("id", "title", F.coalesce(F.when(F.col("id") % 3 != 0, F.col("title")), F.lit("—")).alias("title_en")))
 _secs = "(id * 7 % 9000)"
 query("sk4_elapsed", f"SELECT id, CASE WHEN {_secs} < 60 THEN printf('%.2f сек', {_secs}::DOUBLE) WHEN {_secs} < 3600 THEN printf('%d мин %.1f сек', ({_secs} // 60)::INT, ({_secs} % 60)::DOUBLE) ELSE printf('%d ч %d мин %.0f сек', ({_secs} // 3600)::INT, ({_secs} % 3600 // 60)::INT, ({_secs} % 60)::DOUBLE) END AS elapsed FROM fetches", "fetches")(
     lambda df: df.select("id", reports.elapsed(F.expr("cast(id * 7 % 9000 as double)")).alias("elapsed"))
 )
-query("e1_w7_breaker", """SELECT domain, arg_max(streak, id)::BIGINT AS fail_count, max(streak) < 3 AS is_active, count(*) FILTER (status >= 400) AS n_failed FROM (
-  SELECT *, CASE WHEN status >= 400 THEN count(*) FILTER (status >= 400) OVER (PARTITION BY domain, run ORDER BY id) ELSE 0 END AS streak FROM (
-    SELECT *, count(*) FILTER (status < 400) OVER (PARTITION BY domain ORDER BY id) AS run FROM fetches)) GROUP BY 1""", "fetches")(lambda df: state.breaker(df))
-query("e4_rate_limit", None, "fetches")(state.delays)
-
-
-def first_n_titles(added: DataFrame, n: int) -> DataFrame:
-    """The first titles of each site and how many more there are."""
-    ranked = added.select("site_id", "k_title", F.expr("row_number() over (partition by site_id order by k_title, k_location)").alias("r"))
-    top = ranked.groupBy("site_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.struct("r", "k_title")))), lambda x: x["k_title"]), "; ").alias("first_five"))
-    return top.select("site_id", "n", "first_five", F.greatest(F.col("n") - n, F.lit(0)).alias("more"))
+query("e1_w7_breaker", """SELECT domain, count(*) FILTER (status >= 400 AND id > last) AS fail_count, count(*) FILTER (status >= 400 AND id > last) < 3 AS is_active, count(*) FILTER (status >= 400) AS n_failed
+  FROM (SELECT *, coalesce(max(CASE WHEN status < 400 THEN id END) OVER (PARTITION BY domain), -1) AS last FROM fetches) GROUP BY 1""", "fetches")(lambda df: state.breaker(df))
+_E4_SQL = """SELECT domain, round(list_reduce(list({'w': w, 'k': k, 'd': 0::DOUBLE} ORDER BY id), lambda a, x: {'w': 0::DOUBLE, 'k': 0, 'd':
+  CASE WHEN x.k = 1 THEN least(coalesce(x.w, a.d * 2), 30) WHEN a.d > 0.5 THEN CASE WHEN a.d * 0.9 <= 1.1 * 0.5 THEN 0.5 ELSE a.d * 0.9 END ELSE a.d END::DOUBLE}, {'w': 0::DOUBLE, 'k': 0, 'd': 0.5::DOUBLE}).d, 6) AS delay, count(*) AS n_events
+  FROM (SELECT domain, id, CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END AS k, CASE WHEN regexp_matches(retry_after, '^\\d+$') THEN nullif(retry_after::DOUBLE, 0) END AS w FROM fetches WHERE status IN (429, 503) OR status BETWEEN 200 AND 399) GROUP BY 1"""
+query("e4_rate_limit", _E4_SQL, "fetches")(state.delays)
+query("a11_rate_limit_stats", f", e AS ({_E4_SQL}) SELECT count(*) AS domains, count(*) FILTER (delay > 0.5) AS slowed, max(delay) AS longest FROM e", "fetches")(lambda df: state.rate_limit_stats(state.delays(df)))
 
 
 scalar("f7_f8_f10_f11_f15_links", "postings", {
-    "menu": (lambda: urls.is_menu_link(F.col("url")), urls.is_menu_link_sql("url")),
+    "softgarden_menu": (lambda: urls.is_softgarden_menu(F.col("url")), urls.is_softgarden_menu_sql("url")),
+    "join_menu": (lambda: urls.is_join_menu(F.col("url")), urls.is_join_menu_sql("url")),
     "listing": (lambda: urls.on_listing(F.col("url")), urls.on_listing_sql("url")),
     "single": (lambda: urls.is_single_posting(F.col("url")), urls.is_single_posting_sql("url")),
     "external": (lambda: urls.is_external_board(F.col("url")), urls.is_external_board_sql("url")),
@@ -212,19 +267,27 @@ scalar("v12_v13_v14_v18_parts", "postings", {
 })
 _said = "(CASE WHEN id % 3 = 0 THEN 'see https://a.b/c?x=1, ok' WHEN id % 3 = 1 THEN 'path \"/jobs/x\" here' ELSE 'none' END)"
 scalar("v26_quoted_url", "postings", {"found": (lambda: text.quoted_url(F.expr(_said), F.lit("https://base/")), text.quoted_url_sql(_said, "'https://base/'"))})
-_answer = "(CASE WHEN id % 3 = 0 THEN 'Sure: {\"jobs\": []} done' WHEN id % 3 = 1 THEN '[1, 2]' ELSE 'nothing {bad' END)"
-scalar("v27_answer_json", "postings", {"json": (lambda: text.answer_json(F.expr(_answer)), "CASE WHEN id % 3 = 0 THEN '{\"jobs\": []}' WHEN id % 3 = 1 THEN '[1, 2]' ELSE '[]' END")})
+_answer = """(CASE id % 9 WHEN 0 THEN concat('Sure: {"jobs": [{"t": "', trim(title), '"}]} done') WHEN 1 THEN '[1, 2]' WHEN 2 THEN 'nothing {bad' WHEN 3 THEN concat('x {"jobs": [', id, ']} and {bad}')
+  WHEN 4 THEN concat('```json ', '{"a": {"b": ', id, '}}', ' ``` tail {}') WHEN 5 THEN concat('see {oops} then [', id, ', 7] end') WHEN 6 THEN '```json {broken ``` {"jobs": [1]}' WHEN 7 THEN concat('{"c": 1} { "jobs": [', id, ']}') ELSE '' END)"""
+scalar("v27_answer_json", "postings", {"json": (lambda: text.answer_json(F.expr(_answer)), text.answer_json_sql(_answer))})
 scalar("l10_search_urls", "postings", {
     "de": (lambda: urls.search_url("https://www.stepstone.de/jobs/", text.slug(F.col("title")), text.location_slug(F.coalesce("location", F.lit("Berlin")), text.CITIES_DE), F.col("page_no") - 1), urls.search_url_sql("https://www.stepstone.de/jobs/", text.slug_sql("title"), text.location_slug_sql("coalesce(location, 'Berlin')", text.CITIES_DE), "(page_no - 1)")),
     "at": (lambda: urls.search_url("https://www.karriere.at/jobs/", text.slug(F.col("title")), None, F.col("page_no") - 1), urls.search_url_sql("https://www.karriere.at/jobs/", text.slug_sql("title"), None, "(page_no - 1)")),
 })
-query("f17_sitemap_keywords", f"SELECT id, site_id FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY id) AS n, bool_or(m) OVER (PARTITION BY site_id) AS any_match FROM (SELECT *, {' OR '.join(f"contains(lower(url), '{w}')" for w in urls.SITEMAP_WORDS)} AS m FROM career_urls) QUALIFY m OR NOT any_match)", "career_urls")(
-    lambda df: postings.keep_matching_or_all(df, F.exists(F.array(*map(F.lit, urls.SITEMAP_WORDS)), lambda w: F.contains(F.lower("url"), w)), ["site_id"]).select("id", "site_id")
-)
-query("f18_search_parameters", "SELECT id, coalesce(CASE lower(place) WHEN 'moscow' THEN '1' WHEN 'spb' THEN '2' WHEN 'russia' THEN '113' END, '?') AS area, CASE id % 2 WHEN 0 THEN 'between1And3' ELSE 'moreThan6' END AS experience FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'Moscow' WHEN 1 THEN 'spb' WHEN 2 THEN 'Russia' ELSE 'Paris' END AS place FROM calls)", "calls")(
-    lambda df: df.select("id", F.expr("case id % 4 when 0 then 'Moscow' when 1 then 'spb' when 2 then 'Russia' else 'Paris' end").alias("place"), F.expr("case id % 2 when 0 then '1-3' else '6+' end").alias("years"))
-    .select("id", lookup(F.lower("place"), text.AREAS, F.lit("?")).alias("area"), lookup(F.col("years"), text.EXPERIENCE, F.col("years")).alias("experience"))
-)
+_words17 = " OR ".join(f"contains(lower(url), '{w}')" for w in urls.SITEMAP_WORDS)
+query("f17_t7_sitemap_candidates", f"SELECT id, page FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM (SELECT *, bool_or(m) OVER (PARTITION BY page) AS any_match FROM (SELECT id, site_id % 20 AS page, coalesce({_words17}, false) AND site_id % 20 < 15 AS m FROM postings)) WHERE m OR NOT any_match) WHERE n <= CASE WHEN any_match THEN 50 ELSE 100 END", "postings")(
+    lambda df: postings.sitemap_candidates(
+        df.withColumn("page", F.col("site_id") % 20), F.exists(F.array(*map(F.lit, urls.SITEMAP_WORDS)), lambda w: F.contains(F.lower("url"), w)) & (F.col("page") < 15), ["page"], [F.col("id")]
+    ).select("id", "page")
+)
+_PLACE18 = {"0": "Moscow", "1": "spb", "2": "Russia", "3": "Paris"}
+query("f18_search_parameters", "SELECT id, coalesce(CASE lower(place) WHEN 'moscow' THEN '1' WHEN 'spb' THEN '2' WHEN 'russia' THEN '113' END, suggested) AS area, CASE id % 2 WHEN 0 THEN 'between1And3' ELSE 'moreThan6' END AS experience, salary, CASE WHEN salary IS NOT NULL THEN true END AS only_with_salary FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'Moscow' WHEN 1 THEN 'spb' WHEN 2 THEN 'Russia' ELSE 'Paris' END AS place, CASE WHEN id % 8 = 3 THEN 's' || id END AS suggested, CASE WHEN id % 3 = 0 THEN id END AS salary FROM calls)", "calls")(
+    lambda df: df.select("id", F.expr("case id % 4 when 0 then 'Moscow' when 1 then 'spb' when 2 then 'Russia' else 'Paris' end").alias("place"), F.expr("case id % 2 when 0 then '1-3' else '6+' end").alias("years"), F.expr("case when id % 8 = 3 then concat('s', id) end").alias("suggested"), F.expr("case when id % 3 = 0 then id end").alias("salary"))
+    .select("id", *reports.search_parameters(F.col("place"), F.col("suggested"), F.col("years"), F.col("salary")))
+)
+query("f20_batches_in_english", f"SELECT site_id, page_no, bool_and({text.looks_english_sql('title')}) AS english FROM postings GROUP BY ALL", "postings")(lambda df: df.groupBy("site_id", "page_no").agg(F.bool_and(text.looks_english(F.col("title"))).alias("english")))
+_asked, _answered = "array('a', 'b')", "case id % 4 when 0 then array('x', 'y') when 1 then array('x') when 2 then array('x', '...') else array('x', concat(title, ' Error')) end"
+query("f19_good_translations", "SELECT id, id % 4 = 0 AS good FROM postings", "postings")(lambda df: df.select("id", text.good_translations(F.expr(_asked), F.expr(_answered)).alias("good")))
 query("e6_concurrency", "SELECT domain, max(open)::BIGINT AS most_open FROM (SELECT domain, sum(d) OVER (PARTITION BY domain ORDER BY t, d) AS open FROM (SELECT domain, id AS t, 1 AS d FROM fetches UNION ALL SELECT domain, id + 100 + status, -1 FROM fetches)) GROUP BY 1", "fetches")(
     lambda df: state.most_open(df.select("domain", F.col("id").alias("started"), (F.col("id") + 100 + F.col("status")).alias("ended")), "domain")
 )
@@ -234,17 +297,38 @@ query("e7_cache_hits", "SELECT namespace, count(*) FILTER (live) AS hits, count(
 query("u3_get_or_create_site", ", n AS (SELECT DISTINCT 's' || id % 50 || '.example.com' AS domain FROM postings UNION SELECT domain FROM sites WHERE id % 2 = 0) SELECT n.domain, s.id IS NULL AS created FROM n LEFT JOIN sites s ON s.domain = n.domain", "sites", "postings")(
     lambda s, p: p.select(F.concat(F.lit("s"), F.col("id") % 50, F.lit(".example.com")).alias("domain")).union(s.where("id % 2 = 0").select("domain")).distinct().join(s.select("domain", "id"), "domain", "left").select("domain", F.col("id").isNull().alias("created"))
 )
-query("x29_j6_records", "SELECT id, 'web-' || split_part(url, '/', 3) || '-' || (row_number() OVER (PARTITION BY site_id ORDER BY id) - 1) AS external_id, CASE WHEN id % 4 <> 0 THEN title END AS title_en FROM postings WHERE url LIKE 'http%' AND site_id <= 20", "postings")(
-    lambda df: df.where("url like 'http%' and site_id <= 20").select("id", F.expr("concat('web-', split_part(url, '/', 3), '-', row_number() over (partition by site_id order by id) - 1)").alias("external_id"), F.when(F.col("id") % 4 != 0, F.col("title")).alias("title_en"))
+_SITE_URL = "concat('https://www.site-', cast(site_id as string), '.com/x')"
+query("x29_j6_records", f"SELECT id, 'web-' || host || '-' || (row_number() OVER (PARTITION BY site_id ORDER BY pos, id) - 1) AS external_id, title, {text.company_name_sql('host')} AS company, coalesce(location, 'Unknown') AS location, coalesce(url, 'https://careers') AS url, 'website:' || host AS source, CASE WHEN id % 4 <> 0 THEN lower(title) END AS title_en FROM (SELECT *, 'www.site-' || site_id || '.com' AS host FROM postings)", "postings")(
+    lambda df: postings.records(df.withColumn("title_en", F.when(F.col("id") % 4 != 0, F.lower("title"))), F.expr(_SITE_URL), F.lit("https://careers"), ["pos", "id"], ["site_id"], keep=["id"]).drop("site_id")
 )
 query("w4_running_heading", "SELECT id, last_value(CASE WHEN department <> '' THEN department END IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY id) AS heading FROM postings", "postings")(
     lambda df: df.withColumn("h", F.nullif("department", F.lit(""))).select("id", postings.running_heading(df, "site_id", "id", "h").alias("heading"))
 )
-query("p1_company_info", "SELECT s.id, coalesce(nullif(description, ''), 'extracted ' || s.name) AS description FROM sites s", "sites")(
-    lambda df: df.join(df.where("coalesce(description, '') = ''").select("id", F.concat(F.lit("extracted "), "name").alias("fresh")), "id", "left").select("id", F.coalesce(F.nullif("description", F.lit("")), "fresh").alias("description"))
+_told = lambda df: df.select("domain", F.expr("case when id % 3 = 0 then '' else concat('about ', domain) end").alias("description"))
+query("p1_company_info", "SELECT id, domain, CASE WHEN coalesce(description, '') = '' AND id % 3 <> 0 THEN 'about ' || domain ELSE description END AS description FROM sites", "sites")(
+    lambda df: enrich.company_info(df, _told(df)).select("id", "domain", "description")
+)
+query("p2_company_info_of_pages", "SELECT domain, name, CASE WHEN coalesce(description, '') <> '' THEN description WHEN id % 3 <> 0 THEN 'about ' || domain ELSE description END AS description FROM sites UNION ALL SELECT 'new-' || id, 'new-' || id, 'fresh' FROM sites", "sites")(
+    lambda df: enrich.company_info_of_pages(df, _told(df).union(df.select(F.concat(F.lit("new-"), "id"), F.lit("fresh"))), F.xxhash64("new.domain")).select("domain", "name", "description")
+)
+query("p10_tracked_usage", "SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END)::BIGINT AS completion_tokens, round(sum(CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN 0.25 ELSE prompt_tokens / 1e6 * 0.5 + CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END / 1e6 * 1.5 END), 4) AS usd, round(sum(seconds), 4) AS seconds FROM (SELECT *  REPLACE ('m' || id % 3 AS model) FROM calls) GROUP BY 1", "calls")(
+    lambda df: reports.usage(reports.tracked(df.select(F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model"), "seconds", F.expr(_BODY10).alias("body"))))
+)
+_BODY10 = """case id % 3 when 0 then concat('{"usage":{"prompt_tokens":', prompt_tokens, ',"completion_tokens":', completion_tokens, if(id % 5 = 0, ',"cost":0.25', ''), '}}')
+  when 1 then concat('{"prompt_eval_count":', prompt_tokens, ',"eval_count":', completion_tokens, '}') else concat('{"prompt_eval_count":', prompt_tokens, '}') end"""
+_RESPONSE = "(CASE id % 3 WHEN 0 THEN concat('{\"choices\":[{\"message\":{\"content\":\"say ', id, '\"}}]}') WHEN 1 THEN '{\"choices\":[]}' ELSE 'no json' END)"
+_JOBS_SAID = "(CASE id % 4 WHEN 0 THEN '{\"jobs\":[]}' WHEN 1 THEN '{}' WHEN 2 THEN concat('{\"jobs\":[{\"title\":\"', model, '\"}]}') ELSE '{\"jobs\":null}' END)"
+query("p9_p11_answers", "SELECT id, CASE id % 3 WHEN 0 THEN 'say ' || id ELSE '' END AS content, id % 4 <> 2 AS empty FROM calls", "calls")(
+    lambda df: df.select("id", text.answer_content(F.expr(_RESPONSE)).alias("content"), text.is_empty_result(F.expr(_JOBS_SAID)).alias("empty"))
 )
-query("p3_board_page", "SELECT c.id, coalesce(b.url, c.url) AS page FROM career_urls c LEFT JOIN (SELECT site_id, min(url) AS url FROM career_urls WHERE platform <> '' GROUP BY 1) b ON b.site_id = c.site_id", "career_urls")(
-    lambda df: df.join(df.where("platform <> ''").groupBy("site_id").agg(F.min("url").alias("board")), "site_id", "left").select("id", F.coalesce("board", "url").alias("page"))
+query("v28_v30_report_times", f"SELECT id, {text.parsed_time_sql('changed_at')} AS stamp, {text.report_day_sql('changed_at')} AS day, {text.report_clock_sql('changed_at')} AS clock FROM history", "history")(
+    lambda df: df.select("id", text.parsed_time(F.col("changed_at")).alias("stamp"), text.report_day(F.col("changed_at")).alias("day"), text.report_clock(F.col("changed_at")).alias("clock"))
+)
+_ACTION = "CASE event WHEN 'added' THEN 'добавлена' WHEN 'removed' THEN 'закрыта' WHEN 'reactivated' THEN 'вернулась' ELSE event END"
+query("sk5_history_report", f"SELECT line, CASE WHEN day IS DISTINCT FROM lag(day) OVER (ORDER BY line) THEN day END AS heading, clock, said FROM (SELECT row_number() OVER (ORDER BY changed_at DESC NULLS LAST, h.id DESC)::INT AS line, {text.report_day_sql('changed_at')} AS day, {text.report_clock_sql('changed_at')} AS clock, title || CASE WHEN coalesce(location, '') <> '' THEN ' (' || location || ')' ELSE '' END || ' [' || domain || '] — ' || {_ACTION} AS said FROM history h JOIN jobs j ON j.id = h.job_id JOIN sites s ON s.id = j.site_id) WHERE line <= 300", "history", "jobs", "sites")(lambda h, j, s: reports.history_report(h, j, s, 300))
+query("sc4_active_jobs", "SELECT id, site_id, title, location, url FROM jobs WHERE is_active AND site_id = 7", "jobs")(lambda df: reports.active_jobs(df, 7).select("id", "site_id", "title", "location", "url"))
+query("f6_v23_title_signals", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in text.title_signals_sql("title").items()) + f", {text.confidence_sql('method', {k: v for k, v in text.title_signals_sql('title').items() if k in text.SIGNALS})} AS confidence FROM postings", "postings")(
+    lambda df: df.withColumn("s", text.title_signals(F.col("title"))).select("id", "s.*", text.confidence(F.col("method"), {k: F.col(f"s.{k}") for k in text.title_signals_sql("title") if k in text.SIGNALS}).alias("confidence"))
 )
 _nav = "('https://x/' || CASE WHEN id % 3 = 0 THEN 'en/jobs' WHEN id % 3 = 1 THEN 'about' ELSE 'a/b/c' END)"
 scalar("t5_sitemap_or_nav", "career_urls", {"chosen": (lambda: urls.chosen_careers_url(F.col("url"), F.expr(_nav)), urls.chosen_careers_url_sql("url", _nav))})
@@ -253,11 +337,8 @@ scalar("t5_sitemap_or_nav", "career_urls", {"chosen": (lambda: urls.chosen_caree
 # --- pages --------------------------------------------------------------------------
 
 from ..operators import extract, markup  # noqa: E402
-from ..sources import files  # noqa: E402
-
-
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+from . import boards  # noqa: E402
+from .boards import pages as _pages  # noqa: E402
 
 
 def _register(name: str, f, sql: str | None = None) -> None:
@@ -266,70 +347,11 @@ def _register(name: str, f, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-#: Job pages built around each stored page, so that any number of rows has postings.
-_LD = """'<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"Engineer ' || page_id || '","url":"/j/' || page_id || '","industry":"IT","jobLocation":{"address":{"addressLocality":"Berlin"}},"hiringOrganization":{"name":"Acme"}},{"@type":"Person","title":"no"},{"@type":"JobPosting","title":"Open Application"}]}</script>' || html"""
-_register(
-    "x1_json_ld",
-    lambda spark, d: extract.extracted(_pages(spark, d).select("page_id", "url", F.expr(_LD).alias("html"), F.lit(None).cast("string").alias("platform"))).select("page_id", "pos", "method", "title", "location", "department", "company"),
-    "SELECT page_id, 0::BIGINT AS pos, 'schema_org' AS method, 'Engineer ' || page_id AS title, 'Berlin' AS location, 'IT' AS department, 'Acme' AS company FROM pages",
-)
-_LEVER = """'<div class=posting><h5>Developer ' || page_id || '</h5><a href="/acme/' || page_id || '">x</a><span class=location>Wien</span></div><div class="posting"><h5>Initiativbewerbung</h5></div>'"""
-_register(
-    "x6_x25_lever",
-    lambda spark, d: extract.extracted(_pages(spark, d).select("page_id", F.lit("https://jobs.lever.co/acme").alias("url"), F.expr(_LEVER).alias("html"), F.lit("lever").alias("platform"))).select("page_id", "pos", "method", "title", "location", "url"),
-    "SELECT page_id, 0::BIGINT AS pos, 'job_board:lever' AS method, 'Developer ' || page_id AS title, 'Wien' AS location, 'https://jobs.lever.co/acme/' || page_id AS url FROM pages",
-)
-_PERSONIO = """'<a href="/job/' || page_id || '">Analyst (all)Permanent employee, Full-time·Köln·Remote</a><a href="/job/' || page_id || '">again</a>'"""
-_register(
-    "x4_v15_personio",
-    lambda spark, d: extract.extracted(_pages(spark, d).select("page_id", F.lit("https://a.jobs.personio.de/").alias("url"), F.expr(_PERSONIO).alias("html"), F.lit("personio").alias("platform"))).select("page_id", "title", "location", "url"),
-    "SELECT page_id, 'Analyst' AS title, 'Köln' AS location, 'https://a.jobs.personio.de/job/' || page_id AS url FROM pages",
-)
-_OFFERS = """'{"offers":[{"title":"A' || page_id || '","city":"Graz","country":"AT","slug":"a"},{"title":""},{"title":"B","location":"Remote","careers_url":"https://x/' || page_id || '"}]}'"""
-_register(
-    "x10_sc11_api_offers",
-    lambda spark, d: extract.api_offers(_pages(spark, d).select(F.concat(F.lit("https://s"), "page_id", F.lit(".recruitee.com/x")).alias("site_url"), F.expr(_OFFERS).alias("body"))),
-    """SELECT 'https://s' || page_id || '.recruitee.com/x' AS site_url, 0 AS pos, 'A' || page_id AS title, 'Graz, AT' AS location, 'https://s' || page_id || '.recruitee.com/o/a' AS url, NULL::VARCHAR AS department FROM pages
-       UNION ALL SELECT 'https://s' || page_id || '.recruitee.com/x', 2, 'B', 'Remote', 'https://x/' || page_id, NULL FROM pages""",
-)
-_ITEMS = """'{"items":[{"id":"' || page_id || '","name":"Dev","alternate_url":"https://hh/' || page_id || '","employer":{"name":"E"},"area":{"name":"Kazan"},"salary":{"from":' || page_id || ',"currency":"RUR"}},{"id":"x","name":"QA","alternate_url":"u"}]}'"""
-_register(
-    "x20_sc7_vacancies",
-    lambda spark, d: extract.vacancies(_pages(spark, d).select(F.expr(_ITEMS).alias("body"))).select("id", "title", "company", "location", "url", "salary_from", "salary_to", "salary_currency"),
-    """SELECT page_id::VARCHAR AS id, 'Dev' AS title, 'E' AS company, 'Kazan' AS location, 'https://hh/' || page_id AS url, page_id::INT AS salary_from, NULL::INT AS salary_to, 'RUR' AS salary_currency FROM pages
-       UNION ALL SELECT 'x', 'QA', 'Unknown', '', 'u', NULL, NULL, NULL FROM pages""",
-)
-_register("x17_links", lambda spark, d: extract.links(_pages(spark, d)).where("kind = 'a'").select("page_id", "pos", "url", "text"))
-_register(
-    "x17_hrefs",
-    lambda spark, d: extract.links(_pages(spark, d)).where("kind = 'a'").groupBy("page_id").agg(F.count("*").alias("n_links")),
-    "SELECT page_id, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"#][^\"]*)\"', 1)) AS h FROM pages) WHERE NOT starts_with(h, 'javascript:') GROUP BY 1",
-)
-_DOCS = """'<a href="/f/Stellenausschreibung_Techniker-Wien_20240101.pdf">x</a><a href="/f/agb.pdf">y</a><a href="/z.pdf?job">z</a>'"""
-_register(
-    "x3_document_postings",
-    lambda spark, d: extract.document_postings(extract.links(_pages(spark, d).select("page_id", F.lit("https://a.b/c").alias("url"), F.expr(_DOCS).alias("html")))),
-    "SELECT page_id, 0::BIGINT AS pos, 'Techniker-Wien' AS title, 'https://a.b/f/Stellenausschreibung_Techniker-Wien_20240101.pdf' AS url FROM pages",
-)
-_BOARD = """'<iframe src="https://x.jobs.personio.de/job/1?language=de"></iframe><a href="https://x.jobs.personio.de/privacy-policy">p</a><a href="/karriere">Jobs bei uns</a>'"""
-_board_links = lambda spark, d: extract.links(_pages(spark, d).select("page_id", F.lit("https://a.b/c").alias("url"), F.expr(_BOARD).alias("html")))
-_register("x18_external_board", lambda spark, d: extract.external_boards(_board_links(spark, d)), "SELECT page_id, 'personio' AS platform, 'https://x.jobs.personio.de/?language=de' AS board_url FROM pages")
-_register("x19_careers_link", lambda spark, d: extract.careers_links(_board_links(spark, d)), "SELECT page_id, 'https://a.b/karriere' AS careers_url FROM pages")
+for _name, _f in boards.QUERIES.items():
+    _register(_name, _f, boards.SQL.get(_name))
 _register("x23_clean_html", lambda spark, d: _pages(spark, d).select("page_id", markup.clean_html(F.col("html")).alias("clean")))
 _register("x24_markdown", lambda spark, d: _pages(spark, d).select("page_id", markup.html_to_markdown(F.col("html")).alias("markdown")))
 _register("x22_job_section", lambda spark, d: _pages(spark, d).select("page_id", markup.find_job_section(F.col("html")).alias("section")))
-_XML = """'<?xml version="1.0"?><urlset><url><loc>https://s/' || page_id || '/jobs</loc></url><url><loc> https://s/b?x=1&amp;y=2 </loc></url></urlset>'"""
-_register(
-    "sc13_sc14_sitemap",
-    lambda spark, d: files.sitemap_urls(_pages(spark, d).select(F.col("page_id").cast("string").alias("url"), F.expr(_XML).alias("xml"))),
-    "SELECT page_id::VARCHAR AS url, false AS is_index, 0 AS pos, 'https://s/' || page_id || '/jobs' AS loc FROM pages UNION ALL SELECT page_id::VARCHAR, false, 1, 'https://s/b?x=1&y=2' FROM pages",
-)
-_ROBOTS = "'User-agent: *\nSitemap: https://s/' || page_id || '.xml\ndisallow: /x\nSITEMAP:https://t/y'"
-_register(
-    "sc12_robots",
-    lambda spark, d: files.robots_sitemaps(_pages(spark, d).select(F.col("page_id").cast("string").alias("url"), F.expr(_ROBOTS.replace("\n", "\\n")).alias("body"))),
-    "SELECT page_id::VARCHAR AS url, 1 AS pos, 'https://s/' || page_id || '.xml' AS sitemap FROM pages UNION ALL SELECT page_id::VARCHAR, 3, 'https://t/y' FROM pages",
-)
 _register(
     "stream_crawl_health",
     lambda spark, d: _health(spark, d),
@@ -344,19 +366,6 @@ def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health(rows, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "domain", "outcome", "n")
 
 
-_MENU = """'<a href="/x/job/1">Alle Stellen</a><a href="/all">See all positions</a><a href="/' || page_id || '/careers">Karriere</a>'"""
-_register(
-    "f11_f12_listing_link",
-    lambda spark, d: extract.listing_links(extract.links(_pages(spark, d).select("page_id", F.lit("https://a.b/c").alias("url"), F.expr(_MENU).alias("html")))),
-    "SELECT page_id, 'https://a.b/' || page_id || '/careers' AS listing_url FROM pages",
-)
-_register(
-    "l2_joined_urls",
-    lambda spark, d: _pages(spark, d).select("page_id", extract.joined_urls(F.lit("https://a.b/c/d?x=1"), F.concat(F.lit("../e/"), F.col("page_id").cast("string"))).alias("url")),
-    "SELECT page_id, 'https://a.b/e/' || page_id AS url FROM pages",
-)
-
-
 def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pages(spark, sf_dir).select("page_id", F.lit(0).cast("long").alias("pos"), F.lit("Berlin").alias("location"), F.lit("u").alias("url"))
     of = lambda where, method, title: rows.where(where).withColumns({"method": F.lit(method), "title": F.lit(title)})

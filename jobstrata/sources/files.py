@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.postings import first_of_each
@@ -54,7 +54,9 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return hits.select("url", "pos", F.trim(F.regexp_replace("line", r"^[^:]*:", "")).alias("sitemap"))
 
 
-MAX_SITEMAP_URLS = 300
+#: Limits of a site's sitemaps and what XML escapes (fixed values).
+MAX_SITEMAP_URLS, MAX_LOCATIONS, MAX_CHILDREN = 300, 3, 2
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&#38;", "&")]
 
 
 def sitemap_urls(sitemaps: DataFrame, limit: int = MAX_SITEMAP_URLS) -> DataFrame:
@@ -66,10 +68,31 @@ def sitemap_urls(sitemaps: DataFrame, limit: int = MAX_SITEMAP_URLS) -> DataFram
     looks = F.col("xml").rlike(r"(?is)^\s*(<\?xml|<(\w+:)?(urlset|sitemapindex)\b)")
     locs = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?loc\s*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc\s*>"), 1)
     rows = sitemaps.where(looks).select("url", F.col("xml").rlike(r"(?i)<(\w+:)?sitemapindex\b").alias("is_index"), F.posexplode(locs).alias("pos", "loc"))
-    unescaped = F.replace(F.col("loc"), F.lit("&amp;"), F.lit("&"))
+    unescaped = F.col("loc")
+    for entity, char in (*ENTITIES, ("&amp;", "&")):
+        unescaped = F.replace(unescaped, F.lit(entity), F.lit(char))
     return rows.where(F.col("pos") < limit).select("url", "is_index", "pos", unescaped.alias("loc"))
 
 
+def site_urls(locations: DataFrame, sitemaps: DataFrame, limit: int = MAX_SITEMAP_URLS) -> DataFrame:
+    """SC13: the addresses of each site, from the first of its locations that gives any.
+
+    locations: site, ord, url; sitemaps: url, xml.  The first three locations
+    count; an index stands for its first two children.
+    """
+    locs = sitemap_urls(sitemaps, 2**31 - 1)
+    tried = locations.where(F.col("ord") < MAX_LOCATIONS).select("site", "ord", F.col("url").alias("at"))
+    first = tried.join(locs, F.col("at") == locs["url"]).select("site", "ord", "is_index", "pos", "loc")
+    plain = first.where("not is_index").select("site", "ord", F.lit(0).alias("child"), "pos", "loc")
+    children = first.where(F.col("is_index") & (F.col("pos") < MAX_CHILDREN)).select("site", "ord", F.col("pos").alias("child"), F.col("loc").alias("at"))
+    inner = locs.select("url", F.col("pos"), "loc")
+    nested = children.join(inner, F.col("at") == F.col("url")).select("site", "ord", "child", "pos", "loc")
+    rows = plain.unionByName(nested)
+    best = rows.groupBy("site").agg(F.min("ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("child", "pos")) - 1
+    return rows.join(best, ["site", "ord"]).select("site", place.alias("pos"), "loc").where(F.col("pos") < limit)
+
+
 @dataclass(frozen=True)
 class Settings:
     """SC15: typed settings, read from ``jobstrata.*`` keys of the session."""

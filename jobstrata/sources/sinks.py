@@ -11,8 +11,20 @@ def export_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+#: Rows of one JSON array; a group with more is an error, not a longer array.
+MAX_ARRAY = 100_000
+
+
 def json_array(df: DataFrame, by: str) -> DataFrame:
-    """SK1, exact shape: one JSON array for each group of a bounded size."""
+    """SK1, exact shape: one JSON array for each group of at most ``MAX_ARRAY`` rows.
+
+    The size is checked before rows are gathered: a group that is too large for
+    one value stops the query (``export_json_lines`` has no such limit).
+    """
+    names = df.columns
+    size = df.groupBy(by).agg(F.count("*").alias("__n"))
+    checked = size.select(by, F.when(F.col("__n") > MAX_ARRAY, F.raise_error(F.lit("group too large for one JSON array"))).otherwise(F.lit(True)).alias("__ok"))
+    df = df.join(checked, by).where("__ok").select(*names)
     return df.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != by])))).alias("json"))
 
 
@@ -26,20 +38,25 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*flat_columns(df)).write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_version(df: DataFrame, root: str, version: int) -> str:
-    """SK7, U2: the next version of a state table; a plan may read the one before."""
+def save_version(df: DataFrame, root: str, version: int, replace: bool = False) -> str:
+    """SK7, U2: the next version of a state table; a plan may read the one before.
+
+    ``replace``: a version that is written again takes the place of the first try.
+    """
     path = f"{root.rstrip('/')}/v{version:08d}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite" if replace else "errorifexists").parquet(path)
     return path
 
 
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    """The newest version that was written as a whole."""
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
+    """The newest version that was written as a whole, of those before a number."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(root)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(where):
         return None
     names = sorted(s.getPath().toString() for s in fs.listStatus(where))
+    if before is not None:
+        names = [n for n in names if int(n.rsplit("/v", 1)[1]) < before]
     whole = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(n + "/_SUCCESS"))]
     return whole[-1] if whole else None

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.postings import history_events, next_state, reconciled
 from ..operators.reports import outcome
-from ..operators.state import BASE_DELAY, MAX_DELAY, MAX_FAILURES
+from ..operators.state import BASE_DELAY, MAX_FAILURES, next_delay
+from ..plans.write_path import apply_scan
+from ..sources.files import SCHEMAS
+from ..sources.sinks import latest_version, save_version
 
 
 def health(fetches: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -34,37 +37,82 @@ RESULT = "domain string, fail_count long, is_active boolean, delay double, n_eve
 
 def step(fail_count: int, delay: float, status: int, retry_after: float | None) -> tuple[int, float]:
     """One fetch."""
-    fail_count = fail_count + 1 if status >= 400 else 0
-    if status in (429, 503):
-        delay = min(retry_after or delay * 2, MAX_DELAY)
-    elif 200 <= status < 400 and delay > BASE_DELAY:
-        delay = BASE_DELAY if delay * 0.9 <= 1.1 * BASE_DELAY else delay * 0.9
-    return fail_count, delay
+    return (fail_count + 1 if status >= 400 else 0), next_delay(delay, status, retry_after)
 
 
 def domain_state(fetches: DataFrame) -> DataFrame:
-    """E1, E2, E4 on a stream of fetches (domain, id, status, retry_after)."""
+    """E1, E2, E4 on a stream of fetches (domain, id, status, retry_after).
+
+    Within a micro-batch a domain's fetches count in order of ``id``; only the
+    three numbers they depend on are gathered for that.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fails, _, delay = state.get if state.exists else (0, 0, BASE_DELAY)
-        rows = pd.concat(list(batches)).sort_values("id")
-        for status, wait in zip(rows["status"], rows["retry_after"], strict=True):
-            fails, delay = step(fails, delay, int(status), float(wait) if isinstance(wait, str) and wait.isdigit() and int(wait) else None)
+        slim = [(p["id"].to_numpy(np.int64), p["status"].to_numpy(np.int32), pd.to_numeric(p["retry_after"].where(p["retry_after"].str.fullmatch(r"\d+")), errors="coerce").to_numpy(np.float64)) for p in batches]
+        ids, statuses, waits = (np.concatenate(x) for x in zip(*slim, strict=True))
+        for k in np.argsort(ids, kind="stable").tolist():
+            fails, delay = step(fails, delay, int(statuses[k]), None if np.isnan(waits[k]) else float(waits[k]))
         state.update((fails, 0, delay))
-        yield pd.DataFrame({"domain": [key[0]], "fail_count": [fails], "is_active": [fails < MAX_FAILURES], "delay": [delay], "n_events": [len(rows)]})
+        yield pd.DataFrame({"domain": [key[0]], "fail_count": [fails], "is_active": [fails < MAX_FAILURES], "delay": [delay], "n_events": [len(ids)]})
 
     return fetches.groupBy("domain").applyInPandasWithState(run, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def reconcile_each_batch(read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame], None], append_history: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that runs the snapshot reconciliation."""
-
-    def run(scan: DataFrame, batch_id: int) -> None:
-        stored = read_state()
-        # only sites in this scan may lose jobs
-        of_scan = stored.join(scan.select("site_id").distinct(), "site_id", "left_semi")
-        changes = reconciled(of_scan, scan)
-        append_history(history_events(changes))
-        write_state(next_state(stored, changes, F.lit(batch_id).cast("long")))
+def sessions(fetches: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Runs of fetches of a domain without a longer pause (an extension)."""
+    return fetches.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "domain").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "domain", "n")
+
+
+def moving_health(fetches: DataFrame, width: str = "10 minutes", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """Failures by sliding window (an extension)."""
+    window = fetches.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "domain")
+    return window.agg(F.count_if(F.col("status") >= 400).alias("n_failed"), F.count("*").alias("n")).select(F.col("window.start").alias("start"), "domain", "n_failed", "n")
+
+
+def reconcile_each_batch(root: str, now: Callable[[int], Column] | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the catalog under ``root``.
+
+    Rows are postings (site_id, scan_id, pos, title, location, and any columns
+    of a job) and one row with ``done`` for each scan that is complete, with or
+    without postings.  Postings wait until their scan is complete; then the
+    guard decides, and what it lets through is reconciled, scan after scan.
+
+    Every table is written as the version of its batch, from the version of an
+    earlier one, and the history of a batch has a folder of its own, so a batch
+    that is run again replaces what it wrote and adds nothing twice.
+    """
+    now = now or (lambda batch_id: F.current_timestamp().cast("timestamp_ntz"))
+
+    def run(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        at = now(batch_id)
+
+        def stored(name: str, ddl: str) -> DataFrame:
+            path = latest_version(spark, f"{root}/{name}", before=batch_id)
+            return spark.createDataFrame([], ddl) if path is None else spark.read.parquet(path)
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            return spark.read.schema(df.schema).parquet(save_version(df, f"{root}/{name}", batch_id, replace=True))
+
+        waiting = stored("pending", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+        everything = written(waiting.unionByName(rows, allowMissingColumns=True), "gathered")
+        complete = everything.where("done").select("site_id", "scan_id").distinct()
+        turn = F.row_number().over(Window.partitionBy("site_id").orderBy("scan_id"))
+        complete = written(complete.withColumn("turn", turn), "complete")
+        written(everything.join(complete, ["site_id", "scan_id"], "left_anti"), "pending")
+        jobs, counts = stored("jobs", SCHEMAS["jobs"]), stored("waiting", "site_id bigint, suspicious_count int")
+        turns = complete.agg(F.max("turn")).first()[0] or 0
+        for k in range(1, turns + 1):
+            scanned = complete.where(F.col("turn") == k)
+            scan = everything.where("not coalesce(done, false)").join(scanned, ["site_id", "scan_id"], "left_semi")
+            step_ = apply_scan(jobs, counts, scanned, scan, at)
+            written(step_.history, f"history/turn={k}")
+            last = "" if k == turns else f"-{k}"
+            fresh = written(step_.waiting, f"waiting{last}")
+            jobs, counts = written(step_.jobs, f"jobs{last}"), fresh
+        if not turns:
+            written(jobs, "jobs")
+            written(counts, "waiting")
 
     return run

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from jobstrata.functions import text, urls
-from jobstrata.operators import extract, markup, postings, state
+from jobstrata.operators import extract, markup, postings, reports, state
 from jobstrata.operators.dom import parse
+from jobstrata.plans import write_path
 from jobstrata.sources import files, sinks
 from jobstrata.streaming import crawl
 
@@ -37,14 +38,17 @@ def scan(spark, rows):
     return spark.createDataFrame(rows, "site_id long, title string, location string, pos long")
 
 
+NEW_ID = "its own"
+
+
 def test_reconcile_lifecycle(spark):
     stored = spark.createDataFrame(
         [(1, 1, "Dev (m/w/d)", "Berlin", True), (2, 1, "QA", None, False), (3, 1, "Ops", "Wien", True), (4, 1, "Old", "Wien", False)],
         "id long, site_id long, title string, location string, is_active boolean",
     )
     new = scan(spark, [(1, "dev", "Berlin, Germany", 0), (1, "QA", "Unknown", 1), (1, "New", "Graz", 2), (1, "NEW", "Graz", 3)])
-    got = {(r.k_title, r.job_id): r.event for r in postings.reconciled(stored, new).collect()}
-    assert got == {("dev", 1): "seen", ("qa", 2): "reactivated", ("ops", 3): "removed", ("new", None): "added", ("old", 4): None}
+    got = {(r.k_title, NEW_ID if r.event == "added" else r.job_id): r.event for r in postings.reconciled(stored, new).collect()}
+    assert got == {("dev", 1): "seen", ("qa", 2): "reactivated", ("ops", 3): "removed", ("new", NEW_ID): "added", ("old", 4): None}
     history = {r.event: r.details for r in postings.history_events(postings.reconciled(stored, new)).collect()}
     assert history["removed"] == "Job no longer found on site" and history["added"] is None
     with_time = stored.withColumn("last_seen_at", F.lit(0).cast("long"))
@@ -70,7 +74,8 @@ def test_rate_limit_fold_is_the_streaming_step(spark):
 def test_breaker(spark):
     rows = [(1, "a", 500), (2, "a", 500), (3, "a", 500), (4, "a", 200), (5, "a", 404), (6, "b", 404)]
     got = {r.domain: (r.fail_count, r.is_active) for r in state.breaker(spark.createDataFrame(rows, "id long, domain string, status int")).collect()}
-    assert got == {"a": (1, False), "b": (1, True)}
+    assert got == {"a": (1, True), "b": (1, True)}
+    assert {r.domain: r.is_active for r in state.breaker(spark.createDataFrame(rows[:3] + [(7, "c", 200), (8, "c", 500), (9, "c", 404), (10, "c", 503)], "id long, domain string, status int")).collect()} == {"a": False, "c": False}
 
 
 def test_untidy_html():
@@ -159,11 +164,139 @@ def test_microdata():
     assert [(p["title"], p["location"], p["url"]) for p in extract.microdata(page, "https://a.b/c")] == [("Dev", "Graz", "https://a.b/j")]
 
 
-def test_reconcile_in_batches(spark):
-    import pandas as pd
+JOB = "id long, site_id long, title string, location string, url string, company string, is_active boolean, first_seen_at long, last_seen_at long"
+
+
+def test_next_state_keeps_and_adds_whole_rows(spark):
+    stored = spark.createDataFrame([(1, 1, "Dev", "Graz, Austria", "u1", "Acme", True, 3, 4), (2, 1, "Gone", "Wien", "u2", "Acme", True, 3, 4)], JOB)
+    new = spark.createDataFrame([(1, 0, "DEV (m/w/d)", "Graz", "v1", "Other"), (1, 1, "New", "Graz, Austria", "v2", "Other")], "site_id long, pos long, title string, location string, url string, company string")
+    changes = postings.reconciled(stored, new)
+    rows = {r.title: r for r in postings.next_state(stored, changes, F.lit(9).cast("long")).collect()}
+    assert tuple(rows["Dev"]) == (1, 1, "Dev", "Graz, Austria", "u1", "Acme", True, 3, 9)
+    assert tuple(rows["Gone"]) == (2, 1, "Gone", "Wien", "u2", "Acme", False, 3, 4)
+    assert tuple(rows["New"])[1:] == (1, "New", "Graz, Austria", "v2", "Other", True, 9, 9)
+    events = {r.event: r.job_id for r in postings.history_events(changes, F.lit(9)).collect()}
+    assert events == {"removed": 2, "added": rows["New"].id}
+    history = postings.history_events(changes).withColumnRenamed("job_id", "job").select(F.monotonically_increasing_id().alias("id"), F.col("job").alias("job_id"), "event", F.current_date().alias("changed_on"))
+    after = postings.next_state(stored, changes, F.lit(9).cast("long"))
+    sites = spark.createDataFrame([(1, "d")], "id long, domain string")
+    assert {(r.event, r.title) for r in reports.latest_history(history, after, sites, 10).collect()} == {("added", "New"), ("removed", "Gone")}
+    gone = postings.removed_postings(changes).first()
+    assert (gone.id, gone.company, gone.location, gone.source) == ("cached-2", "Acme", "Wien", "cached:1")
+
+
+def test_suspicious_scans_wait_for_confirmation(spark):
+    jobs = spark.createDataFrame([(k, 1, f"Job {k}", "Wien", None, None, True, 0, 0) for k in range(10)], JOB)
+    waiting = spark.createDataFrame([], "site_id long, suspicious_count int")
+    scanned, few = spark.createDataFrame([(1,)], "site_id long"), scan(spark, [(1, "Job 1", "Wien", 0)])
+    seen = []
+    for turn in range(1, 4):
+        step = write_path.apply_scan(jobs, waiting, scanned, few, F.lit(turn).cast("long"))
+        gate = step.gate.first()
+        seen.append((gate.allowed, gate.outcome, gate.suspicious_count, step.history.count()))
+        jobs, waiting = spark.createDataFrame(step.jobs.collect(), JOB), spark.createDataFrame(step.waiting.collect(), "site_id long, suspicious_count int")
+    assert seen == [(False, "suspicious", 1, 0), (False, "suspicious", 2, 0), (True, "success", 0, 9)]
+    empty = few.limit(0)
+    assert write_path.apply_scan(jobs, waiting, scanned, empty, F.lit(9).cast("long"), cached=True).gate.first().outcome == "failed"
+    assert write_path.apply_scan(jobs, waiting, scanned, empty, F.lit(9).cast("long")).history.count() == 1
+
+
+def test_marked_urls(spark):
+    urls_ = spark.createDataFrame([(1, 2, 1, True, None), (2, 2, 1, True, None), (3, 0, 2, False, None)], "id long, fail_count int, suspicious_count int, is_active boolean, last_success_at long")
+    got = state.marked(urls_, spark.createDataFrame([(1, "failed"), (2, "suspicious"), (3, "success")], "id long, outcome string"), F.lit(7).cast("long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 1, False, None), (2, 2, 2, True, None), (3, 0, 0, True, 7)]
+
+
+SCAN = "site_id long, scan_id long, done boolean, pos long, title string, location string, url string"
+
+
+def replay(spark, root, batches, again=()):
+    run = crawl.reconcile_each_batch(root, lambda n: F.to_timestamp_ntz(F.lit(f"2024-01-{n:02d} 00:00:00")))
+    for n, rows in enumerate(batches, 1):
+        for _ in range(2 if n in again else 1):
+            run(spark.createDataFrame(rows, SCAN), n)
+    jobs = spark.read.parquet(sinks.latest_version(spark, f"{root}/jobs"))
+    history = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/history")
+    return {(r.site_id, r.title, r.is_active, str(r.last_seen_at)) for r in jobs.collect()}, sorted((r.site_id, r.event, str(r.changed_at)) for r in history.collect())
+
+
+def test_stream_of_scans(spark, tmp_path):
+    def row(site, scan_id, pos, title):
+        return (site, scan_id, False, pos, title, "Wien", f"u{pos}")
+
+    def done(site, scan_id):
+        return (site, scan_id, True, None, None, None, None)
+
+    few = [[row(1, 1, 0, "QA"), row(1, 1, 1, "Dev"), done(1, 1)], [row(1, 2, 0, "QA"), done(1, 2)], [row(2, 1, 0, "Ops"), done(2, 1)], [done(2, 2), row(1, 3, 0, "QA"), row(1, 3, 1, "Dev"), done(1, 3)]]
+    jobs, events = replay(spark, str(tmp_path / "a"), few)
+    assert {j[:3] for j in jobs} == {(1, "QA", True), (1, "Dev", True), (2, "Ops", False)}
+    assert [e[:2] for e in events] == [(1, "added"), (1, "added"), (1, "reactivated"), (1, "removed"), (2, "added"), (2, "removed")]
+    # a batch that is tried again changes nothing and adds nothing twice
+    assert replay(spark, str(tmp_path / "b"), few, again=(1, 2, 4)) == (jobs, events)
+    # a scan in parts waits until it is complete
+    parts = [[row(1, 1, 0, "QA")], [row(1, 1, 1, "Dev"), done(1, 1)]]
+    jobs, events = replay(spark, str(tmp_path / "c"), parts)
+    assert {j[:3] for j in jobs} == {(1, "QA", True), (1, "Dev", True)} and [e[1] for e in events] == ["added", "added"]
+    # two scans of a site in one batch go one after the other
+    both = [[*few[0], *few[1]]]
+    jobs, events = replay(spark, str(tmp_path / "d"), both)
+    assert {j[:3] for j in jobs} == {(1, "QA", True), (1, "Dev", False)} and len(events) == 3
+
+
+def test_answers(spark):
+    said = lambda x: one(spark, text.answer_json(F.col("t")), t=x)
+    assert said('x {"jobs": [1]} and {bad}') == '{"jobs": [1]}'
+    assert said("```json\n{\"a\": 1}\n```") == '{"a": 1}' and said(None) == said("") == said("{") == "[]"
+    assert said('{"a": "}"} x') == "[]" and said("see [1, 2] ok") == "[1, 2]"
+
+
+def test_links_of_a_page(spark):
+    html = '<a href=" #top">t</a><a href="/a">one</a><a href="/a">two</a><a href="javascript:x()">j</a><script>f("https://acme.recruitee.com/o/x", \'https://boards.greenhouse.io/acme/jobs/1\')</script>'
+    rows = extract.links(spark.createDataFrame([(1, "https://b.c/d", html), (2, None, None)], "page_id long, url string, html string"))
+    assert [r.label for r in extract.distinct_links(rows).collect()] == ["https://b.c/a [one]"]
+    board = extract.external_boards(rows).first()
+    assert (board.platform, board.board_url) == ("greenhouse", "https://boards.greenhouse.io/acme")
+
+
+def test_answer_urls_of_anything(spark):
+    rows = [(1, "https://a/b", '{"no": "list"}'), (2, "https://a/b", "[1, null, [\"x\"]]"), (3, "https://a/b", None), (4, "https://a/b", "bad"), (5, "https://a/b", '["c", "c"]')]
+    got = extract.answer_urls(spark.createDataFrame(rows, "page_id long, url string, answer string")).collect()
+    assert [tuple(r) for r in got] == [(5, 0, "https://a/c")]
+
+
+def test_five_hundred_postings_of_one_page(spark):
+    graph = ",".join(f'{{"@type":"JobPosting","title":"Job {k}"}}' for k in range(500))
+    page = spark.createDataFrame([(1, "https://a/b", f'<script type="application/ld+json">{{"@graph":[{graph}]}}</script>', None)], "page_id long, url string, html string, platform string")
+    assert [(r.pos, r.title) for r in extract.extracted(page).orderBy("pos").collect()] == [(k, f"Job {k}") for k in range(500)]
+
+
+def test_large_groups_are_not_one_json_array(spark, monkeypatch):
+    import pytest
+
+    df = spark.range(5).select(F.lit("g").alias("g"), "id")
+    assert sinks.json_array(df, "g").first().json.startswith('[{"id":0}')
+    monkeypatch.setattr(sinks, "MAX_ARRAY", 4)
+    with pytest.raises(Exception, match="too large"):
+        sinks.json_array(df, "g").collect()
+
+
+def test_read_table_and_landed_files(spark, tmp_path):
+    spark.createDataFrame([("k", "ns")], "key string, namespace string").write.parquet(str(tmp_path / "c"))
+    got = files.read_table(spark, str(tmp_path / "c"), "llm_cache")
+    assert got.columns == [f.split()[0] for f in files.SCHEMAS["llm_cache"].split(", ")] and got.first().value is None
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.html").write_text("<p>\nx</p>")
+    assert files.landed_pages(spark, str(tmp_path / "p")).first().html == "<p>\nx</p>"
+    assert files.api_payloads(spark, str(tmp_path / "p")).first().site_url.endswith("a.html")
+    sinks.export_json_lines(got, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 1
+
+
+def test_windows_of_fetches(spark):
+    import datetime
 
-    kept, events = {"jobs": spark.createDataFrame(pd.DataFrame({"id": [1], "site_id": [1], "title": ["Dev"], "location": ["Wien"], "is_active": [True], "last_seen_at": [0]}))}, []
-    run = crawl.reconcile_each_batch(lambda: kept["jobs"], lambda df: kept.update(jobs=spark.createDataFrame(df.toPandas())), lambda df: events.extend((r.site_id, r.event) for r in df.collect()))
-    run(scan(spark, [(1, "QA", "Wien", 0)]), 1)
-    run(scan(spark, [(1, "QA", "Wien", 0), (1, "Dev", "Wien", 1)]), 2)
-    assert sorted(events) == [(1, "added"), (1, "reactivated"), (1, "removed")]
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    df = spark.createDataFrame([("a", 200, at(0)), ("a", 500, at(7)), ("a", 200, at(50)), ("b", 200, at(3))], "domain string, status int, ts timestamp")
+    assert sorted((r.domain, r.n) for r in crawl.sessions(df).collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    moving = {(r.domain, r.start.minute if r.start.hour == 0 and r.start.day == 1 else -5): (r.n_failed, r.n) for r in crawl.moving_health(df).collect()}
+    assert moving[("a", 0)] == (1, 2) and moving[("a", 5)] == (1, 1) and moving[("a", -5)] == (0, 1)
