@@ -4,10 +4,11 @@ An index numbers the words of the license templates and holds each template
 and key phrase by word numbers.  The document frequencies of these words are
 counted over the whole corpus.  Of each template's mandatory key phrase, the
 word with the highest inverse document frequency is looked up at all its
-places, and the phrase verified there word for word.  Each offset of the
-template that holds the phrase then gets the weight of all words standing as
-they stand in the template, and counts if that is enough.  What else a text
-holds changes nothing.
+places, and the phrase verified there word for word.  At each offset of the
+template that holds the phrase, the words that stand as they stand in the
+template are counted, and a share of ``SHARE`` gives the label.  The corpus
+decides by which word a phrase is looked up, and nothing else: labels and score
+follow from the text alone.
 
 The base phrases are searched by word numbers of the same index, at every
 place.
@@ -33,26 +34,86 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 TEMPLATES = {
     "apache-2.0": [
         ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0"),
+        (
+            "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the "
+            "license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing "
+            "permissions and limitations under the license",
+            "apache org licenses license 2 0",
+        ),
     ],
     "mit": [
         ("licensed under the mit license", "mit license"),
         ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+        (
+            "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+            "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+            "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+            "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the "
+            "warranties of merchantability fitness for a particular purpose and noninfringement",
+            "the software is provided as is without warranty of any kind",
+        ),
+    ],
+    "isc": [
+        (
+            "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+            "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software",
+            "permission to use copy modify and or distribute this software for any purpose",
+        ),
+    ],
+    "gpl-3.0": [
+        ("this work is licensed under the gnu general public license version 3", "general public license version 3"),
+        (
+            "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+            "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without "
+            "even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+            "either version 3 of the license or at your option any later version",
+        ),
+    ],
+    "gpl-2.0": [
+        ("this work is licensed under the gnu general public license version 2", "general public license version 2"),
+        (
+            "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+            "either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without "
+            "even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+            "either version 2 of the license or at your option any later version",
+        ),
     ],
-    "gpl-3.0": [("this work is licensed under the gnu general public license version 3", "general public license version 3")],
-    "gpl-2.0": [("this work is licensed under the gnu general public license version 2", "general public license version 2")],
     "lgpl": [("licensed under the gnu lesser general public license version", "lesser general public license")],
     "agpl-3.0": [("licensed under the gnu affero general public license version 3", "affero general public license")],
-    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms")],
-    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license")],
+    "bsd": [
+        ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+        (
+            "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+            "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+            "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+            "redistributions of source code must retain the above copyright notice",
+        ),
+    ],
+    "mpl-2.0": [
+        ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+        (
+            "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at "
+            "http mozilla org mpl 2 0",
+            "if a copy of the mpl was not distributed with this file",
+        ),
+    ],
     "cc-by-4.0": [("this work is licensed under cc by 4 0", "cc by 4 0"), ("creative commons attribution 4 0 international license", "creative commons attribution 4 0")],
     "cc-by-sa-4.0": [("this work is licensed under cc by sa 4 0", "cc by sa 4 0")],
     "cc-by-nc-4.0": [("this work is licensed under cc by nc 4 0", "cc by nc 4 0")],
     "cc0-1.0": [("to the extent possible under law the author has waived all copyright creative commons cc0 1 0 universal", "creative commons cc0")],
-    "unlicense": [("this is free and unencumbered software released into the public domain", "free and unencumbered software")],
+    "unlicense": [
+        ("this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+        (
+            "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or "
+            "non commercial and by any means",
+            "anyone is free to copy modify publish use compile sell or distribute this software",
+        ),
+    ],
 }
 
+#: Share of a template's words that must stand where they stand in it.
 SHARE = 0.3
-#: Key phrases of a text that are weighed at a time.
+#: Key phrases of a text that are looked at at a time.
 CHUNK = 1000
 
 
@@ -94,23 +155,22 @@ class Index:
         order = np.argsort(place, kind="stable")
         return template[order], place[order]
 
-    def scan(self, words: np.ndarray, template: np.ndarray, place: np.ndarray, idf: np.ndarray) -> tuple[set[str], float]:
+    def scan(self, words: np.ndarray, template: np.ndarray, place: np.ndarray) -> tuple[set[str], float]:
         """Labels that the key phrases of one text give it, and the best cover."""
         labels, best = set(), 0.0
         padded = np.concatenate([words, [-1]])
         for t in np.unique(template).tolist():
             mine = np.array(self.words_of[t])
-            whole = idf[mine].sum()
             inside = np.arange(len(self.keys[t]) - len(mine), 1)
             keys = place[template == t]
             for i in range(0, len(keys), CHUNK):
                 offset = np.unique(keys[i : i + CHUNK, None] + inside)
                 at = offset[:, None] + np.arange(len(mine))
                 at[(at < 0) | (at >= len(words))] = len(words)
-                weight = ((padded[at] == mine) * idf[mine]).sum(1).max()
-                if weight >= SHARE * whole:
+                share = (padded[at] == mine).mean(1).max()
+                if share >= SHARE:
                     labels.add(self.labels[t])
-                    best = max(best, min(1.0, weight / whole))
+                    best = max(best, float(share))
         return labels, best
 
 
@@ -175,7 +235,7 @@ def scanned(docs: DataFrame, templates: dict = TEMPLATES, id_col: str = "doc_id"
             w = words[first[i] : first[i + 1]]
             places, labels = [], set()
             if of[i] < of[i + 1]:
-                more, score = index.scan(w, template[of[i] : of[i + 1]], place[of[i] : of[i + 1]] - first[i], idf)
+                more, score = index.scan(w, template[of[i] : of[i + 1]], place[of[i] : of[i + 1]] - first[i])
             else:
                 more, score = set(), 0.0
             if len(w) and w.max() >= 0:
