@@ -95,6 +95,24 @@ def members(lex: np.ndarray) -> np.ndarray:
     return np.packbits(inside, axis=1)
 
 
+#: Odd multiplier of the hash of a list, and its powers as they are needed.
+_STEP = 0x9E3779B97F4A7C15
+
+
+def listed_hash(items: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each owner's list of items: sum of item[r] * _STEP ** r, mixed.
+
+    Owners ascend and an owner's items stand in the order of its list.
+    """
+    first = np.searchsorted(owner, np.arange(n + 1))
+    rank = np.arange(len(items)) - first[owner]
+    power = np.ones(int(rank.max()) + 1 if len(rank) else 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumprod(np.full(len(power) - 1, _STEP, np.uint64), out=power[1:])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * power[rank])])
+        return mix(sums[first[1:]] - sums[first[:-1]])
+
+
 class Fingerprints:
     """whole: 64-bit hash over the lexicon; parts: (texts, PARTS) sub-lexicon hashes, 0 if empty."""
 
@@ -108,21 +126,17 @@ class Fingerprints:
         h, doc, at = h[keep], doc[keep], at[keep]
         n = len(texts)
         self.size = np.bincount(doc, minlength=n)
-        self.whole = np.zeros(n, np.uint64)
-        np.add.at(self.whole, doc, mix(h))
-        self.whole = mix(self.whole)
+        self.whole = listed_hash(mix(h), doc, n)
         exact = np.array([int.from_bytes(hashlib.sha256(t).digest()[:8], "big") for t in texts], np.uint64)
         self.whole[self.size == 0] = exact[self.size == 0]
-        # each text's terms stand in order and once, so a sum of mixed terms is
-        # a hash of the ordered list
         term, part = np.nonzero(np.unpackbits(bits[at], axis=1, count=PARTS)) if len(h) else (at, at)
         place = doc[term] * PARTS + part
-        total = np.zeros(n * PARTS, np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(total, place, mix(h[term] ^ _SALTS[part]))
+        order = np.argsort(place, kind="stable")  # a list's terms keep their order
+        place, term, part = place[order], term[order], part[order]
+        total = listed_hash(mix(h[term] ^ _SALTS[part]), place, n * PARTS)
         some = np.zeros(n * PARTS, bool)
         some[place] = True
-        self.parts = np.where(some, mix(total) & np.uint64(0xFFFF) | np.uint64(1), np.uint64(0)).astype(np.uint16).reshape(n, PARTS)
+        self.parts = np.where(some, total & np.uint64(0xFFFF) | np.uint64(1), np.uint64(0)).astype(np.uint16).reshape(n, PARTS)
 
     def strings(self) -> list[str]:
         a, b = self.whole.astype(">u8").tobytes(), self.parts.astype(">u2").tobytes()
