@@ -9,7 +9,8 @@ last separator stood) stitches texts that cross block borders.
 
 Defined results: null text counts as empty and has 0 tokens; an empty table
 has no files; identifiers after a file's last separator belong to no text;
-repeated rows are counted each.
+repeated rows are counted each; a vocabulary that 16 bits can't hold, or that
+holds the end identifier, is an error.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import text_encoder
+from .bpe import load_ranks, text_encoder
 from .common import doc_rows, release, shared_dir, slabs, table
 
 BLOCK = 1 << 17
@@ -66,6 +67,8 @@ def write_files(docs: DataFrame, path: str, rank_path: str, pattern: str, end_id
         if size or names:
             yield row(b"".join(hold), names)
 
+    if end_id > 0xFFFF or any(rank > 0xFFFF or rank == end_id for rank in load_ranks(rank_path).values()):
+        raise ValueError("token files hold 16-bit identifiers, none of them the end identifier")
     docs.mapInArrow(run, FILES).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(FILES).parquet(path)
 
