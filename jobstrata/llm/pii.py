@@ -114,6 +114,12 @@ account number DE89370400440532013000/account was used
 pay to GB29NWBK60161331926819/account until then
 iban FR7630006000011234567890189/account please
 from ES9121000418450200051332/account only
+token = "5f1d7a84b3c0e2961f8d4477aa03bb5c6e7d8f90"/secret That was long ago
+secret = "a3f8e1d27c6b5049f1e2d3c4b5a69788"/secret Some of it stays
+reach it under NL91ABNA0417164300/account by noon
+the balance of CH9300762011623852957/account rose again
+number is AT611904300234573201/account and no other
+we booked DK5000400440116243/account twice
 he lives at 12/address Baker/address Street/address in town
 send it to 221/address Main/address Road/address again
 near 7/address Hill/address Lane/address at night

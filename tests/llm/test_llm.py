@@ -238,6 +238,72 @@ def test_fingerprints(docs, empty):
     assert fingerprints.compared(empty).count() == 0
 
 
+def mixed(x):
+    mask = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
+def test_fingerprints_against_lists(spark):
+    """The whole of I-Match once more, in lists and sets."""
+    r = random.Random(12)
+    rows = [(i, " ".join(f"W{r.randrange(400)}é" for _ in range(r.randint(0, 80))) if i % 9 else r.choice([None, "", "?!"])) for i in range(70)]
+    rows[30] = (30, rows[31][1])
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    hashed, mask = {}, (1 << 64) - 1
+
+    def number(w):
+        if w not in hashed:
+            b = np.frombuffer(w.encode(), np.uint8)
+            hashed[w] = int(fingerprints.span_hash(b, np.array([0]), np.array([len(b)]))[0])
+        return hashed[w]
+
+    def terms(t):
+        return {number(w) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(lower))}
+
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    df = Counter(h for _, t in order for h in terms(t))
+    n = len(order)
+    band = {h for h, c in df.items() if max(2, -(-n * fingerprints.LOW // 1)) <= c <= max(2, int(n * fingerprints.HIGH))}
+    salts = [int(x) for x in fingerprints._SALTS]
+
+    def list_hash(items):
+        return mixed(sum(x * pow(0x9E3779B97F4A7C15, r, 1 << 64) for r, x in enumerate(items)) & mask)
+
+    def fingerprint(t):
+        mine = sorted(terms(t) & band)
+        whole = list_hash([mixed(h) for h in mine]) if mine else int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big")
+        parts = []
+        for k, salt in enumerate(salts):
+            density = fingerprints.DENSITIES[k // fingerprints.SUBSETS]
+            inside = [h for h in mine if mixed(h + salt & mask) % density == 0]
+            parts.append(list_hash([mixed(h ^ salt) for h in inside]) & 0xFFFF | 1 if inside else 0)
+        return whole, parts
+
+    def like(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        w = fingerprints.SUBSETS
+        for d in range(len(fingerprints.DENSITIES) - 1, -1, -1):
+            pairs = [(x, y) for x, y in zip(a[1][d * w : d * w + w], b[1][d * w : d * w + w], strict=True) if x or y]
+            if len(pairs) >= (fingerprints.ENOUGH if d else 1):
+                return sum(x == y for x, y in pairs) / len(pairs)
+        return 0.0
+
+    def text_of(f):
+        return f"{f[0]:016x}" + "".join(f"{x:04x}" for x in f[1])
+
+    assert len(band) > 20
+    got = by_id(fingerprints.compared(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % n][1]
+        own, new, other = fingerprint(t), fingerprint(fingerprints.edited(t, nxt)), fingerprint(nxt)
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (text_of(own), text_of(new))
+        assert (r.near_edited, r.near_next) == (like(own, new), like(own, other))
+
+
 def test_licenses(docs, empty):
     got = by_id(licenses.scanned(docs))
     for i, t in texts():
@@ -573,3 +639,30 @@ def test_crf_decodes_whole_texts():
         assert got == spans, some[i]
         if some[i] in want:
             assert [b[s:e].decode() for _, s, e in got] == want[some[i]]
+
+
+def test_crf_on_a_table_it_was_not_fitted_on():
+    """Spans in sentences of other words than the labelled table's: found, and nothing else."""
+    r = random.Random(31)
+    firsts, lasts = "Emma Noah Lukas Sofia Pierre Lucia Ingrid Omar".split(), "Fischer Johnson Moreau Garcia Novak Oconnor Rossi Lindberg".split()
+    hills, roads = "Oak Elm River Green Church King Queen Forest".split(), ["Street", "Road", "Lane", "Avenue", "Boulevard", "Drive"]
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    said = {
+        "name": lambda: (" ".join([r.choice(firsts), *r.choices(lasts, k=r.randint(1, 2))]), ["I met {t} % on the train", "the talk of {t} % was long", "we thank {t} % for the help"]),
+        "secret": lambda: ('"' + "".join(r.choice("abcdefABCDEF0123456789xyzXYZ") for _ in range(r.choice([16, 20, 32, 40]))) + '"', ["found {w} = % in the log", "the line {w} = % leaked", "please rotate {w} = % soon"]),
+        "account": lambda: (r.choice(["DE", "FR", "AT", "CH"]) + digits(r.choice([18, 20, 22])), ["the sum went to % yesterday", "transfer from % failed", "my account is % at the bank"]),
+        "address": lambda: (f"{r.randint(1, 900)} {' '.join(r.choices(hills, k=r.randint(1, 2)))} {r.choice(roads)}", ["she moved to % last year", "the shop at % is closed", "deliver to % please"]),
+    }
+    rows = []
+    for k in range(400):
+        tag = list(said)[k % 4]
+        span, forms = said[tag]()
+        text = r.choice(forms).format(t=r.choice(["Dr.", "Mr.", "Mrs.", "Ms.", "Prof."]), w=r.choice(["password", "token", "api_key"])).replace("%", span)
+        rows.append((text.encode(), tag, text.index(span), text.index(span) + len(span)))
+    offs = np.concatenate([[0], np.cumsum([len(t) for t, *_ in rows])])
+    slab = pii.Slab(np.frombuffer(b"".join(t for t, *_ in rows), np.uint8), offs, [None] * len(rows))
+    got = pii.added_spans(slab, pii.trained_crf())
+    for tag in said:
+        mine = [(want, g) for (_, *want), g in zip(rows, got, strict=True) if want[0] == tag]
+        assert sum(tuple(want) in g for want, g in mine) >= 0.9 * len(mine)
+    assert sum(tuple(x) != tuple(want) for (_, *want), g in zip(rows, got, strict=True) for x in g) <= 0.1 * len(rows)
