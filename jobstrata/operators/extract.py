@@ -541,7 +541,12 @@ def cascade(by_parser: DataFrame, by_answer: DataFrame, by_document: DataFrame)
     names = ["page_id", "pos", "method", "title", "location", "url"]
     found = by_parser.select("page_id").distinct()
     rest = by_answer.select(*names).unionByName(by_document.select(*names)).join(found, "page_id", "left_anti")
-    everything = by_parser.select(*names).unionByName(rest)
+    return once_each(by_parser.select(*names).unionByName(rest))
+
+
+def once_each(found: DataFrame) -> DataFrame:
+    """Of a page's equal titles the one of the best method, with how much that is trusted."""
+    everything = found.select("page_id", "pos", "method", "title", "location", "url")
     kind = F.split_part("method", F.lit(":"), F.lit(1))
     rank = F.when(kind == "job_board", 0).when(kind == "schema_org", 1).when(kind == "llm", 2).otherwise(3)
     trust = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in TRUST.items()], F.lit(0.5))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,29 @@ def save_version(df: DataFrame, root: str, version: int, replace: bool = False)
     return path
 
 
+#: Folders of sessions in one process that name none: application -> folder.
+_OWN: dict[str, str] = {}
+
+
+def written_once(df: DataFrame, tag: str) -> DataFrame:
+    """A table for a step that several others read: written to the folder that
+    ``spark.checkpoint.dir`` names, and read back.
+
+    Only a session in one process may name none; elsewhere a machine's own
+    folder would lose files that other executors need.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _OWN.get(context.applicationId)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="jobstrata-")
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
     """The newest version that was written as a whole, of those before a number."""
     jvm = spark._jvm

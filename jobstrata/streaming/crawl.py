@@ -106,7 +106,7 @@ def reconcile_each_batch(root: str, now: Callable[[int], Column] | None = None)
         for k in range(1, turns + 1):
             scanned = complete.where(F.col("turn") == k)
             scan = everything.where("not coalesce(done, false)").join(scanned, ["site_id", "scan_id"], "left_semi")
-            step_ = apply_scan(jobs, counts, scanned, scan, at)
+            step_ = apply_scan(jobs, counts, scanned, scan, at, keep=lambda df, tag, k=k: written(df, f"{tag}-{k}"))
             written(step_.history, f"history/turn={k}")
             last = "" if k == turns else f"-{k}"
             fresh = written(step_.waiting, f"waiting{last}")
