@@ -111,6 +111,27 @@ def search_term_sql(c: str) -> str:
     return f"coalesce({', '.join(each)})"
 
 
+#: Second-level names that are public suffixes with the top domain (fixed values).
+SECOND_LEVEL = ["co", "com", "org", "net", "ac", "gov", "edu", "gv", "or"]
+
+
+def registrable_domain(host_: Column) -> Column:
+    """The domain that was registered: two labels, or three where the second
+    is a public name under a country.  Null for addresses and single names."""
+    labels = F.split(F.lower(host_), r"\.")
+    n = F.size(labels)
+    public = (n >= 3) & labels[n - 2].isin(SECOND_LEVEL) & (F.length(labels[n - 1]) == 2)
+    keep = F.when(public, 3).otherwise(2)
+    return F.when((n >= 2) & ~host_.rlike(r"^[0-9.]+$"), F.array_join(F.slice(labels, n - keep + 1, keep), "."))
+
+
+def registrable_domain_sql(h: str) -> str:
+    labels = f"string_split(lower({h}), '.')"
+    second = ", ".join(map(quote, SECOND_LEVEL))
+    keep = f"CASE WHEN len({labels}) >= 3 AND {labels}[-2] IN ({second}) AND length({labels}[-1]) = 2 THEN 3 ELSE 2 END"
+    return f"CASE WHEN len({labels}) >= 2 AND NOT regexp_matches({h}, '^[0-9.]+$') THEN array_to_string({labels}[-({keep}):], '.') END"
+
+
 def posting_number(url: Column, else_: Column) -> Column:
     """The number at the end of a posting's address, else the given one."""
     return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"--(\d+)(?:\?|$)", 1), F.lit("")), else_)

@@ -6,7 +6,7 @@ import re
 from html import escape
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dom import VOID, Node, parse
@@ -96,6 +96,19 @@ def markdown(html: str | None) -> str:
     return "\n".join(lines).strip()
 
 
+def without_repeats(lines: DataFrame, by: list[str], order: str, line: str) -> DataFrame:
+    """Lines that don't repeat the one before them within their page."""
+    w = Window.partitionBy(*by).orderBy(order)
+    flagged = lines.withColumn("__same", F.trim(line).eqNullSafe(F.lag(F.trim(line)).over(w)) & (F.row_number().over(w) > 1))
+    return flagged.where("not __same").drop("__same")
+
+
+def markers(c: Column) -> Column:
+    """A10: how many of the words that speak of jobs a text holds."""
+    low = F.lower(c)
+    return F.size(F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(low, m))).cast("long")
+
+
 #: Fixed values; a job site's own container comes first.
 OWN_SECTIONS = (".o_website_hr_recruitment_jobs_list", ".oe_website_jobs", "[class*=o_website_hr]", "[class*=oe_website_jobs]")
 SECTIONS = (

@@ -118,6 +118,24 @@ def best_careers_url(urls_: DataFrame, rank: Column) -> DataFrame:
     return urls_.groupBy("site_id").agg(F.min_by("url", F.struct(rank.alias("rank"), F.col("id").alias("id"))).alias("best_url"))
 
 
+#: What error texts say (fixed values).
+UNREACHABLE = [
+    "name or service not known", "nodename nor servname provided", "getaddrinfo failed", "no address associated", "name resolution failed",
+    "temporary failure in name resolution", "connection refused", "[errno 111]", "[winerror 10061]",
+    "err_name_not_resolved", "err_connection_refused", "err_connection_reset", "err_connection_timed_out", "err_network_changed", "err_internet_disconnected", "err_address_unreachable",
+]
+CERTIFICATE = [
+    "certificate verify failed", "ssl: certificate_verify_failed", "certificate_verify_failed", "unable to get local issuer certificate", "self signed certificate", "ssl handshake", "[ssl:",
+]
+
+
+def failure(error: Column) -> Column:
+    """what an error without a status is: no such host, a bad certificate
+    (tried again without its check), or another."""
+    low = F.lower(error)
+    return F.when(error.isNull(), None).when(text.contains_any(low, UNREACHABLE), "unreachable").when(text.contains_any(low, CERTIFICATE), "certificate").otherwise("error")
+
+
 def outcome(status: Column) -> Column:
     """what a fetch came to."""
     return (
@@ -126,6 +144,12 @@ def outcome(status: Column) -> Column:
     )
 
 
+def terminal_rows(jobs: DataFrame) -> DataFrame:
+    """SK3: the six columns of the terminal's table."""
+    pay = text.salary_display(F.col("salary_from"), F.col("salary_to"), F.col("salary_currency"))
+    return jobs.select("company", "title", F.coalesce("title_en", F.lit("—")).alias("title_en"), "location", pay.alias("salary"), "source")
+
+
 def elapsed(seconds: Column) -> Column:
     """SK4: seconds, minutes and seconds, or hours, minutes and seconds."""
     hours, minutes = F.floor(seconds / 3600).cast("int"), F.floor(seconds % 3600 / 60).cast("int")

@@ -150,26 +150,52 @@ def is_purged(created: Column, ttl: Column, now: Column) -> Column:
     return created + ttl < now
 
 
-def most_open(spans: DataFrame, key: str) -> DataFrame:
+#: Width of the blocks of time or ids into which a key's rows are cut.
+BLOCK = 4096
+
+
+def _before(column: str, f, key: str) -> Column:
+    """``f`` of a column over the earlier blocks of a key."""
+    w = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return f(column).over(w)
+
+
+def most_open(spans: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """The most spans (started, ended) of a key that were open at once.
 
     An end counts before a start at the same time; ends and starts are summed
-    by time before the ordered scan.
+    by time first.  Each block of time has its own running sum, and the blocks'
+    totals are summed up in turn, so a key is never sorted as a whole.
     """
     edges = spans.select(key, F.col("started").alias("t"), F.lit(1).alias("d")).unionByName(spans.select(key, F.col("ended").alias("t"), F.lit(-1).alias("d")))
-    summed = edges.groupBy(key, "t", "d").agg(F.sum("d").alias("n"))
-    w = Window.partitionBy(key).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
-    return summed.select(key, F.sum("n").over(w).alias("open")).groupBy(key).agg(F.max("open").alias("most_open"))
+    summed = edges.groupBy(key, "t", "d").agg(F.sum("d").alias("n")).withColumn("__b", F.floor(F.col("t") / block))
+    w = Window.partitionBy(key, "__b").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = summed.withColumn("open", F.sum("n").over(w)).groupBy(key, "__b").agg(F.max("open").alias("top"), F.sum("n").alias("all"))
+    blocks = blocks.select(key, (F.coalesce(_before("all", F.sum, key), F.lit(0)) + F.col("top")).alias("open"))
+    return blocks.groupBy(key).agg(F.max("open").alias("most_open"))
 
 
-def spaced(fetches: DataFrame) -> DataFrame:
+def spaced(fetches: DataFrame, block: int = BLOCK) -> DataFrame:
     """E5: when each fetch (domain, id, asked, delay) may start: not before it is
     asked for, nor before the last start of its domain plus its spacing.
 
     start = max(asked, last + delay) unrolls to the running maximum of
-    asked - D over the running sum D of delays, plus D: two window functions
-    over one sort, no state.
+    asked - D over the running sum D of delays, plus D.  Sum and maximum run
+    within blocks of ids, and over the blocks' totals, so a domain is never
+    sorted as a whole.
     """
-    w = Window.partitionBy("domain").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    total = fetches.withColumn("__d", F.sum("delay").over(w))
-    return total.select("domain", "id", (F.max(F.col("asked").cast("double") - F.col("__d")).over(w) + F.col("__d")).alias("start"))
+    w = Window.partitionBy("domain", "__b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = fetches.withColumn("__b", F.floor(F.col("id") / block)).withColumn("__d", F.sum("delay").over(w))
+    rows = rows.withColumn("__m", F.max(F.col("asked").cast("double") - F.col("__d")).over(w)).select("domain", "id", "__b", "__d", "__m")
+    blocks = rows.groupBy("domain", "__b").agg(F.max("__d").alias("all"), F.max("__m").alias("top"))
+    blocks = blocks.withColumn("__d0", F.coalesce(_before("all", F.sum, "domain"), F.lit(0.0))).withColumn("top", F.col("top") - F.col("__d0"))
+    blocks = blocks.select("domain", "__b", "__d0", _before("top", F.max, "domain").alias("__m0"))
+    last = F.greatest(F.col("__m") - F.col("__d0"), F.col("__m0"))  # null before the first block, which greatest skips
+    return rows.join(blocks, ["domain", "__b"]).select("domain", "id", (last + F.col("__d0") + F.col("__d")).alias("start"))
+
+
+def touched(rows: DataFrame, ids: DataFrame, key: str, sets: dict[str, Column]) -> DataFrame:
+    """Single columns set on the rows that are named, all others kept."""
+    hit = ids.select(key).distinct().withColumn("__hit", F.lit(True))
+    out = rows.join(hit, key, "left")
+    return out.select(*[F.when(F.col("__hit"), sets[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in sets else F.col(f"`{c}`") for c in rows.columns])

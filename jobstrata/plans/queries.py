@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.rewrite import lookup, quote
-from ..operators import enrich, postings, reports, state
+from ..operators import enrich, extract, markup, postings, reports, state
 from .catalog import relation, with_relations
 from .write_path import apply_scan
 
@@ -228,14 +228,17 @@ query("t4_best_careers_url", f"SELECT site_id, arg_min(url, ({', '.join(_rank)},
 query("a4_a5_cache_stats", "SELECT namespace, count(*) AS entries, sum(hit_count)::BIGINT AS hits, sum(tokens_saved * hit_count)::BIGINT AS tokens_saved, round(coalesce(sum(hit_count) / nullif(sum(hit_count) + count(*), 0), 0), 6) AS hit_rate, round(sum(tokens_saved * hit_count) * 0.00001::DOUBLE, 6) AS saved_usd FROM cache GROUP BY 1", "cache")(reports.cache_stats)
 _price = lambda k: "CASE model " + " ".join(f"WHEN {quote(m)} THEN {p[k]}::DOUBLE" for m, p in reports.PRICES.items()) + f" ELSE {reports.DEFAULT_PRICE[k]}::DOUBLE END"
 query("a7_a8_usage", f"SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(CASE WHEN reported_usd > 0 THEN reported_usd ELSE prompt_tokens / 1e6 * {_price(0)} + completion_tokens / 1e6 * {_price(1)} END), 4) AS usd, round(sum(seconds), 4) AS seconds FROM calls GROUP BY 1", "calls")(reports.usage)
-query("a10_job_markers", f"SELECT id, (contains(lower(title), 'engineer')::INT + contains(lower(title), '(m/w/d)')::INT + contains(lower(title), 'vollzeit')::INT)::BIGINT AS markers FROM postings", "postings")(
-    lambda df: df.select("id", F.size(F.filter(F.array(*map(F.lit, ("engineer", "(m/w/d)", "vollzeit"))), lambda m: F.contains(F.lower("title"), m))).cast("long").alias("markers"))
+query("a10_job_markers", f"SELECT id, ({' + '.join(f'contains(lower(title), {quote(m)})::INT' for m in markup.MARKERS)})::BIGINT AS markers FROM postings", "postings")(
+    lambda df: df.select("id", markup.markers(F.col("title")).alias("markers"))
 )
 query("a12_t6_longest_title", "SELECT site_id, arg_max(title, (length(title), -id)) AS longest FROM postings GROUP BY 1", "postings")(lambda df: df.groupBy("site_id").agg(F.max_by("title", F.struct(F.length("title"), -F.col("id"))).alias("longest")))
 query("w6_date_breaks", "SELECT id, changed_on, changed_on IS DISTINCT FROM lag(changed_on) OVER (PARTITION BY id % 100 ORDER BY changed_on DESC, id DESC) AS new_day FROM history", "history")(
     lambda df: df.select("id", "changed_on", F.expr("not (changed_on <=> lag(changed_on) over (partition by id % 100 order by changed_on desc, id desc))").alias("new_day"))
 )
-query("sk3_terminal_rows", "SELECT id, title, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE title END, '—') AS title_en FROM postings", "postings")(lambda df: df.select("id", "title", F.coalesce(F.when(F.col("id") % 3 != 0, F.col("title")), F.lit("—")).alias("title_en")))
+_PAY3 = ("(id % 4 * 1500)", "(id % 3 * 2500000)", "(CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '' ELSE 'EUR' END)")
+query("sk3_terminal_rows", f"SELECT company, title, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE title END, '—') AS title_en, location, {text.salary_display_sql(*_PAY3)} AS salary, 'website:' || site_id AS source FROM postings", "postings")(
+    lambda df: reports.terminal_rows(df.select("company", "title", F.expr("case when id % 3 <> 0 then title end").alias("title_en"), "location", *[p.alias(n) for p, n in zip(_pay(), ("salary_from", "salary_to", "salary_currency"), strict=True)], F.concat(F.lit("website:"), "site_id").alias("source")))
+)
 _secs = "(id * 7 % 9000)"
 query("sk4_elapsed", f"SELECT id, CASE WHEN {_secs} < 60 THEN printf('%.2f сек', {_secs}::DOUBLE) WHEN {_secs} < 3600 THEN printf('%d мин %.1f сек', ({_secs} // 60)::INT, ({_secs} % 60)::DOUBLE) ELSE printf('%d ч %d мин %.0f сек', ({_secs} // 3600)::INT, ({_secs} % 3600 // 60)::INT, ({_secs} % 60)::DOUBLE) END AS elapsed FROM fetches", "fetches")(
     lambda df: df.select("id", reports.elapsed(F.expr("cast(id * 7 % 9000 as double)")).alias("elapsed"))
@@ -326,6 +329,16 @@ query("v28_v30_report_times", f"SELECT id, {text.parsed_time_sql('changed_at')}
 )
 _ACTION = "CASE event WHEN 'added' THEN 'добавлена' WHEN 'removed' THEN 'закрыта' WHEN 'reactivated' THEN 'вернулась' ELSE event END"
 query("sk5_history_report", f"SELECT line, CASE WHEN day IS DISTINCT FROM lag(day) OVER (ORDER BY line) THEN day END AS heading, clock, said FROM (SELECT row_number() OVER (ORDER BY changed_at DESC NULLS LAST, h.id DESC)::INT AS line, {text.report_day_sql('changed_at')} AS day, {text.report_clock_sql('changed_at')} AS clock, title || CASE WHEN coalesce(location, '') <> '' THEN ' (' || location || ')' ELSE '' END || ' [' || domain || '] — ' || {_ACTION} AS said FROM history h JOIN jobs j ON j.id = h.job_id JOIN sites s ON s.id = j.site_id) WHERE line <= 300", "history", "jobs", "sites")(lambda h, j, s: reports.history_report(h, j, s, 300))
+_FAILED = "(CASE id % 5 WHEN 0 THEN 'All attempts: [Errno 111] Connection refused' WHEN 1 THEN '[SSL: CERTIFICATE_VERIFY_FAILED] x' WHEN 2 THEN 'net::ERR_NAME_NOT_RESOLVED at u' WHEN 3 THEN 'read timeout' END)"
+scalar("f23_failures", "fetches", {"failure": (lambda: reports.failure(F.expr(_FAILED)), "CASE id % 5 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'certificate' WHEN 2 THEN 'unreachable' WHEN 3 THEN 'error' END")})
+_HOST7 = "(CASE id % 4 WHEN 0 THEN 'www.acme.co.uk' WHEN 1 THEN domain WHEN 2 THEN '10.0.0.' || id ELSE 'localhost' END)"
+scalar("l7_registrable_domain", "sites", {"registered": (lambda: urls.registrable_domain(F.expr(_HOST7)), urls.registrable_domain_sql(_HOST7))})
+query("u6_touched_sites", f"SELECT id, domain, CASE WHEN id % 3 = 0 THEN {_NOW} ELSE last_scanned_at END::BIGINT AS last_scanned_at FROM sites", "sites")(
+    lambda df: state.touched(df, df.where("id % 3 = 0"), "id", {"last_scanned_at": _now()}).select("id", "domain", "last_scanned_at")
+)
+query("w5_repeated_lines", "SELECT id, title FROM (SELECT id, title, lag(trim(title)) OVER w IS NOT DISTINCT FROM trim(title) AND row_number() OVER w > 1 AS same FROM (SELECT id, site_id, page_no, department AS title FROM postings) WINDOW w AS (PARTITION BY site_id, page_no ORDER BY id)) WHERE NOT same", "postings")(
+    lambda df: markup.without_repeats(df.select("id", "site_id", "page_no", F.col("department").alias("title")), ["site_id", "page_no"], "id", "title").select("id", "title")
+)
 query("sc4_active_jobs", "SELECT id, site_id, title, location, url FROM jobs WHERE is_active AND site_id = 7", "jobs")(lambda df: reports.active_jobs(df, 7).select("id", "site_id", "title", "location", "url"))
 query("f6_v23_title_signals", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in text.title_signals_sql("title").items()) + f", {text.confidence_sql('method', {k: v for k, v in text.title_signals_sql('title').items() if k in text.SIGNALS})} AS confidence FROM postings", "postings")(
     lambda df: df.withColumn("s", text.title_signals(F.col("title"))).select("id", "s.*", text.confidence(F.col("method"), {k: F.col(f"s.{k}") for k in text.title_signals_sql("title") if k in text.SIGNALS}).alias("confidence"))
@@ -336,7 +349,6 @@ scalar("t5_sitemap_or_nav", "career_urls", {"chosen": (lambda: urls.chosen_caree
 
 # --- pages --------------------------------------------------------------------------
 
-from ..operators import extract, markup  # noqa: E402
 from . import boards  # noqa: E402
 from .boards import pages as _pages  # noqa: E402
 

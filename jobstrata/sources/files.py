@@ -105,12 +105,19 @@ class Settings:
     cache_ttl_translation: int = 30 * 86400
     cache_ttl_urls: int = 7 * 86400
     cache_ttl_company: int = 30 * 86400
-    model: str = "default"
+    model: str = "openai/gpt-4o-mini"
+    location: str = "Moscow"
+    keywords: str = "Python Developer"
+    output_format: str = "json"
+    output_dir: str = "./data"
+    provider: str = "openrouter"
+    rate_limit: bool = True
 
     @classmethod
     def of(cls, spark: SparkSession) -> Settings:
         got = {f.name: spark.conf.get(f"jobstrata.{f.name}", None) for f in fields(cls)}
-        return cls(**{k: type(getattr(cls, k))(v) for k, v in got.items() if v is not None})
+        typed = lambda k, v: v.lower() in ("1", "true", "yes") if isinstance(getattr(cls, k), bool) else type(getattr(cls, k))(v)
+        return cls(**{k: typed(k, v) for k, v in got.items() if v is not None})
 
 
 def newest_pages(fetches: DataFrame) -> DataFrame:

@@ -300,3 +300,21 @@ def test_windows_of_fetches(spark):
     assert sorted((r.domain, r.n) for r in crawl.sessions(df).collect()) == [("a", 1), ("a", 2), ("b", 1)]
     moving = {(r.domain, r.start.minute if r.start.hour == 0 and r.start.day == 1 else -5): (r.n_failed, r.n) for r in crawl.moving_health(df).collect()}
     assert moving[("a", 0)] == (1, 2) and moving[("a", 5)] == (1, 1) and moving[("a", -5)] == (0, 1)
+
+
+def test_blocks_change_nothing(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"d{r.randrange(3)}", k, float(r.randrange(400)), float(r.randrange(1, 9))) for k in range(300)]
+    df = spark.createDataFrame(rows, "domain string, id long, asked double, delay double")
+    want, last = {}, {}
+    for d, k, asked, delay in rows:
+        last[d] = want[k] = max(asked, last.get(d, -1e9) + delay)
+    for block in (1, 7, 1000):
+        assert {x.id: x.start for x in state.spaced(df, block).collect()} == want
+    spans = [(f"d{r.randrange(3)}", a := r.randrange(200), a + r.randrange(0, 60)) for _ in range(200)]
+    most = {d: max(sum(x == d and a <= t < b for x, a, b in spans) for t in range(300)) for d in ("d0", "d1", "d2")}
+    for block in (1, 13, 1000):
+        got = state.most_open(spark.createDataFrame(spans, "domain string, started long, ended long"), "domain", block)
+        assert {x.domain: x.most_open for x in got.collect()} == most
