@@ -7,7 +7,7 @@ A rule is (pattern, replacement) in the syntax that Java and RE2 share, with
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +27,11 @@ def rewrite(c: Column, rules: Iterable[Rule]) -> Column:
     return reduce(lambda x, r: F.regexp_replace(x, F.lit(JAVA_FLAGS + r[0]), F.lit(re.sub(r"\\(\d)", r"$\1", r[1]))), rules, c)
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` reads it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def without_tails(c: Column, words: Sequence[str], lead: str) -> Column:
     """Strip words from the end of a lower-case text, each tried once, in order.
 

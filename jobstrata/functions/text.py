@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrite import contains_any, contains_any_sql, lookup, lookup_sql, matches, matches_sql, quote, rewrite, rewrite_sql, without_tails
+from .rewrite import contains_any, contains_any_sql, lookup, lookup_sql, matches, matches_sql, once, quote, rewrite, rewrite_sql, without_tails
 
 # --- fixed values --------------------------------------------------------------
 
@@ -113,7 +113,8 @@ def _base_sql(c: str) -> str:
 
 
 def _tidy(c: Column) -> Column:
-    return F.trim(rewrite(c, SPACES))
+    # single blanks, which stay as they are, aren't matched
+    return F.trim(rewrite(c, [(r"\s{2,}|[\s&&[^ ]]", " ")]))
 
 
 def _tidy_sql(c: str) -> str:
@@ -173,6 +174,8 @@ _CANDIDATE = [
     (r"\s*[\d.,]+\s*[-–]\s*[\d.,]+\s*(euro|eur|€)\s*(jahresgehalt|annual|salary)?\.?\s*$", ""),
     (r"\s+in\s+(vollzeit|teilzeit)\b", ""),
     (r"\s+(im|in der|in den|für)\s+\w+$", ""),
+]
+_CANDIDATE_WORDS = [
     *[(rf"\b{a}\b", b) for a, b in SINGULAR],
     (r"\bdes\s+geschäftsführers\b", "der geschäftsführung"),
     (r"\bgeschäftsführers\b", "geschäftsführung"),
@@ -181,7 +184,10 @@ _CANDIDATE = [
 
 def candidate_title(c: Column) -> Column:
     """V6: title of a candidate for comparison, repeats undone first."""
-    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(_tidy(rewrite(F.lower(unrepeated(c)), _CANDIDATE)))
+    any_word = rf"\b(?:{'|'.join(a for a, _ in SINGULAR)}|geschäftsführers)\b"
+    plain = rewrite(F.lower(unrepeated(c)), _CANDIDATE)
+    worded = once(plain, lambda x: F.when(matches(x, [any_word]), rewrite(x, _CANDIDATE_WORDS)).otherwise(x))
+    return F.when(F.coalesce(c, F.lit("")) == "", "").otherwise(_tidy(worded))
 
 
 def candidate_title_sql(c: str) -> str:
@@ -193,8 +199,11 @@ def unrepeated(c: Column) -> Column:
     lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
     unique = F.array_distinct(lines)
     plain = lambda x: _tidy(F.lower(x))
-    by_lines = F.when(F.size(unique) < F.size(lines), F.array_join(unique, " ")).when(
-        (F.size(lines) >= 2) & (rewrite(F.lower(lines[0]), SPACES) == rewrite(F.lower(lines[1]), SPACES)), lines[0]
+    by_lines = F.when(
+        F.contains(c, F.lit("\n")),
+        F.when(F.size(unique) < F.size(lines), F.array_join(unique, " ")).when(
+            (F.size(lines) >= 2) & (rewrite(F.lower(lines[0]), SPACES) == rewrite(F.lower(lines[1]), SPACES)), lines[0]
+        ),
     )
     n = F.length(c)
     points = F.sequence(F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"))
@@ -203,7 +212,14 @@ def unrepeated(c: Column) -> Column:
         lambda i: (F.substring(c, i + 1, n) == F.substring(c, F.lit(1), i))
         | ((plain(F.substring(c, i + 1, n)) == plain(F.substring(c, F.lit(1), i))) & (plain(F.substring(c, F.lit(1), i)) != "")),
     )
-    by_half = F.when(F.size(halves) > 0, F.trim(F.substring(c, F.lit(1), halves[0])))
+
+    def doubled(x: Column) -> Column:
+        half = (F.length(x) / 2).cast("int")
+        return F.substring(x, F.lit(1), half) == F.substring(x, half + 1, half + 1)
+
+    # whatever the cut, equal halves are equal without their blanks; a last sigma has a small letter of its own
+    may_repeat = once(F.translate(F.lower(F.regexp_replace(c, r"(?U)\s+", "")), "ς", "σ"), doubled)
+    by_half = F.when(may_repeat, F.when(F.size(halves) > 0, F.trim(F.substring(c, F.lit(1), halves[0]))))
     return F.when(n < 10, c).otherwise(F.coalesce(by_lines, by_half, c))
 
 
@@ -261,7 +277,7 @@ def title_verdict_sql(c: str) -> str:
 
 def translated(c: Column) -> Column:
     """Dictionary translation, rules in order on substrings."""
-    return rewrite(c, TRANSLATION)
+    return F.when(matches(c, [p for p, _ in TRANSLATION]), rewrite(c, TRANSLATION)).otherwise(c)
 
 
 def translated_sql(c: str) -> str:

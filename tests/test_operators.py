@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from jobstrata.functions import text, urls
@@ -318,3 +319,22 @@ def test_blocks_change_nothing(spark):
     for block in (1, 13, 1000):
         got = state.most_open(spark.createDataFrame(spans, "domain string, started long, ended long"), "domain", block)
         assert {x.domain: x.most_open for x in got.collect()} == most
+
+
+@pytest.mark.parametrize(
+    "title, once",
+    [
+        ("Data Analyst data  analyst", "Data Analyst"), ("Backend EngineerBackend Engineer", "Backend Engineer"), ("ΟΔΟΣ Α ΟΔΟΣ Α", "ΟΔΟΣ Α"), ("ΛΟΓΟΣ λογος", "ΛΟΓΟΣ"),
+        ("QA Lead\nQA  lead\nBerlin", "QA Lead"), ("QA Lead\nBerlin\nQA Lead", "QA Lead Berlin"), ("Data Analyst II", "Data Analyst II"), ("abab", "abab"), (None, None),
+    ],
+)
+def test_repeated_titles(spark, title, once):
+    df = spark.createDataFrame([(title,)], "t string")
+    assert df.select(text.unrepeated(F.col("t"))).first()[0] == once
+
+
+def test_candidate_words_and_translation(spark):
+    df = spark.createDataFrame([("Beraterinnen in Vollzeit",), ("Assistenz des Geschäftsführers",), ("Data Scientist",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(text.candidate_title(F.col("t")), text.translated(F.col("t"))).collect()]
+    assert [g[0] for g in got] == ["berater", "assistenz der geschäftsführung", "data scientist", ""]
+    assert [g[1] for g in got] == ["Consultantinnen in Full-time", "Assistenz des Managing Directors", "Data Scientist", None]
