@@ -7,8 +7,11 @@ from .fingerprints import op6_fingerprints
 from .licenses import op7_licenses
 from .minhash import op2_minhash
 from .packing import op4_packing
+from .periods import op12_periods
 from .pii import op10_pii
+from .prefixtrie import op11_prefixtrie
 from .quality import op1_quality
+from .rankarray import op13_rankarray
 from .rules import OP8_SQL, op8_rules
 from .suffixes import op9_suffixes
 from .tokenfiles import op5_tokens
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_suffixes": op9_suffixes,
     "op10_pii": op10_pii,
+    "op11_prefixtrie": op11_prefixtrie,
+    "op12_periods": op12_periods,
+    "op13_rankarray": op13_rankarray,
 }
 
 SQL = {"op8_rules": OP8_SQL}
