@@ -89,6 +89,21 @@ def test_quality(odd, none, rows):
     assert quality.scored(none, net).count() == 0 and quality.trained(none, none.withColumn("quality", minhash.F.lit(1))) is None
 
 
+def test_a_score_follows_from_its_text_alone(spark, rows):
+    """Bit for bit the same score alone, among others, and in any partitioning."""
+    net, r = quality.ConvNet(5), random.Random(6)
+    texts = [t or "" for _, t in rows if len(t or "") < 400_000] + ["".join(r.choice("abc é#\n") for _ in range(r.randrange(700))) for _ in range(1000)]
+    raw = [t.encode() for t in texts]
+    flat = lambda some: (np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64))
+    alone = [net.scores(*flat([x]))[0] for x in raw]
+    for _ in range(20):
+        pick = r.sample(range(len(raw)), r.randrange(1, len(raw)))
+        assert net.scores(*flat([raw[k] for k in pick])).tolist() == [alone[k] for k in pick]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 7):
+        assert {x.doc_id: x.score for x in quality.scored(df.repartition(n), net).collect()} == dict(enumerate(alone))
+
+
 def test_quality_of_repeated_labels(spark):
     rows = [(i, ("good words here " if i % 2 else "&&& ### ") * 9) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
