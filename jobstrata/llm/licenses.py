@@ -1,31 +1,33 @@
 """License scans by a positional index of rare license words.
 
-An index numbers the words of the license templates and holds each template
-and key phrase by word numbers.  The document frequencies of these words are
-counted over the whole corpus.  Of each template's mandatory key phrase, the
-word with the highest inverse document frequency is looked up at all its
-places, and the phrase verified there word for word.  At each offset of the
-template that holds the phrase, the words that stand as they stand in the
-template are counted, and a share of ``SHARE`` gives the label.  The corpus
-decides by which word a phrase is looked up, and nothing else: labels and score
-follow from the text alone.
+An index holds, for each word of the license templates, its postings: the
+templates it stands in and its places there.  Words are weighed by inverse
+document frequency among the templates, so weights are fixed with the index.
+The words of the highest weights, all but the ``COMMON`` ones with the most
+postings, are looked up at all their places in a text.  A posting votes for
+one position of its template relative to the text; votes are intersected by
+(template, relative position).  Where the rarest word of a template's mandatory
+key phrase has voted, the phrase is verified word for word, and the template
+is found if words beyond the phrase hold at least ``SHARE`` of the weight that
+the template's words beyond it have (a template that is its phrase needs none).
 
 The base phrases are searched by word numbers of the same index, at every
 place.
 
 Defined results: null counts as empty; a text without words has no places,
 null first and last word, empty labels and score 0; repeated rows are scanned
-alike; other columns are ignored.
+alike; labels and score follow from the text alone, whatever its length; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import ALNUM, Slab, doc_rows, lowered, map_slabs, runs, slabs, span_hash, table
+from .common import ALNUM, Slab, doc_rows, lowered, map_slabs, runs, span_hash, table
 
 #: Base phrases and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -33,6 +35,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 #: label -> (template, mandatory key phrase) pairs.
 TEMPLATES = {
     "apache-2.0": [
+        ("licensed under the apache license version 2 0", "apache license version 2 0"),
         ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0"),
         (
             "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the "
@@ -43,6 +46,8 @@ TEMPLATES = {
     ],
     "mit": [
         ("licensed under the mit license", "mit license"),
+        ("released under the mit license", "mit license"),
+        ("distributed under the mit license", "mit license"),
         ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
         (
             "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
@@ -111,23 +116,27 @@ TEMPLATES = {
     ],
 }
 
-#: Share of a template's words that must stand where they stand in it.
+#: Share of the weight beyond a key phrase that must stand where it stands in the template.
 SHARE = 0.3
-#: Key phrases of a text that are looked at at a time.
-CHUNK = 1000
+#: Words of the index with the most postings, which aren't looked up.
+COMMON = 12
 
 
 class Index:
-    """Word numbers, template postings and key phrases."""
+    """Word numbers, postings and key phrases of license templates."""
 
-    def __init__(self, templates: dict = TEMPLATES):
-        self.labels, self.words_of, self.keys = [], [], []
+    def __init__(self, templates: dict = TEMPLATES, common: int = COMMON):
+        self.labels, self.words_of, self.keys, self.key_at = [], [], [], []
         number: dict[str, int] = {}
         for label, pairs in templates.items():
             for text, key in pairs:
+                mine = [number.setdefault(w, len(number)) for w in text.split()]
+                phrase = [number[w] for w in key.split()]
                 self.labels.append(label)
-                self.words_of.append([number.setdefault(w, len(number)) for w in text.split()])
-                self.keys.append([number.setdefault(w, len(number)) for w in key.split()])
+                self.words_of.append(mine)
+                self.keys.append(phrase)
+                self.key_at.append(next(k for k in range(len(mine)) if mine[k : k + len(phrase)] == phrase))
+        n_template = len(number)
         self.base = [([number.setdefault(w, len(number)) for w in p.split()], label) for p, label in BASE.items()]
         self.words = list(number)
         data = np.frombuffer("".join(self.words).encode(), np.uint8)
@@ -137,6 +146,27 @@ class Index:
         self.order = np.argsort(h)
         self.hashes = h[self.order]
 
+        held = Counter(w for mine in self.words_of for w in set(mine))
+        n = len(self.words_of)
+        self.idf = np.array([np.log((n + 1) / (held[w] + 0.5)) if w < n_template else 0.0 for w in range(len(self.words))])
+        # of each key phrase, the word that its lookups need
+        self.lead = [max(range(len(key)), key=lambda k, key=key: (self.idf[key[k]], -k)) for key in self.keys]
+        leads = {key[k] for key, k in zip(self.keys, self.lead, strict=True)}
+        many = Counter(w for mine in self.words_of for w in mine)
+        passed = {w for w, _ in sorted(many.items(), key=lambda x: (-x[1], x[0]))[:common]} - leads
+        postings = sorted((w, t, p) for t, mine in enumerate(self.words_of) for p, w in enumerate(mine) if w not in passed)
+        word, self.template, self.place = (np.array(x, np.int64) for x in zip(*postings, strict=True))
+        self.posted = np.bincount(word, minlength=len(self.words))
+        self.start = np.concatenate([[0], np.cumsum(self.posted)])
+        key_at, key_size = np.array(self.key_at), np.array([len(k) for k in self.keys])
+        self.beyond = (self.place < key_at[self.template]) | (self.place >= (key_at + key_size)[self.template])
+        self.leads = self.place == (key_at + np.array(self.lead))[self.template]
+        self.weight = self.idf[word]
+        self.total = np.bincount(self.template, self.weight, n)
+        self.total_beyond = np.bincount(self.template, self.weight * self.beyond, n)
+        self.is_lead = np.isin(np.arange(len(self.words)), list(leads))
+        self.longest = max(map(len, self.words_of))
+
     def numbers(self, slab: Slab) -> tuple[np.ndarray, np.ndarray]:
         """The word number at each word of the slab (-1: none) and borders."""
         data = lowered(slab.data)
@@ -145,33 +175,36 @@ class Index:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.order[at], -1), first
 
-    def key_places(self, words: np.ndarray, first: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each key phrase of a slab: its template and its place, by place.
-
-        A phrase is looked up by its word with the highest IDF.
-        """
-        at = [_anchored(words, first, key, int(np.argmax(idf[key]))) for key in self.keys]
-        template, place = np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate([np.zeros(0, np.int64), *at])
-        order = np.argsort(place, kind="stable")
-        return template[order], place[order]
-
-    def scan(self, words: np.ndarray, template: np.ndarray, place: np.ndarray) -> tuple[set[str], float]:
-        """Labels that the key phrases of one text give it, and the best cover."""
-        labels, best = set(), 0.0
-        padded = np.concatenate([words, [-1]])
-        for t in np.unique(template).tolist():
-            mine = np.array(self.words_of[t])
-            inside = np.arange(len(self.keys[t]) - len(mine), 1)
-            keys = place[template == t]
-            for i in range(0, len(keys), CHUNK):
-                offset = np.unique(keys[i : i + CHUNK, None] + inside)
-                at = offset[:, None] + np.arange(len(mine))
-                at[(at < 0) | (at >= len(words))] = len(words)
-                share = (padded[at] == mine).mean(1).max()
-                if share >= SHARE:
-                    labels.add(self.labels[t])
-                    best = max(best, float(share))
-        return labels, best
+    def found(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float]]:
+        """(text, template, share of weight) of each template at each relative position that holds it."""
+        hit = np.flatnonzero(words >= 0)
+        text = np.searchsorted(first, hit, side="right") - 1
+        # a text without the lead of any phrase has no template
+        asked = np.zeros(len(first), bool)
+        asked[text[self.is_lead[words[hit]]]] = True
+        hit, text = hit[asked[text]], text[asked[text]]
+        n = self.posted[words[hit]]
+        if not n.sum():
+            return []
+        of = np.repeat(np.arange(len(hit)), n)
+        posting = self.start[words[hit]][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        position = hit[of] - self.place[posting]  # where the template would begin
+        width = len(words) + self.longest
+        key = (text[of] * width + position + self.longest) * len(self.labels) + self.template[posting]
+        groups, member = np.unique(key, return_inverse=True)
+        votes = np.bincount(member, self.weight[posting])
+        beyond = np.bincount(member, self.weight[posting] * self.beyond[posting])
+        led = np.bincount(member, self.leads[posting]) > 0
+        template = groups % len(self.labels)
+        need = self.total_beyond[template]
+        good = np.flatnonzero(led & ((need == 0) | (beyond >= SHARE * need)))
+        out = []
+        for t, rest, weight in zip(template[good].tolist(), (groups[good] // len(self.labels)).tolist(), votes[good].tolist(), strict=True):
+            phrase = self.keys[t]
+            doc, begin = rest // width, rest % width - self.longest + self.key_at[t]
+            if first[doc] <= begin and begin + len(phrase) <= first[doc + 1] and words[begin : begin + len(phrase)].tolist() == phrase:
+                out.append((doc, t, round(min(1.0, weight / float(self.total[t])), 9)))
+        return out
 
 
 def _places(words: np.ndarray, phrase: list[int]) -> np.ndarray:
@@ -184,60 +217,20 @@ def _places(words: np.ndarray, phrase: list[int]) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def _anchored(words: np.ndarray, first: np.ndarray, phrase: list[int], lead: int) -> np.ndarray:
-    """Where a phrase begins within a text of the slab, by the places of its word ``lead``."""
-    at = np.flatnonzero(words == phrase[lead]) - lead
-    at = at[(at >= 0) & (at + len(phrase) <= len(words))]
-    at = at[np.searchsorted(first, at, side="right") == np.searchsorted(first, at + len(phrase) - 1, side="right")]
-    for k, w in enumerate(phrase):
-        at = at[words[at + k] == w]
-    return at
-
-
-def frequencies(docs: DataFrame, index: Index) -> tuple[np.ndarray, int]:
-    """In how many texts each word of the index stands, and how many texts."""
-    size = len(index.words)
-
-    def run(batches):
-        df = np.zeros(size + 1, np.int64)
-        for b in batches:
-            for s in slabs(b):
-                words, first = index.numbers(s)
-                hit = np.flatnonzero(words >= 0)
-                doc = np.searchsorted(first, hit, side="right") - 1
-                pair = np.unique(doc * size + words[hit])
-                df[:size] += np.bincount(pair % size, minlength=size)
-                df[size] += len(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(df)], names=["word", "df"])
-
-    # one row for each word of the index, whatever the corpus
-    rows = docs.mapInArrow(run, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
-    df = np.zeros(size + 1, np.int64)
-    for r in rows:
-        df[r.word] = r.df
-    return df[:size], int(df[size])
-
-
 def scanned(docs: DataFrame, templates: dict = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places of the base phrases and all labels of each row."""
-    docs = doc_rows(docs, id_col, text_col)
     index = Index(templates)
-    df, n = frequencies(docs, index)
-    idf = np.log((n + 1) / (df + 0.5)).clip(1e-3)
 
     def run(slab: Slab) -> dict:
         words, first = index.numbers(slab)
-        # without a key phrase a text has no template
-        template, place = index.key_places(words, first, idf)
-        of = np.searchsorted(place, first)
+        more, score = [set() for _ in range(len(slab))], [0.0] * len(slab)
+        for i, t, share in index.found(words, first):
+            more[i].add(index.labels[t])
+            score[i] = max(score[i], share)
         out: dict = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
         for i in range(len(slab)):
             w = words[first[i] : first[i + 1]]
             places, labels = [], set()
-            if of[i] < of[i + 1]:
-                more, score = index.scan(w, template[of[i] : of[i + 1]], place[of[i] : of[i + 1]] - first[i])
-            else:
-                more, score = set(), 0.0
             if len(w) and w.max() >= 0:
                 for phrase, label in index.base:
                     if len(at := _places(w, phrase)):
@@ -249,11 +242,11 @@ def scanned(docs: DataFrame, templates: dict = TEMPLATES, id_col: str = "doc_id"
             out["first_word"].append(int(every.min()) if len(every) else None)
             out["last_word"].append(int(every.max()) if len(every) else None)
             out["base_labels"].append(",".join(sorted(labels)))
-            out["labels"].append(",".join(sorted(labels | more)))
-            out["score"].append(max(float(score), 0.5 if labels else 0.0))
+            out["labels"].append(",".join(sorted(labels | more[i])))
+            out["score"].append(max(score[i], 0.5 if labels else 0.0))
         return out | {"doc_id": slab.ids}
 
-    return map_slabs(docs, run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_slabs(doc_rows(docs, id_col, text_col), run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:

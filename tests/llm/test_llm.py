@@ -584,25 +584,36 @@ def test_licenses_beside_others(spark):
 def test_license_places_against_every_offset():
     r = random.Random(5)
     index = licenses.Index()
-    idf = np.random.default_rng(5).uniform(0.001, 5, len(index.words))
+    looked = [{w for w in mine if index.posted[w]} for mine in index.words_of]
     texts = []
     for _ in range(150):
         parts = [r.choice(index.words_of)[r.randint(0, 3) :][: r.randint(1, 30)] if r.random() < 0.5 else [r.randrange(-1, len(index.words))] for _ in range(r.randint(0, 12))]
         texts.append([w for p in parts for w in p])
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    template, place = index.key_places(np.array([w for t in texts for w in t]), first, idf)
-    of = np.searchsorted(place, first)
+    got = defaultdict(list)
+    for doc, t, share in index.found(np.array([w for t in texts for w in t]), first):
+        got[doc].append((t, round(share, 9)))
     for i, w in enumerate(texts):
-        labels, best = set(), 0.0
-        for t, (mine, key) in enumerate(zip(index.words_of, index.keys, strict=True)):
+        want = []
+        for t, (mine, key, at) in enumerate(zip(index.words_of, index.keys, index.key_at, strict=True)):
+            weigh = lambda places, m=mine, t=t: sum(index.idf[m[q]] for q in places if m[q] in looked[t])
+            beyond = [q for q in range(len(mine)) if not at <= q < at + len(key)]
             for o in range(-len(mine), len(w)):
-                share = sum(0 <= o + q < len(w) and w[o + q] == x for q, x in enumerate(mine)) / len(mine)
-                here = w[max(0, o) : max(0, o + len(mine))]
-                if share >= licenses.SHARE and any(here[k : k + len(key)] == key for k in range(len(here))):
-                    labels.add(index.labels[t])
-                    best = max(best, share)
-        got, score = index.scan(np.array(w, np.int64), template[of[i] : of[i + 1]], place[of[i] : of[i + 1]] - first[i])
-        assert got == labels and abs(score - best) < 1e-9
+                here = [q for q in range(len(mine)) if 0 <= o + q < len(w) and w[o + q] == mine[q]]
+                if set(range(at, at + len(key))) <= set(here) and weigh([q for q in beyond if q in here]) >= licenses.SHARE * weigh(beyond) - 1e-12:
+                    want.append((t, round(weigh(here) / weigh(range(len(mine))), 9)))
+        assert sorted(got[i]) == sorted(want)
+
+
+def test_a_key_phrase_alone_is_no_license(spark):
+    pairs = [(label, t, key) for label, ps in licenses.TEMPLATES.items() for t, key in ps]
+    rows = [(k, f"and so {key} as they say") for k, (_, _, key) in enumerate(pairs)]
+    rows += [(100 + k, "word " * 5000 + key + " word" * 5000) for k, (_, _, key) in enumerate(pairs)]
+    rows += [(200 + k, "word " * 9000 + t + " word" * 9000) for k, (_, t, _) in enumerate(pairs)]
+    got = by_id(licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k, (label, t, key) in enumerate(pairs):
+        assert got[k].labels == got[k].base_labels == got[100 + k].labels or key == t, key
+        assert label in got[200 + k].labels.split(",") and got[200 + k].score == 1
 
 
 def test_labels_do_not_depend_on_other_rows(spark):
