@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from .common import NOT_SPACE, Slab, lowered, mix, runs, span_hash
 
 WORDS = 5
+#: Words of more bytes are hashed by themselves: sums of powers modulo 2^64, as
+#: ``span_hash`` takes them, are the same for some long words of two letters.
+LONG = 64
 _WEIGHTS = mix(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -19,6 +23,8 @@ def shingle_sets(slab: Slab, words: int = WORDS) -> tuple[np.ndarray, np.ndarray
     data = lowered(slab.data)
     starts, ends, first = runs(NOT_SPACE[data], slab.offs)
     h = span_hash(data, starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(memoryview(data)[starts[k] : ends[k]])
     n_words = np.diff(first)
     n = np.where(n_words >= words, n_words - words + 1, np.minimum(n_words, 1))
     doc = np.repeat(np.arange(len(n)), n)

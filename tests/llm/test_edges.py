@@ -132,6 +132,16 @@ def test_minhash(odd, none, rows):
     assert minhash.near_groups(none).count() == 0 and minhash.one_of_each(none).columns == none.columns
 
 
+def test_long_words_of_two_letters(spark):
+    """Thue-Morse words and their complements, which polynomial hashes modulo 2^64 take for one."""
+    rows = []
+    for k in range(5, 13):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(1 << k))
+        rows += [(2 * k, word), (2 * k + 1, word.translate(str.maketrans("ab", "ba")))]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in got) and len(got) == len(rows)
+
+
 def test_bpe_and_token_files(odd, none, rows):
     import tiktoken
 
