@@ -19,9 +19,9 @@ def company_info(sites: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def company_info_of_pages(sites: DataFrame, answers: DataFrame, new_id: Column) -> DataFrame:
-    """The same, and sites that aren't known yet are created; ``new_id``
-    is made of ``new.domain``."""
-    fresh = answers.groupBy("domain").agg(F.min("description").alias("description"))
+    """The same, and sites that aren't known yet are created, also by an
+    empty answer; ``new_id`` is made of ``new.domain``."""
+    fresh = answers.groupBy("domain").agg(F.min(F.nullif("description", F.lit(""))).alias("description"))
     keep = F.when(F.coalesce("old.description", F.lit("")) == "", F.coalesce(F.nullif("new.description", F.lit("")), F.col("old.description"))).otherwise(F.col("old.description"))
     return upserted(sites, fresh, ["domain"], {"description": keep}, {"id": new_id, "name": F.col("new.domain")})
 

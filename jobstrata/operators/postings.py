@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join that takes null keys for equal, as grouping does; keys come from the left."""
+    keys = {c: f"__r{k}" for k, c in enumerate(by)}
+    other = right.withColumnsRenamed(keys)
+    on = F.lit(True)
+    for c, r in keys.items():
+        on = on & left[f"`{c}`"].eqNullSafe(other[r])
+    joined = left.join(other, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*keys.values())
+
+
 def keep_matching_or_all(df: DataFrame, match: Column, by: list[str]) -> DataFrame:
     """The matching rows of a group, or all if none match.
 
     The flag is aggregated before the join back, so a group of any size costs
-    one partial row per task rather than a window over all of it.
+    one partial row per task rather than a window over all of it.  Rows with a
+    null key are a group like any other.
     """
     flagged = df.withColumn("__match", F.coalesce(match, F.lit(False)))
     some = flagged.groupBy(*by).agg(F.bool_or("__match").alias("__some"))
-    return flagged.join(some, by).where("__match or not __some").drop("__match", "__some")
+    return null_safe_join(flagged, some, by).where("__match or not __some").drop("__match", "__some")
 
 
 def by_search_query(df: DataFrame, url: str, title: str, by: list[str]) -> DataFrame:
@@ -80,7 +92,7 @@ def sitemap_candidates(df: DataFrame, match: Column, by: list[str], order: list[
     """The first 50 addresses with a keyword, else the first 100 of all."""
     flagged = df.withColumn("__hit", F.coalesce(match, F.lit(False)))
     some = flagged.groupBy(*by).agg(F.bool_or("__hit").alias("__some"))
-    rows = flagged.join(some, by).where("__hit or not __some")
+    rows = null_safe_join(flagged, some, by).where("__hit or not __some")
     return first_in_order(rows, by, order, F.when(F.col("__some"), WITH_WORD).otherwise(WITHOUT_WORD)).drop("__hit", "__some", "place")
 
 
@@ -163,6 +175,61 @@ def reconciled(stored: DataFrame, scan: DataFrame) -> DataFrame:
     return both.select(*by, job_id.alias("job_id"), F.coalesce("new.title", "old.title").alias("title"), event.alias("event"), "old", "new")
 
 
+def matched(stored: DataFrame, scan: DataFrame) -> DataFrame:
+    """U2 for a whole table: one row for each stored job, and one for each key that is new.
+
+    The same as ``reconciled``, but stored rows aren't aggregated: of those with
+    one key, ``latest`` marks the one that counts, and only it has an event.
+    Both sides are dealt out once, by key.
+    """
+    row = lambda df: F.struct(*[df[f"`{c}`"] for c in df.columns])
+    keyed = lambda df, name: df.select("site_id", text.sync_title(F.col("title")).alias("k_title"), text.sync_location(F.col("location")).alias("k_location"), row(df).alias(name))
+    by = ["site_id", "k_title", "k_location"]
+    newest = F.col("old.id").eqNullSafe(F.max("old.id").over(Window.partitionBy(*by)))
+    old = keyed(stored, "old").withColumn("is_newest", newest)
+    blank = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
+    place = F.struct("r.pos", "r.title", blank("location"), *([blank("url")] if "url" in scan.columns else []))
+    new = keyed(scan, "r").groupBy(*by).agg(F.min_by("r", place).alias("new"), F.lit(True).alias("found"))
+    both = old.join(new, by, "full_outer")
+    known, found, active = F.col("is_newest").isNotNull(), F.coalesce("found", F.lit(False)), F.col("old.is_active")
+    latest = ~known | F.col("is_newest")
+    event = F.when(latest, F.when(~known, "added").when(found & active, "seen").when(found & ~active, "reactivated").when(~found & active, "removed"))
+    job_id = F.coalesce("old.id", F.xxhash64(*by))
+    return both.select(*by, job_id.alias("job_id"), F.coalesce("new.title", "old.title").alias("title"), event.alias("event"), "old", F.when(latest, F.col("new")).alias("new"), latest.alias("latest"))
+
+
+def changes_of(rows: DataFrame) -> DataFrame:
+    """``reconciled`` from what ``matched`` gives."""
+    return rows.where("latest").drop("latest")
+
+
+def _after(now: Column) -> dict[str, Column]:
+    """What a stored row's columns become, by its ``event``."""
+    return {
+        "is_active": F.when(F.col("event") == "reactivated", True).when(F.col("event") == "removed", False),
+        "last_seen_at": F.when(F.col("event").isin("seen", "reactivated"), now),
+    }
+
+
+def state_after(rows: DataFrame, schema, now: Column) -> DataFrame:
+    """The jobs table after a scan, from what ``matched`` gives: a projection, no join.
+
+    schema: that of the jobs table.
+    """
+    names, have = set(rows.schema["old"].dataType.names), set(rows.schema["new"].dataType.names)
+    fresh = {"id": F.col("job_id"), "is_active": F.lit(True), "last_seen_at": now, "first_seen_at": now}
+    added, sets = F.col("event").eqNullSafe("added"), _after(now)
+
+    def value(f) -> Column:
+        kept = F.col(f"old.`{f.name}`") if f.name in names else F.lit(None)
+        if f.name in sets:
+            kept = F.coalesce(sets[f.name].cast(f.dataType), kept)
+        new = fresh[f.name] if f.name in fresh else F.col(f"new.`{f.name}`") if f.name in have else F.lit(None)
+        return F.when(added, new.cast(f.dataType)).otherwise(kept.cast(f.dataType)).alias(f.name)
+
+    return rows.select(*map(value, schema))
+
+
 def next_state(stored: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """The jobs table after a scan, with all its columns: touched, switched and new rows.
 
@@ -253,13 +320,13 @@ BLOCK = 1024
 
 
 def _numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Places (``__n``, from 0) of rows within their group, in two steps."""
+    """Places (``__n``, from 0) of rows within their group, in two steps; nulls come first."""
     block = F.floor(F.col(order[0]) / BLOCK)
     rows = df.withColumn("__b", block)
     sums = rows.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
     place = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)) - 1
-    return rows.join(sums.select(*by, "__b", before.alias("__before")), [*by, "__b"]).withColumn("__n", F.col("__before") + place).drop("__b", "__before")
+    return null_safe_join(rows, sums.select(*by, "__b", before.alias("__before")), [*by, "__b"]).withColumn("__n", F.col("__before") + place).drop("__b", "__before")
 
 
 def all_duplicate_cut(df: DataFrame, base: Column) -> DataFrame:

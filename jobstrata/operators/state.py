@@ -1,64 +1,114 @@
-"""Keyed state machines as ordered folds, and table upserts.
+"""Keyed state machines as folds, and table upserts.
 
-A fold passes a key's events in order through its transition function and holds
-nothing but the state; the same functions drive the streaming versions.
+A domain's spacing (E4) is a fold of functions; they compose, so blocks of a
+domain's fetches are folded apart and then together.  Streams use the same
+functions, fetch by fetch.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import http_date
+
 BASE_DELAY, MAX_DELAY, MAX_FAILURES = 0.5, 30.0, 3
 
 
-def retry_after_seconds(value: Column) -> Column:
-    """V29 for the seconds form; zero and what isn't a number count as absent."""
-    n = F.expr("try_cast(null as double)") if value is None else F.when(value.rlike(r"^\d+$"), value.cast("double"))
+def retry_after_seconds(value: Column, at: Column | None = None) -> Column:
+    """Seconds to wait; zero and what is neither a number nor a date count as absent.
+
+    A date counts from ``at``, the time of the answer; where that is unknown it
+    is absent, one that has passed is zero.
+    """
+    n = F.when(F.trim(value).rlike(r"^\+?\d+$"), F.trim(value).cast("double"))
+    if at is not None:
+        left = (F.unix_micros(http_date(value)) - F.unix_micros(at)) / 1e6
+        n = F.coalesce(n, F.when(left.isNotNull(), F.greatest(F.floor(left).cast("double"), F.lit(0.0))))
     return F.nullif(n, F.lit(0.0))
 
 
-DELAYS = "domain string, delay double, n_events long"
+class Change(NamedTuple):
+    """What fetches do to a spacing x: ``value`` if x <= ``upto``, else min(``times`` * x, ``most``).
+
+    Spacings aren't below ``BASE_DELAY``.  Two changes in a row are one again:
+    the functions rise, so what the first sends below the second's ``upto`` is
+    one stretch from the bottom.
+    """
+
+    upto: float
+    value: float
+    times: float
+    most: float
+
+    def of(self, x: float) -> float:
+        return self.value if x <= self.upto else min(self.times * x, self.most)
+
+
+NONE, ALWAYS = -1.0, math.inf
+#: One fetch: limited without a wait, and good.  A wait makes the spacing whatever it was: that wait, at most ``MAX_DELAY``.
+LIMITED = Change(NONE, 0.0, 2.0, MAX_DELAY)
+GOOD = Change(1.1 * BASE_DELAY / 0.9, BASE_DELAY, 0.9, math.inf)
+
+
+def change(status: int, wait: float | None) -> Change | None:
+    """What one fetch does; other fetches do nothing."""
+    if status in (429, 503):
+        return Change(ALWAYS, min(wait, MAX_DELAY), 1.0, math.inf) if wait else LIMITED
+    return GOOD if 200 <= status < 400 else None
 
 
 def next_delay(delay: float, status: int, wait: float | None) -> float:
     """A domain's spacing after one more fetch."""
-    if status in (429, 503):
-        return min(wait or delay * 2, MAX_DELAY)
-    if 200 <= status < 400 and delay > BASE_DELAY:
-        return BASE_DELAY if delay * 0.9 <= 1.1 * BASE_DELAY else delay * 0.9
-    return delay
+    c = change(status, wait)
+    return delay if c is None else c.of(delay)
+
+
+def _struct(*values) -> Column:
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(float(v))).cast("double").alias(n) for n, v in zip(Change._fields, values, strict=True)])
+
+
+def _then(f: Column, g: Column) -> Column:
+    """The change that does f, then g."""
+    after = F.when(f["value"] <= g["upto"], g["value"]).otherwise(F.least(g["times"] * f["value"], g["most"]))
+    whole = (f["upto"] == ALWAYS) | (f["most"] <= g["upto"])
+    reach = g["upto"] / f["times"]
+    wider = (reach > f["upto"]) | (f["most"] <= g["upto"])
+    return _struct(
+        F.when(whole, ALWAYS).otherwise(F.greatest(f["upto"], reach)), F.when(wider, g["value"]).otherwise(after),
+        F.when(whole, 1.0).otherwise(f["times"] * g["times"]), F.when(whole, ALWAYS).otherwise(F.least(g["times"] * f["most"], g["most"])),
+    )
+
+
+#: Ids of a block of fetches; blocks of a block of blocks.
+FOLD = 4096
 
 
-def delays(fetches: DataFrame) -> DataFrame:
-    """Each domain's spacing after its fetches, in order of ``id``.
+def delays(fetches: DataFrame, width: int = FOLD) -> DataFrame:
+    """Each domain's spacing after its fetches (domain, id, status, retry_after,
+    and perhaps ``at``, the time of the answer), in order of ``id``, which is a key.
 
     Only limited (429, 503) and successful (200-399) fetches change it, so the
-    others are dropped before the shuffle.  A domain's fetches pass through one
-    sorted run and only its spacing is held, so a domain of any size fits.
+    others are dropped before the shuffle.  Blocks of ``width`` ids are folded
+    to one change each, blocks of blocks likewise, and what is left (one for
+    each ``width`` squared ids) at last, so a domain is never one task's work.
     """
-    counts = F.col("status").isin(429, 503) | F.col("status").between(200, 399)
-    rows = fetches.where(counts).select("domain", "id", "status", retry_after_seconds(F.col("retry_after")).alias("wait"))
-    rows = rows.repartition("domain").sortWithinPartitions("domain", "id")
-
-    def run(batches):
-        domain, delay, n, done = None, BASE_DELAY, 0, []
-        for pdf in batches:
-            for d, status, wait in zip(pdf["domain"], pdf["status"], pdf["wait"], strict=True):
-                if d != domain:
-                    if n:
-                        done.append((domain, round(delay, 6), n))
-                    domain, delay, n = d, BASE_DELAY, 0
-                delay, n = next_delay(delay, status, None if wait != wait else wait), n + 1
-            if len(done) >= 10_000:
-                yield pd.DataFrame(done, columns=["domain", "delay", "n_events"])
-                done = []
-        if n:
-            done.append((domain, round(delay, 6), n))
-        yield pd.DataFrame(done, columns=["domain", "delay", "n_events"])
-
-    return rows.mapInPandas(run, DELAYS)
+    limited = F.col("status").isin(429, 503)
+    wait = retry_after_seconds(F.col("retry_after"), F.col("at") if "at" in fetches.columns else None)
+    reset = _struct(ALWAYS, F.least(wait, F.lit(MAX_DELAY)), 1.0, ALWAYS)
+    does = F.when(limited & wait.isNotNull(), reset).when(limited, _struct(*LIMITED)).otherwise(_struct(*GOOD))
+    rows = fetches.where(limited | F.col("status").between(200, 399)).select("domain", F.col("id").alias("at"), does.alias("does"), F.lit(1).cast("long").alias("n"))
+    fold = lambda x: F.aggregate(F.array_sort(x), _struct(NONE, 0.0, 1.0, math.inf), lambda f, r: _then(f, r["does"]))
+    for _ in range(2):
+        block = F.floor(F.col("at") / width)
+        rows = rows.groupBy("domain", block.alias("at")).agg(fold(F.collect_list(F.struct("at", "does"))).alias("does"), F.sum("n").alias("n"))
+    whole = rows.groupBy("domain").agg(fold(F.collect_list(F.struct("at", "does"))).alias("does"), F.sum("n").alias("n_events"))
+    d = F.col("does")
+    delay = F.when(d["upto"] >= BASE_DELAY, d["value"]).otherwise(F.least(d["times"] * BASE_DELAY, d["most"]))
+    return whole.select("domain", F.round(delay, 6).alias("delay"), "n_events")
 
 
 def rate_limit_stats(spacing: DataFrame) -> DataFrame:
@@ -68,7 +118,8 @@ def rate_limit_stats(spacing: DataFrame) -> DataFrame:
 
 def breaker(fetches: DataFrame, key: str = "domain", order: str = "id") -> DataFrame:
     """Failures in a row at the end; a success resets them and
-    makes the address active again, whatever came before.
+    makes the address active again, whatever came before.  A fetch without a
+    status is neither, and changes nothing.
 
     Failures after the last success are counted in a second aggregate, so no
     key is sorted or held.

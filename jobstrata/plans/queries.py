@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..functions.rewrite import lookup, quote
 from ..operators import enrich, extract, markup, postings, reports, state
+from ..sources.sinks import written_once
 from .catalog import relation, with_relations
 from .write_path import apply_scan
 
@@ -77,12 +78,12 @@ query("l7_career_subdomains", f"SELECT id, 'https://' || unnest([{urls.listed(ur
 # --- filters, de-duplication, reconciliation --------------------------------------
 
 _BASE = "https://acme.example/jobs/"
-query("f1_search_filter", f"SELECT id, title FROM (SELECT *, m, bool_or(m) OVER (PARTITION BY site_id, page_no) AS any_match FROM (SELECT *, coalesce({urls.search_term_sql('url')} IS NULL OR contains(lower(title), {urls.search_term_sql('url')}), false) AS m FROM postings)) WHERE m OR NOT any_match", "postings")(
-    lambda df: postings.by_search_query(df, "url", "title", ["site_id", "page_no"]).select("id", "title")
+query("f1_search_filter", f"SELECT id, title FROM (SELECT *, m, bool_or(m) OVER (PARTITION BY nullif(site_id, 7), page_no) AS any_match FROM (SELECT *, coalesce({urls.search_term_sql('url')} IS NULL OR contains(lower(title), {urls.search_term_sql('url')}), false) AS m FROM postings)) WHERE m OR NOT any_match", "postings")(
+    lambda df: postings.by_search_query(df.withColumn("site", F.expr("nullif(site_id, 7)")), "url", "title", ["site", "page_no"]).select("id", "title")
 )
 _src = "CASE WHEN site_id % 2 = 0 THEN 'https://www.2rsoftware.de/' ELSE 'https://my-company.com/x' END"
-query("f2_company_filter", f"SELECT id, title FROM (SELECT *, bool_or(m) OVER (PARTITION BY site_id) AS any_match FROM (SELECT *, len(list_filter({urls.company_variants_sql('(' + _src + ')')}, lambda v: contains(lower(concat_ws(' ', title, location, company)), v))) > 0 AS m FROM postings)) WHERE m OR NOT any_match", "postings")(
-    lambda df: postings.by_source_company(df, F.expr(_src), ["site_id"]).select("id", "title")
+query("f2_company_filter", f"SELECT id, title FROM (SELECT *, bool_or(m) OVER (PARTITION BY nullif(site_id, 7)) AS any_match FROM (SELECT *, len(list_filter({urls.company_variants_sql('(' + _src + ')')}, lambda v: contains(lower(concat_ws(' ', title, location, company)), v))) > 0 AS m FROM postings)) WHERE m OR NOT any_match", "postings")(
+    lambda df: postings.by_source_company(df.withColumn("site", F.expr("nullif(site_id, 7)")), F.expr(_src), ["site"]).select("id", "title")
 )
 query("f5_validated", f"SELECT id, trim(title) AS title, coalesce(nullif(trim(location), ''), 'Unknown') AS location, url FROM postings WHERE coalesce(title, '') <> '' AND NOT {text.is_open_application_sql('title')}", "postings")(
     lambda df: postings.validated(df).select("id", "title", "location", "url")
@@ -101,14 +102,17 @@ _NOW = 10**9
 _blank = lambda c: f"coalesce({c}, '')"
 
 
-def _sync_sql(scan: str) -> str:
-    """DuckDB: c, one row for each key of jobs and of a scan."""
+def _sync_sql(scan: str, jobs: str = "jobs") -> str:
+    """DuckDB: c, one row for each key of jobs and of a scan; each title and place is rewritten once."""
     row = "{'title': title, 'location': location, 'url': url" + (", 'company': company" if scan == "postings" else "") + "}"
-    keys = f"{text.sync_title_sql('title')} AS kt, {text.sync_location_sql('location')} AS kl"
+    keyed = lambda t: f"(SELECT x.*, kt, kl FROM {t} x JOIN kts ON x.title IS NOT DISTINCT FROM kts.title JOIN kls ON x.location IS NOT DISTINCT FROM kls.location)"
     return f"""
-o AS (SELECT site_id, {keys}, max(id) AS job_id, arg_max(is_active, id) AS active, arg_max({{'title': title, 'location': location, 'url': url, 'company': company}}, id) AS was FROM jobs GROUP BY ALL),
-n AS (SELECT site_id, {keys}, arg_min({row}, (pos, title, {_blank('location')}, {_blank('url')})) AS r FROM {scan} GROUP BY ALL),
-c AS (SELECT coalesce(o.site_id, n.site_id) AS site_id, coalesce(o.kt, n.kt) AS k_title, coalesce(o.kl, n.kl) AS k_location, job_id, was, r, coalesce(r.title, was.title) AS title,
+kts AS MATERIALIZED (SELECT title, {text.sync_title_sql('title')} AS kt FROM (SELECT title FROM {jobs} UNION SELECT title FROM {scan})),
+kls AS MATERIALIZED (SELECT location, {text.sync_location_sql('location')} AS kl FROM (SELECT location FROM {jobs} UNION SELECT location FROM {scan})),
+o AS (SELECT site_id, kt, kl, max(id) AS job_id, arg_max(is_active, id) AS active,
+  arg_max({{'title': title, 'location': location, 'url': url, 'company': company}}, id) AS was FROM {keyed(jobs)} GROUP BY site_id, kt, kl),
+n AS (SELECT site_id, kt, kl, arg_min({row}, (pos, title, {_blank('location')}, {_blank('url')})) AS r FROM {keyed(scan)} GROUP BY site_id, kt, kl),
+c AS MATERIALIZED (SELECT coalesce(o.site_id, n.site_id) AS site_id, coalesce(o.kt, n.kt) AS k_title, coalesce(o.kl, n.kl) AS k_location, job_id, was, r, coalesce(r.title, was.title) AS title,
   CASE WHEN o.site_id IS NULL THEN 'added' WHEN n.site_id IS NOT NULL AND active THEN 'seen' WHEN n.site_id IS NOT NULL THEN 'reactivated' WHEN active THEN 'removed' END AS event
   FROM o FULL JOIN n ON o.site_id = n.site_id AND o.kt = n.kt AND o.kl = n.kl)"""
 
@@ -126,20 +130,21 @@ query("a9_change_counts", f", {_SYNC}, t AS (SELECT site_id, count(*) AS total F
 )
 # every event with the job that its id leads to in the next version: ids of added jobs must be those of the rows that were added
 query("sk8_history_events", f", {_SYNC} SELECT site_id, CASE WHEN event <> 'added' THEN job_id END AS job_id, event, {_DETAILS} AS details, {_NOW}::BIGINT AS changed_at, CASE WHEN event = 'added' THEN r.title ELSE was.title END AS title, CASE WHEN event = 'added' THEN r.location ELSE was.location END AS location, event <> 'removed' AS is_active FROM c WHERE event IN ('added', 'removed', 'reactivated')", "jobs", "postings")(
-    lambda j, p: _events_with_jobs(j, _sync(j, p))
+    lambda j, p: _events_with_jobs(j, postings.matched(j, p))
 )
 
 
-def _events_with_jobs(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    after = postings.next_state(jobs, changes, _now()).select(F.col("id").alias("job_id"), "title", "location", "is_active")
-    events = postings.history_events(changes, _now()).join(after, "job_id")
+def _events_with_jobs(jobs: DataFrame, rows: DataFrame) -> DataFrame:
+    rows = written_once(rows, "matched")
+    after = postings.state_after(rows, jobs.schema, _now()).select(F.col("id").alias("job_id"), "title", "location", "is_active")
+    events = postings.history_events(postings.changes_of(rows), _now()).join(after, "job_id")
     return events.select("site_id", _stored().alias("job_id"), "event", "details", "changed_at", "title", "location", "is_active")
 
 
 _STATE_SQL = f"""SELECT j.id, j.site_id, j.title, j.location, j.url, j.company, CASE WHEN c.event = 'reactivated' THEN true WHEN c.event = 'removed' THEN false ELSE j.is_active END AS is_active,
   j.first_seen_at, CASE WHEN c.event IN ('seen', 'reactivated') THEN {_NOW} ELSE j.last_seen_at END::BIGINT AS last_seen_at FROM jobs j LEFT JOIN c ON c.job_id = j.id"""
 query("u2_next_state", f", {_SYNC} {_STATE_SQL} UNION ALL SELECT NULL, site_id, r.title, r.location, r.url, r.company, true, {_NOW}, {_NOW} FROM c WHERE event = 'added'", "jobs", "postings")(
-    lambda j, p: postings.next_state(j, _sync(j, p), _now()).withColumn("id", F.when(F.col("first_seen_at") != _NOW, F.col("id")))
+    lambda j, p: postings.state_after(postings.matched(j, p), j.schema, _now()).withColumn("id", F.when(F.col("first_seen_at") != _NOW, F.col("id")))
 )
 query("u2_removed_postings", f", {_SYNC} SELECT 'cached-' || job_id AS id, was.title AS title, coalesce(was.company, '') AS company, coalesce(was.location, 'Unknown') AS location, coalesce(was.url, '') AS url, 'cached:' || site_id AS source, NULL::VARCHAR AS title_en FROM c WHERE event = 'removed'", "jobs", "postings")(
     lambda j, p: postings.removed_postings(_sync(j, p))
@@ -156,8 +161,9 @@ g AS (SELECT site_id, active, found, suspicious, NOT suspicious OR waiting + 1 >
 _waiting = lambda u: u.groupBy("site_id").agg(F.max("suspicious_count").alias("suspicious_count"))
 _scan_of = lambda j, u, s, p: apply_scan(j, _waiting(u), s.select(F.col("id").alias("site_id")), p, _now())
 query("guard_e3_confirmed", f", {_GATE} SELECT * FROM g", "jobs", "career_urls", "sites", "rescan")(lambda j, u, s, p: _scan_of(j, u, s, p).gate)
-_LET = f"""{_GATE}, l AS (SELECT site_id FROM g WHERE allowed), all_jobs AS (SELECT * FROM jobs),"""
-_GATED = _sync_sql("let_scan").replace("FROM jobs GROUP", "FROM all_jobs WHERE site_id IN (SELECT site_id FROM l) GROUP").replace("n AS (", "let_scan AS (SELECT * FROM rescan WHERE site_id IN (SELECT site_id FROM l)),\nn AS (")
+_LET = f"""{_GATE}, l AS (SELECT site_id FROM g WHERE allowed), let_jobs AS (SELECT * FROM jobs WHERE site_id IN (SELECT site_id FROM l)),
+let_scan AS (SELECT * FROM rescan WHERE site_id IN (SELECT site_id FROM l)),"""
+_GATED = _sync_sql("let_scan", "let_jobs")
 query("u2_guarded_next_state", f", {_LET} {_GATED} {_STATE_SQL} UNION ALL SELECT NULL, site_id, r.title, r.location, r.url, NULL, true, {_NOW}, {_NOW} FROM c WHERE event = 'added'", "jobs", "career_urls", "sites", "rescan")(
     lambda j, u, s, p: _scan_of(j, u, s, p).jobs.withColumn("id", F.when(F.col("first_seen_at") != _NOW, F.col("id")))
 )
@@ -245,11 +251,18 @@ query("sk4_elapsed", f"SELECT id, CASE WHEN {_secs} < 60 THEN printf('%.2f се
 )
 query("e1_w7_breaker", """SELECT domain, count(*) FILTER (status >= 400 AND id > last) AS fail_count, count(*) FILTER (status >= 400 AND id > last) < 3 AS is_active, count(*) FILTER (status >= 400) AS n_failed
   FROM (SELECT *, coalesce(max(CASE WHEN status < 400 THEN id END) OVER (PARTITION BY domain), -1) AS last FROM fetches) GROUP BY 1""", "fetches")(lambda df: state.breaker(df))
-_E4_SQL = """SELECT domain, round(list_reduce(list({'w': w, 'k': k, 'd': 0::DOUBLE} ORDER BY id), lambda a, x: {'w': 0::DOUBLE, 'k': 0, 'd':
-  CASE WHEN x.k = 1 THEN least(coalesce(x.w, a.d * 2), 30) WHEN a.d > 0.5 THEN CASE WHEN a.d * 0.9 <= 1.1 * 0.5 THEN 0.5 ELSE a.d * 0.9 END ELSE a.d END::DOUBLE}, {'w': 0::DOUBLE, 'k': 0, 'd': 0.5::DOUBLE}).d, 6) AS delay, count(*) AS n_events
-  FROM (SELECT domain, id, CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END AS k, CASE WHEN regexp_matches(retry_after, '^\\d+$') THEN nullif(retry_after::DOUBLE, 0) END AS w FROM fetches WHERE status IN (429, 503) OR status BETWEEN 200 AND 399) GROUP BY 1"""
-query("e4_rate_limit", _E4_SQL, "fetches")(state.delays)
-query("a11_rate_limit_stats", f", e AS ({_E4_SQL}) SELECT count(*) AS domains, count(*) FILTER (delay > 0.5) AS slowed, max(delay) AS longest FROM e", "fetches")(lambda df: state.rate_limit_stats(state.delays(df)))
+#: Waits as headers give them: seconds, junk, and dates before and after the fetch, which is at noon.
+_WAIT = "CASE WHEN id % 11 < 3 THEN concat('Wed, ', {date}, ' GMT') ELSE retry_after END"
+_WAIT_SPARK = _WAIT.format(date="date_format(timestampadd(second, cast(id % 45 as int) - 10, cast(fetched_on as timestamp)), 'dd MMM yyyy HH:mm:ss')")
+_WAIT_DUCK = _WAIT.format(date="strftime(fetched_on::TIMESTAMP + to_seconds((id % 45 - 10)::INT), '%d %b %Y %H:%M:%S')")
+_E4_SQL = f"""SELECT domain, round(list_reduce(list({{'w': w, 'k': k, 'd': 0::DOUBLE}} ORDER BY id), lambda a, x: {{'w': 0::DOUBLE, 'k': 0, 'd':
+  CASE WHEN x.k = 1 THEN least(coalesce(x.w, a.d * 2), 30) WHEN a.d > 0.5 THEN CASE WHEN a.d * 0.9 <= 1.1 * 0.5 THEN 0.5 ELSE a.d * 0.9 END ELSE a.d END::DOUBLE}}, {{'w': 0::DOUBLE, 'k': 0, 'd': 0.5::DOUBLE}}).d, 6) AS delay, count(*) AS n_events
+  FROM (SELECT domain, id, CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END AS k,
+    nullif(CASE WHEN regexp_matches(said, '^\\d+$') THEN said::DOUBLE ELSE greatest(epoch(try_strptime(said, 'Wed, %d %b %Y %H:%M:%S GMT')) - epoch(fetched_on::TIMESTAMP), 0) END, 0) AS w
+    FROM (SELECT *, {_WAIT_DUCK} AS said FROM fetches) WHERE status IN (429, 503) OR status BETWEEN 200 AND 399) GROUP BY 1"""
+_limits = lambda df: state.delays(df.withColumns({"retry_after": F.expr(_WAIT_SPARK), "at": F.col("fetched_on").cast("timestamp")}))
+query("e4_rate_limit", _E4_SQL, "fetches")(_limits)
+query("a11_rate_limit_stats", f", e AS ({_E4_SQL}) SELECT count(*) AS domains, count(*) FILTER (delay > 0.5) AS slowed, max(delay) AS longest FROM e", "fetches")(lambda df: state.rate_limit_stats(_limits(df)))
 
 
 scalar("f7_f8_f10_f11_f15_links", "postings", {
@@ -278,9 +291,9 @@ scalar("l10_search_urls", "postings", {
     "at": (lambda: urls.search_url("https://www.karriere.at/jobs/", text.slug(F.col("title")), None, F.col("page_no") - 1), urls.search_url_sql("https://www.karriere.at/jobs/", text.slug_sql("title"), None, "(page_no - 1)")),
 })
 _words17 = " OR ".join(f"contains(lower(url), '{w}')" for w in urls.SITEMAP_WORDS)
-query("f17_t7_sitemap_candidates", f"SELECT id, page FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM (SELECT *, bool_or(m) OVER (PARTITION BY page) AS any_match FROM (SELECT id, site_id % 20 AS page, coalesce({_words17}, false) AND site_id % 20 < 15 AS m FROM postings)) WHERE m OR NOT any_match) WHERE n <= CASE WHEN any_match THEN 50 ELSE 100 END", "postings")(
+query("f17_t7_sitemap_candidates", f"SELECT id, page FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM (SELECT *, bool_or(m) OVER (PARTITION BY page) AS any_match FROM (SELECT id, nullif(site_id % 20, 3) AS page, coalesce({_words17}, false) AND site_id % 20 < 15 AS m FROM postings)) WHERE m OR NOT any_match) WHERE n <= CASE WHEN any_match THEN 50 ELSE 100 END", "postings")(
     lambda df: postings.sitemap_candidates(
-        df.withColumn("page", F.col("site_id") % 20), F.exists(F.array(*map(F.lit, urls.SITEMAP_WORDS)), lambda w: F.contains(F.lower("url"), w)) & (F.col("page") < 15), ["page"], [F.col("id")]
+        df.withColumn("page", F.expr("nullif(site_id % 20, 3)")), F.exists(F.array(*map(F.lit, urls.SITEMAP_WORDS)), lambda w: F.contains(F.lower("url"), w)) & (F.col("site_id") % 20 < 15), ["page"], [F.col("id")]
     ).select("id", "page")
 )
 _PLACE18 = {"0": "Moscow", "1": "spb", "2": "Russia", "3": "Paris"}
@@ -301,17 +314,24 @@ query("u3_get_or_create_site", ", n AS (SELECT DISTINCT 's' || id % 50 || '.exam
     lambda s, p: p.select(F.concat(F.lit("s"), F.col("id") % 50, F.lit(".example.com")).alias("domain")).union(s.where("id % 2 = 0").select("domain")).distinct().join(s.select("domain", "id"), "domain", "left").select("domain", F.col("id").isNull().alias("created"))
 )
 _SITE_URL = "concat('https://www.site-', cast(site_id as string), '.com/x')"
-query("x29_j6_records", f"SELECT id, 'web-' || host || '-' || (row_number() OVER (PARTITION BY site_id ORDER BY pos, id) - 1) AS external_id, title, {text.company_name_sql('host')} AS company, coalesce(location, 'Unknown') AS location, coalesce(url, 'https://careers') AS url, 'website:' || host AS source, CASE WHEN id % 4 <> 0 THEN lower(title) END AS title_en FROM (SELECT *, 'www.site-' || site_id || '.com' AS host FROM postings)", "postings")(
-    lambda df: postings.records(df.withColumn("title_en", F.when(F.col("id") % 4 != 0, F.lower("title"))), F.expr(_SITE_URL), F.lit("https://careers"), ["pos", "id"], ["site_id"], keep=["id"]).drop("site_id")
+query("x29_j6_records", f"SELECT id, 'web-' || host || '-' || (row_number() OVER (PARTITION BY nullif(site_id, 7) ORDER BY nullif(pos % 50, 3) NULLS FIRST, id) - 1) AS external_id, title, {text.company_name_sql('host')} AS company, coalesce(location, 'Unknown') AS location, coalesce(url, 'https://careers') AS url, 'website:' || host AS source, CASE WHEN id % 4 <> 0 THEN lower(title) END AS title_en FROM (SELECT *, 'www.site-' || site_id || '.com' AS host FROM postings)", "postings")(
+    lambda df: postings.records(
+        df.withColumns({"title_en": F.when(F.col("id") % 4 != 0, F.lower("title")), "pos": F.expr("nullif(pos % 50, 3)"), "site": F.expr("nullif(site_id, 7)")}),
+        F.expr(_SITE_URL), F.lit("https://careers"), ["pos", "id"], ["site"], keep=["id"],
+    ).drop("site")
 )
 query("w4_running_heading", "SELECT id, last_value(CASE WHEN department <> '' THEN department END IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY id) AS heading FROM postings", "postings")(
     lambda df: df.withColumn("h", F.nullif("department", F.lit(""))).select("id", postings.running_heading(df, "site_id", "id", "h").alias("heading"))
 )
-_told = lambda df: df.select("domain", F.expr("case when id % 3 = 0 then '' else concat('about ', domain) end").alias("description"))
-query("p1_company_info", "SELECT id, domain, CASE WHEN coalesce(description, '') = '' AND id % 3 <> 0 THEN 'about ' || domain ELSE description END AS description FROM sites", "sites")(
+#: Answers for each site: an empty one for every third, and beside every second of those a good one.
+_told = lambda df: df.select("domain", F.expr("case when id % 3 = 0 then '' else concat('about ', domain) end").alias("description")).union(
+    df.where("id % 6 = 0").select("domain", F.concat(F.lit("more "), "domain"))
+)
+_TOLD = "CASE WHEN id % 3 <> 0 THEN 'about ' || domain WHEN id % 6 = 0 THEN 'more ' || domain ELSE description END"
+query("p1_company_info", f"SELECT id, domain, CASE WHEN coalesce(description, '') = '' THEN {_TOLD} ELSE description END AS description FROM sites", "sites")(
     lambda df: enrich.company_info(df, _told(df)).select("id", "domain", "description")
 )
-query("p2_company_info_of_pages", "SELECT domain, name, CASE WHEN coalesce(description, '') <> '' THEN description WHEN id % 3 <> 0 THEN 'about ' || domain ELSE description END AS description FROM sites UNION ALL SELECT 'new-' || id, 'new-' || id, 'fresh' FROM sites", "sites")(
+query("p2_company_info_of_pages", f"SELECT domain, name, CASE WHEN coalesce(description, '') <> '' THEN description ELSE {_TOLD} END AS description FROM sites UNION ALL SELECT 'new-' || id, 'new-' || id, 'fresh' FROM sites", "sites")(
     lambda df: enrich.company_info_of_pages(df, _told(df).union(df.select(F.concat(F.lit("new-"), "id"), F.lit("fresh"))), F.xxhash64("new.domain")).select("domain", "name", "description")
 )
 query("p10_tracked_usage", "SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END)::BIGINT AS completion_tokens, round(sum(CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN 0.25 ELSE prompt_tokens / 1e6 * 0.5 + CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END / 1e6 * 1.5 END), 4) AS usd, round(sum(seconds), 4) AS seconds FROM (SELECT *  REPLACE ('m' || id % 3 AS model) FROM calls) GROUP BY 1", "calls")(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import extract, postings
-from ..operators.postings import change_counts, guarded, history_events, next_state, reconciled
+from ..operators.postings import change_counts, changes_of, guarded, history_events, matched, state_after
 from ..sources.sinks import written_once
 
 #: Makes a table of a step that several others read.
@@ -33,15 +33,18 @@ def apply_scan(jobs: DataFrame, waiting: DataFrame, scanned: DataFrame, scan: Da
 
     Only sites that were scanned and that the guard lets through may change;
     all other jobs are carried over as they are.  The guard's answers and the
-    changes become tables (``keep``), since each is read several times.
+    matched rows become tables (``keep``), since each is read several times;
+    changes, history and the next jobs are projections of the latter.
     """
     gate = keep(guarded(jobs, scanned, scan, waiting, cached), "gate")
     let = gate.where("allowed").select("site_id")
     let_in = scan.join(let, "site_id", "left_semi")
-    changes = keep(reconciled(jobs.join(let, "site_id", "left_semi"), let_in), "changes")
+    rows = keep(matched(jobs.join(let, "site_id", "left_semi"), let_in), "changes")
+    changes = changes_of(rows)
     counts = gate.select("site_id", F.col("suspicious_count").cast("int").alias("suspicious_count"))
     others = waiting.select("site_id", "suspicious_count").join(gate, "site_id", "left_anti")
-    return Scan(gate, changes, change_counts(changes, let_in), next_state(jobs, changes, now), others.unionByName(counts), history_events(changes, now))
+    after = jobs.join(let, "site_id", "left_anti").select(*jobs.columns).unionByName(state_after(rows, jobs.schema, now))
+    return Scan(gate, changes, change_counts(changes, let_in), after, others.unionByName(counts), history_events(changes, now))
 
 
 def postings_of_pages(pages: DataFrame, answers: DataFrame | None = None, documents: DataFrame | None = None, keep: Keep = written_once) -> DataFrame:

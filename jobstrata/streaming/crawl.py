@@ -7,18 +7,21 @@ batch folds, run event by event.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators.reports import outcome
 from ..operators.state import BASE_DELAY, MAX_FAILURES, next_delay
+from ..operators.postings import null_safe_join
 from ..plans.write_path import apply_scan
+from ..sources.buckets import BUCKETS, Store
 from ..sources.files import SCHEMAS
-from ..sources.sinks import latest_version, save_version
 
 
 def health(fetches: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
@@ -70,7 +73,16 @@ def moving_health(fetches: DataFrame, width: str = "10 minutes", slide: str = "5
     return window.agg(F.count_if(F.col("status") >= 400).alias("n_failed"), F.count("*").alias("n")).select(F.col("window.start").alias("start"), "domain", "n_failed", "n")
 
 
-def reconcile_each_batch(root: str, now: Callable[[int], Column] | None = None) -> Callable[[DataFrame, int], None]:
+WAITING = "site_id bigint, suspicious_count int"
+HISTORY = "site_id bigint, job_id bigint, event string, details string, changed_at timestamp_ntz"
+
+
+def catalog_store(spark: SparkSession, root: str, pending: StructType | None = None, buckets: int = BUCKETS) -> Store:
+    """The catalog that ``reconcile_each_batch`` keeps: jobs, counts that wait, postings of scans that aren't complete."""
+    return Store(spark, root, {"jobs": SCHEMAS["jobs"], "waiting": WAITING, "pending": pending or StructType()}, "site_id", buckets)
+
+
+def reconcile_each_batch(root: str, now: Callable[[int], Column] | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps the catalog under ``root``.
 
     Rows are postings (site_id, scan_id, pos, title, location, and any columns
@@ -78,41 +90,42 @@ def reconcile_each_batch(root: str, now: Callable[[int], Column] | None = None)
     without postings.  Postings wait until their scan is complete; then the
     guard decides, and what it lets through is reconciled, scan after scan.
 
-    Every table is written as the version of its batch, from the version of an
-    earlier one, and the history of a batch has a folder of its own, so a batch
-    that is run again replaces what it wrote and adds nothing twice.
+    Only the buckets of the batch's sites are read and written; the others stay
+    as they are, and all tables change at once with the batch's manifest.  A
+    batch that is run again changes nothing; one that broke off left nothing.
+    Columns that a batch adds to postings begin with that batch.
     """
     now = now or (lambda batch_id: F.current_timestamp().cast("timestamp_ntz"))
 
     def run(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        at = now(batch_id)
-
-        def stored(name: str, ddl: str) -> DataFrame:
-            path = latest_version(spark, f"{root}/{name}", before=batch_id)
-            return spark.createDataFrame([], ddl) if path is None else spark.read.parquet(path)
-
-        def written(df: DataFrame, name: str) -> DataFrame:
-            return spark.read.schema(df.schema).parquet(save_version(df, f"{root}/{name}", batch_id, replace=True))
-
-        waiting = stored("pending", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
-        everything = written(waiting.unionByName(rows, allowMissingColumns=True), "gathered")
+        store = catalog_store(rows.sparkSession, root, rows.schema, buckets)
+        done = store.version()
+        if done is not None and done >= batch_id:
+            return
+        change, at = store.begin(batch_id), now(batch_id)
+        fresh = change.keep(rows, "fresh")
+        touched = store.touched(fresh)
+        everything = change.keep(store.read("pending", touched).unionByName(fresh), "gathered")
         complete = everything.where("done").select("site_id", "scan_id").distinct()
         turn = F.row_number().over(Window.partitionBy("site_id").orderBy("scan_id"))
-        complete = written(complete.withColumn("turn", turn), "complete")
-        written(everything.join(complete, ["site_id", "scan_id"], "left_anti"), "pending")
-        jobs, counts = stored("jobs", SCHEMAS["jobs"]), stored("waiting", "site_id bigint, suspicious_count int")
+        complete = change.keep(complete.withColumn("turn", turn), "complete")
+        jobs, counts = store.read("jobs", touched), store.read("waiting", touched)
         turns = complete.agg(F.max("turn")).first()[0] or 0
+        if touched:
+            change.put("pending", null_safe_join(everything, complete.drop("turn"), ["site_id", "scan_id"], "left_anti"), touched)
+        logs = []
         for k in range(1, turns + 1):
             scanned = complete.where(F.col("turn") == k)
             scan = everything.where("not coalesce(done, false)").join(scanned, ["site_id", "scan_id"], "left_semi")
-            step_ = apply_scan(jobs, counts, scanned, scan, at, keep=lambda df, tag, k=k: written(df, f"{tag}-{k}"))
-            written(step_.history, f"history/turn={k}")
-            last = "" if k == turns else f"-{k}"
-            fresh = written(step_.waiting, f"waiting{last}")
-            jobs, counts = written(step_.jobs, f"jobs{last}"), fresh
-        if not turns:
-            written(jobs, "jobs")
-            written(counts, "waiting")
+            step_ = apply_scan(jobs, counts, scanned, scan, at, keep=lambda df, tag, k=k: change.keep(df, f"{tag}-{k}"))
+            logs.append(step_.history)
+            jobs, counts = step_.jobs, step_.waiting
+            if k < turns:
+                jobs, counts = change.keep(jobs, f"jobs-{k}"), change.keep(counts, f"waiting-{k}")
+        if turns:
+            change.add("history", reduce(DataFrame.unionByName, logs))
+            change.put("waiting", counts, touched)
+            change.put("jobs", jobs, touched)
+        change.commit()
 
     return run

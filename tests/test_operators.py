@@ -212,12 +212,12 @@ SCAN = "site_id long, scan_id long, done boolean, pos long, title string, locati
 
 
 def replay(spark, root, batches, again=()):
-    run = crawl.reconcile_each_batch(root, lambda n: F.to_timestamp_ntz(F.lit(f"2024-01-{n:02d} 00:00:00")))
+    run = crawl.reconcile_each_batch(root, lambda n: F.to_timestamp_ntz(F.lit(f"2024-01-{n:02d} 00:00:00")), buckets=16)
     for n, rows in enumerate(batches, 1):
         for _ in range(2 if n in again else 1):
             run(spark.createDataFrame(rows, SCAN), n)
-    jobs = spark.read.parquet(sinks.latest_version(spark, f"{root}/jobs"))
-    history = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/history")
+    store = crawl.catalog_store(spark, root)
+    jobs, history = store.read("jobs"), store.log("history", crawl.HISTORY)
     return {(r.site_id, r.title, r.is_active, str(r.last_seen_at)) for r in jobs.collect()}, sorted((r.site_id, r.event, str(r.changed_at)) for r in history.collect())
 
 
