@@ -26,6 +26,19 @@ def company_info_of_pages(sites: DataFrame, answers: DataFrame, new_id: Column)
     return upserted(sites, fresh, ["domain"], {"description": keep}, {"id": new_id, "name": F.col("new.domain")})
 
 
+def created_sites(sites: DataFrame, wanted: DataFrame, now: Column, new_id: Column | None = None) -> DataFrame:
+    """The sites table with a row for each wanted domain (domain, name) that it lacks.
+
+    A domain wanted more than once is made once, under its smallest name; one
+    without a name is called by its domain.  Domains that are null are passed
+    over.  ``new_id``, of ``domain``, is a hash if none is given.
+    """
+    fresh = wanted.where("domain is not null").groupBy("domain").agg(F.min(F.nullif("name", F.lit(""))).alias("name"))
+    fresh = fresh.join(sites.select("domain"), "domain", "left_anti")
+    made = {"id": F.xxhash64("domain") if new_id is None else new_id, "domain": F.col("domain"), "name": F.coalesce("name", "domain"), "created_at": now}
+    return sites.unionByName(fresh.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in sites.schema]))
+
+
 def at_boards(pages: DataFrame, boards: DataFrame, landed: DataFrame) -> DataFrame:
     """Pages without a platform whose board has been fetched become the
     board's page.

@@ -7,6 +7,7 @@ engine; only what doesn't fit a description has a function of its own.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -100,12 +101,24 @@ class Layout:
     most: int = 0  # postings of a page, where the site's own list is cut
     banned: tuple[str, ...] = ()  # titles that are none
     parts: bool = False  # one text holds title, place and department
+    near: tuple[str, ...] = ()  # places known by name, in the text of the elements around
+    levels: int = 0  # how many elements around are looked at
+    term: bool = False  # the title must hold what the page was searched for
 
 
 _BADGES = [(r"\s*\bNew\s*$", ""), (r"\s*\[New\]\s*", " ")]
 _SPLITS = (r"^(.+?)\s*[|–—-]\s*([A-Z][^|–—-]+)$", r"^(.+?),\s+([A-Z][a-zäöüß]+(?:\s*,\s*[A-Za-zäöüß]+)?)$")
 
+CITIES = ("Berlin", "München", "Hamburg", "Frankfurt", "Köln", "Düsseldorf", "Stuttgart", "Dresden", "Leipzig", "Hannover", "Nürnberg", "Mannheim", "Walldorf", "Magdeburg", "Görlitz", "Halle", "Remote", "Deutschlandweit")
+
 LAYOUTS: dict[str, tuple[Layout, ...]] = {
+    # Job links with the search term; the city from up to three elements around
+    "deloitte": (
+        Layout(
+            ("a[href]",), href="/job-|/job/|/stelle/|/position/|jobdetail", shortest=5, banned=("zurück", "back", "weiter", "next", "details", "mehr"),
+            near=CITIES, levels=3, default="Germany", term=True,
+        ),
+    ),
     "lever": (Layout((".posting, .posting-card",), ".posting-title, h5", ".location, .posting-categories", link="a", unique=False),),
     "greenhouse": (
         Layout(('.opening, .job-post, [data-mapped="true"]',), "a, .opening-title, .job-title", ".location, .job-location", link="a", rules=((r"\s*\bNew$", ""),), unique=False),
@@ -146,7 +159,6 @@ LAYOUTS: dict[str, tuple[Layout, ...]] = {
         ),
     ),
 }
-CITIES = ("Berlin", "München", "Hamburg", "Frankfurt", "Köln", "Düsseldorf", "Stuttgart", "Dresden", "Leipzig", "Hannover", "Nürnberg", "Mannheim", "Walldorf", "Magdeburg", "Görlitz", "Halle", "Remote", "Deutschlandweit")
 
 
 def read(page: Node, base: str, layouts: tuple[Layout, ...]) -> list[dict]:
@@ -158,8 +170,20 @@ def read(page: Node, base: str, layouts: tuple[Layout, ...]) -> list[dict]:
     return []
 
 
+def _around(x: Node, levels: int) -> Iterator[Node]:
+    while levels and (x := x.parent) is not None:
+        levels -= 1
+        yield x
+
+
+def _searched(url: str) -> str:
+    """What a results page was searched for."""
+    m = re.search(r"[?&](?:search|q|query|keyword)=([^&#]+)", url)
+    return m[1].replace("+", " ").lower() if m else ""
+
+
 def _cards(page: Node, base: str, o: Layout, selector: str) -> Iterator[dict]:
-    seen = set()
+    seen, term = set(), _searched(base) if o.term else ""
     for card in page.select(selector):
         link = card if card.tag == "a" else card.one(o.link)
         href = link.attrs.get("href", "") if link is not None else ""
@@ -184,9 +208,11 @@ def _cards(page: Node, base: str, o: Layout, selector: str) -> Iterator[dict]:
         location = places[0].text()[: 100 if o.marks else None] if places else o.default
         if location is None and o.split:
             title, location = split_title(title, o.split)
+        if o.near:
+            location = next((c for x in _around(card, o.levels) for c in o.near if c in x.text(" ")), o.default)
         if o.parts:
             title, location, unit = card_parts((card if card.tag == "li" else box).text(" "))
-        if len(title) >= o.shortest and title.lower() not in o.banned and (title := _clean(title, list(o.rules))):
+        if len(title) >= o.shortest and term in title.lower() and title.lower() not in o.banned and (title := _clean(title, list(o.rules))):
             yield _posting(title, location, url, unit, firm.text() if firm is not None else None)
 
 
@@ -238,31 +264,54 @@ def personio(page: Node, base: str) -> list[dict]:
     return out
 
 
-def hibob(page: Node, base: str) -> list[dict]:
-    """List items with a heading and "Unit · Place · Type" lines."""
-    skip = ("permanent", "full-time", "part-time", "posted", "dev", "infrastructure", "marketing", "operations")
-    places = ("remote", "hybrid", "munich", "berlin", "germany", "london", "amsterdam", "europe")
-    gender = re.compile(r"\([fmwdx]/[fmwdx]", re.IGNORECASE)
-    out, seen = [], set()
-    for item in page.select("b-virtual-scroll-list-item"):
-        lines = [d.text() for d in item.select("div")]
-        head = item.one("b-heading")
-        title = head.text() if head is not None else next((t for t in lines if gender.search(t)), "")
-        if not title or title.lower().strip() in seen:
-            continue
-        seen.add(title.lower().strip())
-        parts = [p.strip() for p in next((t for t in lines if "·" in t), "").split("·")]
-        location = "Remote"
-        for p in parts:
-            low = p.lower()
-            if any(k in low for k in places) and not any(k in low for k in skip):
-                rest = [w for w in p.split() if w.lower() != "remote"]
-                location = ", ".join(rest) + ", Remote" if "remote" in low and rest else p
-                break
-        unit = parts[0] if len(parts) > 1 and not gender.search(parts[0]) and len(parts[0]) < 50 else None
-        slug = re.sub(r"[^a-z0-9]+", "-", re.sub(r"\s*\([fmwdx]/[fmwdx](/[fmwdx])?\)\s*", " ", title, flags=re.IGNORECASE).lower()).strip("-")
-        out.append(_posting(title, location, urljoin(base.rstrip("/") + "/", slug), unit))
-    return out
+@dataclass(frozen=True)
+class Listed:
+    """Items with a heading and a line of facts, such as unit, place and kind."""
+
+    item: str
+    heading: str
+    line: str  # what stands between the facts of a line
+    places: str  # a fact that is a place ...
+    others: str  # ... unless it is one of these
+    sign: str  # what marks a title where the heading is missing, and no unit
+    default: str = "Remote"
+
+
+LISTED = {
+    "hibob": Listed(
+        "b-virtual-scroll-list-item", "b-heading", "·", "remote|hybrid|munich|berlin|germany|london|amsterdam|europe",
+        "permanent|full-time|part-time|posted|dev|infrastructure|marketing|operations", r"\([fmwdx]/[fmwdx]",
+    )
+}
+
+
+def listed(page: Node, base: str, o: Listed) -> list[dict]:
+    """The first item of each title; its address is made of the title."""
+    found = functools.partial(re.search, flags=re.IGNORECASE)
+    by_title: dict[str, tuple[str, list[str]]] = {}
+    for item in page.select(o.item):
+        heads, lines = [h.text() for h in item.select(o.heading)[:1]], [d.text() for d in item.select("div")]
+        title = [*heads, *filter(functools.partial(found, o.sign), [] if heads else lines), ""][0]
+        facts = next(filter(lambda t: o.line in t, lines), "")
+        by_title.setdefault(title.lower().strip(), (title, [f.strip() for f in facts.split(o.line)]))
+    return [_posting(t, _place(facts, o), urljoin(base.rstrip("/") + "/", _slug(t)), _unit(facts, o)) for t, facts in by_title.values() if t]
+
+
+def _place(facts: list[str], o: Listed) -> str:
+    of = [f for f in facts if re.search(o.places, f, re.IGNORECASE) and not re.search(o.others, f, re.IGNORECASE)]
+    if not of:
+        return o.default
+    towns = re.sub(r"(?i)(?<!\S)remote(?!\S)", "", of[0]).split()
+    return ", ".join([*towns, "Remote"]) if towns and "remote" in of[0].lower() else of[0]
+
+
+def _unit(facts: list[str], o: Listed) -> str | None:
+    return facts[0] if len(facts) > 1 and len(facts[0]) < 50 and not re.search(o.sign, facts[0], re.IGNORECASE) else None
+
+
+def _slug(title: str) -> str:
+    plain = re.sub(r"(?i)\s*\([fmwdx]/[fmwdx](/[fmwdx])?\)\s*", " ", title)
+    return "-".join(re.findall("[a-z0-9]+", plain.lower()))
 
 
 def hrworks(page: Node, base: str) -> list[dict]:
@@ -288,29 +337,6 @@ def hrworks(page: Node, base: str) -> list[dict]:
     return out
 
 
-def deloitte(page: Node, base: str) -> list[dict]:
-    """Job links with the search term; the city from up to three levels around."""
-    m = re.search(r"[?&](?:search|q|query|keyword)=([^&#]+)", base)
-    term = m[1].replace("+", " ").lower() if m else ""
-    out, seen = [], set()
-    for a in page.select("a[href]"):
-        href = a.attrs["href"]
-        url = urljoin(base, href)
-        if url in seen or not re.search("/job-|/job/|/stelle/|/position/|jobdetail", href, re.IGNORECASE):
-            continue
-        seen.add(url)
-        title = a.text(" ")
-        if len(title) < 5 or title.lower() in ("zurück", "back", "weiter", "next", "details", "mehr") or term not in title.lower():
-            continue
-        around, place = a.parent, None
-        for _ in range(3):
-            if around is not None and place is None:
-                words = around.text(" ")
-                place, around = next((c for c in CITIES if c in words), None), around.parent
-        out.append(_posting(title, place or "Germany", url))
-    return out
-
-
 def workable(page: Node, base: str) -> list[dict]:
     """Structured data with the full address, else cards, else links."""
     out = []
@@ -353,8 +379,10 @@ def recruitee(page: Node, base: str) -> list[dict]:
 
 
 PARSERS: dict[str, Callable[[Node, str], list[dict]]] = {
-    "personio": personio, "greenhouse": greenhouse, "deloitte": deloitte, "workable": workable, "recruitee": recruitee, "hrworks": hrworks, "hibob": hibob,
-} | {n: (lambda page, base, n=n: read(page, base, LAYOUTS[n])) for n in ("lever", "odoo", "softgarden", "join", "stepstone", "karriere")}
+    "personio": personio, "greenhouse": greenhouse, "workable": workable, "recruitee": recruitee, "hrworks": hrworks,
+} | {n: (lambda page, base, n=n: read(page, base, LAYOUTS[n])) for n in ("lever", "odoo", "softgarden", "join", "stepstone", "karriere", "deloitte")} | {
+    n: (lambda page, base, o=o: listed(page, base, o)) for n, o in LISTED.items()
+}
 
 
 # --- as DataFrames -----------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -329,6 +331,39 @@ def _numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return null_safe_join(rows, sums.select(*by, "__b", before.alias("__before")), [*by, "__b"]).withColumn("__n", F.col("__before") + place).drop("__b", "__before")
 
 
+#: Pages of a crawl (a fixed value).
+MAX_PAGES = 3
+
+
+def followed_pages(starts: DataFrame, pages: DataFrame, limit: int = MAX_PAGES) -> DataFrame:
+    """The pages a crawl visits, from its start along next-page links.
+
+    starts: site_id, url; pages: url (each once) and next_page_url, as landed.
+    Gives site_id, page_no (from 1) and url of at most ``limit`` pages of each
+    start, one join for each further page.  A link to a page that has not been
+    landed ends the crawl there; a loop visits a page again, until the limit or
+    until ``all_duplicate_cut`` finds nothing new on it.
+    """
+    links = pages.select(F.col("url").alias("__url"), F.col("next_page_url").alias("__next"))
+    here = starts.select("site_id", F.col("url").alias("__at"))
+    visited = []
+    for page_no in range(1, limit + 1):
+        here = here.join(links, F.col("__at") == F.col("__url")).select("site_id", F.lit(page_no).alias("page_no"), F.col("__url").alias("url"), F.nullif("__next", F.lit("")).alias("__at"))
+        visited.append(here.drop("__at"))
+    return reduce(DataFrame.unionByName, visited)
+
+
+def with_translations(titles: DataFrame, titles_col: str = "titles", translations_col: str = "translations") -> DataFrame:
+    """Titles and their translations, two arrays in one order, as rows (pos, title, title_en).
+
+    A title past the end of its translations has none; translations past the
+    end of the titles are passed over, and so are rows without titles.
+    """
+    others = [F.col(f"`{c}`") for c in titles.columns if c not in (titles_col, translations_col)]
+    rows = titles.select(*others, F.col(translations_col).alias("__said"), F.posexplode(titles_col).alias("pos", "title"))
+    return rows.select(*others, "pos", "title", F.get("__said", F.col("pos")).alias("title_en"))
+
+
 def all_duplicate_cut(df: DataFrame, base: Column) -> DataFrame:
     """Pages of a crawl up to the third, or to the first non-empty page without a new posting."""
     keyed = df.where("page_no <= 3").withColumn("__key", posting_key(F.col("url"), base))

@@ -204,7 +204,6 @@ QUERIES = {name: _board(name) for name in BOARDS} | {
     "u2_pages_to_catalog": _catalog_update,
     "p3_at_boards": _at_boards,
     "sc13_site_urls": _site_urls,
-    "v29_http_dates": lambda spark, d: pages(spark, d).select("page_id", text.http_date(F.expr("case page_id % 3 when 0 then concat('Mon, ', lpad(cast(page_id % 28 + 1 as string), 2, '0'), ' Jan 2024 10:00:00 GMT') when 1 then 'soon' end")).alias("at")),
     "x10_sc11_api_offers": _offers,
     "x20_sc7_vacancies": lambda spark, d: extract.vacancies(pages(spark, d).select(F.expr(cards(_VACANCY, '{"items":[', "]}", ",")).alias("body"))).select("id", "title", "company", "location", "url", "salary_from", "salary_to", "salary_currency"),
     "sc8_vacancy_details": lambda spark, d: extract.vacancy_details(
@@ -228,7 +227,6 @@ SQL = {name: board_sql(name) for name in BOARDS} | {
     "u2_pages_to_catalog": _UPDATE_SQL,
     "p3_at_boards": "SELECT page_id, CASE WHEN e THEN 'https://b' || page_id % 40 || '.jobs.personio.de/' ELSE url END AS url, CASE WHEN e THEN length('<p>board ' || page_id % 40) ELSE length(html) END AS size, CASE WHEN e THEN 'personio' WHEN page_id % 3 = 0 THEN 'lever' END AS platform, e AS external FROM (SELECT *, page_id % 3 <> 0 AND page_id % 40 < 30 AS e FROM pages)",
     "sc13_site_urls": f"""SELECT page_id AS site, (k + c * (SELECT count(*) FROM {ITEMS} j WHERE j.page_id = i.page_id))::INT AS pos, 'https://s/' || t AS loc FROM {ITEMS} i, (SELECT unnest([0, 1]) AS c) WHERE c = 0 OR page_id % 2 = 0""",
-    "v29_http_dates": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN make_timestamp(2024, 1, page_id % 28 + 1, 10, 0, 0) END AS at FROM pages",
     "x10_sc11_api_offers": f"""SELECT 'https://s' || page_id || '.recruitee.com/x' AS site_url, (3 * k)::INT AS pos, 'Dev ' || t AS title, 'Graz, AT' AS location, 'https://s' || page_id || '.recruitee.com/o/s' || k AS url, NULL::VARCHAR AS department FROM {ITEMS}
        UNION ALL SELECT 'https://s' || page_id || '.recruitee.com/x', (3 * k + 2)::INT, 'Ops ' || t, 'Remote', 'https://x/' || k, NULL FROM {ITEMS}""",
     "x20_sc7_vacancies": f"SELECT k::VARCHAR AS id, 'Dev ' || t AS title, 'Unknown' AS company, 'Kazan' AS location, 'https://hh/' || k AS url, k::INT AS salary_from, NULL::INT AS salary_to, 'RUR' AS salary_currency FROM {ITEMS}",

@@ -255,11 +255,17 @@ query("e1_w7_breaker", """SELECT domain, count(*) FILTER (status >= 400 AND id >
 _WAIT = "CASE WHEN id % 11 < 3 THEN concat('Wed, ', {date}, ' GMT') ELSE retry_after END"
 _WAIT_SPARK = _WAIT.format(date="date_format(timestampadd(second, cast(id % 45 as int) - 10, cast(fetched_on as timestamp)), 'dd MMM yyyy HH:mm:ss')")
 _WAIT_DUCK = _WAIT.format(date="strftime(fetched_on::TIMESTAMP + to_seconds((id % 45 - 10)::INT), '%d %b %Y %H:%M:%S')")
-_E4_SQL = f"""SELECT domain, round(list_reduce(list({{'w': w, 'k': k, 'd': 0::DOUBLE}} ORDER BY id), lambda a, x: {{'w': 0::DOUBLE, 'k': 0, 'd':
+
+
+def _e4_sql(said: str, at: str) -> str:
+    return f"""SELECT domain, round(list_reduce(list({{'w': w, 'k': k, 'd': 0::DOUBLE}} ORDER BY id), lambda a, x: {{'w': 0::DOUBLE, 'k': 0, 'd':
   CASE WHEN x.k = 1 THEN least(coalesce(x.w, a.d * 2), 30) WHEN a.d > 0.5 THEN CASE WHEN a.d * 0.9 <= 1.1 * 0.5 THEN 0.5 ELSE a.d * 0.9 END ELSE a.d END::DOUBLE}}, {{'w': 0::DOUBLE, 'k': 0, 'd': 0.5::DOUBLE}}).d, 6) AS delay, count(*) AS n_events
   FROM (SELECT domain, id, CASE WHEN status IN (429, 503) THEN 1 ELSE 0 END AS k,
-    nullif(CASE WHEN regexp_matches(said, '^\\d+$') THEN said::DOUBLE ELSE greatest(epoch(try_strptime(said, 'Wed, %d %b %Y %H:%M:%S GMT')) - epoch(fetched_on::TIMESTAMP), 0) END, 0) AS w
-    FROM (SELECT *, {_WAIT_DUCK} AS said FROM fetches) WHERE status IN (429, 503) OR status BETWEEN 200 AND 399) GROUP BY 1"""
+    nullif(CASE WHEN regexp_matches(said, '^\\d+$') THEN said::DOUBLE ELSE greatest(epoch(try_strptime(said, 'Wed, %d %b %Y %H:%M:%S GMT')) - {at}, 0) END, 0) AS w
+    FROM (SELECT *, {said} AS said FROM fetches) WHERE status IN (429, 503) OR status BETWEEN 200 AND 399) GROUP BY 1"""
+
+
+_E4_SQL = _e4_sql(_WAIT_DUCK, "epoch(fetched_on::TIMESTAMP)")
 _limits = lambda df: state.delays(df.withColumns({"retry_after": F.expr(_WAIT_SPARK), "at": F.col("fetched_on").cast("timestamp")}))
 query("e4_rate_limit", _E4_SQL, "fetches")(_limits)
 query("a11_rate_limit_stats", f", e AS ({_E4_SQL}) SELECT count(*) AS domains, count(*) FILTER (delay > 0.5) AS slowed, max(delay) AS longest FROM e", "fetches")(lambda df: state.rate_limit_stats(_limits(df)))
@@ -302,16 +308,14 @@ query("f18_search_parameters", "SELECT id, coalesce(CASE lower(place) WHEN 'mosc
     .select("id", *reports.search_parameters(F.col("place"), F.col("suggested"), F.col("years"), F.col("salary")))
 )
 query("f20_batches_in_english", f"SELECT site_id, page_no, bool_and({text.looks_english_sql('title')}) AS english FROM postings GROUP BY ALL", "postings")(lambda df: df.groupBy("site_id", "page_no").agg(F.bool_and(text.looks_english(F.col("title"))).alias("english")))
-_asked, _answered = "array('a', 'b')", "case id % 4 when 0 then array('x', 'y') when 1 then array('x') when 2 then array('x', '...') else array('x', concat(title, ' Error')) end"
-query("f19_good_translations", "SELECT id, id % 4 = 0 AS good FROM postings", "postings")(lambda df: df.select("id", text.good_translations(F.expr(_asked), F.expr(_answered)).alias("good")))
 query("e6_concurrency", "SELECT domain, max(open)::BIGINT AS most_open FROM (SELECT domain, sum(d) OVER (PARTITION BY domain ORDER BY t, d) AS open FROM (SELECT domain, id AS t, 1 AS d FROM fetches UNION ALL SELECT domain, id + 100 + status, -1 FROM fetches)) GROUP BY 1", "fetches")(
     lambda df: state.most_open(df.select("domain", F.col("id").alias("started"), (F.col("id") + 100 + F.col("status")).alias("ended")), "domain")
 )
 query("e7_cache_hits", "SELECT namespace, count(*) FILTER (live) AS hits, count(*) FILTER (NOT live) AS misses, round(count(*) FILTER (live) / count(*), 6) AS hit_rate FROM (SELECT namespace, created_at + ttl_seconds > 4000 AS live FROM cache) GROUP BY 1", "cache")(
     lambda df: df.withColumn("live", state.is_live(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000))).groupBy("namespace").agg(F.count_if("live").alias("hits"), F.count_if(~F.col("live")).alias("misses"), F.round(F.count_if("live") / F.count("*"), 6).alias("hit_rate"))
 )
-query("u3_get_or_create_site", ", n AS (SELECT DISTINCT 's' || id % 50 || '.example.com' AS domain FROM postings UNION SELECT domain FROM sites WHERE id % 2 = 0) SELECT n.domain, s.id IS NULL AS created FROM n LEFT JOIN sites s ON s.domain = n.domain", "sites", "postings")(
-    lambda s, p: p.select(F.concat(F.lit("s"), F.col("id") % 50, F.lit(".example.com")).alias("domain")).union(s.where("id % 2 = 0").select("domain")).distinct().join(s.select("domain", "id"), "domain", "left").select("domain", F.col("id").isNull().alias("created"))
+query("u3_get_or_create_site", ", n AS (SELECT DISTINCT 's' || id % 50 || '.example.com' AS domain FROM postings UNION SELECT domain FROM sites) SELECT n.domain, s.id IS NULL AS created FROM n LEFT JOIN sites s ON s.domain = n.domain", "sites", "postings")(
+    lambda s, p: p.select(F.concat(F.lit("s"), F.col("id") % 50, F.lit(".example.com")).alias("domain")).union(s.select("domain")).distinct().join(s.select("domain", "id"), "domain", "left").select("domain", F.col("id").isNull().alias("created"))
 )
 _SITE_URL = "concat('https://www.site-', cast(site_id as string), '.com/x')"
 query("x29_j6_records", f"SELECT id, 'web-' || host || '-' || (row_number() OVER (PARTITION BY nullif(site_id, 7) ORDER BY nullif(pos % 50, 3) NULLS FIRST, id) - 1) AS external_id, title, {text.company_name_sql('host')} AS company, coalesce(location, 'Unknown') AS location, coalesce(url, 'https://careers') AS url, 'website:' || host AS source, CASE WHEN id % 4 <> 0 THEN lower(title) END AS title_en FROM (SELECT *, 'www.site-' || site_id || '.com' AS host FROM postings)", "postings")(
@@ -339,18 +343,11 @@ query("p10_tracked_usage", "SELECT model, count(*) AS calls, sum(prompt_tokens):
 )
 _BODY10 = """case id % 3 when 0 then concat('{"usage":{"prompt_tokens":', prompt_tokens, ',"completion_tokens":', completion_tokens, if(id % 5 = 0, ',"cost":0.25', ''), '}}')
   when 1 then concat('{"prompt_eval_count":', prompt_tokens, ',"eval_count":', completion_tokens, '}') else concat('{"prompt_eval_count":', prompt_tokens, '}') end"""
-_RESPONSE = "(CASE id % 3 WHEN 0 THEN concat('{\"choices\":[{\"message\":{\"content\":\"say ', id, '\"}}]}') WHEN 1 THEN '{\"choices\":[]}' ELSE 'no json' END)"
-_JOBS_SAID = "(CASE id % 4 WHEN 0 THEN '{\"jobs\":[]}' WHEN 1 THEN '{}' WHEN 2 THEN concat('{\"jobs\":[{\"title\":\"', model, '\"}]}') ELSE '{\"jobs\":null}' END)"
-query("p9_p11_answers", "SELECT id, CASE id % 3 WHEN 0 THEN 'say ' || id ELSE '' END AS content, id % 4 <> 2 AS empty FROM calls", "calls")(
-    lambda df: df.select("id", text.answer_content(F.expr(_RESPONSE)).alias("content"), text.is_empty_result(F.expr(_JOBS_SAID)).alias("empty"))
-)
 query("v28_v30_report_times", f"SELECT id, {text.parsed_time_sql('changed_at')} AS stamp, {text.report_day_sql('changed_at')} AS day, {text.report_clock_sql('changed_at')} AS clock FROM history", "history")(
     lambda df: df.select("id", text.parsed_time(F.col("changed_at")).alias("stamp"), text.report_day(F.col("changed_at")).alias("day"), text.report_clock(F.col("changed_at")).alias("clock"))
 )
 _ACTION = "CASE event WHEN 'added' THEN 'добавлена' WHEN 'removed' THEN 'закрыта' WHEN 'reactivated' THEN 'вернулась' ELSE event END"
 query("sk5_history_report", f"SELECT line, CASE WHEN day IS DISTINCT FROM lag(day) OVER (ORDER BY line) THEN day END AS heading, clock, said FROM (SELECT row_number() OVER (ORDER BY changed_at DESC NULLS LAST, h.id DESC)::INT AS line, {text.report_day_sql('changed_at')} AS day, {text.report_clock_sql('changed_at')} AS clock, title || CASE WHEN coalesce(location, '') <> '' THEN ' (' || location || ')' ELSE '' END || ' [' || domain || '] — ' || {_ACTION} AS said FROM history h JOIN jobs j ON j.id = h.job_id JOIN sites s ON s.id = j.site_id) WHERE line <= 300", "history", "jobs", "sites")(lambda h, j, s: reports.history_report(h, j, s, 300))
-_FAILED = "(CASE id % 5 WHEN 0 THEN 'All attempts: [Errno 111] Connection refused' WHEN 1 THEN '[SSL: CERTIFICATE_VERIFY_FAILED] x' WHEN 2 THEN 'net::ERR_NAME_NOT_RESOLVED at u' WHEN 3 THEN 'read timeout' END)"
-scalar("f23_failures", "fetches", {"failure": (lambda: reports.failure(F.expr(_FAILED)), "CASE id % 5 WHEN 0 THEN 'unreachable' WHEN 1 THEN 'certificate' WHEN 2 THEN 'unreachable' WHEN 3 THEN 'error' END")})
 _HOST7 = "(CASE id % 4 WHEN 0 THEN 'www.acme.co.uk' WHEN 1 THEN domain WHEN 2 THEN '10.0.0.' || id ELSE 'localhost' END)"
 scalar("l7_registrable_domain", "sites", {"registered": (lambda: urls.registrable_domain(F.expr(_HOST7)), urls.registrable_domain_sql(_HOST7))})
 query("u6_touched_sites", f"SELECT id, domain, CASE WHEN id % 3 = 0 THEN {_NOW} ELSE last_scanned_at END::BIGINT AS last_scanned_at FROM sites", "sites")(
@@ -369,7 +366,7 @@ scalar("t5_sitemap_or_nav", "career_urls", {"chosen": (lambda: urls.chosen_caree
 
 # --- pages --------------------------------------------------------------------------
 
-from . import boards  # noqa: E402
+from . import boards, landed  # noqa: E402
 from .boards import pages as _pages  # noqa: E402
 
 
@@ -381,6 +378,9 @@ def _register(name: str, f, sql: str | None = None) -> None:
 
 for _name, _f in boards.QUERIES.items():
     _register(_name, _f, boards.SQL.get(_name))
+_landed_sql = landed.sql(_e4_sql("retry_after", "NULL"))
+for _name, _f in landed.QUERIES.items():
+    _register(_name, _f, _landed_sql[_name])
 _register("x23_clean_html", lambda spark, d: _pages(spark, d).select("page_id", markup.clean_html(F.col("html")).alias("clean")))
 _register("x24_markdown", lambda spark, d: _pages(spark, d).select("page_id", markup.html_to_markdown(F.col("html")).alias("markdown")))
 _register("x22_job_section", lambda spark, d: _pages(spark, d).select("page_id", markup.find_job_section(F.col("html")).alias("section")))
@@ -398,19 +398,6 @@ def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health(rows, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "domain", "outcome", "n")
 
 
-def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pages(spark, sf_dir).select("page_id", F.lit(0).cast("long").alias("pos"), F.lit("Berlin").alias("location"), F.lit("u").alias("url"))
-    of = lambda where, method, title: rows.where(where).withColumns({"method": F.lit(method), "title": F.lit(title)})
-    return extract.cascade(of("page_id % 3 = 0", "job_board:lever", "Dev"), of("page_id % 2 = 0", "llm", "Dev (m/w/d)"), of("page_id % 4 <> 1", "pdf_link", "dev").unionByName(of("page_id % 5 = 0", "pdf_link", "QA"))).select("page_id", "method", "title", "confidence")
-
-
-_register(
-    "x26_x27_cascade",
-    _cascade,
-    """SELECT page_id, 'job_board:lever' AS method, 'Dev' AS title, 1.0::DOUBLE AS confidence FROM pages WHERE page_id % 3 = 0
-       UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'llm' ELSE 'pdf_link' END, CASE WHEN page_id % 2 = 0 THEN 'Dev (m/w/d)' ELSE 'dev' END, CASE WHEN page_id % 2 = 0 THEN 0.85 ELSE 0.9 END FROM pages WHERE page_id % 3 <> 0 AND (page_id % 2 = 0 OR page_id % 4 <> 1)
-       UNION ALL SELECT page_id, 'pdf_link', 'QA', 0.9 FROM pages WHERE page_id % 3 <> 0 AND page_id % 5 = 0""",
-)
 query("e5_spacing", """SELECT domain, id, start FROM (SELECT domain, id, max(asked - n * 3) OVER (PARTITION BY domain ORDER BY id) + n * 3 AS start FROM (SELECT domain, id, (id % 100 * 10)::DOUBLE AS asked, row_number() OVER (PARTITION BY domain ORDER BY id) AS n FROM fetches))""", "fetches")(
     lambda df: state.spaced(df.select("domain", "id", (F.col("id") % 100 * 10).alias("asked"), F.lit(3.0).alias("delay")))
 )

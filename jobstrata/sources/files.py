@@ -54,24 +54,26 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
     return hits.select("url", "pos", F.trim(F.regexp_replace("line", r"^[^:]*:", "")).alias("sitemap"))
 
 
-#: Limits of a site's sitemaps and what XML escapes (fixed values).
+#: Limits of a site's sitemaps (fixed values).
 MAX_SITEMAP_URLS, MAX_LOCATIONS, MAX_CHILDREN = 300, 3, 2
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&#38;", "&")]
+_SITEMAP = "url array<struct<loc: string>>, sitemap array<struct<loc: string>>, _broken string"
+_XML = {"rowTag": "urlset", "ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 
 
 def sitemap_urls(sitemaps: DataFrame, limit: int = MAX_SITEMAP_URLS) -> DataFrame:
-    """SC13, SC14: loc elements of sitemaps (url, xml), the first ``limit`` of each.
+    """SC13, SC14: the addresses of sitemaps (url, xml), the first ``limit`` of each.
 
-    The limit is the feature: it bounds what one site can add.  Text that isn't
-    a sitemap gives no rows instead of an error.
+    Sitemaps are read as XML: whatever the namespace, comments and elements of
+    other kinds don't count, CDATA and entities do.  An index gives its
+    sitemaps.  Text that isn't a sitemap, or broken, gives no rows.  The limit
+    is the feature: it bounds what one site can add.
     """
     looks = F.col("xml").rlike(r"(?is)^\s*(<\?xml|<(\w+:)?(urlset|sitemapindex)\b)")
-    locs = F.regexp_extract_all("xml", F.lit(r"(?is)<(?:\w+:)?loc\s*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc\s*>"), 1)
-    rows = sitemaps.where(looks).select("url", F.col("xml").rlike(r"(?i)<(\w+:)?sitemapindex\b").alias("is_index"), F.posexplode(locs).alias("pos", "loc"))
-    unescaped = F.col("loc")
-    for entity, char in (*ENTITIES, ("&amp;", "&")):
-        unescaped = F.replace(unescaped, F.lit(entity), F.lit(char))
-    return rows.where(F.col("pos") < limit).select("url", "is_index", "pos", unescaped.alias("loc"))
+    rows = sitemaps.where(looks).select("url", F.from_xml(F.trim("xml"), F.lit(_SITEMAP), _XML).alias("x")).where("x._broken is null")
+    given = lambda c: F.filter(F.transform(F.coalesce(f"x.{c}", F.array().cast("array<struct<loc: string>>")), lambda e: F.trim(e["loc"])), lambda v: v != "")
+    index = F.size(given("sitemap")) > 0
+    rows = rows.select("url", index.alias("is_index"), F.posexplode(F.when(index, given("sitemap")).otherwise(given("url"))).alias("pos", "loc"))
+    return rows.where(F.col("pos") < limit)
 
 
 def site_urls(locations: DataFrame, sitemaps: DataFrame, limit: int = MAX_SITEMAP_URLS) -> DataFrame:

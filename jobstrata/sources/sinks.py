@@ -11,27 +11,10 @@ from pyspark.sql import functions as F
 
 
 def export_json_lines(df: DataFrame, path: str) -> None:
-    """SK1, at any size: one object for each line."""
+    """SK1 as lines: one object for each; ``json_export`` writes one array."""
     df.write.mode("overwrite").json(path)
 
 
-#: Rows of one JSON array; a group with more is an error, not a longer array.
-MAX_ARRAY = 100_000
-
-
-def json_array(df: DataFrame, by: str) -> DataFrame:
-    """SK1, exact shape: one JSON array for each group of at most ``MAX_ARRAY`` rows.
-
-    The size is checked before rows are gathered: a group that is too large for
-    one value stops the query (``export_json_lines`` has no such limit).
-    """
-    names = df.columns
-    size = df.groupBy(by).agg(F.count("*").alias("__n"))
-    checked = size.select(by, F.when(F.col("__n") > MAX_ARRAY, F.raise_error(F.lit("group too large for one JSON array"))).otherwise(F.lit(True)).alias("__ok"))
-    df = df.join(checked, by).where("__ok").select(*names)
-    return df.groupBy(by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != by])))).alias("json"))
-
-
 def flat_columns(df: DataFrame) -> list[Column]:
     nested = ("array", "map", "struct")
     return [F.to_json(F.col(f"`{c}`")).alias(c) if t.startswith(nested) else F.col(f"`{c}`") for c, t in df.dtypes]
@@ -56,21 +39,25 @@ def save_version(df: DataFrame, root: str, version: int, replace: bool = False)
 _OWN: dict[str, str] = {}
 
 
-def written_once(df: DataFrame, tag: str) -> DataFrame:
-    """A table for a step that several others read: written to the folder that
-    ``spark.checkpoint.dir`` names, and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Only a session in one process may name none; elsewhere a machine's own
     folder would lose files that other executors need.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _OWN.get(context.applicationId)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="jobstrata-")
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def written_once(df: DataFrame, tag: str) -> DataFrame:
+    """A table for a step that several others read: written to the shared folder, and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

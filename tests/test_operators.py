@@ -271,16 +271,6 @@ def test_five_hundred_postings_of_one_page(spark):
     assert [(r.pos, r.title) for r in extract.extracted(page).orderBy("pos").collect()] == [(k, f"Job {k}") for k in range(500)]
 
 
-def test_large_groups_are_not_one_json_array(spark, monkeypatch):
-    import pytest
-
-    df = spark.range(5).select(F.lit("g").alias("g"), "id")
-    assert sinks.json_array(df, "g").first().json.startswith('[{"id":0}')
-    monkeypatch.setattr(sinks, "MAX_ARRAY", 4)
-    with pytest.raises(Exception, match="too large"):
-        sinks.json_array(df, "g").collect()
-
-
 def test_read_table_and_landed_files(spark, tmp_path):
     spark.createDataFrame([("k", "ns")], "key string, namespace string").write.parquet(str(tmp_path / "c"))
     got = files.read_table(spark, str(tmp_path / "c"), "llm_cache")
