@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rewrite import quote
-from ..operators import enrich, extract, postings, reports
+from ..operators import enrich, extract, phrases, postings, reports
 from ..operators.udtf import Registry
 from ..sources import json_export, searchers
 from ..sources.sinks import shared_folder
@@ -250,7 +250,40 @@ def _dates(spark: SparkSession, d: str) -> DataFrame:
     return relation(spark, d, "fetches").select("id", text.http_date(F.expr(f"if(retry_after = 'abc', retry_after, {said})")).alias("at"))
 
 
+# --- J8, L7 by tables of rules ------------------------------------------------------------------
+
+_PHRASES = f"SELECT row_number() OVER (ORDER BY md5(phrase)) AS ordinal, phrase, upper(phrase) AS value FROM (SELECT DISTINCT lower(t) AS phrase FROM {ITEMS}) WHERE phrase <> ''"
+
+
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The items of all pages as a table of phrases, looked for in every page."""
+    rows = pages(spark, d)
+    words = rows.select(F.explode(F.expr(_ITEMS)).alias("t")).select(F.lower("t").alias("phrase")).where("phrase <> ''").distinct()
+    table = words.select(F.expr("row_number() over (order by md5(phrase))").alias("ordinal"), "phrase", F.upper("phrase").alias("value"))
+    return phrases.first_phrase(rows.select("page_id", F.lower("html").alias("html")), table, "html").select("page_id", "ordinal", "value")
+
+
+_RULES = """SELECT lower(substr(n_name, 1, 2)) AS rule FROM nation UNION SELECT concat('co.', lower(substr(n_name, 1, 2))) FROM nation WHERE n_nationkey % 2 = 0
+UNION SELECT concat('*.', lower(substr(n_name, 1, 2))) FROM nation WHERE n_nationkey % 5 = 0 UNION SELECT concat('!www.', lower(substr(n_name, 1, 2))) FROM nation WHERE n_nationkey % 5 = 0"""
+_HOSTS = """SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN concat('www.', cc) WHEN 1 THEN concat('a.b.co.', cc) WHEN 2 THEN concat('x.y.', cc) WHEN 3 THEN concat('Shop', s_suppkey, '.unknown')
+  WHEN 4 THEN cc WHEN 5 THEN concat('10.0.0.', s_suppkey) ELSE concat('größe.', cc) END AS host FROM (SELECT s_suppkey, lower(substr(n_name, 1, 2)) AS cc FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+def _registered(spark: SparkSession, d: str) -> DataFrame:
+    tables = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "supplier")}
+    of = lambda q: spark.sql(q.replace("FROM nation", "FROM {nation}").replace("FROM supplier JOIN nation", "FROM {supplier} JOIN {nation}"), **{t: x for t, x in tables.items() if t in q})
+    return phrases.registered_domains(of(_HOSTS), of(_RULES))
+
+
+_REGISTERED_SQL = f"""WITH r AS ({_RULES}), h AS ({_HOSTS}), s AS (SELECT id, host, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT id, host, string_split(lower(host), '.') AS p FROM h)),
+m AS (SELECT id, max(CASE WHEN rule LIKE '!%' THEN 1000 + k - 1 WHEN rule LIKE '*%' THEN k + 1 ELSE k END) % 1000 AS n FROM s JOIN r ON regexp_replace(rule, '^(!|[*][.])', '') = array_to_string(p[-k:], '.') GROUP BY 1)
+SELECT h.id, host, CASE WHEN regexp_matches(host, '^[0-9.]*$') THEN NULL WHEN len(p) > coalesce(n, 1) THEN array_to_string(p[-(coalesce(n, 1) + 1):], '.') END AS registered
+FROM (SELECT *, string_split(lower(host), '.') AS p FROM h) h LEFT JOIN m ON m.id = h.id"""
+
+
 QUERIES = {
+    "j8_phrases": _phrases,
+    "l7_public_suffixes": _registered,
     "x5_x14b_lateral": _lateral,
     "sc9_sc10_searches": _searches,
     "e8_followed_pages": _crawls,
@@ -272,6 +305,8 @@ def sql(delays: str) -> dict[str, str]:
     """DuckDB's side; ``delays`` is that of E4 on the fetches as they are."""
     if_ = lambda x: x.replace("if(length(content) % 2 = 0, '[]', 'null')", "CASE WHEN length(content) % 2 = 0 THEN '[]' ELSE 'null' END")
     return {
+        "j8_phrases": f"WITH w AS ({_PHRASES}) SELECT page_id, min(ordinal) AS ordinal, arg_min(value, ordinal) AS value FROM pages LEFT JOIN w ON contains(lower(html), phrase) GROUP BY 1",
+        "l7_public_suffixes": _REGISTERED_SQL,
         "x5_x14b_lateral": _LATERAL_SQL,
         "sc9_sc10_searches": _SEARCHES_SQL,
         "e8_followed_pages": _CRAWLS_SQL,
