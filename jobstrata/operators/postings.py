@@ -374,6 +374,17 @@ def all_duplicate_cut(df: DataFrame, base: Column) -> DataFrame:
     return keyed.join(cut, "site_id", "left").where("__cut is null or page_no <= __cut").drop("__cut", "__key")
 
 
-def running_heading(df: DataFrame, by: str, order: str, heading: str) -> Column:
-    """The last heading at or above a row."""
-    return F.last(heading, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+def with_running_heading(df: DataFrame, by: list[str], order: str, heading: str, name: str, block: int = BLOCK) -> DataFrame:
+    """The last heading at or above each row of a group, in ``order`` (numbers; a key of the group).
+
+    Rows look up within their block of the order; what stands above a block is
+    the last heading of the blocks before it, so no group is one task's sort.
+    Rows above the first heading have none.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(order) / block))
+    inside = F.last(heading, ignorenulls=True).over(Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.where(F.col(heading).isNotNull()).groupBy(*by, "__b").agg(F.max_by(heading, order).alias("__end"))
+    every = null_safe_join(rows.select(*by, "__b").distinct(), ends, [*by, "__b"], "left")
+    above = F.last("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = every.select(*by, "__b", above.alias("__above")).where("__above is not null")
+    return null_safe_join(rows.withColumn("__in", inside), blocks, [*by, "__b"], "left").withColumn(name, F.coalesce("__in", "__above")).drop("__b", "__in", "__above")

@@ -324,8 +324,14 @@ query("x29_j6_records", f"SELECT id, 'web-' || host || '-' || (row_number() OVER
         F.expr(_SITE_URL), F.lit("https://careers"), ["pos", "id"], ["site"], keep=["id"],
     ).drop("site")
 )
-query("w4_running_heading", "SELECT id, last_value(CASE WHEN department <> '' THEN department END IGNORE NULLS) OVER (PARTITION BY site_id ORDER BY id) AS heading FROM postings", "postings")(
-    lambda df: df.withColumn("h", F.nullif("department", F.lit(""))).select("id", postings.running_heading(df, "site_id", "id", "h").alias("heading"))
+query(
+    "w4_running_heading",
+    "SELECT id, last_value(CASE WHEN department <> '' THEN department END IGNORE NULLS) OVER (PARTITION BY nullif(site_id, 7) ORDER BY id) AS heading FROM postings",
+    "postings",
+)(
+    lambda df: postings.with_running_heading(
+        df.withColumns({"h": F.nullif("department", F.lit("")), "site": F.expr("nullif(site_id, 7)")}), ["site"], "id", "h", "heading", 100_000_000
+    ).select("id", "heading")
 )
 #: Answers for each site: an empty one for every third, and beside every second of those a good one.
 _told = lambda df: df.select("domain", F.expr("case when id % 3 = 0 then '' else concat('about ', domain) end").alias("description")).union(

@@ -57,6 +57,18 @@ def test_groups_with_null_keys(spark):
     assert top.count() == 4
 
 
+def test_headings_in_blocks(spark):
+    r = random.Random(5)
+    rows = [(k, r.choice([None, 1, 2]), r.choice([None, None, None, f"h{k}"])) for k in range(300)]
+    last, want = {}, {}
+    for k, g, h in rows:
+        last[g] = h or last.get(g)
+        want[k] = last[g]
+    df = spark.createDataFrame(rows, "id long, g long, h string")
+    for block in (1, 7, 1000):
+        assert {x.id: x.heading for x in postings.with_running_heading(df, ["g"], "id", "h", "heading", block).collect()} == want
+
+
 def test_an_empty_answer_hides_no_good_one(spark):
     sites = spark.createDataFrame([(1, "a", "A", None)], "id long, domain string, name string, description string")
     answers = spark.createDataFrame([("a", ""), ("a", "about a"), ("b", ""), ("c", None)], "domain string, description string")
