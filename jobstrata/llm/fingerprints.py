@@ -8,8 +8,9 @@ length have sub-lexicons in which they hold a term or two.  An edit leaves the
 hashes of the sub-lexicons alone whose terms it doesn't touch.
 
 At most 1 / LOW times the mean number of distinct terms of a text can have a
-document frequency of LOW * N, so the lexicon that is broadcast has a bound
-that doesn't depend on the number of texts.
+document frequency of LOW * N, so the lexicon doesn't grow with the number of
+texts.  It is counted before it is broadcast: up to ``LEXICON`` terms are, a
+larger one stays a table, and the terms of texts are joined with it.
 
 Defined results: null counts as empty; texts without a lexicon term are
 compared by a hash of their bytes; equal texts have equal fingerprints; rows
@@ -23,15 +24,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Slab, arrow_schema, doc_rows, lowered, mix, n_parts, runs, slabs, span_hash, table
+from .common import ALNUM, Slab, arrow_schema, doc_rows, lowered, mix, n_parts, runs, slabs, span_hash, staged, table
 
 LOW, HIGH = 0.0005, 0.1
 DENSITIES, SUBSETS = (8, 32, 128, 512), 40
 PARTS = len(DENSITIES) * SUBSETS
 ENOUGH = 15
+#: Terms of a lexicon that is broadcast, at 28 bytes each.
+LEXICON = 4_000_000
 
 
 def terms(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +52,8 @@ def terms(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(len(slab) + 1))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Sorted hashes of the terms within the band, counted over all texts."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """term: hashes of the terms within the band, counted over all texts."""
 
     def run(batches):
         seen, counts, waiting = [], [], 0
@@ -80,8 +84,13 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
     total = docs.count()
     least, most = max(2, int(np.ceil(total * low))), max(2, int(total * high))
     df = docs.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    got = df.where(F.col("df").between(least, most)).select("term").toPandas()
-    return np.sort(got["term"].to_numpy(np.int64).view(np.uint64))
+    return df.where(F.col("df").between(least, most)).select("term")
+
+
+def collected(lex: DataFrame, limit: int) -> np.ndarray | None:
+    """Sorted hashes of a lexicon; None if it has more than ``limit`` terms."""
+    got = lex.limit(limit + 1).toPandas()["term"].to_numpy(np.int64)
+    return None if len(got) > limit else np.sort(got.view(np.uint64))
 
 
 _SALTS = mix(np.arange(1, PARTS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -113,6 +122,10 @@ def listed_hash(items: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         return mix(sums[first[1:]] - sums[first[:-1]])
 
 
+def exact_hash(text: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(text).digest()[:8], "big")
+
+
 class Fingerprints:
     """whole: 64-bit hash over the lexicon; parts: (texts, PARTS) sub-lexicon hashes, 0 if empty."""
 
@@ -123,13 +136,22 @@ class Fingerprints:
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
         at = np.minimum(np.searchsorted(lex, h), max(len(lex) - 1, 0))
         keep = lex[at] == h if len(lex) else np.zeros(len(h), bool)
-        h, doc, at = h[keep], doc[keep], at[keep]
-        n = len(texts)
+        self._hash(h[keep], doc[keep], bits[at[keep]], np.array([exact_hash(t) for t in texts], np.uint64))
+
+    @classmethod
+    def of_terms(cls, lists: list[np.ndarray], exact: np.ndarray) -> Fingerprints:
+        """From the lexicon's terms in each text, and hashes of the texts."""
+        out = cls.__new__(cls)
+        h = np.concatenate([np.zeros(0, np.uint64), *[np.sort(x) for x in lists]])
+        out._hash(h, np.repeat(np.arange(len(lists)), [len(x) for x in lists]), members(h), exact)
+        return out
+
+    def _hash(self, h: np.ndarray, doc: np.ndarray, bits: np.ndarray, exact: np.ndarray) -> None:
+        n = len(exact)
         self.size = np.bincount(doc, minlength=n)
         self.whole = listed_hash(mix(h), doc, n)
-        exact = np.array([int.from_bytes(hashlib.sha256(t).digest()[:8], "big") for t in texts], np.uint64)
         self.whole[self.size == 0] = exact[self.size == 0]
-        term, part = np.nonzero(np.unpackbits(bits[at], axis=1, count=PARTS)) if len(h) else (at, at)
+        term, part = np.nonzero(np.unpackbits(bits, axis=1, count=PARTS)) if len(h) else (np.zeros(0, np.int64),) * 2
         place = doc[term] * PARTS + part
         order = np.argsort(place, kind="stable")  # a list's terms keep their order
         place, term, part = place[order], term[order], part[order]
@@ -174,9 +196,12 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Fingerprints of each text and its edited text, with likenesses."""
     docs = doc_rows(docs, id_col, text_col)
     spark = docs.sparkSession
-    lex = lexicon(docs)
-    shared = spark.sparkContext.broadcast((lex, members(lex)))
+    found = staged(lexicon(docs), "lexicon")
+    lex = collected(found, LEXICON)
     ordered = in_sequence(docs)
+    if lex is None:
+        return compared_by_join(ordered, found)
+    shared = spark.sparkContext.broadcast((lex, members(lex)))
     schema = arrow_schema(spark, RESULT)
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
@@ -214,6 +239,77 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return ordered.mapInArrow(run, RESULT)
 
 
+CASES = "uid string, next_uid string, doc_id long, n_chars long, edited_sha256 string, own array<long>, new array<long>, own_hash long, new_hash long, marker boolean"
+PRINTED = "uid string, kind int, print string, whole long, parts binary"
+
+
+def compared_by_join(ordered: DataFrame, lex: DataFrame) -> DataFrame:
+    """``compared`` with a lexicon that stays a table.
+
+    The terms of each text and of its edited text are looked up by a join; the
+    terms found come back to their text, which hashes them.
+    """
+    spark = ordered.sparkSession
+    cases_schema, printed_schema, schema = (arrow_schema(spark, x) for x in (CASES, PRINTED, RESULT))
+    record = lambda rows, names: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(names)], schema=names)
+
+    def listed(texts: list[bytes]) -> list[list[int]]:
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        h, first = terms(Slab(np.frombuffer(b"".join(texts), np.uint8), offs, [None] * len(texts)))
+        return [h[first[k] : first[k + 1]].view(np.int64).tolist() for k in range(len(texts))]
+
+    def cases(batches):
+        part, k, last = TaskContext.get().partitionId(), 0, None
+        for b in batches:
+            out = []
+            for i, t, m in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("marker").to_pylist(), strict=True):
+                row, k = (f"{part}-{k}", i, t or "", m), k + 1
+                if last is not None and not last[3]:
+                    out.append(case(last, row))
+                if m:  # closes its range: only its own fingerprint is asked for
+                    out.append(case(row, None))
+                last = row
+            if out:
+                yield record(out, cases_schema)
+
+    def case(row: tuple, after: tuple | None) -> tuple:
+        uid, doc, text, marker = row
+        new = edited(text, after[2]) if after else text
+        own_terms, new_terms = listed([text.encode(), new.encode()])
+        signed = lambda t: int(np.array([exact_hash(t.encode())], np.uint64).view(np.int64)[0])
+        return (uid, after[0] if after else None, doc, len(text), hashlib.sha256(new.encode()).hexdigest(), own_terms, new_terms, signed(text), signed(new), marker)
+
+    def prints(batches):
+        for b in batches:
+            hits = [np.array(x or [], np.int64).view(np.uint64) for x in b.column("hits").to_pylist()]
+            f = Fingerprints.of_terms(hits, np.array(b.column("exact").to_pylist(), np.int64).view(np.uint64))
+            rows = zip(b.column("uid").to_pylist(), b.column("kind").to_pylist(), f.strings(), f.whole.view(np.int64).tolist(), [p.tobytes() for p in f.parts], strict=True)
+            yield record(list(rows), printed_schema)
+
+    def liked(batches):
+        def side(b, name):
+            f = Fingerprints.__new__(Fingerprints)
+            f.whole = np.array(b.column(f"{name}_whole").to_pylist(), np.int64)
+            f.parts = np.frombuffer(b"".join(b.column(f"{name}_parts").to_pylist()), np.uint16).reshape(-1, PARTS)
+            return f
+
+        for b in batches:
+            if b.num_rows:
+                own, new, after = side(b, "own"), side(b, "new"), side(b, "next")
+                near = [likeness(own, x, slice(None), slice(None)).tolist() for x in (new, after)]
+                yield record(list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_chars", "edited_sha256", "own_print", "new_print")), *near, strict=True)), schema)
+
+    rows = staged(ordered.mapInArrow(cases, CASES), "cases")
+    both = rows.select("uid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("own").alias("terms"), F.col("own_hash").alias("exact")), F.struct(F.lit(1).alias("kind"), F.col("new").alias("terms"), F.col("new_hash").alias("exact")))).alias("x"))
+    both = both.select("uid", "x.kind", "x.terms", "x.exact")
+    hits = both.select("uid", "kind", F.explode("terms").alias("term")).join(lex, "term").groupBy("uid", "kind").agg(F.collect_list("term").alias("hits"))
+    done = staged(both.select("uid", "kind", "exact").join(hits, ["uid", "kind"], "left").mapInArrow(prints, PRINTED), "prints")
+    named = lambda kind, name, key: done.where(F.col("kind") == kind).select(F.col("uid").alias(key), F.col("print").alias(f"{name}_print"), F.col("whole").alias(f"{name}_whole"), F.col("parts").alias(f"{name}_parts"))
+    whole = rows.where("not marker").select("uid", "next_uid", "doc_id", "n_chars", "edited_sha256")
+    joined = whole.join(named(0, "own", "uid"), "uid").join(named(1, "new", "uid"), "uid").join(named(0, "next", "next_uid").drop("next_print"), "next_uid")
+    return joined.mapInArrow(liked, RESULT)
+
+
 def in_sequence(docs: DataFrame) -> DataFrame:
     """(doc_id, text, marker) in descending doc_id within each partition.
 

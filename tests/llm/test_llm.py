@@ -215,8 +215,13 @@ def test_token_files(docs, empty, tmp_path):
     enc = bpe.text_encoder(path, public_tokenizers.PATTERN)
     want = {i: len(enc.ids(t or "")) for i, t in texts()}
     for block in (7, 1 << 17):
-        files = tokenfiles.write_files(docs.select("doc_id", "text"), str(tmp_path / f"f{block}"), path, public_tokenizers.PATTERN, block=block)
-        got = tokenfiles.names(files).join(tokenfiles.separators(files), ["file", "ordinal"]).collect()
+        folder = tmp_path / f"f{block}"
+        names = tokenfiles.write_files(docs.select("doc_id", "text"), str(folder), path, public_tokenizers.PATTERN)
+        got = names.join(tokenfiles.separators(names, str(folder), block=block), ["file", "ordinal"]).collect()
+        # nothing but identifiers: the texts' and one end for each
+        flat = {p.name: np.frombuffer(p.read_bytes(), "<u2") for p in folder.iterdir() if p.suffix == ".u16"}
+        for r in got:
+            assert flat[r.file][r.start : r.start + r.n_tokens].tolist() == enc.ids(dict(texts())[r.doc_id] or "") and flat[r.file][r.start + r.n_tokens] == tokenfiles.END
         assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
         for file in {r.file for r in got}:
             mine = sorted((r for r in got if r.file == file), key=lambda r: r.ordinal)
@@ -238,6 +243,14 @@ def test_fingerprints(docs, empty):
     assert fingerprints.compared(empty).count() == 0
 
 
+def test_a_lexicon_too_large_to_broadcast(docs, empty, monkeypatch):
+    want = sorted(map(tuple, fingerprints.compared(docs).collect()))
+    monkeypatch.setattr(fingerprints, "LEXICON", 5)
+    assert sorted(map(tuple, fingerprints.compared(docs).collect())) == want
+    monkeypatch.setattr(fingerprints, "LEXICON", -1)
+    assert fingerprints.compared(empty).count() == 0
+
+
 def mixed(x):
     mask = (1 << 64) - 1
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
