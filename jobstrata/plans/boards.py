@@ -219,17 +219,27 @@ QUERIES = {name: _board(name) for name in BOARDS} | {
     "sc12_robots": lambda spark, d: files.robots_sitemaps(pages(spark, d).select("url", F.expr(cards("Sitemap: https://s/{t}.xml\ndisallow: /{k}\n", "User-agent: *\n")).alias("body"))),
     "l2_joined_urls": lambda spark, d: pages(spark, d).select("page_id", "url", F.posexplode(F.expr(f"regexp_extract_all(html, {quote(ITEM)}, 1)")).alias("pos", "t"))
     .select("page_id", "pos", extract.joined_urls(F.col("url"), F.concat(F.lit("../e/"), F.regexp_replace("t", "[?#;:]", ""))).alias("joined")),
-    "f14_platform_by_html": lambda spark, d: pages(spark, d).select("page_id", urls.platform(F.col("url"), F.expr("concat(html, case page_id % 4 when 0 then '<div class=\"Talention-x\">' when 1 then '<a href=\"https://HRWorks/x\">' when 2 then '<i data-join=\"1\">' else '' end)")).alias("platform")),
+    "f14_platform_by_html": lambda spark, d: pages(spark, d).select("page_id", urls.platform(F.col("url"), F.expr((
+        "concat(html, case page_id % 4 when 0 then '<div class=\"Talention-x\">' when 1 then '<a href=\"https://HRWorks/x\">' when 2 then '<i data-join=\"1\">' "
+        "else '' end)"
+    ))).alias("platform")),
     "l12_answer_urls": lambda spark, d: extract.answer_urls(pages(spark, d).select("page_id", F.lit("https://a.b/c/d").alias("url"), F.expr(cards('" /j/{t} ", "x{k}", 7, "", "https://z/{k}", "/j/{t}"', "[", "]", ", ")).alias("answer"))),
 }
 
 SQL = {name: board_sql(name) for name in BOARDS} | {
     "u2_pages_to_catalog": _UPDATE_SQL,
-    "p3_at_boards": "SELECT page_id, CASE WHEN e THEN 'https://b' || page_id % 40 || '.jobs.personio.de/' ELSE url END AS url, CASE WHEN e THEN length('<p>board ' || page_id % 40) ELSE length(html) END AS size, CASE WHEN e THEN 'personio' WHEN page_id % 3 = 0 THEN 'lever' END AS platform, e AS external FROM (SELECT *, page_id % 3 <> 0 AND page_id % 40 < 30 AS e FROM pages)",
+    "p3_at_boards": (
+        "SELECT page_id, CASE WHEN e THEN 'https://b' || page_id % 40 || '.jobs.personio.de/' ELSE url END AS url, CASE WHEN e THEN length('<p>board ' || page_id "
+        "% 40) ELSE length(html) END AS size, CASE WHEN e THEN 'personio' WHEN page_id % 3 = 0 THEN 'lever' END AS platform, e AS external "
+        "FROM (SELECT *, page_id % 3 <> 0 AND page_id % 40 < 30 AS e FROM pages)"
+    ),
     "sc13_site_urls": f"""SELECT page_id AS site, (k + c * (SELECT count(*) FROM {ITEMS} j WHERE j.page_id = i.page_id))::INT AS pos, 'https://s/' || t AS loc FROM {ITEMS} i, (SELECT unnest([0, 1]) AS c) WHERE c = 0 OR page_id % 2 = 0""",
     "x10_sc11_api_offers": f"""SELECT 'https://s' || page_id || '.recruitee.com/x' AS site_url, (3 * k)::INT AS pos, 'Dev ' || t AS title, 'Graz, AT' AS location, 'https://s' || page_id || '.recruitee.com/o/s' || k AS url, NULL::VARCHAR AS department FROM {ITEMS}
        UNION ALL SELECT 'https://s' || page_id || '.recruitee.com/x', (3 * k + 2)::INT, 'Ops ' || t, 'Remote', 'https://x/' || k, NULL FROM {ITEMS}""",
-    "x20_sc7_vacancies": f"SELECT k::VARCHAR AS id, 'Dev ' || t AS title, 'Unknown' AS company, 'Kazan' AS location, 'https://hh/' || k AS url, k::INT AS salary_from, NULL::INT AS salary_to, 'RUR' AS salary_currency FROM {ITEMS}",
+    "x20_sc7_vacancies": (
+        f"SELECT k::VARCHAR AS id, 'Dev ' || t AS title, 'Unknown' AS company, 'Kazan' AS location, 'https://hh/' || k AS url, k::INT AS salary_from, NULL::INT AS "
+        f"salary_to, 'RUR' AS salary_currency FROM {ITEMS}"
+    ),
     "sc8_vacancy_details": f"SELECT k::VARCHAR AS id, 'about ' || t AS description, 'sql, ' || t AS skills FROM {ITEMS}",
     "x17_links": """SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::BIGINT AS pos, u AS url, u || ' [' || left(x, 50) || ']' AS label
        FROM (SELECT page_id, u, min(k) AS k, arg_min(x, k) AS x FROM (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || h AS u, x, k

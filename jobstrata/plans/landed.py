@@ -235,7 +235,10 @@ SELECT id, domain, name, description, NULL::BIGINT AS created_at FROM sites UNIO
 
 _words = lambda words, c: "(" + " OR ".join(f"contains(lower({c}), {quote(w)})" for w in words) + ")"
 #: An error's text from the words of a part's name; some hold a phrase that says what happened.
-_ERROR = "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('All attempts for ', content, ': ', CASE id % 5 WHEN 0 THEN '[Errno 111] Connection refused' WHEN 1 THEN '[SSL: CERTIFICATE_VERIFY_FAILED]' WHEN 2 THEN 'net::ERR_NAME_NOT_RESOLVED' ELSE content END) END"
+_ERROR = (
+    "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('All attempts for ', content, ': ', CASE id % 5 WHEN 0 THEN '[Errno 111] Connection refused' WHEN 1 THEN '[SSL: "
+    "CERTIFICATE_VERIFY_FAILED]' WHEN 2 THEN 'net::ERR_NAME_NOT_RESOLVED' ELSE content END) END"
+)
 _BODY = "CASE WHEN id % 4 = 0 THEN '{\"choices\":[]}' WHEN id % 4 = 1 THEN content ELSE concat('{\"choices\":[{\"message\":{\"content\":\"', content, ' ', id, '\"}}]}') END"
 _SAID_JOBS = "CASE WHEN id % 4 = 0 THEN '{}' WHEN id % 4 = 1 THEN concat('{\"jobs\":', if(length(content) % 2 = 0, '[]', 'null'), '}') ELSE concat('{\"jobs\":[{\"title\":\"', content, '\"}]}') END"
 _DATE = "concat('Mon, ', {f}, ' GMT')"
@@ -311,7 +314,10 @@ def sql(delays: str) -> dict[str, str]:
         "sc9_sc10_searches": _SEARCHES_SQL,
         "e8_followed_pages": _CRAWLS_SQL,
         "j6_translations": f"SELECT page_id, pos::INT AS pos, title, title_en FROM ({_SAID_SQL})",
-        "f19_good_translations": f"SELECT p.page_id, coalesce(good, true) AS good FROM pages p LEFT JOIN (SELECT page_id, bool_and(title_en IS NOT NULL AND NOT {text.bad_translation_sql('title_en')}) AS good FROM ({_SAID_SQL}) GROUP BY 1) g ON g.page_id = p.page_id",
+        "f19_good_translations": (
+            f"SELECT p.page_id, coalesce(good, true) AS good FROM pages p LEFT JOIN (SELECT page_id, bool_and(title_en IS NOT NULL AND NOT {text.bad_translation_sql('title_en')}) "
+            f"AS good FROM ({_SAID_SQL}) GROUP BY 1) g ON g.page_id = p.page_id"
+        ),
         "x26_x27_cascade": _CASCADE_SQL,
         "x28_answers": _FALLBACK_SQL,
         "sk1_json_array": with_relations(_EXPORTED_SQL, "postings"),
@@ -319,7 +325,10 @@ def sql(delays: str) -> dict[str, str]:
         "e7_stream_cache": with_relations(_CACHE_SQL, "cache", "calls"),
         "u3_created_sites": with_relations(_CREATED_SQL, "sites", "postings"),
         "f23_failures": with_relations(
-            f"SELECT id, CASE WHEN e IS NULL THEN NULL WHEN {_words(reports.UNREACHABLE, 'e')} THEN 'unreachable' WHEN {_words(reports.CERTIFICATE, 'e')} THEN 'certificate' ELSE 'error' END AS failure FROM (SELECT id, {_ERROR} AS e FROM cache)", "cache"
+            (
+                f"SELECT id, CASE WHEN e IS NULL THEN NULL WHEN {_words(reports.UNREACHABLE, 'e')} THEN 'unreachable' WHEN {_words(reports.CERTIFICATE, 'e')} THEN 'certificate' "
+                f"ELSE 'error' END AS failure FROM (SELECT id, {_ERROR} AS e FROM cache)"
+            ), "cache"
         ),
         "p9_p11_answers": with_relations(
             f"SELECT id, CASE WHEN id % 4 < 2 THEN '' ELSE content || ' ' || id END AS content, id % 4 < 2 AS empty FROM (SELECT *, {if_(_BODY)} AS body FROM cache)", "cache"

@@ -64,7 +64,10 @@ scalar("f3_f4_open_application", "postings", {"open_application": (lambda: text.
 scalar("f6_title_classifier", "postings", {"verdict": (lambda: text.title_verdict(F.col("title")), text.title_verdict_sql("title"))})
 scalar("f13_l4_platform", "postings", {"platform": (lambda: urls.platform(F.col("url")), urls.platform_sql("url")), "board_url": (lambda: urls.board_url(F.col("url"), urls.platform(F.col("url"))), urls.board_url_sql("url", urls.platform_sql("url")))})
 scalar("f9_f16_url_predicates", "postings", {"board_page": (lambda: urls.is_board_page(F.col("url")), urls.is_board_page_sql("url")), "careers": (lambda: urls.is_careers_url(F.col("url")), urls.is_careers_url_sql("url"))})
-scalar("f23_fetch_outcome", "fetches", {"outcome": (lambda: reports.outcome(F.col("status")), "CASE WHEN status IN (429, 503) THEN 'limited' WHEN status = 403 OR status BETWEEN 520 AND 526 THEN 'challenge' WHEN status BETWEEN 200 AND 399 THEN 'ok' WHEN status BETWEEN 400 AND 499 THEN 'client_error' ELSE 'server_error' END")})
+scalar("f23_fetch_outcome", "fetches", {"outcome": (lambda: reports.outcome(F.col("status")), (
+    "CASE WHEN status IN (429, 503) THEN 'limited' WHEN status = 403 OR status BETWEEN 520 AND 526 THEN 'challenge' WHEN status BETWEEN 200 AND 399 THEN 'ok' "
+    "WHEN status BETWEEN 400 AND 499 THEN 'client_error' ELSE 'server_error' END"
+))})
 scalar("l1_full_url", "postings", {"full": (lambda: urls.full_url(F.expr("case when id % 5 = 0 then '/job/1' when id % 5 = 1 then 'job/2' when id % 5 = 2 then '//cdn.x/y' when id % 5 = 3 then '?a=1' else '' end"), F.coalesce(F.col("url"), F.lit("https://a.b/c"))), urls.full_url_sql("(CASE WHEN id % 5 = 0 THEN '/job/1' WHEN id % 5 = 1 THEN 'job/2' WHEN id % 5 = 2 THEN '//cdn.x/y' WHEN id % 5 = 3 THEN '?a=1' ELSE '' END)", "coalesce(url, 'https://a.b/c')"))})
 scalar("l3_l9_l11_url_parts", "postings", {"clean": (lambda: urls.without_query(F.col("url")), urls.without_query_sql("url")), "host": (lambda: urls.bare_host(F.col("url")), urls.bare_host_sql("url")), "term": (lambda: urls.search_term(F.col("url")), urls.search_term_sql("url"))})
 query("l5_url_variants", f"SELECT id, unnest({urls.variants_sql('url')}) AS variant FROM career_urls", "career_urls")(lambda df: df.select("id", F.explode(urls.variants(F.col("url"))).alias("variant")))
@@ -78,14 +81,25 @@ query("l7_career_subdomains", f"SELECT id, 'https://' || unnest([{urls.listed(ur
 # --- filters, de-duplication, reconciliation --------------------------------------
 
 _BASE = "https://acme.example/jobs/"
-query("f1_search_filter", f"SELECT id, title FROM (SELECT *, m, bool_or(m) OVER (PARTITION BY nullif(site_id, 7), page_no) AS any_match FROM (SELECT *, coalesce({urls.search_term_sql('url')} IS NULL OR contains(lower(title), {urls.search_term_sql('url')}), false) AS m FROM postings)) WHERE m OR NOT any_match", "postings")(
+query("f1_search_filter", (
+    f"SELECT id, title FROM (SELECT *, m, bool_or(m) OVER (PARTITION BY nullif(site_id, 7), page_no) AS any_match "
+    f"FROM (SELECT *, coalesce({urls.search_term_sql('url')} IS NULL OR contains(lower(title), {urls.search_term_sql('url')}), false) AS m "
+    f"FROM postings)) WHERE m OR NOT any_match"
+), "postings")(
     lambda df: postings.by_search_query(df.withColumn("site", F.expr("nullif(site_id, 7)")), "url", "title", ["site", "page_no"]).select("id", "title")
 )
 _src = "CASE WHEN site_id % 2 = 0 THEN 'https://www.2rsoftware.de/' ELSE 'https://my-company.com/x' END"
-query("f2_company_filter", f"SELECT id, title FROM (SELECT *, bool_or(m) OVER (PARTITION BY nullif(site_id, 7)) AS any_match FROM (SELECT *, len(list_filter({urls.company_variants_sql('(' + _src + ')')}, lambda v: contains(lower(concat_ws(' ', title, location, company)), v))) > 0 AS m FROM postings)) WHERE m OR NOT any_match", "postings")(
+query("f2_company_filter", (
+    f"SELECT id, title FROM (SELECT *, bool_or(m) OVER (PARTITION BY nullif(site_id, 7)) AS any_match "
+    f"FROM (SELECT *, len(list_filter({urls.company_variants_sql('(' + _src + ')')}, lambda v: contains(lower(concat_ws(' ', title, location, company)), v))) "
+    f"> 0 AS m FROM postings)) WHERE m OR NOT any_match"
+), "postings")(
     lambda df: postings.by_source_company(df.withColumn("site", F.expr("nullif(site_id, 7)")), F.expr(_src), ["site"]).select("id", "title")
 )
-query("f5_validated", f"SELECT id, trim(title) AS title, coalesce(nullif(trim(location), ''), 'Unknown') AS location, url FROM postings WHERE coalesce(title, '') <> '' AND NOT {text.is_open_application_sql('title')}", "postings")(
+query("f5_validated", (
+    f"SELECT id, trim(title) AS title, coalesce(nullif(trim(location), ''), 'Unknown') AS location, url "
+    f"FROM postings WHERE coalesce(title, '') <> '' AND NOT {text.is_open_application_sql('title')}"
+), "postings")(
     lambda df: postings.validated(df).select("id", "title", "location", "url")
 )
 _key_sql = (
@@ -125,11 +139,20 @@ _stored = lambda c="job_id": F.when(F.col("event") != "added", F.col(c))  # noqa
 query("u2_j3_reconciled", f", {_SYNC} SELECT site_id, k_title, k_location, job_id, event FROM c", "jobs", "postings")(
     lambda j, p: _sync(j, p).select("site_id", "k_title", "k_location", F.when(F.col("old").isNotNull(), F.col("job_id")).alias("job_id"), "event")
 )
-query("a9_change_counts", f", {_SYNC}, t AS (SELECT site_id, count(*) AS total FROM postings GROUP BY 1) SELECT c.site_id, count(*) FILTER (event = 'added') AS new_jobs, count(*) FILTER (event = 'removed') AS removed_jobs, count(*) FILTER (event = 'reactivated') AS reactivated_jobs, count(job_id) = 0 AS is_first_scan, coalesce(max(total), 0) AS total_jobs, coalesce(bool_or(event IN ('added', 'removed', 'reactivated')), false) AS has_changes FROM c LEFT JOIN t ON t.site_id = c.site_id GROUP BY c.site_id", "jobs", "postings")(
+query("a9_change_counts", (
+    f", {_SYNC}, t AS (SELECT site_id, count(*) AS total FROM postings GROUP BY 1) SELECT c.site_id, count(*) FILTER (event = 'added') AS new_jobs, count(*) "
+    f"FILTER (event = 'removed') AS removed_jobs, count(*) FILTER (event = 'reactivated') AS reactivated_jobs, count(job_id) = 0 AS is_first_scan, coalesce(max(total), "
+    f"0) AS total_jobs, coalesce(bool_or(event IN ('added', 'removed', 'reactivated')), false) AS has_changes "
+    f"FROM c LEFT JOIN t ON t.site_id = c.site_id GROUP BY c.site_id"
+), "jobs", "postings")(
     lambda j, p: postings.change_counts(_sync(j, p), p)
 )
 # every event with the job that its id leads to in the next version: ids of added jobs must be those of the rows that were added
-query("sk8_history_events", f", {_SYNC} SELECT site_id, CASE WHEN event <> 'added' THEN job_id END AS job_id, event, {_DETAILS} AS details, {_NOW}::BIGINT AS changed_at, CASE WHEN event = 'added' THEN r.title ELSE was.title END AS title, CASE WHEN event = 'added' THEN r.location ELSE was.location END AS location, event <> 'removed' AS is_active FROM c WHERE event IN ('added', 'removed', 'reactivated')", "jobs", "postings")(
+query("sk8_history_events", (
+    f", {_SYNC} SELECT site_id, CASE WHEN event <> 'added' THEN job_id END AS job_id, event, {_DETAILS} AS details, {_NOW}::BIGINT AS changed_at, CASE WHEN event "
+    f"= 'added' THEN r.title ELSE was.title END AS title, CASE WHEN event = 'added' THEN r.location ELSE was.location END AS location, event <> 'removed' AS "
+    f"is_active FROM c WHERE event IN ('added', 'removed', 'reactivated')"
+), "jobs", "postings")(
     lambda j, p: _events_with_jobs(j, postings.matched(j, p))
 )
 
@@ -146,10 +169,18 @@ _STATE_SQL = f"""SELECT j.id, j.site_id, j.title, j.location, j.url, j.company,
 query("u2_next_state", f", {_SYNC} {_STATE_SQL} UNION ALL SELECT NULL, site_id, r.title, r.location, r.url, r.company, true, {_NOW}, {_NOW} FROM c WHERE event = 'added'", "jobs", "postings")(
     lambda j, p: postings.state_after(postings.matched(j, p), j.schema, _now()).withColumn("id", F.when(F.col("first_seen_at") != _NOW, F.col("id")))
 )
-query("u2_removed_postings", f", {_SYNC} SELECT 'cached-' || job_id AS id, was.title AS title, coalesce(was.company, '') AS company, coalesce(was.location, 'Unknown') AS location, coalesce(was.url, '') AS url, 'cached:' || site_id AS source, NULL::VARCHAR AS title_en FROM c WHERE event = 'removed'", "jobs", "postings")(
+query("u2_removed_postings", (
+    f", {_SYNC} SELECT 'cached-' || job_id AS id, was.title AS title, coalesce(was.company, '') AS company, coalesce(was.location, 'Unknown') AS location, coalesce(was.url, "
+    f"'') AS url, 'cached:' || site_id AS source, NULL::VARCHAR AS title_en FROM c WHERE event = 'removed'"
+), "jobs", "postings")(
     lambda j, p: postings.removed_postings(_sync(j, p))
 )
-query("sk6_t8_change_summary", f", {_SYNC}, a AS (SELECT site_id, event, count(*) AS n, list(title ORDER BY k_title, k_location) AS titles FROM c WHERE event IN ('added', 'removed', 'reactivated') GROUP BY ALL) SELECT site_id, event, n, array_to_string(titles[1:CASE event WHEN 'reactivated' THEN 3 ELSE 5 END], '; ') AS first_titles, greatest(n - CASE event WHEN 'reactivated' THEN 3 ELSE 5 END, 0) AS more FROM a", "jobs", "postings")(
+query("sk6_t8_change_summary", (
+    f", {_SYNC}, a AS (SELECT site_id, event, count(*) AS n, list(title ORDER BY k_title, k_location) AS titles "
+    f"FROM c WHERE event IN ('added', 'removed', 'reactivated') GROUP BY ALL) SELECT site_id, event, n, array_to_string(titles[1:CASE event WHEN 'reactivated' "
+    f"THEN 3 ELSE 5 END], '; ') AS first_titles, greatest(n - CASE event WHEN 'reactivated' THEN 3 ELSE 5 END, 0) AS more "
+    f"FROM a"
+), "jobs", "postings")(
     lambda j, p: postings.change_summary(_sync(j, p))
 )
 
@@ -164,7 +195,10 @@ query("guard_e3_confirmed", f", {_GATE} SELECT * FROM g", "jobs", "career_urls",
 _LET = f"""{_GATE}, l AS (SELECT site_id FROM g WHERE allowed), let_jobs AS (SELECT * FROM jobs WHERE site_id IN (SELECT site_id FROM l)),
 let_scan AS (SELECT * FROM rescan WHERE site_id IN (SELECT site_id FROM l)),"""
 _GATED = _sync_sql("let_scan", "let_jobs")
-query("u2_guarded_next_state", f", {_LET} {_GATED} {_STATE_SQL} UNION ALL SELECT NULL, site_id, r.title, r.location, r.url, NULL, true, {_NOW}, {_NOW} FROM c WHERE event = 'added'", "jobs", "career_urls", "sites", "rescan")(
+query("u2_guarded_next_state", (
+    f", {_LET} {_GATED} {_STATE_SQL} UNION ALL SELECT NULL, site_id, r.title, r.location, r.url, NULL, true, {_NOW}, {_NOW} "
+    f"FROM c WHERE event = 'added'"
+), "jobs", "career_urls", "sites", "rescan")(
     lambda j, u, s, p: _scan_of(j, u, s, p).jobs.withColumn("id", F.when(F.col("first_seen_at") != _NOW, F.col("id")))
 )
 query("e1_e2_e3_marked_urls", f""", o AS (SELECT id, CASE id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'suspicious' END AS o FROM career_urls)
@@ -172,10 +206,19 @@ SELECT u.id, CASE o WHEN 'success' THEN 0 WHEN 'failed' THEN fail_count + 1 ELSE
   CASE WHEN o = 'success' THEN true WHEN o = 'failed' AND fail_count + 1 >= 3 THEN false ELSE is_active END AS is_active, CASE WHEN o = 'success' THEN {_NOW} ELSE last_success_at END::BIGINT AS last_success_at FROM career_urls u JOIN o ON o.id = u.id""", "career_urls")(
     lambda u: state.marked(u, u.select("id", F.expr("case id % 4 when 0 then 'success' when 1 then 'failed' when 2 then 'suspicious' end").alias("outcome")), _now()).select("id", "fail_count", "suspicious_count", "is_active", "last_success_at")
 )
-query("f22_company_if_external", f"SELECT id, title FROM (SELECT *, bool_or(m) OVER (PARTITION BY site_id, own) AS any_match FROM (SELECT *, site_id % 3 = 0 AS own, len(list_filter({urls.company_variants_sql('(' + _src + ')')}, lambda v: contains(lower(concat_ws(' ', title, location, company)), v))) > 0 AS m FROM postings)) WHERE own OR m OR NOT any_match", "postings")(
+query("f22_company_if_external", (
+    f"SELECT id, title FROM (SELECT *, bool_or(m) OVER (PARTITION BY site_id, own) AS any_match FROM (SELECT *, site_id % 3 = 0 AS own, len(list_filter({urls.company_variants_sql('(' + _src + ')')}, "
+    f"lambda v: contains(lower(concat_ws(' ', title, location, company)), v))) > 0 AS m FROM postings)) "
+    f"WHERE own OR m OR NOT any_match"
+), "postings")(
     lambda df: postings.company_if_external(df, F.expr(f"case when site_id % 3 = 0 then {_src} else 'https://jobs.lever.co/x' end"), F.expr(_src), ["site_id"], False).select("id", "title")
 )
-query("e8_crawl_cut", f", k AS (SELECT *, {_key_sql} AS k FROM postings WHERE page_no <= 3), f AS (SELECT *, min(page_no) OVER (PARTITION BY site_id, k) AS first FROM k), s AS (SELECT site_id, min(page_no) AS cut FROM (SELECT site_id, page_no FROM f GROUP BY ALL HAVING NOT bool_or(first = page_no)) GROUP BY 1) SELECT id, f.site_id, page_no FROM f LEFT JOIN s ON s.site_id = f.site_id WHERE cut IS NULL OR page_no <= cut", "postings")(
+query("e8_crawl_cut", (
+    f", k AS (SELECT *, {_key_sql} AS k FROM postings WHERE page_no <= 3), f AS (SELECT *, min(page_no) "
+    f"OVER (PARTITION BY site_id, k) AS first FROM k), s AS (SELECT site_id, min(page_no) AS cut "
+    f"FROM (SELECT site_id, page_no FROM f GROUP BY ALL HAVING NOT bool_or(first = page_no)) GROUP BY 1) "
+    f"SELECT id, f.site_id, page_no FROM f LEFT JOIN s ON s.site_id = f.site_id WHERE cut IS NULL OR page_no <= cut"
+), "postings")(
     lambda df: postings.all_duplicate_cut(df, F.lit(_BASE)).select("id", "site_id", "page_no")
 )
 
@@ -196,7 +239,10 @@ n AS (SELECT site_id, url, max(id) AS id, max(platform) AS platform FROM (SELECT
 SELECT coalesce(o.site_id, n.site_id) AS site_id, coalesce(o.url, n.url) AS url, coalesce(o.id, n.id) AS id,
   CASE WHEN n.url IS NULL THEN o.platform ELSE coalesce(n.platform, o.platform) END AS platform, CASE WHEN n.url IS NULL THEN is_active ELSE true END AS is_active,
   CASE WHEN n.url IS NULL THEN fail_count ELSE 0 END AS fail_count, coalesce(suspicious_count, 0) AS suspicious_count FROM o FULL JOIN n ON o.site_id = n.site_id AND o.url = n.url""", "career_urls")(_upsert_urls)
-query("u7_u8_cache_purge", "SELECT namespace, count(*) FILTER (created_at + ttl_seconds >= 4000) AS kept, count(*) FILTER (created_at + ttl_seconds < 4000) AS purged FROM cache WHERE namespace <> 'url' GROUP BY 1", "cache")(
+query("u7_u8_cache_purge", (
+    "SELECT namespace, count(*) FILTER (created_at + ttl_seconds >= 4000) AS kept, count(*) FILTER (created_at + ttl_seconds < 4000) AS purged "
+    "FROM cache WHERE namespace <> 'url' GROUP BY 1"
+), "cache")(
     lambda df: df.where("namespace <> 'url'").withColumn("gone", state.is_purged(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000))).groupBy("namespace").agg(F.count_if(~F.col("gone")).alias("kept"), F.count_if("gone").alias("purged"))
 )
 _fresh = lambda df: df.select(F.concat(F.lit("k"), F.col("id") * 2).alias("key"), F.lit("other").alias("namespace"), F.upper("value").alias("value"), F.lit("m").alias("model"), (F.col("ttl_seconds") + 1).alias("ttl_seconds"), (F.col("tokens_saved") + 2).alias("tokens_saved"))
@@ -207,10 +253,17 @@ SELECT coalesce(c.key, n.key) AS key, coalesce(c.namespace, n.namespace) AS name
     lambda df: state.cache_set(_entries(df), _fresh(df), _now())
 )
 _probes = lambda p: p.select(F.concat(F.lit("k"), F.pmod(F.col("id"), F.lit(3001))).alias("key"))
-query("j9_cache_answers", "SELECT p.key, count(*) AS asked, count(c.key) AS hits, any_value(c.value) AS value FROM (SELECT 'k' || id % 3001 AS key FROM calls) p LEFT JOIN (SELECT * FROM cache WHERE created_at + ttl_seconds > 4000) c ON c.key = p.key GROUP BY 1", "cache", "calls")(
+query("j9_cache_answers", (
+    "SELECT p.key, count(*) AS asked, count(c.key) AS hits, any_value(c.value) AS value FROM (SELECT 'k' || id % 3001 AS key "
+    "FROM calls) p LEFT JOIN (SELECT * FROM cache WHERE created_at + ttl_seconds > 4000) c ON c.key = p.key "
+    "GROUP BY 1"
+), "cache", "calls")(
     lambda c, p: state.cache_read(c, _probes(p), F.lit(4000))[0].groupBy("key").agg(F.count("*").alias("asked"), F.count_if("hit").alias("hits"), F.any_value("value").alias("value"))
 )
-query("e7_cache_after_reads", "SELECT c.key, (hit_count + CASE WHEN created_at + ttl_seconds > 4000 THEN coalesce(n, 0) ELSE 0 END)::INT AS hit_count FROM cache c LEFT JOIN (SELECT 'k' || id % 3001 AS key, count(*) AS n FROM calls GROUP BY 1) p ON p.key = c.key", "cache", "calls")(
+query("e7_cache_after_reads", (
+    "SELECT c.key, (hit_count + CASE WHEN created_at + ttl_seconds > 4000 THEN coalesce(n, 0) ELSE 0 END)::INT AS hit_count "
+    "FROM cache c LEFT JOIN (SELECT 'k' || id % 3001 AS key, count(*) AS n FROM calls GROUP BY 1) p ON p.key = c.key"
+), "cache", "calls")(
     lambda c, p: state.cache_read(c, _probes(p), F.lit(4000))[1].select("key", "hit_count")
 )
 
@@ -219,8 +272,14 @@ query("e7_cache_after_reads", "SELECT c.key, (hit_count + CASE WHEN created_at +
 query("a3_j2_dashboard", """SELECT s.id AS site_id, s.domain, s.last_scanned_at, count(DISTINCT CASE WHEN j.is_active THEN j.id END) AS active_jobs, count(DISTINCT j.id) AS total_jobs, count(DISTINCT u.id) AS n_urls,
   count(DISTINCT j.id) - count(DISTINCT CASE WHEN j.is_active THEN j.id END) AS removed_jobs
   FROM sites s LEFT JOIN jobs j ON j.site_id = s.id LEFT JOIN career_urls u ON u.site_id = s.id AND u.is_active GROUP BY s.id, s.domain, s.last_scanned_at""", "sites", "jobs", "career_urls")(reports.dashboard)
-query("j1_t1_latest_history", "SELECT h.id, event, changed_on, title, domain FROM history h JOIN jobs j ON j.id = h.job_id JOIN sites s ON s.id = j.site_id ORDER BY changed_on DESC, h.id DESC LIMIT 100", "history", "jobs", "sites")(lambda h, j, s: reports.latest_history(h, j, s, 100))
-query("sc2_t1_site_history", "SELECT h.id, event, changed_on, title, domain FROM history h JOIN jobs j ON j.id = h.job_id JOIN sites s ON s.id = j.site_id WHERE domain = 'supplier-000000003.example.com' ORDER BY changed_on DESC, h.id DESC LIMIT 50", "history", "jobs", "sites")(
+query("j1_t1_latest_history", (
+    "SELECT h.id, event, changed_on, title, domain FROM history h JOIN jobs j ON j.id = h.job_id "
+    "JOIN sites s ON s.id = j.site_id ORDER BY changed_on DESC, h.id DESC LIMIT 100"
+), "history", "jobs", "sites")(lambda h, j, s: reports.latest_history(h, j, s, 100))
+query("sc2_t1_site_history", (
+    "SELECT h.id, event, changed_on, title, domain FROM history h JOIN jobs j ON j.id = h.job_id "
+    "JOIN sites s ON s.id = j.site_id WHERE domain = 'supplier-000000003.example.com' ORDER BY changed_on DESC, h.id DESC LIMIT 50"
+), "history", "jobs", "sites")(
     lambda h, j, s: reports.latest_history(h, j, s, 50, "supplier-000000003.example.com")
 )
 query("t2_sites_by_scan", "SELECT id, domain, row_number() OVER (ORDER BY last_scanned_at DESC NULLS LAST, id) AS n FROM sites ORDER BY n LIMIT 20", "sites")(
@@ -231,9 +290,17 @@ query("t3_sc3_urls_by_success", "SELECT site_id, id, url, row_number() OVER (PAR
 )
 _rank = urls.careers_rank_sql("url")
 query("t4_best_careers_url", f"SELECT site_id, arg_min(url, ({', '.join(_rank)}, id)) AS best_url FROM career_urls GROUP BY 1", "career_urls")(lambda df: reports.best_careers_url(df, urls.careers_rank(F.col("url"))))
-query("a4_a5_cache_stats", "SELECT namespace, count(*) AS entries, sum(hit_count)::BIGINT AS hits, sum(tokens_saved * hit_count)::BIGINT AS tokens_saved, round(coalesce(sum(hit_count) / nullif(sum(hit_count) + count(*), 0), 0), 6) AS hit_rate, round(sum(tokens_saved * hit_count) * 0.00001::DOUBLE, 6) AS saved_usd FROM cache GROUP BY 1", "cache")(reports.cache_stats)
+query("a4_a5_cache_stats", (
+    "SELECT namespace, count(*) AS entries, sum(hit_count)::BIGINT AS hits, sum(tokens_saved * hit_count)::BIGINT AS tokens_saved, round(coalesce(sum(hit_count) "
+    "/ nullif(sum(hit_count) + count(*), 0), 0), 6) AS hit_rate, round(sum(tokens_saved * hit_count) * 0.00001::DOUBLE, 6) AS saved_usd "
+    "FROM cache GROUP BY 1"
+), "cache")(reports.cache_stats)
 _price = lambda k: "CASE model " + " ".join(f"WHEN {quote(m)} THEN {p[k]}::DOUBLE" for m, p in reports.PRICES.items()) + f" ELSE {reports.DEFAULT_PRICE[k]}::DOUBLE END"
-query("a7_a8_usage", f"SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(CASE WHEN reported_usd > 0 THEN reported_usd ELSE prompt_tokens / 1e6 * {_price(0)} + completion_tokens / 1e6 * {_price(1)} END), 4) AS usd, round(sum(seconds), 4) AS seconds FROM calls GROUP BY 1", "calls")(reports.usage)
+query("a7_a8_usage", (
+    f"SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens, round(sum(CASE WHEN "
+    f"reported_usd > 0 THEN reported_usd ELSE prompt_tokens / 1e6 * {_price(0)} + completion_tokens / 1e6 * {_price(1)} END), 4) AS usd, round(sum(seconds), "
+    f"4) AS seconds FROM calls GROUP BY 1"
+), "calls")(reports.usage)
 query("a10_job_markers", f"SELECT id, ({' + '.join(f'contains(lower(title), {quote(m)})::INT' for m in markup.MARKERS)})::BIGINT AS markers FROM postings", "postings")(
     lambda df: df.select("id", markup.markers(F.col("title")).alias("markers"))
 )
@@ -242,11 +309,23 @@ query("w6_date_breaks", "SELECT id, changed_on, changed_on IS DISTINCT FROM lag(
     lambda df: df.select("id", "changed_on", F.expr("not (changed_on <=> lag(changed_on) over (partition by id % 100 order by changed_on desc, id desc))").alias("new_day"))
 )
 _PAY3 = ("(id % 4 * 1500)", "(id % 3 * 2500000)", "(CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN '' ELSE 'EUR' END)")
-query("sk3_terminal_rows", f"SELECT company, title, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE title END, '—') AS title_en, location, {text.salary_display_sql(*_PAY3)} AS salary, 'website:' || site_id AS source FROM postings", "postings")(
-    lambda df: reports.terminal_rows(df.select("company", "title", F.expr("case when id % 3 <> 0 then title end").alias("title_en"), "location", *[p.alias(n) for p, n in zip(_pay(), ("salary_from", "salary_to", "salary_currency"), strict=True)], F.concat(F.lit("website:"), "site_id").alias("source")))
+query("sk3_terminal_rows", (
+    f"SELECT company, title, coalesce(CASE WHEN id % 3 = 0 THEN NULL ELSE title END, '—') AS title_en, location, {text.salary_display_sql(*_PAY3)} AS salary, "
+    f"'website:' || site_id AS source FROM postings"
+), "postings")(
+    lambda df: reports.terminal_rows(
+        df.select(
+            "company", "title", F.expr("case when id % 3 <> 0 then title end").alias("title_en"), "location",
+            *[p.alias(n) for p, n in zip(_pay(), ("salary_from", "salary_to", "salary_currency"), strict=True)], F.concat(F.lit("website:"), "site_id").alias("source"),
+        )
+    )
 )
 _secs = "(id * 7 % 9000)"
-query("sk4_elapsed", f"SELECT id, CASE WHEN {_secs} < 60 THEN printf('%.2f сек', {_secs}::DOUBLE) WHEN {_secs} < 3600 THEN printf('%d мин %.1f сек', ({_secs} // 60)::INT, ({_secs} % 60)::DOUBLE) ELSE printf('%d ч %d мин %.0f сек', ({_secs} // 3600)::INT, ({_secs} % 3600 // 60)::INT, ({_secs} % 60)::DOUBLE) END AS elapsed FROM fetches", "fetches")(
+query("sk4_elapsed", (
+    f"SELECT id, CASE WHEN {_secs} < 60 THEN printf('%.2f сек', {_secs}::DOUBLE) WHEN {_secs} < 3600 THEN printf('%d мин %.1f сек', ({_secs} // 60)::INT, ({_secs} "
+    f"% 60)::DOUBLE) ELSE printf('%d ч %d мин %.0f сек', ({_secs} // 3600)::INT, ({_secs} % 3600 // 60)::INT, ({_secs} % 60)::DOUBLE) END AS elapsed "
+    f"FROM fetches"
+), "fetches")(
     lambda df: df.select("id", reports.elapsed(F.expr("cast(id * 7 % 9000 as double)")).alias("elapsed"))
 )
 query("e1_w7_breaker", """SELECT domain, count(*) FILTER (status >= 400 AND id > last) AS fail_count, count(*) FILTER (status >= 400 AND id > last) < 3 AS is_active, count(*) FILTER (status >= 400) AS n_failed
@@ -297,28 +376,52 @@ scalar("l10_search_urls", "postings", {
     "at": (lambda: urls.search_url("https://www.karriere.at/jobs/", text.slug(F.col("title")), None, F.col("page_no") - 1), urls.search_url_sql("https://www.karriere.at/jobs/", text.slug_sql("title"), None, "(page_no - 1)")),
 })
 _words17 = " OR ".join(f"contains(lower(url), '{w}')" for w in urls.SITEMAP_WORDS)
-query("f17_t7_sitemap_candidates", f"SELECT id, page FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM (SELECT *, bool_or(m) OVER (PARTITION BY page) AS any_match FROM (SELECT id, nullif(site_id % 20, 3) AS page, coalesce({_words17}, false) AND site_id % 20 < 15 AS m FROM postings)) WHERE m OR NOT any_match) WHERE n <= CASE WHEN any_match THEN 50 ELSE 100 END", "postings")(
+query("f17_t7_sitemap_candidates", (
+    f"SELECT id, page FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id) AS n FROM (SELECT *, bool_or(m) "
+    f"OVER (PARTITION BY page) AS any_match FROM (SELECT id, nullif(site_id % 20, 3) AS page, coalesce({_words17}, false) AND site_id % 20 < 15 AS m "
+    f"FROM postings)) WHERE m OR NOT any_match) WHERE n <= CASE WHEN any_match THEN 50 ELSE 100 END"
+), "postings")(
     lambda df: postings.sitemap_candidates(
         df.withColumn("page", F.expr("nullif(site_id % 20, 3)")), F.exists(F.array(*map(F.lit, urls.SITEMAP_WORDS)), lambda w: F.contains(F.lower("url"), w)) & (F.col("site_id") % 20 < 15), ["page"], [F.col("id")]
     ).select("id", "page")
 )
 _PLACE18 = {"0": "Moscow", "1": "spb", "2": "Russia", "3": "Paris"}
-query("f18_search_parameters", "SELECT id, coalesce(CASE lower(place) WHEN 'moscow' THEN '1' WHEN 'spb' THEN '2' WHEN 'russia' THEN '113' END, suggested) AS area, CASE id % 2 WHEN 0 THEN 'between1And3' ELSE 'moreThan6' END AS experience, salary, CASE WHEN salary IS NOT NULL THEN true END AS only_with_salary FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'Moscow' WHEN 1 THEN 'spb' WHEN 2 THEN 'Russia' ELSE 'Paris' END AS place, CASE WHEN id % 8 = 3 THEN 's' || id END AS suggested, CASE WHEN id % 3 = 0 THEN id END AS salary FROM calls)", "calls")(
+query("f18_search_parameters", (
+    "SELECT id, coalesce(CASE lower(place) WHEN 'moscow' THEN '1' WHEN 'spb' THEN '2' WHEN 'russia' THEN '113' END, suggested) AS area, CASE id % 2 WHEN 0 THEN "
+    "'between1And3' ELSE 'moreThan6' END AS experience, salary, CASE WHEN salary IS NOT NULL THEN true END AS only_with_salary "
+    "FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'Moscow' WHEN 1 THEN 'spb' WHEN 2 THEN 'Russia' ELSE 'Paris' END AS place, CASE WHEN id % 8 = 3 THEN 's' || id "
+    "END AS suggested, CASE WHEN id % 3 = 0 THEN id END AS salary FROM calls)"
+), "calls")(
     lambda df: df.select("id", F.expr("case id % 4 when 0 then 'Moscow' when 1 then 'spb' when 2 then 'Russia' else 'Paris' end").alias("place"), F.expr("case id % 2 when 0 then '1-3' else '6+' end").alias("years"), F.expr("case when id % 8 = 3 then concat('s', id) end").alias("suggested"), F.expr("case when id % 3 = 0 then id end").alias("salary"))
     .select("id", *reports.search_parameters(F.col("place"), F.col("suggested"), F.col("years"), F.col("salary")))
 )
 query("f20_batches_in_english", f"SELECT site_id, page_no, bool_and({text.looks_english_sql('title')}) AS english FROM postings GROUP BY ALL", "postings")(lambda df: df.groupBy("site_id", "page_no").agg(F.bool_and(text.looks_english(F.col("title"))).alias("english")))
-query("e6_concurrency", "SELECT domain, max(open)::BIGINT AS most_open FROM (SELECT domain, sum(d) OVER (PARTITION BY domain ORDER BY t, d) AS open FROM (SELECT domain, id AS t, 1 AS d FROM fetches UNION ALL SELECT domain, id + 100 + status, -1 FROM fetches)) GROUP BY 1", "fetches")(
+query("e6_concurrency", (
+    "SELECT domain, max(open)::BIGINT AS most_open FROM (SELECT domain, sum(d) OVER (PARTITION BY domain "
+    "ORDER BY t, d) AS open FROM (SELECT domain, id AS t, 1 AS d FROM fetches UNION ALL SELECT domain, id + 100 + status, -1 "
+    "FROM fetches)) GROUP BY 1"
+), "fetches")(
     lambda df: state.most_open(df.select("domain", F.col("id").alias("started"), (F.col("id") + 100 + F.col("status")).alias("ended")), "domain")
 )
-query("e7_cache_hits", "SELECT namespace, count(*) FILTER (live) AS hits, count(*) FILTER (NOT live) AS misses, round(count(*) FILTER (live) / count(*), 6) AS hit_rate FROM (SELECT namespace, created_at + ttl_seconds > 4000 AS live FROM cache) GROUP BY 1", "cache")(
+query("e7_cache_hits", (
+    "SELECT namespace, count(*) FILTER (live) AS hits, count(*) FILTER (NOT live) AS misses, round(count(*) FILTER (live) / count(*), 6) AS hit_rate "
+    "FROM (SELECT namespace, created_at + ttl_seconds > 4000 AS live FROM cache) GROUP BY 1"
+), "cache")(
     lambda df: df.withColumn("live", state.is_live(F.col("created_at"), F.col("ttl_seconds"), F.lit(4000))).groupBy("namespace").agg(F.count_if("live").alias("hits"), F.count_if(~F.col("live")).alias("misses"), F.round(F.count_if("live") / F.count("*"), 6).alias("hit_rate"))
 )
-query("u3_get_or_create_site", ", n AS (SELECT DISTINCT 's' || id % 50 || '.example.com' AS domain FROM postings UNION SELECT domain FROM sites) SELECT n.domain, s.id IS NULL AS created FROM n LEFT JOIN sites s ON s.domain = n.domain", "sites", "postings")(
+query("u3_get_or_create_site", (
+    ", n AS (SELECT DISTINCT 's' || id % 50 || '.example.com' AS domain FROM postings UNION SELECT domain "
+    "FROM sites) SELECT n.domain, s.id IS NULL AS created FROM n LEFT JOIN sites s ON s.domain = n.domain"
+), "sites", "postings")(
     lambda s, p: p.select(F.concat(F.lit("s"), F.col("id") % 50, F.lit(".example.com")).alias("domain")).union(s.select("domain")).distinct().join(s.select("domain", "id"), "domain", "left").select("domain", F.col("id").isNull().alias("created"))
 )
 _SITE_URL = "concat('https://www.site-', cast(site_id as string), '.com/x')"
-query("x29_j6_records", f"SELECT id, 'web-' || host || '-' || (row_number() OVER (PARTITION BY nullif(site_id, 7) ORDER BY nullif(pos % 50, 3) NULLS FIRST, id) - 1) AS external_id, title, {text.company_name_sql('host')} AS company, coalesce(location, 'Unknown') AS location, coalesce(url, 'https://careers') AS url, 'website:' || host AS source, CASE WHEN id % 4 <> 0 THEN lower(title) END AS title_en FROM (SELECT *, 'www.site-' || site_id || '.com' AS host FROM postings)", "postings")(
+query("x29_j6_records", (
+    f"SELECT id, 'web-' || host || '-' || (row_number() OVER (PARTITION BY nullif(site_id, 7) ORDER BY nullif(pos % 50, 3) NULLS FIRST, id) - 1) AS external_id, "
+    f"title, {text.company_name_sql('host')} AS company, coalesce(location, 'Unknown') AS location, coalesce(url, 'https://careers') AS url, 'website:' || host "
+    f"AS source, CASE WHEN id % 4 <> 0 THEN lower(title) END AS title_en FROM (SELECT *, 'www.site-' || site_id || '.com' AS host "
+    f"FROM postings)"
+), "postings")(
     lambda df: postings.records(
         df.withColumns({"title_en": F.when(F.col("id") % 4 != 0, F.lower("title")), "pos": F.expr("nullif(pos % 50, 3)"), "site": F.expr("nullif(site_id, 7)")}),
         F.expr(_SITE_URL), F.lit("https://careers"), ["pos", "id"], ["site"], keep=["id"],
@@ -341,10 +444,18 @@ _TOLD = "CASE WHEN id % 3 <> 0 THEN 'about ' || domain WHEN id % 6 = 0 THEN 'mor
 query("p1_company_info", f"SELECT id, domain, CASE WHEN coalesce(description, '') = '' THEN {_TOLD} ELSE description END AS description FROM sites", "sites")(
     lambda df: enrich.company_info(df, _told(df)).select("id", "domain", "description")
 )
-query("p2_company_info_of_pages", f"SELECT domain, name, CASE WHEN coalesce(description, '') <> '' THEN description ELSE {_TOLD} END AS description FROM sites UNION ALL SELECT 'new-' || id, 'new-' || id, 'fresh' FROM sites", "sites")(
+query("p2_company_info_of_pages", (
+    f"SELECT domain, name, CASE WHEN coalesce(description, '') <> '' THEN description ELSE {_TOLD} END AS description "
+    f"FROM sites UNION ALL SELECT 'new-' || id, 'new-' || id, 'fresh' FROM sites"
+), "sites")(
     lambda df: enrich.company_info_of_pages(df, _told(df).union(df.select(F.concat(F.lit("new-"), "id"), F.lit("fresh"))), F.xxhash64("new.domain")).select("domain", "name", "description")
 )
-query("p10_tracked_usage", "SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END)::BIGINT AS completion_tokens, round(sum(CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN 0.25 ELSE prompt_tokens / 1e6 * 0.5 + CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END / 1e6 * 1.5 END), 4) AS usd, round(sum(seconds), 4) AS seconds FROM (SELECT *  REPLACE ('m' || id % 3 AS model) FROM calls) GROUP BY 1", "calls")(
+query("p10_tracked_usage", (
+    "SELECT model, count(*) AS calls, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END)::BIGINT AS completion_tokens, "
+    "round(sum(CASE WHEN id % 3 = 0 AND id % 5 = 0 THEN 0.25 ELSE prompt_tokens / 1e6 * 0.5 + CASE WHEN id % 3 = 2 THEN 0 ELSE completion_tokens END / 1e6 * "
+    "1.5 END), 4) AS usd, round(sum(seconds), 4) AS seconds FROM (SELECT *  REPLACE ('m' || id % 3 AS model) "
+    "FROM calls) GROUP BY 1"
+), "calls")(
     lambda df: reports.usage(reports.tracked(df.select(F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model"), "seconds", F.expr(_BODY10).alias("body"))))
 )
 _BODY10 = """case id % 3 when 0 then concat('{"usage":{"prompt_tokens":', prompt_tokens, ',"completion_tokens":', completion_tokens, if(id % 5 = 0, ',"cost":0.25', ''), '}}')
@@ -353,17 +464,29 @@ query("v28_v30_report_times", f"SELECT id, {text.parsed_time_sql('changed_at')}
     lambda df: df.select("id", text.parsed_time(F.col("changed_at")).alias("stamp"), text.report_day(F.col("changed_at")).alias("day"), text.report_clock(F.col("changed_at")).alias("clock"))
 )
 _ACTION = "CASE event WHEN 'added' THEN 'добавлена' WHEN 'removed' THEN 'закрыта' WHEN 'reactivated' THEN 'вернулась' ELSE event END"
-query("sk5_history_report", f"SELECT line, CASE WHEN day IS DISTINCT FROM lag(day) OVER (ORDER BY line) THEN day END AS heading, clock, said FROM (SELECT row_number() OVER (ORDER BY changed_at DESC NULLS LAST, h.id DESC)::INT AS line, {text.report_day_sql('changed_at')} AS day, {text.report_clock_sql('changed_at')} AS clock, title || CASE WHEN coalesce(location, '') <> '' THEN ' (' || location || ')' ELSE '' END || ' [' || domain || '] — ' || {_ACTION} AS said FROM history h JOIN jobs j ON j.id = h.job_id JOIN sites s ON s.id = j.site_id) WHERE line <= 300", "history", "jobs", "sites")(lambda h, j, s: reports.history_report(h, j, s, 300))
+query("sk5_history_report", (
+    f"SELECT line, CASE WHEN day IS DISTINCT FROM lag(day) OVER (ORDER BY line) THEN day END AS heading, clock, said "
+    f"FROM (SELECT row_number() OVER (ORDER BY changed_at DESC NULLS LAST, h.id DESC)::INT AS line, {text.report_day_sql('changed_at')} AS day, {text.report_clock_sql('changed_at')} "
+    f"AS clock, title || CASE WHEN coalesce(location, '') <> '' THEN ' (' || location || ')' ELSE '' END || ' [' || domain || '] — ' || {_ACTION} AS said "
+    f"FROM history h JOIN jobs j ON j.id = h.job_id JOIN sites s ON s.id = j.site_id) WHERE line <= 300"
+), "history", "jobs", "sites")(lambda h, j, s: reports.history_report(h, j, s, 300))
 _HOST7 = "(CASE id % 4 WHEN 0 THEN 'www.acme.co.uk' WHEN 1 THEN domain WHEN 2 THEN '10.0.0.' || id ELSE 'localhost' END)"
 scalar("l7_registrable_domain", "sites", {"registered": (lambda: urls.registrable_domain(F.expr(_HOST7)), urls.registrable_domain_sql(_HOST7))})
 query("u6_touched_sites", f"SELECT id, domain, CASE WHEN id % 3 = 0 THEN {_NOW} ELSE last_scanned_at END::BIGINT AS last_scanned_at FROM sites", "sites")(
     lambda df: state.touched(df, df.where("id % 3 = 0"), "id", {"last_scanned_at": _now()}).select("id", "domain", "last_scanned_at")
 )
-query("w5_repeated_lines", "SELECT id, title FROM (SELECT id, title, lag(trim(title)) OVER w IS NOT DISTINCT FROM trim(title) AND row_number() OVER w > 1 AS same FROM (SELECT id, site_id, page_no, department AS title FROM postings) WINDOW w AS (PARTITION BY site_id, page_no ORDER BY id)) WHERE NOT same", "postings")(
+query("w5_repeated_lines", (
+    "SELECT id, title FROM (SELECT id, title, lag(trim(title)) OVER w IS NOT DISTINCT FROM trim(title) AND row_number() "
+    "OVER w > 1 AS same FROM (SELECT id, site_id, page_no, department AS title FROM postings) WINDOW w AS (PARTITION BY site_id, page_no "
+    "ORDER BY id)) WHERE NOT same"
+), "postings")(
     lambda df: markup.without_repeats(df.select("id", "site_id", "page_no", F.col("department").alias("title")), ["site_id", "page_no"], "id", "title").select("id", "title")
 )
 query("sc4_active_jobs", "SELECT id, site_id, title, location, url FROM jobs WHERE is_active AND site_id = 7", "jobs")(lambda df: reports.active_jobs(df, 7).select("id", "site_id", "title", "location", "url"))
-query("f6_v23_title_signals", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in text.title_signals_sql("title").items()) + f", {text.confidence_sql('method', {k: v for k, v in text.title_signals_sql('title').items() if k in text.SIGNALS})} AS confidence FROM postings", "postings")(
+query("f6_v23_title_signals", "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in text.title_signals_sql("title").items()) + (
+    f", {text.confidence_sql('method', {k: v for k, v in text.title_signals_sql('title').items() if k in text.SIGNALS})} AS confidence "
+    f"FROM postings"
+), "postings")(
     lambda df: df.withColumn("s", text.title_signals(F.col("title"))).select("id", "s.*", text.confidence(F.col("method"), {k: F.col(f"s.{k}") for k in text.title_signals_sql("title") if k in text.SIGNALS}).alias("confidence"))
 )
 _nav = "('https://x/' || CASE WHEN id % 3 = 0 THEN 'en/jobs' WHEN id % 3 = 1 THEN 'about' ELSE 'a/b/c' END)"
