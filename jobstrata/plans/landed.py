@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rewrite import quote
-from ..operators import enrich, extract, phrases, postings, reports
+from ..operators import enrich, extract, markup, models, phrases, postings, reports
 from ..operators.udtf import Registry
 from ..sources import json_export, searchers
 from ..sources.sinks import shared_folder
@@ -284,7 +284,60 @@ SELECT h.id, host, CASE WHEN regexp_matches(host, '^[0-9.]*$') THEN NULL WHEN le
 FROM (SELECT *, string_split(lower(host), '.') AS p FROM h) h LEFT JOIN m ON m.id = h.id"""
 
 
+# --- P7: a provider that answers from the prompt ------------------------------------------------
+
+
+def _echo():
+    """Answers after as many failures as the prompt says; some prompts it refuses."""
+    failed: dict[str, int] = {}
+
+    def call(prompt: str) -> str:
+        name, number = prompt.rsplit(" ", 1)
+        if int(number) % 7 == 0:
+            raise ValueError("bad request")
+        failed[prompt] = failed.get(prompt, 0) + 1
+        if failed[prompt] <= int(number) % 4:
+            raise RuntimeError("503 Service Unavailable")
+        return f"{name}!"
+
+    return call
+
+
+def _model_answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = relation(spark, d, "calls").select("id", F.concat("model", F.lit(" "), "id").alias("prompt"))
+    return models.answered(rows, F.col("prompt"), _echo, sleep=lambda seconds: None).select("id", "answer", "attempts", "error")
+
+
+_MODEL_ANSWERS_SQL = """SELECT id, CASE WHEN id % 7 <> 0 AND id % 4 < 3 THEN model || '!' END AS answer, CASE WHEN id % 7 = 0 THEN 1 ELSE least(id % 4 + 1, 3) END::INT AS attempts,
+  CASE WHEN id % 7 = 0 THEN 'bad request' WHEN id % 4 = 3 THEN '503 Service Unavailable' END AS error FROM calls"""
+
+# --- X22-X24 on pages of cards ---------------------------------------------------------------------
+
+_MARKUP = (
+    '<div class="jobs" id="a{k}" onclick="x()"><!-- c --><script>var a = {k};</script><h2>Alpha {t}</h2>'
+    '<p>Jobs <b>for you</b> {k} here</p><ul><li>one {t}</li><li><a href="/j/{k}">link {t}</a></li></ul></div>'
+)
+_CLEANED = "'<div class=\"jobs\" id=\"a' || k || '\"><h2>Alpha ' || t || '</h2><p>Jobs <b>for you</b> ' || k || ' here</p><ul><li>one ' || t || '</li><li><a href=\"/j/' || k || '\">link ' || t || '</a></li></ul></div>'"
+_MARKED = "'## Alpha ' || t || chr(10) || 'Jobs **for you** ' || k || ' here' || chr(10) || '- one ' || t || chr(10) || '- [link ' || t || '](/j/' || k || ')'"
+#: A card as the section holds it: its markup without the comment, and without attributes that aren't kept.
+_RAW = "'<div class=\"jobs\" id=\"a' || k || '\"><script>var a = ' || k || ';</script><h2>Alpha ' || t || '</h2><p>Jobs <b>for you</b> ' || k || ' here</p><ul><li>one ' || t || '</li><li><a href=\"/j/' || k || '\">link ' || t || '</a></li></ul></div>'"
+
+
+def _markup(spark: SparkSession, d: str, **around: str) -> DataFrame:
+    return pages(spark, d).select("page_id", F.expr(cards(_MARKUP, **around)).alias("html"))
+
+
+def _joined_sql(one: str, sep: str, name: str) -> str:
+    return f"SELECT p.page_id, coalesce(string_agg({one}, {sep} ORDER BY k), '') AS {name} FROM pages p LEFT JOIN {ITEMS} i ON i.page_id = p.page_id GROUP BY 1"
+
+
 QUERIES = {
+    "p7_model_answers": _model_answers,
+    "x23_clean_cards": lambda spark, d: _markup(spark, d).select("page_id", markup.clean_html(F.col("html")).alias("clean")),
+    "x24_markdown_cards": lambda spark, d: _markup(spark, d).select("page_id", markup.html_to_markdown(F.col("html")).alias("markdown")),
+    "x22_section_cards": lambda spark, d: _markup(spark, d, before='<nav>no</nav><div class="job-list-x">', after="</div>").select(
+        "page_id", F.regexp_replace(markup.clean_html(markup.find_job_section(F.col("html"))), r"\s+$", "").alias("section")
+    ),
     "j8_phrases": _phrases,
     "l7_public_suffixes": _registered,
     "x5_x14b_lateral": _lateral,
@@ -308,6 +361,10 @@ def sql(delays: str) -> dict[str, str]:
     """DuckDB's side; ``delays`` is that of E4 on the fetches as they are."""
     if_ = lambda x: x.replace("if(length(content) % 2 = 0, '[]', 'null')", "CASE WHEN length(content) % 2 = 0 THEN '[]' ELSE 'null' END")
     return {
+        "p7_model_answers": with_relations(_MODEL_ANSWERS_SQL, "calls"),
+        "x23_clean_cards": _joined_sql(_CLEANED, "''", "clean"),
+        "x24_markdown_cards": _joined_sql(_MARKED, "chr(10)", "markdown"),
+        "x22_section_cards": f"SELECT page_id, CASE WHEN n > 1000 THEN clean ELSE '' END AS section FROM ({_joined_sql(_CLEANED, "''", 'clean')}) JOIN (SELECT page_id, sum(length({_RAW})) AS n FROM {ITEMS} GROUP BY 1) USING (page_id)",
         "j8_phrases": f"WITH w AS ({_PHRASES}) SELECT page_id, min(ordinal) AS ordinal, arg_min(value, ordinal) AS value FROM pages LEFT JOIN w ON contains(lower(html), phrase) GROUP BY 1",
         "l7_public_suffixes": _REGISTERED_SQL,
         "x5_x14b_lateral": _LATERAL_SQL,
