@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.reports import outcome
-from ..operators.state import BASE_DELAY, MAX_FAILURES, next_delay
+from ..operators.state import BASE_DELAY, MAX_FAILURES, next_delay, retry_after_seconds
 from ..operators.postings import null_safe_join
 from ..plans.write_path import apply_scan
 from ..sources.buckets import BUCKETS, Store
@@ -44,22 +44,26 @@ def step(fail_count: int, delay: float, status: int, retry_after: float | None)
 
 
 def domain_state(fetches: DataFrame) -> DataFrame:
-    """E1, E2, E4 on a stream of fetches (domain, id, status, retry_after).
+    """E1, E2, E4 on a stream of fetches (domain, id, status, retry_after, perhaps
+    ``at``, the time of the answer, from which dates to wait for count).
 
     Within a micro-batch a domain's fetches count in order of ``id``; only the
-    three numbers they depend on are gathered for that.
+    three numbers they depend on are gathered for that.  ``stateful.crawl_health``
+    keeps addresses apart and forgets quiet domains, but needs RocksDB.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fails, _, delay = state.get if state.exists else (0, 0, BASE_DELAY)
-        slim = [(p["id"].to_numpy(np.int64), p["status"].to_numpy(np.int32), pd.to_numeric(p["retry_after"].where(p["retry_after"].str.fullmatch(r"\d+")), errors="coerce").to_numpy(np.float64)) for p in batches]
+        slim = [(p["id"].to_numpy(np.int64), p["status"].to_numpy(np.int32), p["wait"].to_numpy(np.float64)) for p in batches]
         ids, statuses, waits = (np.concatenate(x) for x in zip(*slim, strict=True))
         for k in np.argsort(ids, kind="stable").tolist():
             fails, delay = step(fails, delay, int(statuses[k]), None if np.isnan(waits[k]) else float(waits[k]))
         state.update((fails, 0, delay))
         yield pd.DataFrame({"domain": [key[0]], "fail_count": [fails], "is_active": [fails < MAX_FAILURES], "delay": [delay], "n_events": [len(ids)]})
 
-    return fetches.groupBy("domain").applyInPandasWithState(run, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
+    wait = retry_after_seconds(F.col("retry_after"), F.col("at") if "at" in fetches.columns else None)
+    rows = fetches.where("status is not null").select("domain", "id", "status", wait.alias("wait"))
+    return rows.groupBy("domain").applyInPandasWithState(run, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def sessions(fetches: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,8 +140,10 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_stream_of_fetches(spark, tmp_path):
     src = str(tmp_path / "in")
-    rows = [(k, f"d{k % 3}", [200, 429, 500][k % 2 + (k % 5 == 0)], "3" if k % 7 == 0 else "") for k in range(60)]
-    schema = "id long, domain string, status int, retry_after string"
+    noon = datetime.datetime(2024, 5, 1, 12)
+    waits = ["3", "Wed, 01 May 2024 12:00:09 GMT", "Wed, 01 May 2024 11:00:00 GMT", "", "", "", ""]
+    rows = [(k, f"d{k % 3}", [200, 429, 500][k % 2 + (k % 5 == 0)], waits[k % 7], noon) for k in range(60)]
+    schema = "id long, domain string, status int, retry_after string, at timestamp"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(src)
     stream = crawl.domain_state(spark.readStream.schema(schema).parquet(src))
     q = stream.writeStream.outputMode("update").format("memory").queryName("domains").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
