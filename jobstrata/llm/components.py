@@ -6,6 +6,9 @@ tasks know: the parents of a node meet at the least of them, and a parent
 gives way to its own.  Rounds go on until every node hangs at a root.  Both
 steps are a minimum by key and joins against it, so a root with a third of all
 nodes is no single task's load.
+
+Defined results: a link of a node with itself, or one that is repeated, changes
+nothing; nodes without links aren't in the result; an empty table has none.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""Word shingles of whole slabs of text, hashed without a Python loop."""
+"""Word shingles of whole slabs of text, hashed without a Python loop.
+
+Defined results: a text without words (empty, null or white space alone) has no
+shingle and the key 0; one with fewer words than a shingle has a single one;
+equal texts have equal sets, and so do texts that differ in A-Z and white space only.
+"""
 
 from __future__ import annotations
 
