@@ -150,6 +150,21 @@ def guarded(stored: DataFrame, scanned: DataFrame, scan: DataFrame, waiting: Dat
     return sites.select("site_id", "active", "found", "suspicious", allowed.alias("allowed"), F.when(good, 0).otherwise(count).alias("suspicious_count"), outcome.alias("outcome"))
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """V3-V5 for a whole table: site_id, the keys of title and location, and the row itself as ``name``.
+
+    Many postings share a title or a place, so each different one is rewritten
+    once and joined back; a small number of them is broadcast, and a title that
+    very many rows have is split by adaptive execution.  The table is read
+    once more for either column, so it should be one, not a long plan.
+    """
+    rows = df.select("site_id", F.col("title").alias("__title"), F.col("location").alias("__location"), F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(name))
+    once = lambda c, key: df.select(F.col(c).alias(f"__{c}")).distinct().withColumn(f"k_{c}", key(F.col(f"__{c}")))
+    for c, key in (("title", text.sync_title), ("location", text.sync_location)):
+        rows = null_safe_join(rows, once(c, key), [f"__{c}"], "left")
+    return rows.select("site_id", "k_title", "k_location", name)
+
+
 def reconciled(stored: DataFrame, scan: DataFrame) -> DataFrame:
     """One row for each key of stored jobs or scan, with its event.
 
@@ -161,8 +176,6 @@ def reconciled(stored: DataFrame, scan: DataFrame) -> DataFrame:
     ``new`` are the stored and the scanned row.  Of stored rows with one key the
     highest id counts, of scanned ones the first place.
     """
-    row = lambda df: F.struct(*[df[f"`{c}`"] for c in df.columns])
-    keyed = lambda df, name: df.select("site_id", text.sync_title(F.col("title")).alias("k_title"), text.sync_location(F.col("location")).alias("k_location"), row(df).alias(name))
     by = ["site_id", "k_title", "k_location"]
     old = keyed(stored, "r").groupBy(*by).agg(F.max_by("r", "r.id").alias("old"), F.lit(True).alias("known"))
     blank = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(""))
@@ -184,8 +197,6 @@ def matched(stored: DataFrame, scan: DataFrame) -> DataFrame:
     one key, ``latest`` marks the one that counts, and only it has an event.
     Both sides are dealt out once, by key.
     """
-    row = lambda df: F.struct(*[df[f"`{c}`"] for c in df.columns])
-    keyed = lambda df, name: df.select("site_id", text.sync_title(F.col("title")).alias("k_title"), text.sync_location(F.col("location")).alias("k_location"), row(df).alias(name))
     by = ["site_id", "k_title", "k_location"]
     newest = F.col("old.id").eqNullSafe(F.max("old.id").over(Window.partitionBy(*by)))
     old = keyed(stored, "old").withColumn("is_newest", newest)

@@ -38,7 +38,9 @@ def scalar(name: str, source: str, columns: dict[str, tuple], keys: tuple[str, .
 
 
 scalar("v1_v2_normalized", "postings", {"title_key": (lambda: text.normalize_title(F.col("title")), text.normalize_title_sql("title")), "location_key": (lambda: text.normalize_location(F.col("location")), text.normalize_location_sql("location"))})
-scalar("v3_v4_v5_sync_key", "postings", {"title_key": (lambda: text.sync_title(F.col("title")), text.sync_title_sql("title")), "location_key": (lambda: text.sync_location(F.col("location")), text.sync_location_sql("location"))})
+query("v3_v4_v5_sync_key", f"SELECT id, {text.sync_title_sql('title')} AS title_key, {text.sync_location_sql('location')} AS location_key FROM postings", "postings")(
+    lambda df: postings.keyed(df, "r").select("r.id", F.col("k_title").alias("title_key"), F.col("k_location").alias("location_key"))
+)
 scalar("v6_v7_candidate_title", "postings", {"fixed": (lambda: text.unrepeated(F.col("title")), text.unrepeated_sql("title")), "candidate": (lambda: text.candidate_title(F.col("title")), text.candidate_title_sql("title"))})
 _file = lambda: F.concat(F.lit("4pipes_Stellenausschreibung_"), F.regexp_replace(F.trim("title"), " ", "_"), F.lit("_it-systemadmin_v2_20251027.pdf"))
 scalar("v8_filename_title", "postings", {"from_file": (lambda: text.filename_title(_file()), text.filename_title_sql("('4pipes_Stellenausschreibung_' || replace(trim(title), ' ', '_') || '_it-systemadmin_v2_20251027.pdf')"))})
