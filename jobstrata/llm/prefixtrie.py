@@ -204,3 +204,26 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op11_prefixtrie(spark, sf_dir: str) -> DataFrame:
     turns = staged(numbered(table(spark, sf_dir, "conversations")), "numbered")
     return trie(*rebuilt(turns))
+
+
+#: CRC-32 of a decimal number, bit by bit, as DuckDB has no function for it.
+_CRC = """xor(list_reduce(list_transform(string_split({c}::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda a, x:
+  list_reduce(range(8), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, x)), 4294967295::BIGINT), 4294967295)"""
+
+#: DuckDB: a node is the text of its turns' digests; a conversation's nodes below one another are pairs.
+OP11_SQL = f"""WITH w AS (SELECT conv_id, turn, coalesce(text, '') AS said, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '') AS word FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, sha256(word) AS digest, strlen(said) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(word)) AS pos FROM w),
+own AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+c AS (SELECT o.conv_id, o.conv_id - o.conv_id % 5 AS base, {_CRC.format(c="o.conv_id")} % 9 AS h FROM own o),
+r AS (SELECT c.conv_id, pos, digest, size FROM c JOIN t ON t.conv_id = base WHERE pos <= h
+  UNION ALL SELECT c.conv_id, pos - h + least(h, coalesce(n, 0)), digest, size FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN own ON own.conv_id = base WHERE pos > h),
+l AS (SELECT c.conv_id, count(r.pos) AS len FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY 1),
+a AS (SELECT r.conv_id, pos AS depth, string_agg(digest, '') OVER (PARTITION BY r.conv_id ORDER BY pos) AS key, size, len FROM r JOIN l ON l.conv_id = r.conv_id
+  UNION ALL SELECT conv_id, 0, '', 0, len FROM l),
+n AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, max(len) = depth AS leaf,
+  sha256(coalesce(string_agg(CASE WHEN len = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM a GROUP BY key, depth),
+p AS (SELECT DISTINCT x.key AS top, y.key AS sub FROM a x JOIN a y ON y.conv_id = x.conv_id AND y.depth >= x.depth),
+s AS (SELECT top, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM p JOIN n ON n.key = sub GROUP BY 1),
+k AS (SELECT left(key, 64 * (depth - 1)) AS top, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.top = n.key LEFT JOIN k ON k.top = n.key LEFT JOIN n m ON n.depth > 0 AND m.key = left(n.key, 64 * (n.depth - 1))"""

@@ -9,7 +9,7 @@ from .minhash import op2_minhash
 from .packing import op4_packing
 from .periods import op12_periods
 from .pii import op10_pii
-from .prefixtrie import op11_prefixtrie
+from .prefixtrie import OP11_SQL, op11_prefixtrie
 from .quality import op1_quality
 from .rankarray import op13_rankarray
 from .rules import OP8_SQL, op8_rules
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_rankarray": op13_rankarray,
 }
 
-SQL = {"op8_rules": OP8_SQL}
+SQL = {"op8_rules": OP8_SQL, "op11_prefixtrie": OP11_SQL}

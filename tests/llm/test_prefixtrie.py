@@ -77,6 +77,16 @@ def test_turnless_conversations(spark, tmp_path):
     assert [tuple(r) for r in got] == brute(rows, True) and len(got) == 1 and got[0].n_leaves == 1
 
 
+def test_sql_gives_the_same_nodes(spark, tmp_path):
+    import duckdb
+
+    rows = talks(6)
+    frame(spark, rows).select("conv_id", "turn", "role", "text").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert sorted(con.sql(prefixtrie.OP11_SQL).fetchall(), key=str) == brute(rows, True)
+
+
 def test_no_rows(spark):
     none = frame(spark, [(None, 1, "user", "x")])
     assert prefixtrie.trie_of(none).count() == 0 and prefixtrie.trie_of(none.where("false")).count() == 0
