@@ -89,14 +89,14 @@ class ConvNet:
         out = np.zeros((STEP, len(embed), 2 * FILTERS))
         for e in range(EMBED):
             out += embed[None, :, e, None] * w[:, None, e, :]
-        return out.astype(np.float32)
+        return out.astype(self.w["filters"].dtype)
 
     def scores(self, data: np.ndarray, offs: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
         """One score for each text, which follows from the text alone."""
         tables = self.tables() if tables is None else tables
         symbols, first = _blocks(data, offs)
         grid = symbols.reshape(-1, STEP)
-        y, more = np.empty((len(grid), 2 * FILTERS), np.float32), np.empty((len(grid), 2 * FILTERS), np.float32)
+        y, more = (np.empty((len(grid), 2 * FILTERS), tables.dtype) for _ in range(2))
         np.take(tables[0], grid[:, 0], axis=0, out=y, mode="clip")
         for k in range(1, STEP):
             np.take(tables[k], grid[:, k], axis=0, out=more, mode="clip")
