@@ -127,7 +127,8 @@ def token_counts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "d
     spark: SparkSession = docs.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     names = write_files(doc_rows(docs, id_col, text_col), path, rank_path, pattern)
-    return names.join(separators(names, path, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start")
+    # both sides grow with the texts, though as files they look small enough to broadcast
+    return names.join(separators(names, path, block=block).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start")
 
 
 def op5_tokens(spark, sf_dir: str) -> DataFrame:
